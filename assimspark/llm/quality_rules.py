@@ -87,7 +87,11 @@ def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "__q_")
     three = sorted_.withColumn(p("positions"), F.sort_array(F.array_compact(_flagged(F.col(p("sorted")))))).drop(p("sorted"))
     at = F.col(p("positions"))
     gaps = F.transform(at, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - i, F.lit(3))))
-    four = three.withColumn(p("n_repeat_words"), F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)).drop(p("positions"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_upper", "n_digits", "n_exclaim", "n_distinct", "n_lines")
+    repeated = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g).alias(p("n_repeat_words"))
+    # A generator of one row: filters on the statistics stay above it, where they are read and not worked out a second time.
+    one_row = F.explode(F.array(F.struct(*(F.col(p(c)) for c in counts), repeated))).alias(p("all"))
+    four = three.select(*keep, one_row).select(*keep, p("all") + ".*")
     n, chars = F.greatest(F.col(p("n_words")), F.lit(1)), F.greatest(F.col(p("word_chars")), F.lit(1))
     lines = F.greatest(F.col(p("n_lines")), F.lit(1))
     ratios = {
@@ -179,9 +183,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prec
         .groupBy("doc_id").agg(F.min("quality").alias("__label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).where("not __q_base_failed")
-    seen = rows.groupBy("doc_id").agg(F.min_by(F.struct("__label", *("__q_" + f for f in FEATURES)), F.xxhash64("text")).alias("r"))
-    data = [tuple(r["r"]) for r in seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()]
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+    seen = rows.groupBy("doc_id").agg(F.min_by(F.struct("__q_base_failed", "__label", *("__q_" + f for f in FEATURES)), F.xxhash64("text")).alias("r"))
+    data = [tuple(r["r"])[1:] for r in seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect() if not r["r"][0]]
     if not data:
         return []
     table = np.array(data, dtype=float)
