@@ -17,6 +17,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(docs.select("doc_id", "text"), rules).select("doc_id", *(F.col("__q_" + n).alias(n) for n in names))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.token_files import read_documents, write_token_files
+
+    return read_documents(*write_token_files(read_table(spark, sf_dir, "documents")))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.packing import pack, with_checksum
+
+    return with_checksum(pack(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
