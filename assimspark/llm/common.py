@@ -41,3 +41,8 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand texts to Python in batches of so many rows at most, for jobs whose rows are whole documents: a worker holds one batch at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

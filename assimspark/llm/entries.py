@@ -13,9 +13,9 @@ def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = with_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, terms = F.col("__p_base"), F.col("__p_terms")
-    counts = (F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias("n_" + kind) for kind in KINDS)
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias("n_" + kind)
     listed = F.concat_ws(",", F.when(F.size(base) > 0, span_list(base)), F.when(F.size(terms) > 0, span_list(terms)))
-    return found.select("doc_id", *counts, F.size(terms).cast("long").alias("n_term"), F.sha2(span_list(base), 256).alias("base_sha256"), listed.alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.size(terms).cast("long").alias("n_term"), F.sha2(span_list(base), 256).alias("base_sha256"), listed.alias("spans"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assimspark.llm.common import new_folder
+from assimspark.llm.common import new_folder, small_batches
 from assimspark.llm.tokens import Encoder, crc32_of, slices, tokenizer_path
 
 TOKENS = "doc_id long, part int, place long, n_tokens long, rest int, rank_in_part long, full_before long, ids binary"
@@ -29,6 +29,7 @@ TOKENS = "doc_id long, part int, place long, n_tokens long, rest int, rank_in_pa
 def tokenise(docs: DataFrame, end_id: int = 0, seq_len: int = 1024, tokenizer: str | None = None) -> DataFrame:
     """The ids of each document, and where its remainder and its full chunks stand within the task that made them; written to the shared folder."""
     path = tokenizer or tokenizer_path()
+    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assimspark.llm.common import new_folder
+from assimspark.llm.common import new_folder, small_batches
 from assimspark.llm.tokens import Encoder, crc32_of, slices, tokenizer_path
 
 INDEX = "doc_id long, shard int, start_in_shard long, n_tokens long"
@@ -115,6 +115,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-files")
     path = tokenizer or tokenizer_path()
+    small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -27,7 +27,7 @@ class Encoder:
 
     SPACED = re.compile(r"\s \s")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
