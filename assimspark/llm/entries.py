@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from assimspark.llm.common import read_table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.decontaminate import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assimspark.llm.privacy import KINDS, span_list, with_spans
 
