@@ -39,6 +39,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(*write_token_files(read_table(spark, sf_dir, "documents")))
 
 
+def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.near_join import near_groups
+
+    return near_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assimspark.llm.packing import pack, with_checksum
 
@@ -49,5 +55,23 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP7_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as ws
+  from documents
+), s as (
+  select doc_id, unnest(list_distinct(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else []::varchar[] end)) as sh
+  from w
+), n as (select doc_id, count(*) as n from s group by doc_id
+), l as (
+  select a.doc_id as u, b.doc_id as v from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), e as (select u, v from l union all select v, u from l
+), r as (select doc_id as u, doc_id as v from documents union select r.u, e.v from r join e on e.u = r.v)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id
+from documents d left join n on n.doc_id = d.doc_id join (select u, min(v) as component_id from r group by u) m on m.u = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_near_join": OP7_SQL}
