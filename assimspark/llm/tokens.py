@@ -21,13 +21,14 @@ class Encoder:
     """Encodes texts as the tokenizers library does, and remembers the ids of chunks between spaces.
 
     A byte-level pre-tokenizer gives a word the one space before it, so " word," has the same ids in any text. That holds unless a space
-    stands between two white-space characters; such texts are encoded as a whole. The memory is bounded (``most`` chunks, then it starts
-    anew) and doesn't change results. Files of other kinds are encoded text by text.
+    stands between two white-space characters; such texts are encoded as a whole. The memory is bounded (two generations of
+    ``most`` chunks; the older one goes when the newer is full) and doesn't change results. Files of other kinds are encoded text by text.
     """
 
     SPACED = re.compile(r"\s \s")
+    BLANK = ("", "\n", "\t")
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,43 +41,48 @@ class Encoder:
         self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.most, self.known, self.odd, self.first = most, {}, {}, {}
+        self.most, self.known, self.before, self.odd, self.first = most, {}, {}, {}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if c and not c[0].isspace()]
-        odd = [c for c in chunks if not c or c[0].isspace()]
-        for c, ids in zip(odd, self.whole([" " + c for c in odd])):
-            self.known[c], self.odd[c] = None, ids
-        for k in range(0, len(plain), 4000):
-            part = plain[k:k + 4000]
+        known, size = self.known, self.dtype.itemsize
+        if odd := [c for c in chunks if c[:1] in self.BLANK or c[:1].isspace()]:
+            for c, ids in zip(odd, self.whole([" " + c for c in odd])):
+                known[c], self.odd[c] = None, ids
+            chunks = [c for c in chunks if c not in self.odd]
+        for k in range(0, len(chunks), 4000):
+            part = chunks[k:k + 4000]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(part):  # not expected; chunk by chunk is always right
-                self.known.update(zip(part, self.whole([" " + c for c in part])))
+                known.update(zip(part, self.whole([" " + c for c in part])))
                 continue
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            edges = [*(at * size).tolist(), len(raw)]
-            self.known.update((c, raw[a:b]) for c, a, b in zip(part, edges, edges[1:]))
+            raw = ids.tobytes()
+            edges = (at * size).tolist()
+            known.update(zip(part, map(raw.__getitem__, map(slice, edges, [*edges[1:], len(raw)]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self.whole(texts)
         parts = [t.split(" ") for t in texts]
-        need = set().union(*(p[1:] for p in parts))
+        need = set().union(*parts)
+        if len(self.known) + len(need) > self.most:
+            self.before, self.known, self.first = self.known, {}, {}
         new = need - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known, self.odd, self.first, new = {}, {}, {}, need
+        if again := new & self.before.keys():
+            self.known.update(zip(again, map(self.before.__getitem__, again)))
+            new -= again
         self._learn(list(new))
         heads = list({p[0] for p in parts} - self.first.keys())
         self.first.update(zip(heads, self.whole(heads)))
         get, out = self.known.__getitem__, []
         for t, p in zip(texts, parts):
-            head, p[0] = self.first[p[0]], None
+            rest = iter(p)
+            head = self.first[next(rest)]
             try:
-                out.append(head + b"".join(map(get, p[1:])))
+                out.append(head + b"".join(map(get, rest)))
             except TypeError:
                 out.append(self.whole([t])[0] if self.SPACED.search(t) else head + b"".join(self.odd[c] if c in self.odd else get(c) for c in p[1:]))
         return out
