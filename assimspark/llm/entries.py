@@ -24,6 +24,12 @@ def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.size(terms).cast("long").alias("n_term"), F.sha2(span_list(base), 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.html_text import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assimspark.llm.quality_rules import learn_rules, with_quality
 
