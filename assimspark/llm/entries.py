@@ -39,6 +39,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(docs.select("doc_id", "text"), rules).select("doc_id", *(F.col("__q_" + n).alias(n) for n in names))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.licences import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assimspark.llm.token_files import read_documents, write_token_files
 
