@@ -63,6 +63,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_checksum(pack(read_table(spark, sf_dir, "documents")))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.chat import chat_lines
+
+    return chat_lines(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
