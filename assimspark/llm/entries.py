@@ -63,6 +63,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_checksum(pack(read_table(spark, sf_dir, "documents")))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.lm_score import score
+
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assimspark.llm.chat import chat_lines
 

@@ -34,10 +34,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of all texts, and where each text's words start (len(texts) + 1 numbers)."""
+    return words_with_ends(texts)[:2]
+
+
+def words_with_ends(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and a number for the last two bytes of each word."""
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8) if raw else np.zeros(0, np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
     gap = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -46,7 +51,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     hashes = mix((total[end] - total[begin]) * down[begin])
     ends = np.cumsum([len(r) + 1 for r in raw])
     starts = np.searchsorted(begin, np.concatenate(([0], ends)), side="left")
-    return hashes, starts
+    last = data[end - 1].astype(np.int64) * 256 + np.where(end - begin > 1, data[np.maximum(end - 2, 0)], 0)
+    return hashes, starts, last
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
