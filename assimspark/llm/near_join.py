@@ -229,3 +229,15 @@ def near_groups(docs: DataFrame, most_rounds: int = 10) -> DataFrame:
     found = with_class.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "rep"))
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with one row left of each group of near copies: that of its smallest doc_id; rows without a doc_id stay.
+
+    Of rows that share this doc_id the one with the smallest text hash stays; only such rows are ranked.
+    """
+    kept = materialise(near_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")), "near-kept")
+    named = docs.join(kept, "doc_id")
+    many = named.where(F.col("__rows") > 1).withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col("__rank") == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.where(F.col("__rows") == 1).select(*columns).unionByName(many.select(*columns)).unionByName(docs.where(F.col("doc_id").isNull()))
