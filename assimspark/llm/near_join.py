@@ -12,8 +12,9 @@ a <= b that means an overlap of at least o(a, b) = ceil(4 (a + b) / 9), and a >=
 4. The boundary is the size at which enumerating subsets starts to cost more than scanning lists, summed over the size histogram.
 5. Lists are read in rounds: each list has one centre (the member with the most shared elements, later from a random eighth), each member
    is checked against one centre, and what is linked is one component from then on. Then all pairs that are left - same list, different
-   components - are checked: first by a parity sketch, whose differing bits bound the symmetric difference from below, then exactly.
-   So no link between components is lost, and a dense group of m copies costs about m checks and not m^2.
+   components - meet in a join whose condition holds a parity sketch: its differing bits bound the symmetric difference from below, so
+   it rules out most pairs before they are rows; the others are checked exactly. No link between components is lost, and a dense group
+   of m copies costs about m checks and not m^2.
 
 Null or word-less texts have an empty set, link with nothing and form a component of their own; fewer than five words are one shingle;
 repeated rows are copies of each other; rows that share a doc_id are one node; a null doc_id gives a null component; an empty table gives
@@ -181,6 +182,25 @@ def confirm(pairs: DataFrame, sets: DataFrame, sketch_first: bool) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(100 * both >= 80 * (F.col("nu") + F.col("nv") - both)).select("u", "v").distinct()
 
 
+def remaining_pairs(now: DataFrame, mixed: DataFrame, whole: DataFrame) -> DataFrame:
+    """(u, v) of a list's members in different components that a folded sketch can't rule out.
+
+    Of such a pair at least one is outside the list's main component, so those members meet all others. The sketch is compared inside the
+    join, as plain 64-bit columns: what it rules out is never a row.
+    """
+    half = SKETCH_LONGS // 2
+    folded = whole.select("doc_id", *(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch", F.lit(i + half))).alias(f"s{i}") for i in range(half)))
+    live = materialise(now.join(mixed, "token").join(folded, "doc_id"), "lists-mixed")
+    minor = live.where(F.col("comp") != F.col("main"))
+    a = minor.select("token", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"), *(F.col(f"s{i}").alias(f"a{i}") for i in range(half)))
+    b = live.select("token", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"), (F.col("comp") == F.col("main")).alias("in_main"), *(F.col(f"s{i}").alias(f"b{i}") for i in range(half)))
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")))
+    for i in range(1, half):
+        apart = apart + F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")))
+    may = (F.col("cu") != F.col("cv")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & _similar(F.col("nu"), F.col("nv")) & (9 * apart <= F.col("nu") + F.col("nv"))
+    return a.join(b, (a["token"] == b["token"]) & may).select("u", "v").distinct()
+
+
 def near_groups(docs: DataFrame, most_rounds: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of the documents."""
     small_batches(docs.sparkSession)
@@ -207,9 +227,9 @@ def near_groups(docs: DataFrame, most_rounds: int = 10) -> DataFrame:
     for turn in range(most_rounds + 1):
         now = kept.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("comp", F.coalesce("label", "doc_id"))
         now = materialise(now.select("token", "doc_id", "n", "score", "comp"), "lists-now")
-        sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within")).where("m * m > within")
+        sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"), F.max(F.struct("m", "comp"))["comp"].alias("main")).where("m * m > within")
         left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()[0] or 0
-        if turn == most_rounds or left <= n_rows or (left_before is not None and left > 0.9 * left_before and turn > 2):
+        if turn == most_rounds or left <= n_rows or (left_before is not None and left > 0.9 * left_before and turn > 1):
             break
         left_before = left
         eligible = F.lit(True) if turn == 0 else F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(8)) == 0
@@ -220,8 +240,7 @@ def near_groups(docs: DataFrame, most_rounds: int = 10) -> DataFrame:
         new = materialise(confirm(one, whole, sketch_first=False), "star-links")
         links = links.unionByName(new)
         labels = components(links, labels)
-    a, b = (now.select("token", F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("comp").alias("c" + k)) for k in "uv")
-    rest = a.join(b, "token").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _similar(F.col("nu"), F.col("nv"))).select("u", "v").distinct()
+    rest = remaining_pairs(now, sizes.select("token", "main"), whole)
     links = links.unionByName(materialise(confirm(rest, whole, sketch_first=True), "last-links"))
     labels = components(links, labels)
 
