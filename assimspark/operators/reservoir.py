@@ -179,7 +179,7 @@ def data_driven_forecast(ens: DataFrame, model: Reservoir, n: int) -> DataFrame:
 
 def sample_windows(series: DataFrame, n: int, length: int, seed: int = 0) -> DataFrame:
     """n (series_id, start) pairs in a keyed random order; ``series`` has series_id and n_steps."""
-    starts = series.where(F.col("n_steps") >= length).select("series_id", F.explode(F.sequence(F.lit(0), F.col("n_steps") - length)).cast("long").alias("start"))
+    starts = series.where(F.col("n_steps") >= length).select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_steps").cast("long") - length)).alias("start"))
     return starts.orderBy(F.xxhash64("series_id", "start", F.lit(seed)), "series_id", "start").limit(n)
 
 

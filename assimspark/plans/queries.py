@@ -382,15 +382,15 @@ def s5_rank_channels(spark, sf):
 # --- aggregations
 
 
-@query(f"with {ENS}, {LNG} select series_id, row_id, count(*) as m, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, round(avg(value) + 2 * stddev_pop(value), 6) as hi2 from lng group by series_id, row_id")
+@query(f"with {ENS}, {LNG} select series_id, row_id, count(*) as m, round(avg(value), 9) as mean, round(stddev_pop(value), 8) as std, round(avg(value) + 2 * stddev_pop(value), 8) as hi2 from lng group by series_id, row_id")
 def d1_ensemble_moments(spark, sf):
-    return metrics.ensemble_moments(inputs.long_ensemble(spark, sf), ["series_id", "row_id"]).select("series_id", "row_id", "m", R("mean").alias("mean"), R("std").alias("std"), R("hi2").alias("hi2"))
+    return metrics.ensemble_moments(inputs.long_ensemble(spark, sf), ["series_id", "row_id"]).select("series_id", "row_id", "m", R("mean", 9).alias("mean"), R("std", 8).alias("std"), R("hi2", 8).alias("hi2"))
 
 
-@query(f"with {ENS} select series_id, round(avg(a), 6) as mean, round(stddev_pop(a), 6) as std from ens group by series_id")
+@query(f"with {ENS} select series_id, round(avg(a), 9) as mean, round(stddev_pop(a), 8) as std from ens group by series_id")
 def d1_packed_moments(spark, sf):
     packed = filters.pack(inputs.ensemble(spark, sf).select("series_id", "member", F.col("a").alias("value")), ["series_id"])
-    return metrics.ensemble_moments_packed(packed).select("series_id", R("mean").alias("mean"), R("std").alias("std"))
+    return metrics.ensemble_moments_packed(packed).select("series_id", R("mean", 9).alias("mean"), R("std", 8).alias("std"))
 
 
 @query(f"with {ENS} select series_id, 0 as row_a, 2 as row_b, round(covar_samp(a, y), 5) as cov, round(corr(a, y), 5) as corr from ens group by series_id having count(*) > 2 union all select series_id, 1, 2, round(covar_samp(p, y), 5) + 0, round(corr(p, y), 5) + 0 from ens group by series_id having count(*) > 2")
@@ -576,28 +576,28 @@ def _two_stage(spark, sf, method):
     rows = filters.pack(ens.join(many, "series_id", "left_semi"), ["series_id", "cycle", "row_id", "kind"])
     size = inputs.table(spark, sf, "part").select(F.col("p_partkey").alias("series_id"), F.lit(0).cast("long").alias("cycle"), F.lit(0).alias("dim"), F.col("p_size").cast("double").alias("d"), (0.02 * F.col("p_size") * F.col("p_size")).alias("cdd"), (0.1 * F.col("p_size")).alias("b"), F.array(F.lit(0.3)).alias("jac"))
     out = filters.analyse(rows, size, method, k=2.0, perturb=False)
-    return out.where("row_id = 0").select("series_id", F.posexplode("vals").alias("member", "v")).select("series_id", F.col("member").cast("long").alias("member"), R("v", 4).alias("a_a"))
+    return out.where("row_id = 0").select("series_id", F.posexplode("vals").alias("member", "v")).select("series_id", F.col("member").cast("long").alias("member"), R("v", 3).alias("a_a"))
 
 
 _MANY = "where m > 2"
 
 
-@query(f"with {ENS}, {_OBS}, {_MOM} select series_id, member, round(a + c / (n + v) * (d - y), 4) + 0 as a_a from v {_MANY}")
+@query(f"with {ENS}, {_OBS}, {_MOM} select series_id, member, round(a + c / (n + v) * (d - y), 3) + 0 as a_a from v {_MANY}")
 def h2_enkf_two_stage(spark, sf):
     return _two_stage(spark, sf, "enkf")
 
 
-@query(f"with {ENS}, {_OBS}, {_MOM} select series_id, member, round(a + c / (n + v) * (d - my) - case when v > 0 then c / v * (1 - sqrt(greatest(1 - v / (n + v), 0))) else 0 end * dy, 4) + 0 as a_a from v {_MANY}")
+@query(f"with {ENS}, {_OBS}, {_MOM} select series_id, member, round(a + c / (n + v) * (d - my) - case when v > 0 then c / v * (1 - sqrt(greatest(1 - v / (n + v), 0))) else 0 end * dy, 3) + 0 as a_a from v {_MANY}")
 def h3_ensrkf_two_stage(spark, sf):
     return _two_stage(spark, sf, "ensrkf")
 
 
-@query(f"with {ENS}, {_OBS}, {_MOM} select series_id, member, round(a + c / (n + ((1 + j) * (1 + j) + 2 * j * j) * v) * ((1 + j) * (d - y - b) - 2 * j * b), 4) + 0 as a_a from v {_MANY}")
+@query(f"with {ENS}, {_OBS}, {_MOM} select series_id, member, round(a + c / (n + ((1 + j) * (1 + j) + 2 * j * j) * v) * ((1 + j) * (d - y - b) - 2 * j * b), 3) + 0 as a_a from v {_MANY}")
 def h4_rba_enkf_two_stage(spark, sf):
     return _two_stage(spark, sf, "rba_enkf")
 
 
-@query(f"with {ENS}, {_OBS}, {_MOM} select series_id, member, round(a + c / (n + ((1 + j) * (1 + j) + 2 * j * j) * v) * ((1 + j) * (d - y - b) - 2 * j * b), 4) + 0 as a_a from v {_MANY}")
+@query(f"with {ENS}, {_OBS}, {_MOM} select series_id, member, round(a + c / (n + ((1 + j) * (1 + j) + 2 * j * j) * v) * ((1 + j) * (d - y - b) - 2 * j * b), 3) + 0 as a_a from v {_MANY}")
 def h5_rba_cmame_two_stage(spark, sf):
     return _two_stage(spark, sf, "rba_enkf_cmame")
 
@@ -711,7 +711,7 @@ def i9_i10_data_driven_forecast(spark, sf):
     series = _series(spark, sf)
     model = reservoir.fit_readout(series, _net(), 5, 40, 1e-3)
     sigma = float(np.linalg.svd(model.wout, compute_uv=False)[0])
-    last = reservoir.reservoir_states(series, model, 5).where("step = 20").select("series_id", "r", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long").alias("member"))
+    last = reservoir.reservoir_states(series, model, 5).where("step = 20").select("series_id", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("member"))
     ens = last.withColumn("sigmas", F.array(F.lit(sigma) * (1 + 0.01 * F.col("member"))))
     return reservoir.data_driven_forecast(ens, model, 5).select("series_id", "member", "step", R(F.col("y")[0], 4).alias("y"))
 
@@ -785,7 +785,7 @@ def k1_k2_k5_stream_assimilate(spark, sf):
 
     seconds = F.unix_timestamp("ts") - 1_704_000_000
     obs = _event_stream(spark, sf).select(F.col("user_id").alias("series_id"), F.floor(seconds / 86_400).cast("long").alias("step"), F.array("value").alias("d"), F.array(F.lit(9.0)).alias("cdd"))
-    out = stream_assimilate(obs, first_state, decay, 1, cycle.Config(method="ensrkf", dt=1.0))
+    out = stream_assimilate(obs, first_state, decay, 1, cycle.Config(method="ensrkf", dt=1.0), idle_ms=None)
     return _run_stream(out, "stream-cycles").select("series_id", "step", "cycle", R(F.col("y_mean")[0], 4).alias("y_mean"), "n_dropped")
 
 
@@ -807,8 +807,8 @@ def log_likelihood(x, d):
 def k4_stream_interval_error(spark, sf):
     from assimspark.streaming.assimilate import stream_interval_error
 
-    rows = _event_stream(spark, sf).select("ts", F.col("user_id").alias("series_id"), F.col("event_type").alias("dim"), F.col("value").alias("y"), F.lit(40.0).alias("e"))
+    rows = _event_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("series_id"), F.col("event_type").alias("dim"), F.col("value").alias("y"), F.lit(40.0).alias("e"))
     out = stream_interval_error(rows, "1 day", "1 hour").select(F.col("window.start").alias("start"), "series_id", "dim", "err", "n")
-    return _run_stream(out, "stream-errors").select("start", "series_id", "dim", R("err").alias("err"), "n")
+    return _run_stream(out, "stream-errors").select(F.col("start").cast("timestamp_ntz").alias("start"), "series_id", "dim", R("err").alias("err"), "n")
 
 

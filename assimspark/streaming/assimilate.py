@@ -23,7 +23,7 @@ BLOB = StructType([StructField("blob", BinaryType())])
 
 
 class Assimilator(StatefulProcessor):
-    def __init__(self, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config, observe: Callable | None, bias: Reservoir | None, n_wash: int, idle_ms: int):
+    def __init__(self, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config, observe: Callable | None, bias: Reservoir | None, n_wash: int, idle_ms: int | None):
         self.first, self.derivative, self.q, self.cfg, self.observe, self.bias, self.n_wash, self.idle_ms = first, derivative, q, cfg, observe, bias, n_wash, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -63,9 +63,10 @@ class Assimilator(StatefulProcessor):
             out.append((series, int(o.step), c.n_seen - 1, res["y_mean"], res["y_std"], res["innovation"], bool(res["rejected"]), held["dropped"]))
         held |= {"psi": c.psi, "params": c.params, "step": c.step, "n_seen": c.n_seen, "n_rejected": c.n_rejected, "b": c.b, "r": c.r, "ready": c.bias_ready}
         self.state.update((pickle.dumps(held),))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if self.idle_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in OUTPUT.split(", ")])
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
@@ -76,9 +77,10 @@ class Assimilator(StatefulProcessor):
         pass
 
 
-def stream_assimilate(obs: DataFrame, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config = Config(), observe: Callable | None = None, bias: Reservoir | None = None, n_wash: int = 10, idle_ms: int = 3_600_000) -> DataFrame:
-    """The stream (or batch) of posteriors: ``first`` gives psi, params and step of a new series. Needs the RocksDB state store."""
-    return obs.select("series_id", "step", "d", "cdd").groupBy("series_id").transformWithStateInPandas(Assimilator(first, derivative, q, cfg, observe, bias, n_wash, idle_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+def stream_assimilate(obs: DataFrame, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config = Config(), observe: Callable | None = None, bias: Reservoir | None = None, n_wash: int = 10, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """The stream (or batch) of posteriors: ``first`` gives psi, params and step of a new series. Without
+    ``idle_ms`` states stay (for runs over what there is now, which end). Needs the RocksDB state store."""
+    return obs.select("series_id", "step", "d", "cdd").groupBy("series_id").transformWithStateInPandas(Assimilator(first, derivative, q, cfg, observe, bias, n_wash, idle_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
 
 
 class GridBayes(StatefulProcessor):
