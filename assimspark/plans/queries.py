@@ -387,10 +387,10 @@ def d1_ensemble_moments(spark, sf):
     return metrics.ensemble_moments(inputs.long_ensemble(spark, sf), ["series_id", "row_id"]).select("series_id", "row_id", "m", R("mean", 9).alias("mean"), R("std", 8).alias("std"), R("hi2", 8).alias("hi2"))
 
 
-@query(f"with {ENS} select series_id, round(avg(a), 9) as mean, round(stddev_pop(a), 8) as std from ens group by series_id")
+@query(f"with {ENS} select series_id, round(avg(a), 11) as mean, round(stddev_pop(a), 8) as std from ens group by series_id")
 def d1_packed_moments(spark, sf):
     packed = filters.pack(inputs.ensemble(spark, sf).select("series_id", "member", F.col("a").alias("value")), ["series_id"])
-    return metrics.ensemble_moments_packed(packed).select("series_id", R("mean", 9).alias("mean"), R("std", 8).alias("std"))
+    return metrics.ensemble_moments_packed(packed).select("series_id", R("mean", 11).alias("mean"), R("std", 8).alias("std"))
 
 
 @query(f"with {ENS} select series_id, 0 as row_a, 2 as row_b, round(covar_samp(a, y), 5) as cov, round(corr(a, y), 5) as corr from ens group by series_id having count(*) > 2 union all select series_id, 1, 2, round(covar_samp(p, y), 5) + 0, round(corr(p, y), 5) + 0 from ens group by series_id having count(*) > 2")
