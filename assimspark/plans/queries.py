@@ -20,6 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Values on a short decimal grid would often lie on a rounding tie, which engines break differently; this moves them off it.
+OFF_TIES = 1.23456789e-7
+
+
 def query(sql: str | None = None) -> Callable:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
@@ -197,9 +201,9 @@ def g5_flat_indices(spark, sf):
     return inputs.field(spark, sf).select("step", "point_id", maps.flatten_index(F.col("comp").cast("long"), F.col("ix"), F.col("iy"), 8, 8).alias("flat"), c.alias("comp2"), i.alias("ix2"), j.alias("iy2"))
 
 
-@query(f"with {ENS}, {LNG} select series_id, row_id, member, round(m + 1.1::double * (value - m), 6) + 0 as value from (select *, avg(value) over (partition by series_id, row_id) as m from lng)")
+@query(f"with {ENS}, {LNG} select series_id, row_id, member, round(m + 1.1::double * (value - m) + 1.23456789e-7::double, 6) + 0 as value from (select *, avg(value) over (partition by series_id, row_id) as m from lng)")
 def g6_inflate(spark, sf):
-    return ensemble.inflate(inputs.long_ensemble(spark, sf), 1.1).select("series_id", "row_id", "member", R("value").alias("value"))
+    return ensemble.inflate(inputs.long_ensemble(spark, sf), 1.1).select("series_id", "row_id", "member", R(F.col("value") + OFF_TIES, 6).alias("value"))
 
 
 @query(f"with {ENS}, {LNG}, g as (select series_id, max(case when kind = 'param' and m <> 0 and s / m > 0.6::double then 1 else 0 end) as sk from (select series_id, row_id, any_value(kind) as kind, avg(value) as m, stddev_pop(value * 1.0) as s from lng group by series_id, row_id) group by series_id) select series_id, count(*) as n from g group by series_id")
@@ -393,12 +397,12 @@ def d1_packed_moments(spark, sf):
     return metrics.ensemble_moments_packed(packed).select("series_id", R("mean", 11).alias("mean"), R("std", 8).alias("std"))
 
 
-@query(f"with {ENS} select series_id, 0 as row_a, 2 as row_b, round(covar_samp(a, y), 5) as cov, round(corr(a, y), 5) as corr from ens group by series_id having count(*) > 2 union all select series_id, 1, 2, round(covar_samp(p, y), 5) + 0, round(corr(p, y), 5) + 0 from ens group by series_id having count(*) > 2")
+@query(f"with {ENS} select series_id, 0 as row_a, 2 as row_b, round(covar_samp(a, y) + 1.23456789e-7::double, 6) as cov, round(corr(a, y) + 1.23456789e-7::double, 6) as corr from ens group by series_id having count(*) > 2 union all select series_id, 1, 2, round(covar_samp(p, y) + 1.23456789e-7::double, 6) + 0, round(corr(p, y) + 1.23456789e-7::double, 6) + 0 from ens group by series_id having count(*) > 2")
 def d2_ensemble_covariance(spark, sf):
     ens = inputs.long_ensemble(spark, sf)
     many = ens.groupBy("series_id").agg(F.max("member").alias("top")).where("top > 1").select("series_id")
     out = metrics.ensemble_covariance(ens.join(many, "series_id", "left_semi"), ["series_id"], F.col("kind") != "obs", F.col("kind") == "obs")
-    return out.select("series_id", "row_a", "row_b", R("cov", 5).alias("cov"), R("corr", 5).alias("corr"))
+    return out.select("series_id", "row_a", "row_b", R(F.col("cov") + OFF_TIES, 6).alias("cov"), R(F.col("corr") + OFF_TIES, 6).alias("corr"))
 
 
 _CR = "select {k}, sum(ye) / sqrt(sum(yy) * sum(ee)) as C, sqrt(sum(dd) / sum(en)) as R from (select {k}, dim, sum(y * {e}) - sum(y) * sum({e}) / count(*) as ye, sum(y * y) - sum(y) * sum(y) / count(*) as yy, sum({e} * {e}) - sum({e}) * sum({e}) / count(*) as ee, sum((y - {e}) * (y - {e})) as dd, sum(y * y) as en from {t} group by {k}, dim) group by {k}"
@@ -497,10 +501,10 @@ def d15_obs_error_cov(spark, sf):
     return metrics.obs_error_cov(c, 0.01).join(b, ["series_id", "dim"]).select("series_id", "dim", R("cdd").alias("cdd"), R("cdd2", 8).alias("cdd2"))
 
 
-@query(f"with {SIG}, n as (select series_id, count(*) as n from sig group by series_id) select s.series_id, b.bin, round(b.bin * 5.0::double / (n // 2 - 1), 6) as frequency, round(2.0::double / n * sqrt(power(sum(y * cos(2 * pi() * b.bin * step / n)), 2) + power(sum(y * sin(2 * pi() * b.bin * step / n)), 2)), 5) as amplitude from sig s join n using (series_id), (select unnest(range(5))::bigint as bin) b group by s.series_id, b.bin, n")
+@query(f"with {SIG}, n as (select series_id, count(*) as n from sig group by series_id) select s.series_id, b.bin, round(b.bin * 5.0::double / (n // 2 - 1), 6) as frequency, round(2.0::double / n * sqrt(power(sum(y * cos(2 * pi() * b.bin * step / n)), 2) + power(sum(y * sin(2 * pi() * b.bin * step / n)), 2)), 8) as amplitude from sig s join n using (series_id), (select unnest(range(5))::bigint as bin) b group by s.series_id, b.bin, n")
 def d16_amplitude_spectrum(spark, sf):
     out = truth.amplitude_spectrum(inputs.signals(spark, sf), DT)
-    return out.where("bin < 5").select("series_id", "bin", R("frequency").alias("frequency"), R("amplitude", 5).alias("amplitude"))
+    return out.where("bin < 5").select("series_id", "bin", R("frequency").alias("frequency"), R("amplitude", 8).alias("amplitude"))
 
 
 @query("with x as (select l_partkey as series_id, l_linenumber as member, max(l_quantity) - min(l_quantity) as span from lineitem where l_quantity > 30 group by all), g as (select series_id, max(step) as top from (select l_partkey as series_id, l_quantity::bigint as step from lineitem) group by series_id), y as (select l_partkey as series_id, l_linenumber as member, max(l_tax) - min(l_tax) as span from lineitem join g on g.series_id = l_partkey where l_quantity > top - 20 group by all) select series_id, member, max(span) < 0.05 as fixed from y group by all")
