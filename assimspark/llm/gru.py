@@ -203,23 +203,30 @@ class Model:
         return h
 
     def train(self, ids: np.ndarray, starts: np.ndarray, end_id: int, n_lanes: int = 128, steps: int = 32, rate: float = 0.01) -> int:
-        """One pass of truncated backpropagation (Adam, clipped); returns the number of targets."""
+        """One pass of truncated backpropagation (Adam, clipped); returns the number of targets, all of which have moved the weights."""
         grad_flat = np.zeros_like(self.flat)
         grad = self.shape.split(grad_flat)
         m, v, seen, held, turn = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, 0, 0
         h = None
+
+        def update() -> None:
+            nonlocal seen, held, turn
+            turn += 1
+            g = grad_flat / held
+            g *= min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-12))
+            m[:] += 0.1 * (g - m)
+            v[:] += 0.01 * (g * g - v)
+            self.flat -= rate / (1 + turn / 400) * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)
+            grad_flat[:] = 0
+            seen, held = seen + held, 0
+
         for x, y, keep, owner in windows(ids, starts, end_id, n_lanes, steps):
             h = np.zeros((x.shape[1], self.shape.hidden), np.float32) if h is None else h[:x.shape[1]]
             real = owner >= 0
             h = self._gradient(x, y, keep, real, h, grad)
             held += int(real.sum())
             if held >= n_lanes * steps // 2:
-                turn += 1
-                g = grad_flat / held
-                g *= min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-12))
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                self.flat -= rate / (1 + turn / 400) * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)
-                grad_flat[:] = 0
-                seen, held = seen + held, 0
-        return seen + held
+                update()
+        if held:
+            update()
+        return seen

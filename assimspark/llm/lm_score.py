@@ -5,8 +5,8 @@ Tokens are lower-case (A-Z) words and one end for each document; training docume
 
     base_score = sum over tokens of log10((c + 1) / (N + V + 1))
 
-The model (gru.py) is trained on all training documents: in each of ``rounds`` passes every task starts from the shared weights, reads its
-share of the documents, and the weights that come back are averaged, weighted by tokens, in two steps. Head words are the most frequent
+The model (gru.py) is trained on all training documents in each of ``rounds`` passes: every task starts from the shared weights, reads the
+whole of its documents, and the weights that come back are averaged, weighted by tokens, in two steps. Head words are the most frequent
 ones; the others fall into classes by their last bytes and have (c + 1) / Z of their class, where Z also holds one unseen word.
 
 Sizes: the head (2048 words), the table of frequent counts that is broadcast (``most_known`` words, 16 bytes each) and the weights are
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, counts: DataFrame, n_docs: int, shape: Shape, most_know
     z = {k: 1.0 + sums.get(k, (0, 0))[1] for k in range(shape.n_tail)}
     flat = shape.start(head_counts, np.array([1.0 + sums.get(k, (0, 0))[0] for k in range(shape.n_tail)]))
     shared = spark.sparkContext.broadcast(lookup)
-    for turn in range(rounds):
+    for _ in range(rounds):
         now = spark.sparkContext.broadcast(flat)
 
         def work(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
@@ -154,8 +154,7 @@ def fit(docs: DataFrame, counts: DataFrame, n_docs: int, shape: Shape, most_know
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([model.flat.tobytes()]), pa.array([seen], pa.int64())], names=["flat", "n"])
 
-        share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == turn).select("doc_id", "text")
-        mean = _average(share.mapInArrow(work, "flat binary, n long"))
+        mean = _average(docs.select("doc_id", "text").mapInArrow(work, "flat binary, n long"))
         flat = flat if mean is None else mean.astype(np.float32)
     return lookup, flat, z
 

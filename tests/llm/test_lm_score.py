@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from assimspark.llm import lm_score
 from assimspark.llm.gru import CLASS_SIZE, Model, Shape, windows
 from assimspark.llm.lm_score import score
 
@@ -103,3 +104,24 @@ def test_training_learns_what_follows():
     for _ in range(6):
         model.train(ids[3000:], starts[100:] - 3000, 0, n_lanes=32, steps=15, rate=0.03)
     assert model.score(ids[:3000], starts[:101], 0).sum() > 0.5 * before
+
+
+def test_each_round_reads_all_training_documents(spark, monkeypatch):
+    average, seen = lm_score._average, []
+
+    def watched(weights, tasks=8):
+        seen.append(weights.agg({"n": "sum"}).first()[0])
+        return average(weights, tasks)
+
+    monkeypatch.setattr(lm_score, "_average", watched)
+    rows = corpus(60)
+    lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), SMALL, most_known=100, rounds=3).count()
+    assert seen == [sum(len(tokens(x)) for d, x in rows if not held(d))] * 3
+
+
+def test_few_targets_train_too():
+    shape = Shape(n_head=64, n_tail=3)
+    ids, starts = np.arange(60) % 5 + 1, np.array([0, 60])
+    model = Model(shape, shape.start(np.ones(64), np.ones(3)))
+    before = model.score(ids, starts, 0).sum()
+    assert model.train(ids, starts, 0) == 61 and model.score(ids, starts, 0).sum() > before
