@@ -1,17 +1,24 @@
-"""Licence scans: a trained paragraph classifier, confirmed by templates.
+"""Licence scans: notices found by templates in paragraphs, judged by a trained classifier.
 
-Paragraphs (lines) are scored by a multinomial logistic regression over sparse word 1- to 3-grams. It is trained on the notices below,
-broken and embedded at random, against paragraphs of the corpus and near misses; "unknown" is a class of its own, and all scores are
-calibrated by a temperature fitted on examples held out from training. A prediction counts when its probability reaches ``least`` and the
-paragraph holds at least ``confirm`` of the n-grams of one notice of that family.
+A paragraph is a run of non-blank lines. Over its words a window slides for each notice below; where the window holds at least ``confirm`` of
+the notice's word 1- to 3-grams, the shortest run of words with as many of them is a candidate, so wrapped notices and notices amid other
+text are found with exact places. Candidates are scored by a multinomial logistic regression over sparse word 1- to 3-grams, trained on the
+notices, broken and embedded at random, against paragraphs of the corpus and near misses; "unknown" is a class of its own, and all scores
+are calibrated by a temperature fitted on examples held out from training.
 
-N-grams that the model has no weight for add nothing, so only n-grams of its vocabulary are looked at; every paragraph of every whole text
-is scored. A null text has no paragraphs; repeated rows are scanned each; an empty table gives no rows; other columns are ignored.
+Candidates are taken by falling share. Of those of one family that overlap one is kept. One that overlaps no other family counts when its
+probability reaches ``least``. One that overlaps another family (a dual licence) counts when it holds at least ``confirm`` of the n-grams that
+set it apart from all notices of each family it overlaps; its probability is that of any family, since the words speak for both.
+
+Only texts in which some window holds enough known 2- and 3-grams are looked at closely; no candidate can be elsewhere. A null text has no
+paragraphs; repeated rows are scanned each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +35,9 @@ NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPL v3."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GPL v2."],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 3.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GPL v2."],
+    "LGPL": ["Licensed under the GNU Lesser General Public License, version 3.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: AGPL-3.0-only"],
     "BSD": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
@@ -50,13 +57,19 @@ FAMILIES = ["unknown", *NOTICES]
 _PLAIN = bytes(c if chr(c).isalnum() or c in (9, 10, 11, 12, 13, 32) or c > 127 else 32 for c in range(256))
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all 1- to 3-grams of lower-case words without punctuation, and the text each belongs to."""
+#: The words of a text as _PLAIN leaves them, and the lines between two blank ones.
+_WORDS = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
+_PARAGRAPH = re.compile(r"[^\n]*[^\s][^\n]*(?:\n[^\n]*[^\s][^\n]*)*")
+
+
+def _placed_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all 1- to 3-grams of lower-case words without punctuation, the text each belongs to, its first word (from 0 in its text) and its size."""
     plain = [t.encode("utf-8", "surrogatepass").translate(_PLAIN).decode("utf-8", "surrogatepass") for t in texts]
     with np.errstate(over="ignore"):
         words, starts = word_hashes(plain)
         owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-        grams, of = [words], [owner]
+        place = np.arange(len(words)) - starts[owner]
+        grams, of, first, size = [words], [owner], [place], [np.ones(len(words), int)]
         rolled = words
         for k in (1, 2):
             if len(words) <= k:
@@ -65,7 +78,14 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             same = owner[:-k] == owner[k:]
             grams.append(rolled[same])
             of.append(owner[:-k][same])
-    return np.concatenate(grams), np.concatenate(of)
+            first.append(place[:-k][same])
+            size.append(np.full(int(same.sum()), k + 1))
+    return np.concatenate(grams), np.concatenate(of), np.concatenate(first), np.concatenate(size)
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of _placed_grams, and the text each belongs to."""
+    return _placed_grams(texts)[:2]
 
 
 @dataclass
@@ -89,12 +109,7 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Family, probability and share of the best notice of that family."""
         of, at = self.features(texts)
-        logits = np.tile(self.bias, (len(texts), 1))
-        np.add.at(logits, of, self.weights[at])
-        logits /= self.temperature
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
+        p = self.probabilities(texts)
         family = p.argmax(axis=1)
         share = np.zeros(len(texts))
         bounds = np.searchsorted(of, np.arange(len(texts) + 1))
@@ -103,6 +118,153 @@ class Model:
             share[i] = max(np.isin(n, mine).mean() for f, n in self.notices if f == family[i])
         return family, p[np.arange(len(texts)), family], share
 
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        of, at = self.features(texts)
+        logits = np.tile(self.bias, (len(texts), 1))
+        np.add.at(logits, of, self.weights[at])
+        p = np.exp((logits - logits.max(axis=1, keepdims=True)) / self.temperature)
+        return p / p.sum(axis=1, keepdims=True)
+
+    def _known(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Position in the vocabulary, text, first word and size of the known n-grams, by place."""
+        grams, of, first, size = _placed_grams(texts)
+        at = np.minimum(np.searchsorted(self.vocabulary, grams), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == grams)
+        known = known[np.lexsort((size[known], first[known], of[known]))]
+        return at[known], of[known], first[known], size[known]
+
+    def templates(self, confirm: float) -> list[tuple[int, np.ndarray, np.ndarray, int, int]]:
+        """For each notice its family, n-grams, those as a mask, the widest window and the 2- and 3-grams it needs besides all its words."""
+        out = []
+        for (family, grams), text in zip(self.notices, (n for f in FAMILIES for n in NOTICES.get(f, []))):
+            mask, words = np.zeros(len(self.vocabulary), bool), _placed_grams([text])
+            mask[grams] = True
+            n = int((words[3] == 1).sum())
+            singles = len(np.unique(words[0][words[3] == 1]))
+            out.append((family, grams, mask, n + n // 2 + 8, max(1, int(np.ceil(confirm * len(grams) - 1e-9)) - singles)))
+        return out
+
+    def may_hold(self, texts: list[str], templates: list) -> np.ndarray:
+        """The texts in which a window has enough 2- and 3-grams of some notice."""
+        at, of, first, size = self._known(texts)
+        longer = size > 1
+        at, of, first = at[longer], of[longer], first[longer]
+        found = np.zeros(len(texts), bool)
+        for _, _, mask, width, need in templates:
+            mine = np.flatnonzero(mask[at])
+            if len(mine) >= need:
+                a, b = mine[:len(mine) - need + 1], mine[need - 1:]
+                found[of[a[(of[a] == of[b]) & (first[b] - first[a] < width)]]] = True
+        return np.flatnonzero(found)
+
+    def candidates(self, texts: list[str], templates: list, confirm: float) -> Iterator[tuple[int, list[tuple[float, int, int, int, int]], list[tuple[int, int, int]]]]:
+        """For each text with any: its number, the candidates (share, family, first word, word after the last, n-grams of the notice) and its known n-grams (position, first word, word after)."""
+        at, of, first, size = self._known(texts)
+        bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+        for i in range(len(texts)):
+            mine = slice(bounds[i], bounds[i + 1])
+            if bounds[i] == bounds[i + 1]:
+                continue
+            g, a, e, out = at[mine], first[mine], first[mine] + size[mine], []
+            for family, grams, mask, width, _ in templates:
+                has = mask[g]
+                if len(np.unique(g[has])) >= confirm * len(grams) - 1e-9:
+                    out += [(share, family, x, y, len(grams)) for share, x, y in _windows(g[has].tolist(), a[has].tolist(), e[has].tolist(), len(grams), width, confirm)]
+            if out:
+                yield i, out, list(zip(g.tolist(), a.tolist(), e.tolist()))
+
+
+def _windows(g: list[int], a: list[int], e: list[int], size: int, width: int, confirm: float) -> list[tuple[float, int, int]]:
+    """(share, first word, word after the last) of windows that hold at least ``confirm`` of ``size`` n-grams: from left to right, none overlapping,
+    each the best of those that start within the first one found. N-grams g from word a to e, sorted by a."""
+    least, out, i = confirm * size - 1e-9, [], 0
+
+    def window(i: int) -> tuple[int, int]:
+        ends: dict[int, int] = {}
+        for j in range(i, len(a)):
+            if a[j] >= a[i] + width:
+                break
+            if e[j] <= a[i] + width and e[j] < ends.get(g[j], e[j] + 1):
+                ends[g[j]] = e[j]
+        return len(ends), max(ends.values(), default=0)
+
+    while i < len(a):
+        n, end = window(i)
+        if n < least:
+            i = bisect.bisect_left(a, a[i] + 1)
+            continue
+        best, k = (n, a[i] - end, a[i], end), bisect.bisect_left(a, a[i] + 1)
+        while k < len(a) and a[k] < end:
+            n, e_k = window(k)
+            best, k = max(best, (n, a[k] - e_k, a[k], e_k), key=lambda x: x[:2]), bisect.bisect_left(a, a[k] + 1)
+        out.append((best[0] / size, best[2], best[3]))
+        i = bisect.bisect_left(a, best[3])
+    return out
+
+
+def _places(paragraph: str) -> list[tuple[int, int]]:
+    """Start and end of each word; a full stop, quote or bracket that closes a word belongs to its place, and those that open it."""
+    out = []
+    for m in _WORDS.finditer(paragraph):
+        start, end = m.span()
+        while start and paragraph[start - 1] in "(\"'":
+            start -= 1
+        while end < len(paragraph) and paragraph[end] in ".,;:!)\"'":
+            end += 1
+        out.append((start, end))
+    return out
+
+
+def notices_in(model: Model, texts: list[str | None], templates: list, least: float, confirm: float) -> Iterator[tuple[int, int, int, int, int, float, float]]:
+    """(text, line, start, end, family, probability, share) of the notices that count, by place."""
+    whole = [t or "" for t in texts]
+    parts = [(int(i), m.start(), m[0]) for i in model.may_hold(whole, templates) for m in _PARAGRAPH.finditer(whole[i])]
+    paragraphs = [p for *_, p in parts]
+    sets = {f: np.unique(np.concatenate([grams for k, grams in model.notices if k == f])) for f, *_ in templates}
+    for at, found, held in model.candidates(paragraphs, templates, confirm):
+        text, shift, paragraph = parts[at]
+        places = _places(paragraph)
+        chances = model.probabilities([paragraph[places[x][0]:places[y - 1][1]] for _, _, x, y, _ in found])
+        lines, counted = 0, 0
+        for group in _overlapping(found):
+            taken: list[list] = []
+            for k in sorted(group, key=lambda k: (-found[k][0], -chances[k][found[k][1]], found[k][2] - found[k][3])):
+                share, family, x, y, size = found[k]
+                over = [t for t in taken if t[1] < y and x < t[2]]
+                same = [t for t in over if t[0] == family]
+                if same:  # one place of the family: that of the longer notice if it holds the other
+                    if len(over) == 1 and x <= same[0][1] and same[0][2] <= y and share * size > same[0][5]:
+                        same[0][1:3], same[0][5] = [x, y], share * size
+                    continue
+                chance = float(chances[k][family])
+                if over:
+                    begin = bisect.bisect_left(held, x, key=lambda h: h[1])
+                    inside = [g for g, _, e in held[begin:bisect.bisect_left(held, y, key=lambda h: h[1])] if e <= y]
+                    mine = max((grams for f, grams, *_ in templates if f == family), key=lambda n: np.isin(n, inside).mean())
+                    apart = [np.setdiff1d(mine, sets[f]) for f in {t[0] for t in over}]
+                    chance = float(1 - chances[k][0])
+                    if not all(len(n) and np.isin(n, inside).mean() >= confirm for n in apart):
+                        continue
+                if chance >= least:
+                    taken.append([family, x, y, chance, share, share * size])
+            for family, x, y, chance, share, _ in sorted(taken, key=lambda t: (t[1], t[2], t[0])):
+                start, end = shift + places[x][0], shift + places[y - 1][1]
+                lines, counted = lines + whole[text].count("\n", counted, start), start
+                yield text, lines, start, end, family, chance, share
+
+
+def _overlapping(found: list[tuple[float, int, int, int, int]]) -> Iterator[list[int]]:
+    """The numbers of the candidates, those that hang together by overlaps in one list, by place."""
+    group, reach = [], 0
+    for k in sorted(range(len(found)), key=lambda k: found[k][2]):
+        if group and found[k][2] >= reach:
+            yield group
+            group, reach = [], 0
+        group.append(k)
+        reach = max(reach, found[k][3])
+    if group:
+        yield group
+
 
 def _broken(rng: random.Random, notice: str, filler: list[str]) -> str:
     words = [w for w in notice.split() if rng.random() > 0.06]
@@ -179,23 +341,16 @@ def sample_paragraphs(docs: DataFrame, most_docs: int = 400, most_chars: int = 1
 
 
 def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, confirm: float = 0.7) -> DataFrame:
-    """One row for each confirmed paragraph: doc_id, paragraph (from 0), start, end (code points), family, probability, share."""
+    """One row for each confirmed notice: doc_id, paragraph (the line it starts in, from 0), start, end (code points), family, probability, share."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train(sample_paragraphs(docs)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
+        templates = fitted.templates(confirm)
         for batch in batches:
-            rows, ids = [], batch.column("doc_id").to_pylist()
-            pieces = [(i, j, p) for i, t in enumerate(batch.column("text").to_pylist()) if t for j, p in enumerate(t.split("\n"))]
-            family, chance, share = fitted.predict([p for *_, p in pieces]) if pieces else (np.zeros(0, int),) * 3
-            ends = np.cumsum([len(p) + 1 for *_, p in pieces])
-            first = {}
-            for k, (i, j, p) in enumerate(pieces):
-                first.setdefault(i, ends[k] - len(p) - 1)
-                if family[k] and chance[k] >= least and share[k] >= confirm:
-                    start = int(ends[k]) - len(p) - 1 - int(first[i])
-                    rows.append((ids[i], j, start, start + len(p), FAMILIES[family[k]], float(chance[k]), float(share[k])))
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[i], line, start, end, FAMILIES[f], chance, share) for i, line, start, end, f, chance, share in notices_in(fitted, batch.column("text").to_pylist(), templates, least, confirm)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["doc_id", "paragraph", "start", "end", "family", "probability", "share"])
 

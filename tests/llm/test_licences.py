@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from assimspark.llm.licences import FAMILIES, NEAR_MISSES, NOTICES, sample_paragraphs, scan, train
 
@@ -35,3 +36,27 @@ def test_all_notices_of_the_given_documents_are_found(spark):
     planted = sorted((r["doc_id"], want[line]) for r in docs.collect() for line in (r["text"] or "").split("\n") if line in want)
     found = sorted((r["doc_id"], r["family"]) for r in scan(docs).collect())
     assert planted and planted == found
+
+
+def test_wrapped_notices_have_exact_places(spark):
+    rows = []
+    for f in FAMILIES[1:]:
+        for n in NOTICES[f]:
+            for width, mark in ((34, ""), (60, " * "), (72, "# ")):
+                rows.append((len(rows), "A head\n\n" + textwrap.fill("Copyright 2020 by someone " + n + " and so on", width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False) + "\n\nend", f, n))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan(docs, train(OTHER)).collect()}
+    assert len(got) == scan(docs, train(OTHER)).count() == len(rows)
+    for k, t, f, n in rows:
+        assert got[k]["family"] == f and got[k]["paragraph"] == t[:got[k]["start"]].count("\n")
+        found = " ".join(w for w in t[got[k]["start"]:got[k]["end"]].split() if w not in "*#")
+        assert found.strip(".,") == n.strip(".,")
+
+
+def test_every_notice_of_a_line_and_of_a_text_without_breaks(spark):
+    texts = ["Licensed under the MIT license or the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 or the MIT license", "plain words " * 300 + "Released under the MIT License. Then more. Licensed under CC BY-SA 4.0. " + "plain words " * 300 + "All rights reserved.", "Released under the\n\nMIT License."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["end"], r["family"]) for r in scan(docs, train(OTHER)).collect())
+    place = lambda n: (texts[2].index(n), texts[2].index(n) + len(n))
+    assert sorted((d, f) for d, *_, f in got if d < 2) == [(0, "Apache-2.0"), (0, "MIT"), (1, "Apache-2.0"), (1, "MIT")]
+    assert [(a, b, f) for d, a, b, f in got if d >= 2] == [(*place("Released under the MIT License."), "MIT"), (*place("Licensed under CC BY-SA 4.0."), "CC-BY-SA"), (*place("All rights reserved."), "Proprietary")]
