@@ -788,8 +788,8 @@ def k1_k2_k5_stream_assimilate(spark, sf):
     from assimspark.streaming.assimilate import stream_assimilate
 
     seconds = F.unix_timestamp("ts") - 1_704_000_000
-    obs = _event_stream(spark, sf).select(F.col("user_id").alias("series_id"), F.floor(seconds / 86_400).cast("long").alias("step"), F.array("value").alias("d"), F.array(F.lit(9.0)).alias("cdd"))
-    out = stream_assimilate(obs, first_state, decay, 1, cycle.Config(method="ensrkf", dt=1.0), idle_ms=None)
+    obs = _event_stream(spark, sf).select(F.col("user_id").alias("series_id"), F.floor(seconds / 86_400).cast("long").alias("step"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.array("value").alias("d"), F.array(F.lit(9.0)).alias("cdd"))
+    out = stream_assimilate(obs, first_state, decay, 1, cycle.Config(method="ensrkf", dt=1.0), idle_ms=None, order=("at", "event_id"))
     return _run_stream(out, "stream-cycles").select("series_id", "step", "cycle", R(F.col("y_mean")[0], 4).alias("y_mean"), "n_dropped")
 
 

@@ -1,7 +1,8 @@
 """Assimilation of an observation stream: one state for each series, carried by a stateful processor.
 
 Observations (series_id, step, ts, d array, cdd array) may come late or twice: within a micro-batch they are sorted by step, and those at or
-before the series' clock are dropped and counted. Series without news for ``idle_ms`` of processing time are evicted. The state is one blob
+before the series' clock are dropped and counted. Where a step holds several observations, ``order`` names the columns that tell them apart: the
+clock is then (step, *order), so that all of a step are assimilated and only true duplicates and late rows go. Series without news for ``idle_ms`` of processing time are evicted. The state is one blob
 for each series (the ensemble, clock, counters, reservoir), 8 bytes a number, kept in the state store."""
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ BLOB = StructType([StructField("blob", BinaryType())])
 
 
 class Assimilator(StatefulProcessor):
-    def __init__(self, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config, observe: Callable | None, bias: Reservoir | None, n_wash: int, idle_ms: int | None):
+    def __init__(self, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config, observe: Callable | None, bias: Reservoir | None, n_wash: int, idle_ms: int | None, order: tuple[str, ...] = ()):
+        self.order = order
         self.first, self.derivative, self.q, self.cfg, self.observe, self.bias, self.n_wash, self.idle_ms = first, derivative, q, cfg, observe, bias, n_wash, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -44,11 +46,12 @@ class Assimilator(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
         series = int(key[0])
-        pdf = pd.concat(list(rows)).sort_values("step", kind="stable")
+        pdf = pd.concat(list(rows)).sort_values(["step", *self.order], kind="stable")
         c, held = self._load(series)
         out = []
         for o in pdf.itertuples():
-            if held["clock"] is not None and o.step <= held["clock"]:
+            now = (int(o.step), *(getattr(o, k) for k in self.order))
+            if held["clock"] is not None and now <= held["clock"]:
                 held["dropped"] += 1
                 continue
             c.forecast(int(o.step))
@@ -59,7 +62,7 @@ class Assimilator(StatefulProcessor):
                     b = c.b
                     c.wash(np.stack(held["wash"]))
                     c.b = b
-            held["clock"] = int(o.step)
+            held["clock"] = now
             out.append((series, int(o.step), c.n_seen - 1, res["y_mean"], res["y_std"], res["innovation"], bool(res["rejected"]), held["dropped"]))
         held |= {"psi": c.psi, "params": c.params, "step": c.step, "n_seen": c.n_seen, "n_rejected": c.n_rejected, "b": c.b, "r": c.r, "ready": c.bias_ready}
         self.state.update((pickle.dumps(held),))
@@ -77,10 +80,10 @@ class Assimilator(StatefulProcessor):
         pass
 
 
-def stream_assimilate(obs: DataFrame, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config = Config(), observe: Callable | None = None, bias: Reservoir | None = None, n_wash: int = 10, idle_ms: int | None = 3_600_000) -> DataFrame:
+def stream_assimilate(obs: DataFrame, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config = Config(), observe: Callable | None = None, bias: Reservoir | None = None, n_wash: int = 10, idle_ms: int | None = 3_600_000, order: tuple[str, ...] = ()) -> DataFrame:
     """The stream (or batch) of posteriors: ``first`` gives psi, params and step of a new series. Without
     ``idle_ms`` states stay (for runs over what there is now, which end). Needs the RocksDB state store."""
-    return obs.select("series_id", "step", "d", "cdd").groupBy("series_id").transformWithStateInPandas(Assimilator(first, derivative, q, cfg, observe, bias, n_wash, idle_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
+    return obs.select("series_id", "step", *order, "d", "cdd").groupBy("series_id").transformWithStateInPandas(Assimilator(first, derivative, q, cfg, observe, bias, n_wash, idle_ms, order), outputStructType=OUTPUT, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
 
 
 class GridBayes(StatefulProcessor):
