@@ -172,6 +172,13 @@ def g1_virtual_sensors(spark, sf):
     return maps.virtual_sensors(modes, mics).select("series_id", "sensor", R("value").alias("value"))
 
 
+@query("select c_custkey as series_id, s_suppkey as sensor, round(c_acctbal / 1000 * cos(s_acctbal / 1000) + c_nationkey * sin(s_acctbal / 1000), 6) + 0 as value from customer, supplier")
+def g1_virtual_sensors_all(spark, sf):
+    modes = inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("series_id"), (F.col("c_acctbal") / 1000).alias("eta1"), F.col("c_nationkey").cast("double").alias("eta2"))
+    mics = inputs.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sensor"), (F.col("s_acctbal") / 1000).alias("pos"))
+    return maps.virtual_sensors(modes, mics).select("series_id", "sensor", R("value").alias("value"))
+
+
 @query(f"with {ENS} select series_id, x as sensor, round(-sum(a / 10 * sin((member + 1) * 0.7::double * x * 0.1::double)), 5) + 0 as value from ens, (values (1), (2), (3)) v(x) group by series_id, x")
 def g1_duct_sensors(spark, sf):
     mu = inputs.ensemble(spark, sf).select("series_id", F.lit(0).alias("step"), (F.col("a") / 10).alias("mu"), ((F.col("member") + 1) * 0.7).alias("omega"))
@@ -297,6 +304,13 @@ def c8_lag_search(spark, sf):
     return found.select("series_id", "best", "worst", "mid", R("r_best").alias("r_best"))
 
 
+@query(f"with {SIG}, o as (select series_id, step, y as d from sig), g as (select o.series_id, l.lag, sum(o.d * o.d) as dd, sum(o.d * m.y) as dy, sum(m.y * m.y) as yy, max(abs(m.y)) as mx from o, (select unnest(range(8))::int as lag) l, sig m where m.series_id = o.series_id and m.step = o.step + l.lag group by o.series_id, l.lag), e as (select series_id, lag, sqrt(greatest(dd - 2 * dy / mx + yy / (mx * mx), 0) / dd) as r from g where mx > 0 and dd > 0) select series_id, arg_min(lag, r) as best, arg_max(lag, r) as worst, floor((arg_min(lag, r) + arg_max(lag, r)) / 2)::int as mid, round(min(r), 6) as r_best from e group by series_id")
+def c8_lag_search_all(spark, sf):
+    s = inputs.signals(spark, sf)
+    found = align.lag_search(s.select("series_id", "step", F.col("y").alias("d")), s.withColumn("member", F.lit(0)), 8)
+    return found.select("series_id", "best", "worst", "mid", R("r_best").alias("r_best"))
+
+
 @query(f"with {CHN} select series_id, dim, step, round(1.1::double * y - e, 6) + 0 as innovation, round(y - e, 6) + 0 as model_bias, round(1.1::double * y - y, 6) + 0 as sensor_bias from chn")
 def c9_innovations(spark, sf):
     c = inputs.channels(spark, sf)
@@ -507,6 +521,12 @@ def d16_amplitude_spectrum(spark, sf):
     return out.where("bin < 5").select("series_id", "bin", R("frequency").alias("frequency"), R("amplitude", 8).alias("amplitude"))
 
 
+@query(f"with {SIG}, n as (select series_id, count(*) as n from sig group by series_id) select s.series_id, b.bin, round(b.bin * 5.0::double / (n // 2 - 1), 6) as frequency, round(2.0::double / n * sqrt(power(sum(y * cos(2 * pi() * b.bin * step / n)), 2) + power(sum(y * sin(2 * pi() * b.bin * step / n)), 2)), 8) as amplitude from sig s join n using (series_id), lateral (select unnest(range(n.n // 2))::bigint as bin) b group by s.series_id, b.bin, n")
+def d16_amplitude_spectrum_all(spark, sf):
+    out = truth.amplitude_spectrum(inputs.signals(spark, sf), DT)
+    return out.select("series_id", "bin", R("frequency").alias("frequency"), R("amplitude", 8).alias("amplitude"))
+
+
 @query("with x as (select l_partkey as series_id, l_linenumber as member, max(l_quantity) - min(l_quantity) as span from lineitem where l_quantity > 30 group by all), g as (select series_id, max(step) as top from (select l_partkey as series_id, l_quantity::bigint as step from lineitem) group by series_id), y as (select l_partkey as series_id, l_linenumber as member, max(l_tax) - min(l_tax) as span from lineitem join g on g.series_id = l_partkey where l_quantity > top - 20 group by all) select series_id, member, max(span) < 0.05 as fixed from y group by all")
 def d17_fixed_points(spark, sf):
     li = inputs.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("series_id"), F.col("l_linenumber").alias("member"), F.col("l_quantity").cast("long").alias("step"), F.lit(0).alias("row_id"), F.col("l_tax").alias("value"))
@@ -530,6 +550,9 @@ def d18_forecast_test_errors(spark, sf):
 _GB = "g as (select i::double * 2.5::double as x, exp(-0.5::double * power((i::double * 2.5::double - 40) / 30, 2)) as prior from (select unnest(range(41)) as i)), o as (select series_id, step // 10 as cycle, y as d from sig where step % 10 = 0 and step < 60), m as (select o.series_id, o.cycle, g.x, g.prior, sum(-0.5::double * power((g.x - o.d) / 20, 2)) over (partition by o.series_id, g.x order by o.cycle) as ll from o, g), w as (select *, prior * exp(ll - max(ll) over (partition by series_id, cycle)) as w from m)"
 
 
+_GB_ALL = _GB.replace(" and step < 60", "")
+
+
 @query(f"with {SIG}, {_GB} select series_id, cycle, arg_max(x, w) as x_map, round(max(w) / (sum(w) * 2.5), 6) as p_map from w group by series_id, cycle")
 def d19_grid_bayes(spark, sf):
     x = F.col("id") * 2.5
@@ -539,6 +562,15 @@ def d19_grid_bayes(spark, sf):
     return truth.most_likely(post).select("series_id", "cycle", "x_map", R("p_map").alias("p_map"))
 
 
+@query(f"with {SIG}, {_GB_ALL} select series_id, cycle, arg_max(x, w) as x_map, round(max(w) / (sum(w) * 2.5), 6) as p_map from w group by series_id, cycle")
+def d19_grid_bayes_all(spark, sf):
+    x = F.col("id") * 2.5
+    grid = spark.range(41).select(x.alias("x"), F.exp(-0.5 * F.pow((x - 40) / 30, F.lit(2.0))).alias("prior"))
+    obs = inputs.signals(spark, sf).where("step % 10 = 0").select("series_id", F.floor(F.col("step") / 10).alias("cycle"), F.col("y").alias("d"))
+    post = truth.grid_bayes(grid, obs, lambda x, d: -0.5 * F.pow((x - d) / 20, F.lit(2.0)), 2.5)
+    return truth.most_likely(post).select("series_id", "cycle", "x_map", R("p_map").alias("p_map"))
+
+
 # --- assimilation
 
 
@@ -704,7 +736,7 @@ def i5_readout_jacobian(spark, sf):
 @query()
 def i6_bias_training_set(spark, sf):
     s = inputs.signals(spark, sf)
-    obs = s.where("step < 20").select("series_id", "step", F.col("y").alias("y_true"), (1.1 * F.col("y")).alias("y_raw"))
+    obs = s.select("series_id", "step", F.col("y").alias("y_true"), (1.1 * F.col("y")).alias("y_raw"))
     ens = s.select("series_id", "step", "y", F.explode(F.array(F.lit(0), F.lit(1))).alias("member")).withColumn("y", F.col("y") * (1 + 0.1 * F.col("member")))
     out = reservoir.bias_training_set(obs, ens, 6, augmented=True)
     return out.select("series_id", "member", "copy", "step", "factor", R("model_bias", 5).alias("model_bias"), R("innovation", 5).alias("innovation"))
