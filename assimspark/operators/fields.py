@@ -66,6 +66,36 @@ def pod(rows: DataFrame, n_modes: int) -> tuple[DataFrame, np.ndarray, np.ndarra
     return fluctuation.select("point_id", "q_mean", "snaps").mapInPandas(work, "point_id long, q_mean double, psi array<double>"), phi, sigma
 
 
+def pod_by_points(field: DataFrame, n_modes: int) -> tuple[DataFrame, np.ndarray, int]:
+    """(modes: point_id, q_mean, psi; sigma; number of snapshots), for fields of fewer points than snapshots. field: step, point_id, value.
+
+    The points' covariance is summed over packed snapshots within a task and then by key, so the driver and each task see points^2 numbers
+    however many snapshots there are. Coefficients come from project(). Every snapshot needs all points."""
+    spark = field.sparkSession
+    points = [r["point_id"] for r in field.select("point_id").distinct().orderBy("point_id").collect()]
+    packed = field.groupBy("step").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", "value"))), lambda x: x["value"]).alias("q"))
+    shift = np.array([r["m"] for r in field.groupBy("point_id").agg(F.avg("value").alias("m")).orderBy("point_id").collect()])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((len(shift), len(shift))), 0
+        for pdf in batches:
+            if len(pdf):
+                q = np.stack(pdf["q"].to_list()) - shift
+                total, n = total + q.T @ q, n + len(q)
+        if n:
+            i, j = np.triu_indices(len(total))
+            yield pd.DataFrame({"i": i, "j": j, "v": total[i, j], "n": n})
+
+    found = packed.select("q").mapInPandas(work, "i int, j int, v double, n long").groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+    c = np.zeros((len(points), len(points)))
+    for r in found:
+        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["v"]
+    lam, vec = np.linalg.eigh(c)
+    pick = np.argsort(-lam)[:n_modes]
+    rows = [(int(p), float(m), [float(x) for x in v]) for p, m, v in zip(points, shift, vec[:, pick])]
+    return spark.createDataFrame(rows, "point_id long, q_mean double, psi array<double>"), np.sqrt(np.maximum(lam[pick], 0)), found[0]["n"] if found else 0
+
+
 def project(field: DataFrame, modes: DataFrame, sigma: list[float]) -> DataFrame:
     """Mode coefficients of each snapshot: sum of psi (q - mean) over points, over sigma. field: step, point_id, value."""
     s = F.array(*(F.lit(float(x)) for x in sigma))

@@ -376,7 +376,7 @@ def s1_best_run(spark, sf):
 
 @query()
 def s2_rank_sensors(spark, sf):
-    modes, _, _ = fields.pod(tables.field_to_rows(inputs.field(spark, sf), ["point_id"]), 4)
+    modes, _, _ = fields.pod_by_points(inputs.field(spark, sf), 4)
     modes = modes.cache()
     return spark.createDataFrame(list(enumerate(fields.rank_sensors(modes, 4))), "rank long, point_id long")
 
@@ -770,10 +770,10 @@ def _modes(spark, sf):
 
 @query(f"with {FLD}, v as (select round(sum(v) / 2, 6) as e from (select var_pop(value) as v from fld group by point_id)) select e as tke, e as modal from v")
 def j1_pod_energy(spark, sf):
-    rows = tables.field_to_rows(inputs.field(spark, sf), ["point_id"])
-    _, phi, sigma = fields.pod(rows, 64)
-    modal = float((sigma**2).sum() / (2 * len(phi)))
-    return fields.kinetic_energy(rows).select(R("tke").alias("tke"), F.round(F.lit(modal), 6).alias("modal"))
+    field = inputs.field(spark, sf)
+    _, sigma, n = fields.pod_by_points(field, 64)
+    modal = float((sigma**2).sum() / (2 * n))
+    return field.groupBy("point_id").agg(F.var_pop("value").alias("v")).agg((F.sum("v") / 2).alias("tke")).select(R("tke").alias("tke"), F.round(F.lit(modal), 6).alias("modal"))
 
 
 @query(f"with {FLD}, m as (select *, value - avg(value) over (partition by point_id) as dq from fld) select step, k as mode, round(sum(dq * {_COS}) / (k + 1), 6) + 0 as phi from m, (select unnest(range(4))::int as k) group by step, k")

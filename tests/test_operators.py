@@ -92,3 +92,26 @@ def test_inflation_and_bounds(spark):
     assert sorted(r["value"] for r in ensemble.inflate(wide, 2.0, "kind = 'param'").collect()) == pytest.approx([-1.9, -0.9, 3.1])
     limits = spark.createDataFrame([("x", 1.5, None)], "name string, lo double, hi double")
     assert tuple(ensemble.out_of_bounds(df, limits).first()) == (1, 0, True, 1)
+
+
+def test_pod_by_points_equals_the_decomposition_of_many_snapshots(spark):
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(5, 3)) @ np.diag([5, 2, 1]) @ rng.normal(size=(3, 200))
+    field = spark.createDataFrame([(t, i, float(q[i, t])) for t in range(200) for i in range(5)], "step long, point_id long, value double").repartition(3)
+    modes, sigma, n = fields.pod_by_points(field, 3)
+    u, s, vt = np.linalg.svd(q - q.mean(axis=1, keepdims=True), full_matrices=False)
+    psi = np.stack([r["psi"] for r in modes.orderBy("point_id").collect()])
+    assert n == 200 and np.allclose(sigma, s[:3]) and np.allclose(np.abs(psi.T @ u[:, :3]), np.eye(3), atol=1e-8)
+    phi = {(r["step"], r["mode"]): r["phi"] for r in fields.project(field, modes, sigma.tolist()).collect()}
+    assert np.allclose([[abs(phi[(t, k)]) for t in range(200)] for k in range(3)], np.abs(vt[:3]))
+
+
+def test_the_driver_sees_points_not_snapshots(spark, monkeypatch):
+    import __spark_entry__
+
+    def no(*_):
+        raise AssertionError("snapshots x snapshots")
+
+    monkeypatch.setattr(fields, "gram", no)
+    for name in ("j1_pod_energy", "s2_rank_sensors"):
+        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
