@@ -8,7 +8,7 @@ every row has the same length, token ``t`` of a shard is in row ``t // seq_len``
 Each task writes the shard of its range of doc_ids under a name of its own attempt and then renames it, so a task that runs again leaves
 one whole file. The index (doc_id, shard, start, n_tokens) is written as Parquet beside the shards.
 
-A null text is an empty document (its end id alone); repeated doc_ids are documents of their own, in any order among themselves; a null
+A null text is an empty document (its end id alone); repeated doc_ids are documents of their own, in order of their texts; a null
 doc_id sorts first; an empty table gives no shard. Other columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assimspark.llm.common import new_folder, small_batches
-from assimspark.llm.tokens import Encoder, crc32_of, slices, tokenizer_path
+from assimspark.llm.tokens import crc32_of, encoder, tokenizer_path
 
 INDEX = "doc_id long, shard int, start_in_shard long, n_tokens long"
 
@@ -120,28 +120,27 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder, writer, at = TaskContext.get().partitionId(), None, None, 0
+        shard, ids_of, writer, at = TaskContext.get().partitionId(), encoder(path), None, 0
+        width, end = ids_of.dtype.itemsize, np.array([end_id], ids_of.dtype).tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
                 files, where = _open(f"{folder}/shards")
                 files.create_dir(where, recursive=True)
-                encoder = Encoder(path)
-                writer, end = ShardWriter(_shard_uri(folder, shard), encoder.dtype, seq_len, rows_per_batch), np.array([end_id], encoder.dtype).tobytes()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+                writer = ShardWriter(_shard_uri(folder, shard), ids_of.dtype, seq_len, rows_per_batch)
             starts, sizes = [], []
-            for a, b in slices(texts):
-                for raw in encoder.encode(texts[a:b]):
-                    writer.add(raw + end)
-                    starts.append(at)
-                    sizes.append(len(raw) // encoder.dtype.itemsize + 1)
-                    at += sizes[-1]
+            for text in batch.column("text"):
+                raw = ids_of.encode(text.as_py() or "") + end
+                writer.add(raw)
+                starts.append(at)
+                sizes.append(len(raw) // width)
+                at += sizes[-1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shard] * len(sizes), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "shard", "start_in_shard", "n_tokens"])
         if writer is not None:
             writer.close()
 
-    docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+    docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
     return folder, spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-from collections.abc import Iterator
+import struct
 
 import numpy as np
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
+#: Fixed pattern of byte-level pre-tokenizers, written out for characters whose classes no Unicode version changes: ASCII, Latin letters and
+#: common punctuation. LETTER and NUMBER are \p{L} and \p{N} in PLAIN; white space in PLAIN is tab, line feed, carriage return and space.
+LETTER, NUMBER, BLANK = r"A-Za-zªµºÀ-ÖØ-öø-ɏ", r"0-9²³¹¼½¾", r"\t\n\r\x20"
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞€™]*")
+PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     import public_tokenizers
@@ -17,87 +24,71 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
+class Pieces(dict):
+    """Ids of pieces as bytes; one that is not there is taken from the older generation or from the library."""
+
+    def __init__(self, model, dtype: np.dtype, most: int):
+        super().__init__()
+        self.model, self.letter, self.most, self.before = model, "H" if dtype.itemsize == 2 else "I", most, {}
+        self.alphabet = byte_alphabet()
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = self.before.get(piece)
+        if raw is None:
+            as_bytes = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.model.tokenize(as_bytes)]
+            raw = struct.pack(f"<{len(ids)}{self.letter}", *ids)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = raw
+        return raw
+
+
 class Encoder:
-    """Encodes texts as the tokenizers library does, and remembers the ids of chunks between spaces.
+    """Encodes texts as the tokenizers library does, and remembers the ids of the pieces that its pre-tokenizer cuts texts into.
 
-    A byte-level pre-tokenizer gives a word the one space before it, so " word," has the same ids in any text. That holds unless a space
-    stands between two white-space characters; such texts are encoded as a whole. The memory is bounded (two generations of
-    ``most`` chunks; the older one goes when the newer is full) and doesn't change results. Files of other kinds are encoded text by text.
+    A byte-level tokenizer encodes each piece by itself, so a piece has the same ids in any text; the library is asked for pieces not met
+    yet. The memory is bounded (two generations of ``most`` pieces; the older one goes when the newer is full) and doesn't change results.
+    Texts with a special token's string or with characters outside ``PLAIN``, and all texts where the tokenizer is of another kind, go to
+    the library as they are.
     """
 
-    SPACED = re.compile(r"\s \s")
-    BLANK = ("", "\n", "\t")
-
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab()
-        self.dtype = np.dtype("<u2") if max(vocab.values(), default=0) < 2**16 else np.dtype("<u4")
+        top = max(self.tokenizer.get_vocab().values(), default=0)
+        self.dtype = np.dtype("<u2") if top < 2**16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
-        self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
-        self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.most, self.known, self.before, self.odd, self.first = most, {}, {}, {}, {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        known, size = self.known, self.dtype.itemsize
-        if odd := [c for c in chunks if c[:1] in self.BLANK or c[:1].isspace()]:
-            for c, ids in zip(odd, self.whole([" " + c for c in odd])):
-                known[c], self.odd[c] = None, ids
-            chunks = [c for c in chunks if c not in self.odd]
-        for k in range(0, len(chunks), 4000):
-            part = chunks[k:k + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(part):  # not expected; chunk by chunk is always right
-                known.update(zip(part, self.whole([" " + c for c in part])))
-                continue
-            raw = ids.tobytes()
-            edges = (at * size).tolist()
-            known.update(zip(part, map(raw.__getitem__, map(slice, edges, [*edges[1:], len(raw)]))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_chunk:
-            return self.whole(texts)
-        parts = [t.split(" ") for t in texts]
-        need = set().union(*parts)
-        if len(self.known) + len(need) > self.most:
-            self.before, self.known, self.first = self.known, {}, {}
-        new = need - self.known.keys()
-        if again := new & self.before.keys():
-            self.known.update(zip(again, map(self.before.__getitem__, again)))
-            new -= again
-        self._learn(list(new))
-        heads = list({p[0] for p in parts} - self.first.keys())
-        self.first.update(zip(heads, self.whole(heads)))
-        get, out = self.known.__getitem__, []
-        for t, p in zip(texts, parts):
-            rest = iter(p)
-            head = self.first[next(rest)]
-            try:
-                out.append(head + b"".join(map(get, rest)))
-            except TypeError:
-                out.append(self.whole([t])[0] if self.SPACED.search(t) else head + b"".join(self.odd[c] if c in self.odd else get(c) for c in p[1:]))
-        return out
-
-
-def slices(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of a batch with a bounded number of characters (a single longer text stands alone)."""
-    start, total = 0, 0
-    for k, t in enumerate(texts):
-        if total and total + len(t) > most_chars:
-            yield start, k
-            start, total = k, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
+        self.added = [t["content"] for t in kind.get("added_tokens") or []]
+        self.known = Pieces(self.tokenizer.model, self.dtype, most)
+
+    def _is_plain(self, text: str) -> bool:
+        return self.by_piece and PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, little-endian, of this encoder's dtype."""
+        return b"".join(map(self.known.__getitem__, PIECE.findall(text))) if self._is_plain(text) else self.whole(text)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each tokenizer file and worker process: what it has learned serves all tasks that the process runs."""
+    return Encoder(path)
 
 
 def crc32_of(ids: np.ndarray) -> int:
