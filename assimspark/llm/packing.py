@@ -2,10 +2,11 @@
 
 Documents become ids closed by ``end_id``. Every full ``seq_len`` ids are a sequence of their own; the remainders (1 to seq_len - 1 ids) are the
 items of a cutting-stock problem. Its linear program sees only the histogram of remainder lengths (at most seq_len - 1 numbers, whatever
-the size of the corpus): a restricted master over patterns is solved by revised simplex, an unbounded knapsack by dynamic programming
-prices new patterns, and the solution is rounded down. Items are ranked within their length, so the slot of an item - pattern, copy,
-offset - follows from its rank by arithmetic, in parallel. What rounding leaves over, and lengths whose patterns would waste ids, form
-one virtual stream that is cut every ``seq_len`` ids; its tail is cut at powers of two. So nothing is padded but what a pattern wastes.
+the size of the corpus): a restricted master over patterns is solved by revised simplex from first-fit patterns, an unbounded knapsack by
+dynamic programming prices new patterns, the solution is rounded down, and first fit makes whole patterns of what rounding leaves. Items
+are ranked within their length, so the slot of an item - pattern, copy, offset - follows from its rank by arithmetic, in parallel. Items
+of patterns that would waste more than ``most_waste`` ids form one virtual stream that is cut every ``seq_len`` ids; its tail is cut at
+powers of two. So nothing is padded but what a pattern wastes.
 
 A null text is an empty document (its end id alone); repeated rows are documents of their own; an empty table gives no pieces; other
 columns are ignored. doc_id may be null and is carried along.
@@ -13,7 +14,9 @@ columns are ignored. doc_id may be null and is carried along.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assimspark.llm.common import new_folder, small_batches
-from assimspark.llm.tokens import Encoder, crc32_of, slices, tokenizer_path
+from assimspark.llm.tokens import crc32_of, encoder, tokenizer_path
 
+#: Rows of 32 bytes that are broadcast at most.
+MOST_BROADCAST_ROWS = 500_000
 TOKENS = "doc_id long, part int, place long, n_tokens long, rest int, rank_in_part long, full_before long, ids binary"
 
 
@@ -34,103 +39,137 @@ def tokenise(docs: DataFrame, end_id: int = 0, seq_len: int = 1024, tokenizer: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, place, full = TaskContext.get().partitionId(), None, 0, 0
+        part, ids_of, place, full = TaskContext.get().partitionId(), encoder(path), 0, 0
+        end, width = np.array([end_id], ids_of.dtype).tobytes(), ids_of.dtype.itemsize
         seen = [0] * seq_len
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            if encoder is None:
-                encoder = Encoder(path)
-                end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
-            texts, ids_of = batch.column("text").to_pylist(), batch.column("doc_id")
-            texts = [t or "" for t in texts]
-            for a, b in slices(texts):
-                rows = []
-                for raw in encoder.encode(texts[a:b]):
-                    raw += end
-                    n = len(raw) // width
-                    rest = n % seq_len
-                    rows.append((part, place, n, rest, seen[rest], full, raw if width == 4 else np.frombuffer(raw, "<u2").tobytes()))
-                    seen[rest] += 1
-                    place += 1
-                    full += n // seq_len
-                columns = zip(*rows)
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids_of.slice(a, b - a), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "part", "place", "n_tokens", "rest", "rank_in_part", "full_before", "ids"])
+            rows = []
+            for text in batch.column("text"):
+                raw = ids_of.encode(text.as_py() or "") + end
+                n = len(raw) // width
+                rest = n % seq_len
+                rows.append((part, place, n, rest, seen[rest], full, raw))
+                seen[rest] += 1
+                place += 1
+                full += n // seq_len
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "part", "place", "n_tokens", "rest", "rank_in_part", "full_before", "ids"])
 
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "packing-tokens")
     docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, TOKENS).write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(TOKENS).parquet(folder)
 
 
-def _knapsack(value: np.ndarray, lengths: np.ndarray, room: int) -> tuple[float, dict[int, int]]:
-    """The best pattern for the given prices: index of length -> copies."""
+def _knapsack(value: np.ndarray, lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """best[c]: the most that c ids are worth; pick[c]: index of the length that reaches it, -1 where one id less is worth as much."""
     best, pick = np.zeros(room + 1), np.full(room + 1, -1)
     n_fit = np.searchsorted(lengths, np.arange(room + 1), side="right")
     for c in range(1, room + 1):
+        best[c] = best[c - 1]
         if k := n_fit[c]:
             got = best[c - lengths[:k]] + value[:k]
             j = int(got.argmax())
-            if got[j] > best[c - 1] + 1e-12:
+            if got[j] > best[c] + 1e-12:
                 best[c], pick[c] = got[j], j
-                continue
-        best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = room
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        out[int(pick[c])] = out.get(int(pick[c]), 0) + 1
-        c -= int(lengths[pick[c]])
-    return float(best[room]), out
-
-
-def column_generation(histogram: dict[int, int], room: int, gap: float = 2e-3, most_rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> copies) and how often each is used, rounded down.
-
-    The master keeps an explicit basis inverse. It stops when Farley's bound proves the solution within ``gap`` of the optimum, or after
-    ``most_rounds`` pivots; either way the patterns are feasible, and what they don't cover goes to the stream.
+    return best, pick
+
+
+def _pattern(pick: np.ndarray, lengths: np.ndarray, first: int, room: int) -> np.ndarray:
+    """Copies of each length in the best pattern that holds length ``first``."""
+    counts = np.zeros(len(lengths))
+    counts[first] = 1
+    room -= int(lengths[first])
+    while room > 0:
+        if pick[room] < 0:
+            room -= 1
+        else:
+            counts[pick[room]] += 1
+            room -= int(lengths[pick[room]])
+    return counts
+
+
+def first_fit(lengths: np.ndarray, need: np.ndarray, room: int, whole: bool) -> list[tuple[dict[int, int], float, list[int]]]:
+    """Patterns of the longest lengths that fit, each used until one of its lengths runs out: (index -> copies, times, lengths run out).
+
+    With ``whole`` times are whole numbers (a length may then run out only in a later pattern with fewer copies).
+    """
+    left, out = need.astype(float).tolist(), []
+    active = [j for j in range(len(lengths)) if left[j] > 0]
+    while active:
+        sizes = [int(lengths[j]) for j in active]
+        counts, space, k = {}, room, len(active)
+        while k and (k := bisect.bisect_right(sizes, space, 0, k)):
+            copies = min(space // sizes[k - 1], ceil(left[active[k - 1]]))
+            counts[active[k - 1]] = copies
+            space -= copies * sizes[k - 1]
+            k -= 1
+        times = min(left[j] / n for j, n in counts.items())
+        times = float(int(times + 1e-9)) if whole else times
+        for j, n in counts.items():
+            left[j] = left[j] - times * n if left[j] - times * n > 1e-9 else 0.0
+        out.append((counts, times, [j for j in counts if not left[j]]))
+        active = [j for j in active if left[j]]
+    return out
+
+
+def column_generation(histogram: dict[int, int], room: int, gap: float = 1e-3, most_rounds: int = 120, at_once: int = 16) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length -> copies) and how often each is used.
+
+    The master keeps an explicit basis inverse and starts from first-fit patterns, whose matrix is triangular. Each knapsack prices the best
+    pattern around every length; the ``at_once`` best of them enter in turn. It stops when Farley's bound proves the solution within ``gap``
+    of the optimum, or after ``most_rounds`` knapsacks; either way the solution is feasible. It is rounded down, and first fit makes whole
+    patterns of what that leaves, so all items are in patterns.
     """
     lengths = np.array(sorted(k for k, v in histogram.items() if v > 0 and 0 < k < room))
     m = len(lengths)
     if not m:
         return []
     need = np.array([histogram[int(k)] for k in lengths], float)
-    fits = room // lengths
-    basis = np.diag(fits.astype(float))
-    inverse, x = np.diag(1.0 / fits), need / fits
+    basis = np.zeros((m, m))
+    for counts, _, over in first_fit(lengths, need, room, whole=False):
+        basis[list(counts), over[0]] = list(counts.values())
+        for j in over[1:]:  # ran out at the same time: a pattern of its own, not used yet
+            basis[j, j] = room // lengths[j]
+    inverse = np.linalg.inv(basis)
+    x = np.maximum(inverse @ need, 0)
     for turn in range(most_rounds):
-        prices = inverse.sum(axis=0)
-        value, pattern = _knapsack(np.maximum(prices, 0), lengths, room)
-        if value <= 1 + 1e-9 or x.sum() <= (1 + gap) * (np.maximum(prices, 0) @ need) / value:
+        prices = np.maximum(inverse.sum(axis=0), 0)
+        best, pick = _knapsack(prices, lengths, room)
+        if best[room] <= 1 + 1e-9 or x.sum() <= (1 + gap) * (prices @ need) / best[room]:
             break
-        column = np.zeros(m)
-        for j, copies in pattern.items():
-            column[j] = copies
-        d = inverse @ column
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(d > 1e-9, x / d, np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
-            break
-        basis[:, out] = column
-        step = ratio[out]
-        x -= step * d
-        x[out] = step
-        row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
-        inverse[out] = row
-        if turn % 256 == 255:
+        for j in np.argsort(-(prices + best[room - lengths]), kind="stable")[:at_once]:
+            column = _pattern(pick, lengths, int(j), room)
+            d = inverse @ column
+            if d.sum() <= 1 + 1e-9:  # no longer of use at the prices that the last pivot left
+                continue
+            ratio = np.full(m, np.inf)
+            np.divide(x, d, out=ratio, where=d > 1e-6)
+            ties = np.flatnonzero(ratio <= ratio.min() + 1e-9)
+            out = int(ties[d[ties].argmax()])
+            if not np.isfinite(ratio[out]):
+                continue
+            basis[:, out] = column
+            step = ratio[out]
+            x = np.maximum(x - step * d, 0)
+            x[out] = step
+            row = inverse[out] / d[out]
+            inverse -= np.outer(d, row)
+            inverse[out] = row
+        if turn % 16 == 15:  # rounding errors don't pile up
             inverse = np.linalg.inv(basis)
-            x = inverse @ need
+            x = np.maximum(inverse @ need, 0)
     left, patterns = need.astype(int), []
     for j in np.argsort(-x, kind="stable"):
         counts = basis[:, j].astype(int)
         used = np.flatnonzero(counts)
-        times = min(int(x[j] + 1e-9), *(left[used] // counts[used]).tolist()) if len(used) else 0
+        times = min(int(x[j] + 1e-9), *(left[used] // counts[used]).tolist())
         if times > 0:
             left[used] -= times * counts[used]
             patterns.append(({int(lengths[k]): int(counts[k]) for k in used}, times))
-    return patterns
+    rest = first_fit(lengths, left, room, whole=True)
+    return patterns + [({int(lengths[k]): n for k, n in counts.items()}, int(times)) for counts, times, _ in rest if times > 0]
 
 
 def _powers(n: int) -> list[int]:
@@ -138,6 +177,11 @@ def _powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
+def usable_patterns(histogram: dict[int, int], seq_len: int, most_waste: int) -> list[tuple[dict[int, int], int]]:
+    """The patterns that leave at most ``most_waste`` ids of a sequence unused."""
+    return [(p, t) for p, t in column_generation(histogram, seq_len) if seq_len - sum(k * c for k, c in p.items()) <= most_waste]
+
+
 def pack(docs: DataFrame, end_id: int = 0, seq_len: int = 1024, tokenizer: str | None = None, most_waste: int = 8) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (little-endian bytes), doc_tokens, sequence_id, offset.
 
@@ -145,9 +189,9 @@ def pack(docs: DataFrame, end_id: int = 0, seq_len: int = 1024, tokenizer: str |
     """
     spark = docs.sparkSession
     tokens = tokenise(docs, end_id, seq_len, tokenizer)
-    histogram = {r["rest"]: r["n"] for r in tokens.groupBy("rest").agg(F.count("*").alias("n")).collect()}  # at most seq_len rows
-    n_full = tokens.agg(F.sum(F.expr(f"n_tokens div {seq_len}"))).first()[0] or 0
-    patterns = [(p, t) for p, t in column_generation(histogram, seq_len) if seq_len - sum(k * c for k, c in p.items()) <= most_waste]
+    lengths = tokens.groupBy("rest").agg(F.count("*").alias("n"), F.sum(F.expr(f"n_tokens div {seq_len}")).alias("full")).collect()  # at most seq_len rows
+    histogram, n_full = {r["rest"]: r["n"] for r in lengths}, sum(r["full"] for r in lengths)
+    patterns = usable_patterns(histogram, seq_len, most_waste)
 
     slots, covered, sequence = [], dict.fromkeys(histogram, 0), n_full
     for pattern, times in patterns:
@@ -176,6 +220,8 @@ def pack(docs: DataFrame, end_id: int = 0, seq_len: int = 1024, tokenizer: str |
     full_base = fulls.select("part", F.coalesce(F.sum("full").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full_base"))
     bases = rank_base.join(full_base, "part")
 
+    # Two numbers for each task and length: where these are few they go to the ids, else the ids are joined by (part, rest).
+    bases = F.broadcast(bases) if base.count() <= MOST_BROADCAST_ROWS else bases
     ranked = tokens.join(bases, ["part", "rest"]).withColumn("rank", F.col("rank_base") + F.col("rank_in_part"))
     placed = ranked.join(slot, (ranked["rest"] == slot["rest"]) & F.col("rank").between(F.col("slot_lo"), F.col("slot_hi") - 1), "left").drop(slot["rest"])
     placed = placed.join(stream, "rest", "left")
