@@ -1,12 +1,13 @@
 """Main text of web pages by tree scoring.
 
-The page becomes a tree (unclosed and misnested tags as browsers take them, roughly). Boilerplate elements - menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts, reader comments - are taken out by tag, role or the words of their class and id. Each
-paragraph then gives its ancestors points for its length and commas, fewer with distance; an ancestor's points are discounted by the share
-of its text that is link text. The best container is kept, widened to the article or main element it stands in, with those siblings that
-score or read like it. Its blocks, in page order, have character references decoded and white space runs as one space.
-
-A null, empty or text-less page gives an empty text; repeated pages are rows of their own; an empty table gives no rows; extra columns are
+The page becomes a tree (unclosed and misnested tags as browsers take them, roughly). Elements that are boilerplate by tag, role or the
+words of their class and id - menus, page headers, footers, sidebars, notices, adverts, forms, scripts, reader comments - neither give
+points nor show. Each other block gives the elements around it points for the length and commas of its words, fewer with distance; an
+element's points are discounted by the share of its text that is link text. The element with the most points is the article's container,
+whatever its tag. Beside it, and beside each element around it, that is kept which scores like it, is plain text of few links, or lies
+between two such parts. The blocks, in page order, have character references decoded and white space runs as one space.
+
+A null, empty or text-less page, and one in which nothing scores, gives an empty text; of equal scores the first element counts; repeated pages are rows of their own; an empty table gives no rows; extra columns are
 ignored. A page that ends inside a tag loses that tag only.
 """
 
@@ -36,17 +37,20 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 #: Fixed list: words that class or id names of boilerplate start or end with.
 NAMES = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments consent cookie cookies discussion disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related reply replies respond rss search share sharing sidebar signup skip skip-link social sponsor sponsored subscribe subscription tags-nav toc-nav toolbar topbar widget widgets".split()
 BAD_NAME = re.compile(r"(?:(?!has-|has_|with-|with_|no-|no_)(?:[a-z0-9]+[-_])*)(?:" + "|".join(NAMES) + r")(?:[-_][a-z0-9_-]*|\d*)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLAIN = frozenset("blockquote dl figure ol p pre table ul".split())
+CONTAINERS = frozenset("#root article body div html main section".split())
 OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_OWN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "score", "chars", "link_chars")
+    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "bad", "score", "chars", "link_chars", "own")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.names, self.role, self.hidden = (), "", False
-        self.score, self.chars, self.link_chars = 0.0, 0, 0
+        self.bad, self.score, self.chars, self.link_chars, self.own = False, 0.0, 0, 0, []
         if attributes and attributes.strip():
             found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
             self.names = (found.get("class", "") + " " + found.get("id", "")).lower().split()
@@ -123,9 +127,8 @@ def _boilerplate(node: Node) -> bool:
     return any(BAD_NAME.fullmatch(n) for n in node.names)
 
 
-def _clean(root: Node) -> None:
-    """Take boilerplate out; an element that holds the page's article or main element stays."""
-    nodes = _walk(root)
+def _mark(nodes: list[Node]) -> None:
+    """Marks boilerplate and all within it; an element that holds the page's article or main element isn't boilerplate itself."""
     holds = set()
     for n in nodes:
         if n.tag in ("article", "main") and not _boilerplate(n):
@@ -133,16 +136,28 @@ def _clean(root: Node) -> None:
             while up is not None and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
-    for n in nodes:
-        n.children = [c for c in n.children if not isinstance(c, Node) or id(c) in holds or not _boilerplate(c)]
+    for n in nodes:  # parents first
+        n.bad = n.parent is not None and n.parent.bad or id(n) not in holds and _boilerplate(n)
+
+
+def _is_block(n: Node) -> bool:
+    return n.tag in BLOCK or n.tag in ("body", "html", "#root", "td", "th")
 
 
 def _measure(nodes: list[Node]) -> None:
+    """Characters, and those in links, of all that isn't boilerplate; and the words of each block that stand in no block inside it."""
     for n in nodes:
-        n.chars = n.link_chars = 0
-        n.score = 0.0
+        n.score, n.chars, n.link_chars, n.own = 0.0, 0, 0, []
     for n in reversed(nodes):  # children before parents
-        n.chars += sum(len(" ".join(c.split())) for c in n.children if isinstance(c, str))
+        if n.bad:
+            continue
+        for c in n.children:
+            if isinstance(c, str):
+                if text := " ".join(c.split()):
+                    n.chars += len(text)
+                    n.own.append(text)
+            elif not c.bad and not _is_block(c):
+                n.own.extend(c.own)
         if n.tag == "a":
             n.link_chars = n.chars
         if n.parent is not None:
@@ -150,26 +165,15 @@ def _measure(nodes: list[Node]) -> None:
             n.parent.link_chars += n.link_chars
 
 
-def _text(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        n = stack.pop()
-        if isinstance(n, str):
-            out.append(n)
-        else:
-            stack.extend(reversed(n.children))
-    return " ".join("".join(out).split())
-
-
 def _score(nodes: list[Node]) -> None:
+    """Each block's own words give points for length and commas: all to its container, fewer to those further up; links discount them."""
     for n in nodes:
-        loose = n.tag in ("div", "section", "article", "td") and any(isinstance(c, str) and len(c.strip()) >= 25 for c in n.children)
-        if n.tag not in ("p", "pre", "blockquote", "li", "dd") and not loose or n.chars < 25:
+        if n.bad or not n.own or not _is_block(n) or n.tag in HEADINGS:
             continue
-        text = _text(n)
-        points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
-        up, share, level = n if loose else n.parent, 1.0, 1
-        while up is not None and up.tag != "#root" and level < 6:
+        text = " ".join(n.own)
+        points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0) if len(text) >= 25 else len(text) / 100
+        up, share, level = n if n.tag in CONTAINERS else n.parent, 1.0, 1
+        while up is not None and level < 6:
             up.score += points * share
             level += 1
             share = 0.5 if level == 2 else 1 / (3 * level)
@@ -178,7 +182,38 @@ def _score(nodes: list[Node]) -> None:
         n.score *= 1 - n.link_chars / max(n.chars, 1)
 
 
-def _blocks(roots: list[Node]) -> list[str]:
+def _belongs(n: Node, best: Node, peak: dict[int, float]) -> bool:
+    """Whether what stands beside the best container, or beside an element around it, is of the article: by score, or as plain text of few links."""
+    thin = n.link_chars / max(n.chars, 1)
+    return not n.bad and n.chars > 0 and (thin < 0.5 and peak[id(n)] >= 0.2 * best.score or thin < 0.25 and (n.tag in PLAIN or n.tag in HEADINGS))
+
+
+def _select(nodes: list[Node]) -> list:
+    """The best container with those around it that belong to it, in page order."""
+    best = max(nodes, key=lambda n: n.score)  # the first of equals
+    if best.score <= 0:
+        return []
+    peak = {id(n): n.score for n in nodes}
+    for n in reversed(nodes):
+        if n.parent is not None:
+            peak[id(n.parent)] = max(peak[id(n.parent)], peak[id(n)])
+    kept, at = [best], best
+    while at.parent is not None:
+        around = at.parent.children
+        fits = [i for i, c in enumerate(around) if c is at or isinstance(c, Node) and _belongs(c, best, peak)]
+        before, after, seen = [], [], False
+        for i in range(fits[0], fits[-1] + 1):
+            c = around[i]
+            if c is at:
+                seen = True
+            # What lies between two parts of the article is of it, bare text also, unless it is boilerplate or mostly links.
+            elif i in fits or isinstance(c, str) or not c.bad and 2 * c.link_chars < max(c.chars, 1):
+                (after if seen else before).append(c)
+        kept, at = before + kept + after, at.parent
+    return kept
+
+
+def _blocks(roots: list) -> list[str]:
     out: list[str] = []
     held: list[str] = []
 
@@ -187,15 +222,15 @@ def _blocks(roots: list[Node]) -> list[str]:
             out.append(text)
         held.clear()
 
-    stack: list = []
-    for r in reversed(roots):
-        stack += [None, r, None]
+    stack: list = [None, *reversed(roots)]
     while stack:
         n = stack.pop()
         if n is None:
             flush()
         elif isinstance(n, str):
             held.append(n)
+        elif n.bad:
+            continue
         elif n.tag in ("br", "td", "th"):
             held.append(" ")
             stack += [" ", *reversed(n.children)]
@@ -209,30 +244,11 @@ def _blocks(roots: list[Node]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    root = parse(page or "")
-    _clean(root)
-    nodes = _walk(root)
+    nodes = _walk(parse(page or ""))
+    _mark(nodes)
     _measure(nodes)
     _score(nodes)
-    best = max(nodes, key=lambda n: n.score)  # the first of equals
-    if best.score <= 0:
-        best = next((n for tag in ("article", "main", "body") for n in nodes if n.tag == tag), root)
-    around, up = None, best
-    while up is not None:
-        if up.tag == "article" or up.tag == "main" and around is None:
-            around = up
-        up = up.parent
-    best = around or best
-    kept = [best]
-    if around is None and best.parent is not None:
-        def belongs(s: Node) -> bool:
-            thin = s.link_chars / max(s.chars, 1)
-            return s is best or s.score >= max(10.0, 0.2 * best.score) or s.tag == "p" and (s.chars > 80 and thin < 0.25 or 0 < s.chars <= 80 and not s.link_chars and "." in _text(s)) or s.tag in ("h1", "h2", "h3") and thin < 0.5
-
-        kept = [s for s in best.parent.children if isinstance(s, Node) and belongs(s)]
-    elif best.tag == "article" and best.parent is not None:
-        kept = [s for s in best.parent.children if s is best or isinstance(s, Node) and s.tag == "article" and s.score >= max(10.0, 0.2 * best.score)]
-    return "\n\n".join(_blocks(kept))
+    return "\n\n".join(_blocks(_select(nodes)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

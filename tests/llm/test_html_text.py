@@ -3,6 +3,7 @@ import html
 
 import duckdb
 
+from assimspark.llm import html_text
 from assimspark.llm.html_text import extract, main_text
 
 LONG = "Sentence one, with commas, and enough words to count as a paragraph of the article. "
@@ -27,17 +28,47 @@ def test_article_and_odd_pages():
     assert len(main_text("<p>" + "w, " * 100_000)) == 299_999
 
 
+def wanted(page):
+    body = page.split("<article>")[1].split("</article>")[0].split("<footer")[0]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*(>|$)", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", body)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_score_and_not_the_tag_chooses():
+    links = "".join(f'<p><a href="/{i}">Teaser, number {i}, of another story on this site</a></p>' for i in range(9))
+    one = LONG.strip()
+    page = f"<body><article>{links}</article><div><div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div></div></body>"
+    assert main_text(page) == f"Head\n\n{one}\n\n{one}"
+    parts = f"<div><h1>A</h1><div><p>{LONG}<p>{LONG}<p>{LONG}</div>bare words<div><p>{LONG}</div><ul><li>x<li>y</ul><section><p>Short end.</p></section><h4>Last</h4></div>"
+    want = ["A", one, one, one, "bare words", one, "x", "y", "Short end.", "Last"]
+    assert main_text(f"<body><div>{links}</div>{parts}<div><a href=x>Next</a></div></body>").split("\n\n") == want
+
+
+def test_without_points_there_is_no_text(monkeypatch):
+    page = f"<body><article><p>{LONG}</p></article></body>"
+    assert main_text(page) == LONG.strip()
+    monkeypatch.setattr(html_text, "_score", lambda nodes: None)
+    assert main_text(page) == ""
+
+
+def test_given_pages_without_telling_tags_and_names():
+    pages = duckdb.connect().execute("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    right = 0
+    for (page,) in pages:
+        plain = re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page).replace(' class="ad"', "")
+        right += main_text(plain) == wanted(page)
+    assert right >= 0.8 * len(pages)  # the others hold a long advert, which only its class gives away
+
+
 def test_all_given_pages_by_their_known_shape(spark):
     path = "/root/testdata/sf0.01/pages.parquet"
     got = {r["page_id"]: r for r in extract(spark.read.parquet(path)).collect()}
     for page_id, url, page in duckdb.connect().execute(f"select page_id, url, html from '{path}'").fetchall():
-        body = page.split("<article>")[1].split("</article>")[0].split("<footer")[0]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*(>|$)", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", body)]
-        want = "\n\n".join(b for b in blocks if b)
+        want = wanted(page)
         assert got[page_id]["text"] == want and got[page_id]["n_chars"] == len(want) and got[page_id]["url"] == url
 
 
 def test_nulls_and_empty(spark):
-    df = spark.createDataFrame([(1, None, None, 3), (1, "u", "<p>a", 4), (None, "u", "<p>a", 4)], "page_id long, url string, html string, text int")
-    assert sorted(map(tuple, extract(df).collect()), key=str) == sorted([(1, None, "", 0), (1, "u", "a", 1), (None, "u", "a", 1)], key=str)
+    df = spark.createDataFrame([(1, None, None, 3), (1, "u", "<p>a", 4), (None, "u", "<p>a", 4), (None, "u", "<p>a", 4)], "page_id long, url string, html string, text int")
+    assert sorted(map(tuple, extract(df).collect()), key=str) == sorted([(1, None, "", 0), (1, "u", "a", 1), (None, "u", "a", 1), (None, "u", "a", 1)], key=str)
     assert extract(df.where("page_id = 9")).count() == 0
