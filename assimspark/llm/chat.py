@@ -5,7 +5,11 @@ words); a turn of role "tool" carries a result ({"tool_call_id", "content"}). An
 (conversation, id). The output has one row for each message, call and result, never one for a whole conversation, so a conversation of any
 length is spread over tasks; its order is given by the columns (ord_turn, part, level, place).
 
-Order: a call follows the calls named in its "after" (level = longest chain of such calls; calls on a cycle have level null and status
+Every turn has the identifier "t" + turn, and answers the turn before it (reply_to) where the conversation has one. A message's level is
+the length of the chain of turns it ends; it is found by pointer doubling, in as many joins as the longest chain's length has binary
+digits, so a very long conversation isn't brought together either. Its status is "valid" or "unknown_role".
+
+Order of calls: a call follows the calls named in its "after" (level = longest chain of such calls; calls on a cycle have level null and status
 "cyclic"), and a result follows its call. Arguments are checked against the schema of the tool: status "valid", or "unknown_tool",
 "bad_arguments". An id that several calls of a conversation share belongs to the first (turn, place), the others are "repeated_id"; of
 several results the first after the call counts, then the first of all, the others are "repeated_id"; a result without a call is
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assimspark.llm.common import materialise
+from assimspark.llm.common import Scratch, materialise
 
 #: Tools and their parameters: name -> (JSON kind, required).
 SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
@@ -30,6 +34,7 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
     "get_weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
     "run_code": {"language": ("string", True), "source": ("string", True)},
 }
+ROLES = ("system", "user", "assistant", "tool")
 #: Fixed map: what schema_of_variant says of each JSON kind.
 KINDS = {"string": r"STRING", "integer": r"BIGINT", "number": r"(BIGINT|DOUBLE|DECIMAL.*)", "boolean": r"BOOLEAN", "array": r"ARRAY.*", "object": r"OBJECT.*"}
 
@@ -55,6 +60,21 @@ def arguments_status(name: Column, arguments: Column, schemas: dict[str, dict[st
     return out
 
 
+def reply_chains(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, reply_to, chain): the turn that each turn answers (null: none), and how many turns its chain has before it."""
+    scratch = Scratch(turns.sparkSession)
+    keys = turns.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
+    before = keys.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("reply_to"))
+    now = scratch.write(keys.join(before, ["conv_id", "turn"], "left").select("*", F.col("reply_to").alias("up"), F.col("reply_to").isNotNull().cast("long").alias("chain")), "chat-chains")
+    while now.where("up is not null").limit(1).count():
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("above"), F.col("chain").alias("more"))
+        further = now.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", "reply_to", F.col("above").alias("up"), (F.col("chain") + F.coalesce("more", F.lit(0))).alias("chain"))
+        after = scratch.write(further, "chat-chains")
+        scratch.drop(now)
+        now = after
+    return now.drop("up")
+
+
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv_id, id, level, floor_turn) of the calls that hang on others, by rounds of settled calls; the rest of them are on cycles."""
     waits = calls.select("conv_id", "id", "turn", F.explode("after").alias("needs")).join(calls.select("conv_id", F.col("id").alias("needs")), ["conv_id", "needs"], "left_semi").distinct()
@@ -84,9 +104,12 @@ def chat_lines(conversations: DataFrame, schemas: dict[str, dict[str, tuple[str,
     has_calls = F.col("n_calls") > 0
 
     content = F.when(has_calls, F.coalesce(F.try_variant_get(F.try_parse_json("v_text"), "$.content", "string"), F.lit(""))).otherwise(F.col("text"))
-    plain = parsed.where(F.col("result_id").isNull()).select(
-        "conv_id", "turn", F.col("turn").alias("ord_turn"), F.lit(0).alias("part"), F.lit(0).alias("level"), F.lit(0).alias("place"), F.lit("message").alias("kind"), F.lit("valid").alias("status"), F.lit(False).alias("linked"),
-        F.to_json(F.struct(content.alias("content"), F.col("role").alias("role"))).alias("json"),
+    message = parsed.where(F.col("result_id").isNull()).join(reply_chains(parsed), ["conv_id", "turn"], "left")
+    named = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
+    plain = message.select(
+        "conv_id", "turn", F.col("turn").alias("ord_turn"), F.lit(0).alias("part"), F.coalesce("chain", F.lit(0)).cast("int").alias("level"), F.lit(0).alias("place"), F.lit("message").alias("kind"),
+        F.when(F.col("role").isin(*ROLES), "valid").otherwise("unknown_role").alias("status"), F.col("reply_to").isNotNull().alias("linked"),
+        F.to_json(F.struct(content.alias("content"), named("turn").alias("id"), named("reply_to").alias("reply_to"), F.col("role").alias("role"))).alias("json"),
     )
     each = parsed.where(has_calls & F.col("result_id").isNull()).select("conv_id", "turn", F.posexplode(F.try_variant_get(F.try_parse_json("calls_text"), "$", call_type)).alias("place", "c"))
     each = each.select("conv_id", "turn", "place", "c.id", "c.name", "c.arguments", F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))

@@ -97,5 +97,18 @@ from documents d left join n on n.doc_id = d.doc_id join (select u, min(v) as co
 """
 
 
+#: For conversations without tool calls and results, as the given ones are; tests hold calls against crafted cases.
+OP10_SQL = r"""
+with k as (select distinct conv_id, turn from conversations
+), i as (select conv_id, turn, turn - row_number() over (partition by conv_id order by turn) as island from k
+), c as (select conv_id, turn, turn - min(turn) over (partition by conv_id, island) as chain from i)
+select x.conv_id, x.turn, x.turn as ord_turn, 0 as part, cast(c.chain as int) as level, 0 as place, 'message' as kind,
+  case when x.role in ('system', 'user', 'assistant', 'tool') then 'valid' else 'unknown_role' end as status, c.chain > 0 as linked,
+  '{"content":' || cast(to_json(coalesce(x.text, '')) as varchar) || ',"id":"t' || x.turn || '"' || case when c.chain > 0 then ',"reply_to":"t' || (x.turn - 1) || '"' else '' end
+    || ',"role":' || cast(to_json(coalesce(x.role, '')) as varchar) || '}' as json
+from conversations x join c on c.conv_id = x.conv_id and c.turn = x.turn
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_join": OP7_SQL}
+    return {"op7_near_join": OP7_SQL, "op10_chat": OP10_SQL}

@@ -1,4 +1,5 @@
 import json
+import random
 
 from assimspark.llm.chat import chat_lines
 
@@ -27,9 +28,9 @@ def test_calls_are_linked_ordered_and_checked(spark):
     ]
     got = [(r["kind"], r["status"], r["linked"], r["level"], json.loads(r["json"])) for r in lines(spark, rows)]
     assert [(k, s, ln, lv) for k, s, ln, lv, _ in got] == [
-        ("message", "valid", False, 0), ("message", "valid", False, 0), ("call", "valid", True, 0), ("call", "unknown_tool", False, 0), ("call", "bad_arguments", False, 0), ("call", "valid", True, 1),
+        ("message", "valid", False, 0), ("message", "valid", True, 1), ("call", "valid", True, 0), ("call", "unknown_tool", False, 0), ("call", "bad_arguments", False, 0), ("call", "valid", True, 1),
         ("result", "valid", True, 1), ("result", "valid", True, 0), ("result", "repeated_id", False, 0), ("result", "orphan", False, 0)]
-    assert got[0][4] == {"content": "What's \"up\"?\né", "role": "user"} and got[1][4]["content"] == "thinking" and got[7][4] == {"content": {"z": 1, "a": [1, 2.5]}, "id": "a", "type": "result"}
+    assert got[0][4] == {"content": "What's \"up\"?\né", "id": "t0", "role": "user"} and got[1][4] == {"content": "thinking", "id": "t1", "reply_to": "t0", "role": "assistant"} and got[7][4] == {"content": {"z": 1, "a": [1, 2.5]}, "id": "a", "type": "result"}
     assert lines(spark, rows)[2]["json"] == '{"arguments":{"limit":3,"query":"q"},"id":"a","name":"search","type":"call"}'
 
 
@@ -46,5 +47,22 @@ def test_cycles_chains_and_repeats(spark):
 def test_plain_null_and_empty(spark):
     rows = [(1, 0, None, None), (None, 1, "user", "{bad json"), (1, None, "tool", result("q")), (1, 0, None, None), (4, 0, "user", "w " * 50_000)]
     got = lines(spark, rows)
-    assert len(got) == 5 and sum(r["kind"] == "result" for r in got) == 1 and [json.loads(r["json"]) for r in got if r["conv_id"] == 1 and r["turn"] == 0] == [{"content": "", "role": ""}] * 2
+    assert len(got) == 5 and sum(r["kind"] == "result" for r in got) == 1 and [json.loads(r["json"]) for r in got if r["conv_id"] == 1 and r["turn"] == 0] == [{"content": "", "id": "t0", "role": ""}] * 2 and [r["status"] for r in got if r["turn"] == 0] == ["unknown_role"] * 2 + ["valid"]
     assert lines(spark, rows[:0]) == []
+
+
+def test_messages_and_chains_equal_brute_force(spark):
+    rng = random.Random(5)
+    roles = ["system", "user", "assistant", "robot", None]
+    rows = [(c, t, rng.choice(roles), rng.choice(["", "a\tb", "ü \\ \"q\"", None])) for c in range(12) for t in range(rng.choice([1, 3, 70])) if rng.random() < 0.9]
+    rows += rows[:5]
+    there = {(c, t) for c, t, *_ in rows}
+
+    def chain(c, t):
+        return 0 if (c, t - 1) not in there else 1 + chain(c, t - 1)
+
+    want = []
+    for c, t, role, text in rows:
+        body = {"content": text or "", "id": f"t{t}"} | ({"reply_to": f"t{t - 1}"} if (c, t - 1) in there else {}) | {"role": role or ""}
+        want.append((c, t, chain(c, t), "valid" if role in ("system", "user", "assistant") else "unknown_role", (c, t - 1) in there, json.dumps(body, ensure_ascii=False, separators=(",", ":"))))
+    assert sorted((r["conv_id"], r["turn"], r["level"], r["status"], r["linked"], r["json"]) for r in lines(spark, rows)) == sorted(want)
