@@ -22,13 +22,18 @@ def words_of(text):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else f"file://{tempfile.mkdtemp(prefix='assimspark-')}"
-        if not jvm_dir.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
+        context = spark.sparkContext
+        jvm_dir = context._jsc.sc().getCheckpointDir()
+        if jvm_dir.isDefined():
+            found = jvm_dir.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            found = f"file://{tempfile.mkdtemp(prefix='assimspark-')}"
+            context.setCheckpointDir(found)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -38,11 +43,40 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing that was written."""
-    path = new_folder(df.sparkSession, what)
+    return _written(df, new_folder(df.sparkSession, what))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in the shared folder, of which some go as soon as later ones hold what is needed of them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        path = new_folder(self.spark, what)
+        table = _written(df, path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more; tables that were not written here are left alone."""
+        for t in tables:
+            _, path = self.paths.pop(id(t), (None, None))
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand texts to Python in batches of so many rows at most, for jobs whose rows are whole documents: a worker holds one batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Hand texts to Python in batches of so many rows at most, for jobs whose rows are whole documents: a worker holds one batch at a time.
+
+    Results are computed later, so the setting stays; it is only ever lowered.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

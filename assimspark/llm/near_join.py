@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assimspark.llm.common import materialise, small_batches
+from assimspark.llm.common import Scratch, materialise, small_batches
 from assimspark.llm.shingles import STEP, mix, shingle_sets
 
 SETS = "doc_id long, n int, h1 long, h2 long, head array<long>"
@@ -139,31 +139,40 @@ def light_links(heads: DataFrame, boundary: int) -> DataFrame:
 
 
 def lists(heads: DataFrame, boundary: int) -> DataFrame:
-    """(token, doc_id, n, score): the second prefixes; score sums the frequencies of a set's shared elements."""
+    """(token, doc_id, n, score): the second prefixes; score sums the frequencies of a set's shared elements.
+
+    Frequencies are counted in tasks first and joined back, so a token of very many documents is split as Spark splits skewed joins.
+    """
     n = F.col("n")
     prefix = F.least(n, n - F.ceil(n * 4 / 5) + F.greatest(F.lit(1), F.ceil(n * 3 / 20)))
     post = heads.where(F.floor(n * 5 / 4) > boundary).select("doc_id", "n", F.explode(F.slice("head", F.lit(1), prefix.cast("int"))).alias("token"))
-    shared = post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    shared = post.join(post.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token")
     by_doc = Window.partitionBy("doc_id")
     least = F.greatest(F.lit(1), F.ceil(F.ceil(n * 4 / 5) * 3 / 20))  # l of the smallest partner
     ranked = shared.select("token", "doc_id", "n", F.count("*").over(by_doc).alias("k"), F.sum("df").over(by_doc).alias("score"), F.row_number().over(by_doc.orderBy("df", "token")).alias("r"))
     return ranked.where((F.col("k") >= least) & (F.col("r") <= F.col("k") - least + 1)).select("token", "doc_id", "n", "score")
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(node, label): the smallest node reachable, by smallest-neighbour rounds with one jump each. ``labels`` may hold earlier results."""
-    both = materialise(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    now = both.select(F.col("u").alias("node")).distinct()
-    now = now.withColumn("label", F.col("node")) if labels is None else now.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    now = materialise(now, "labels")
+def components(edges: DataFrame, scratch: Scratch, labels: DataFrame | None = None) -> DataFrame:
+    """(node, label): the smallest node reachable, by smallest-neighbour rounds with one jump each. ``labels`` may hold earlier results, which are dropped."""
+    both = scratch.write(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    start = both.select(F.col("u").alias("node")).distinct()
+    start = start.withColumn("label", F.col("node")) if labels is None else start.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    table = scratch.write(start.withColumn("moved", F.lit(True)), "labels")
+    if labels is not None:
+        scratch.drop(labels)
     while True:
+        now = table.select("node", "label")
         seen = both.join(now.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         low = now.join(seen, "node").select("node", "label", F.least("label", "near").alias("low"))
         top = now.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        after = materialise(low.join(top, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("label"), (F.least("low", F.coalesce("jump", "low")) < F.col("label")).alias("moved")), "labels")
-        now = after.select("node", "label")
-        if not after.where("moved").limit(1).count():
-            return now
+        low = low.join(top, "low", "left").select("node", "label", F.least("low", F.coalesce("jump", "low")).alias("low"))
+        after = scratch.write(low.select("node", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("moved")), "labels")
+        scratch.drop(table)
+        table = after
+        if not table.where("moved").limit(1).count():
+            scratch.drop(both)
+            return table
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -171,18 +180,38 @@ def _similar(a: Column, b: Column) -> Column:
     return (5 * a >= 4 * b) & (5 * b >= 4 * a)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, sketch_first: bool) -> DataFrame:
+def with_set(pairs: DataFrame, n_pairs: int, key: str, sets: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The pairs with columns of the set of ``key``. A set in more than max(100, n_pairs / 1000) pairs is joined in several copies.
+
+    At most n_pairs / that number of sets, so never over 1000 unless there are under 100,000 pairs, are told apart by broadcast.
+    """
+    most = max(100, n_pairs // 1000)
+    busy = pairs.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("__copies")).where("__copies > 1")
+    other = "v" if key == "u" else "u"
+    salted = pairs.join(F.broadcast(busy), key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("__copies")).cast("int"), F.lit(0))).drop("__copies")
+    side = sets.select(F.col("doc_id").alias(key), *(F.col(c).alias(a) for c, a in columns.items())).join(F.broadcast(busy), key, "left")
+    side = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__copies")
+    return salted.join(side, [key, "__salt"]).drop("__salt")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, sketch_first: bool) -> DataFrame:
     """The pairs (u, v) whose sets link."""
+    pairs = scratch.write(pairs, "pairs")
+    n_pairs = pairs.count()
     if sketch_first:
-        a, b = (sets.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("sketch").alias("s" + k)) for k in "uv")
+        met = with_set(with_set(pairs, n_pairs, "u", sets, {"n": "nu", "sketch": "su"}), n_pairs, "v", sets, {"n": "nv", "sketch": "sv"})
         apart = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, x: t + x)
-        pairs = pairs.join(a, "u").join(b, "v").where(9 * apart <= F.col("nu") + F.col("nv")).select("u", "v").distinct()
-    a, b = (sets.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("items").alias("s" + k)) for k in "uv")
+        near = scratch.write(met.where(9 * apart <= F.col("nu") + F.col("nv")).select("u", "v"), "pairs")
+        scratch.drop(pairs)
+        pairs, n_pairs = near, near.count()
+    met = with_set(with_set(pairs, n_pairs, "u", sets, {"n": "nu", "items": "su"}), n_pairs, "v", sets, {"n": "nv", "items": "sv"})
     both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(a, "u").join(b, "v").where(100 * both >= 80 * (F.col("nu") + F.col("nv") - both)).select("u", "v").distinct()
+    found = scratch.write(met.where(100 * both >= 80 * (F.col("nu") + F.col("nv") - both)).select("u", "v").distinct(), "found-links")
+    scratch.drop(pairs)
+    return found
 
 
-def remaining_pairs(now: DataFrame, mixed: DataFrame, whole: DataFrame) -> DataFrame:
+def remaining_pairs(now: DataFrame, mixed: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) of a list's members in different components that a folded sketch can't rule out.
 
     Of such a pair at least one is outside the list's main component, so those members meet all others. The sketch is compared inside the
@@ -190,7 +219,7 @@ def remaining_pairs(now: DataFrame, mixed: DataFrame, whole: DataFrame) -> DataF
     """
     half = SKETCH_LONGS // 2
     folded = whole.select("doc_id", *(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch", F.lit(i + half))).alias(f"s{i}") for i in range(half)))
-    live = materialise(now.join(mixed, "token").join(folded, "doc_id"), "lists-mixed")
+    live = scratch.write(now.join(mixed, "token").join(folded, "doc_id"), "lists-mixed")
     minor = live.where(F.col("comp") != F.col("main"))
     a = minor.select("token", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"), *(F.col(f"s{i}").alias(f"a{i}") for i in range(half)))
     b = live.select("token", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"), (F.col("comp") == F.col("main")).alias("in_main"), *(F.col(f"s{i}").alias(f"b{i}") for i in range(half)))
@@ -204,9 +233,10 @@ def remaining_pairs(now: DataFrame, mixed: DataFrame, whole: DataFrame) -> DataF
 def near_groups(docs: DataFrame, most_rounds: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of the documents."""
     small_batches(docs.sparkSession)
-    sets = materialise(set_heads(docs), "set-heads")
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.write(set_heads(docs), "set-heads")
     sized = sets.where("n > 0 and doc_id is not null")
-    classes = materialise(sized.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "set-classes")
+    classes = scratch.write(sized.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "set-classes")
     heads = sized.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "h1", "h2"], "left_semi")
     histogram = {r["n"]: r["c"] for r in classes.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(histogram)
@@ -214,19 +244,23 @@ def near_groups(docs: DataFrame, most_rounds: int = 10) -> DataFrame:
     member = sized.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("doc_id", "rep")
     shared_id = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("most")).where("u < most").select("doc_id", "u")
     links = member.join(shared_id, "doc_id").select("u", F.col("rep").alias("v")).where("u <> v").distinct()
-    links = materialise(links.unionByName(light_links(heads, boundary)), "light-links")
-    labels = components(links)
+    links = scratch.write(links.unionByName(light_links(heads, boundary)), "light-links")
+    labels = components(links, scratch)
 
-    kept = materialise(lists(heads, boundary), "lists")
+    kept = scratch.write(lists(heads, boundary), "lists")
+    narrow = scratch.write(sets.select("doc_id", "n", "h1", "h2"), "set-sizes")
+    scratch.drop(sets)
     n_rows = kept.count()
     members = kept.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("token")
     wanted = kept.join(members, "token", "left_semi").select("doc_id").distinct()
-    whole = materialise(whole_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")), "whole-sets")
+    whole = scratch.write(whole_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")), "whole-sets")
 
-    left_before = None
+    left_before, now = None, None
     for turn in range(most_rounds + 1):
-        now = kept.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("comp", F.coalesce("label", "doc_id"))
-        now = materialise(now.select("token", "doc_id", "n", "score", "comp"), "lists-now")
+        named = kept.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("comp", F.coalesce("label", "doc_id"))
+        if now is not None:
+            scratch.drop(now)
+        now = scratch.write(named.select("token", "doc_id", "n", "score", "comp"), "lists-now")
         sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"), F.max(F.struct("m", "comp"))["comp"].alias("main")).where("m * m > within")
         left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()[0] or 0
         if turn == most_rounds or left <= n_rows or (left_before is not None and left > 0.9 * left_before and turn > 1):
@@ -237,14 +271,15 @@ def near_groups(docs: DataFrame, most_rounds: int = 10) -> DataFrame:
         centres = now.groupBy("token").agg(centre, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         met = now.join(centres, "token").where((F.col("comp") != F.col("c.cv")) & _similar(F.col("n"), F.col("c.nv")))
         one = met.groupBy(F.col("doc_id").alias("u"), F.col("c.v").alias("v")).agg(F.count("*").alias("times")).groupBy("u").agg(F.max(F.struct("times", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
-        new = materialise(confirm(one, whole, sketch_first=False), "star-links")
-        links = links.unionByName(new)
-        labels = components(links, labels)
-    rest = remaining_pairs(now, sizes.select("token", "main"), whole)
-    links = links.unionByName(materialise(confirm(rest, whole, sketch_first=True), "last-links"))
-    labels = components(links, labels)
-
-    with_class = sets.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
+        links = links.unionByName(confirm(one, whole, scratch, sketch_first=False))
+        labels = components(links, scratch, labels)
+    scratch.drop(kept)
+    rest = remaining_pairs(now, sizes.select("token", "main"), whole, scratch)
+    links = links.unionByName(confirm(rest, whole, scratch, sketch_first=True))
+    scratch.drop(whole, now)
+    labels = components(links, scratch, labels)
+
+    with_class = narrow.join(classes, ["n", "h1", "h2"], "left")
     found = with_class.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "rep"))
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
