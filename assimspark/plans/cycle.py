@@ -7,7 +7,7 @@ A model is two numpy callables: ``derivative(t, psi, params)`` for psi (n x m) a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,8 @@ class Config:
 
 @dataclass
 class Reservoir:
-    """A trained bias network for q observables."""
+    """A trained bias network for q observables. Its inputs are q innovations; its outputs are the q innovations ahead, or, where observations
+    are biased themselves, q model biases and then q innovations. One network step is ``upsample`` model steps."""
 
     w: np.ndarray
     win: np.ndarray
@@ -44,32 +45,70 @@ class Reservoir:
     norm: np.ndarray
     rho: float
     sigma: float
+    upsample: int = 1
 
 
 class Cycle:
-    """State of one series: what the batch job and the stream both carry from one observation to the next."""
+    """State of one series: what the batch job and the stream both carry from one observation to the next.
 
-    def __init__(self, psi: np.ndarray, params: np.ndarray, step: int, cfg: Config, derivative: Callable, observe: Callable | None, q: int, bias: Reservoir | None = None):
+    With a bias network, ``wash`` holds observations (step -> d) before the first analysis. Their differences to the model's mean drive the
+    network open loop; from then on it runs in closed loop between observations. Until the washout is over the bias and its sensitivity are
+    zero, and the innovation of the last analysis is its best guess; without a network that is all there is.
+    """
+
+    def __init__(self, psi: np.ndarray, params: np.ndarray, step: int, cfg: Config, derivative: Callable, observe: Callable | None, q: int, bias: Reservoir | None = None, wash: dict[int, np.ndarray] | None = None):
         self.psi, self.params, self.step, self.cfg = psi, params, step, cfg
         self.derivative, self.observe, self.q, self.bias = derivative, observe or (lambda x: x[:q]), q, bias
         self.n_seen = self.n_rejected = 0
-        self.b = np.zeros(q)
+        self.b, self.u = np.zeros(q), np.zeros(q)  # bias and innovation
         self.r = np.zeros((len(bias.w), 1)) if bias else None
+        self.wash = dict(sorted((wash or {}).items())) if bias else {}
+        self.washed: list[np.ndarray] = []
         self.bias_ready = False
+        self._look()
+
+    def _look(self) -> None:
+        """At a washout step, keep the difference to the model; at the last one start the network."""
+        if self.bias_ready or self.step not in self.wash:
+            return
+        self.washed.append(self.wash[self.step] - self.observe(self.psi).mean(axis=1))
+        if self.step == max(self.wash):
+            self.r, outputs = np.zeros((len(self.bias.w), 1)), np.concatenate((self.b, self.washed[0]))
+            for u in self.washed[:-1]:
+                self.r = self._network(u, self.r)
+                outputs = kernels.readout(self.r, self.bias.wout)[:, 0]
+            self._take(outputs)
+            self.bias_ready, self.washed = True, []
+
+    def _network(self, u: np.ndarray, r: np.ndarray) -> np.ndarray:
+        n = self.bias
+        return kernels.reservoir_step(u[:, None], r, n.w, n.win, n.norm, n.rho, n.sigma)
+
+    def _take(self, outputs: np.ndarray) -> None:
+        self.b, self.u = outputs[:self.q], outputs[-self.q:]
+
+    def _bias_ahead(self, n: int) -> None:
+        """n model steps of the network in closed loop; within a network step states and outputs are interpolated."""
+        whole, part = divmod(n, self.bias.upsample)
+        outputs = np.concatenate((self.b, self.u))[-self.bias.wout.shape[1]:]
+        for k in range(whole + (part > 0)):
+            r = self._network(self.u, self.r)
+            ahead = kernels.readout(r, self.bias.wout)[:, 0]
+            share = part / self.bias.upsample if k == whole else 1.0
+            outputs, self.r = outputs + share * (ahead - outputs), self.r + share * (r - self.r)
+            self._take(outputs)
 
     def forecast(self, to_step: int) -> None:
+        """Model and bias up to a step; a network that starts on the way runs from where its washout ends."""
+        begun = self.step if self.bias_ready else None
         for s in range(self.step, to_step):
             self.psi = kernels.rk4(self.derivative, self.psi, self.params, s * self.cfg.dt, self.cfg.dt)
-            if self.bias is not None and self.bias_ready:
-                self.r = kernels.reservoir_step(self.b[:, None], self.r, self.bias.w, self.bias.win, self.bias.norm, self.bias.rho, self.bias.sigma)
-                self.b = kernels.readout(self.r, self.bias.wout)[:, 0]
-        self.step = max(self.step, to_step)
-
-    def wash(self, innovations: np.ndarray) -> None:
-        """Open loop over innovations (n x q) before the first observation."""
-        for u in innovations:
-            self.r = kernels.reservoir_step(u[:, None], self.r, self.bias.w, self.bias.win, self.bias.norm, self.bias.rho, self.bias.sigma)
-        self.b, self.bias_ready = kernels.readout(self.r, self.bias.wout)[:, 0], True
+            self.step = s + 1
+            if not self.bias_ready and self.wash:
+                self._look()
+                begun = self.step if self.bias_ready else None
+        if begun is not None and self.step > begun:
+            self._bias_ahead(self.step - begun)
 
     def analyse(self, series: int, d: np.ndarray, cdd: np.ndarray) -> dict:
         """Forecast statistics, the analysis with bounds check and inflation, and the bias from the new innovation."""
@@ -77,11 +116,15 @@ class Cycle:
         rows = np.vstack((self.psi, self.params, y))
         n, n_par = len(self.psi), len(self.params)
         aware = cfg.method.startswith("rba") and self.n_seen >= cfg.n_blind
+        ready = self.bias is not None and self.bias_ready
+        seen = d  # as observed; where observations are biased, the filter sees them shifted
+        if cfg.method.startswith("rba") and ready and self.bias.wout.shape[1] == 2 * self.q:
+            d = d + self.b - self.u
         many = d[:, None] + np.sqrt(cdd)[:, None] * kernels.perturbations(series, self.n_seen, y.shape, cfg.seed)
         if cfg.method == "ensrkf":
             done = kernels.apply_square_root(rows, *kernels.ensrkf_weights(y, d, cdd))
         elif aware:
-            jac = -kernels.readout_jacobian(self.r[:, 0], self.bias.wout, self.bias.win, self.bias.norm, self.bias.sigma) if self.bias is not None and self.bias_ready else np.zeros((self.q, self.q))
+            jac = -kernels.readout_jacobian(self.r[:, 0], self.bias.wout, self.bias.win, self.bias.norm, self.bias.sigma)[:self.q] if ready else np.zeros((self.q, self.q))
             done = kernels.apply_weights(rows, kernels.rba_weights(y, many, cdd, self.b, jac, cfg.k, None, cfg.method == "rba_enkf"))
         else:
             done = kernels.apply_weights(rows, kernels.enkf_weights(y, many, cdd))
@@ -100,12 +143,13 @@ class Cycle:
         prior, post = rows[n:n + n_par].mean(axis=1), done[n:n + n_par].mean(axis=1)
         self.psi, self.params = kept[:n], kept[n:n + n_par]
         after = kept[n + n_par:].mean(axis=1)
-        self.b = d - after
+        before = self.b
+        self.b = self.u = seen - after
         self.n_seen += 1
-        return {"y_mean": after, "y_std": kept[n + n_par:].std(axis=1), "innovation": d - after, "rejected": bad, "prior_params": prior, "posterior_params": post, "param_mean": self.params.mean(axis=1), "param_std": self.params.std(axis=1), "forecast_mean": y.mean(axis=1)}
+        return {"y_mean": after, "y_std": kept[n + n_par:].std(axis=1), "innovation": seen - after, "bias": before, "rejected": bad, "prior_params": prior, "posterior_params": post, "param_mean": self.params.mean(axis=1), "param_std": self.params.std(axis=1), "forecast_mean": y.mean(axis=1)}
 
 
-RESULT = "series_id long, config_id long, cycle long, step long, y_mean array<double>, y_std array<double>, forecast_mean array<double>, innovation array<double>, param_mean array<double>, param_std array<double>, rejected boolean, prior_params array<double>, posterior_params array<double>"
+RESULT = "series_id long, config_id long, cycle long, step long, y_mean array<double>, y_std array<double>, forecast_mean array<double>, innovation array<double>, param_mean array<double>, param_std array<double>, rejected boolean, prior_params array<double>, posterior_params array<double>, bias array<double>"
 
 
 def _matrix(table, n_cols: int | None = None) -> np.ndarray:
@@ -116,34 +160,58 @@ def _matrix(table, n_cols: int | None = None) -> np.ndarray:
 def assimilate(start: DataFrame, obs: DataFrame, configs: DataFrame, derivative: Callable, q: int, base: Config = Config(), observe: Callable | None = None, bias: Reservoir | None = None) -> DataFrame:
     """Batch cycles over observations.
 
-    ``start``: series_id, step, psi array<array<double>> (rows of members), params array<array<double>>; ``obs``: series_id, cycle, step, d
-    array<double>, cdd array<double>; ``configs``: config_id and any fields of Config. One row comes back for each cycle and one more for
-    each of ``extra_steps`` after the last observation (cycle -1)."""
+    ``start``: series_id, step, psi array<array<double>> (rows of members), params array<array<double>>, and with a bias network optionally
+    wash array<struct<step, d array<double>>>, observations before the first cycle; ``obs``: series_id, cycle, step, d array<double>, cdd
+    array<double>; ``configs``: config_id and any fields of Config. One row comes back for each cycle and one more for each of
+    ``extra_steps`` after the last observation (cycle -1, on which the bias goes on). ``bias`` is the network's forecast of the bias.
+
+    A series is one stream of rows sorted by step within a task, its ensemble on the first of them; a task holds one Arrow batch, however
+    long a series is. A series without observations gives no rows; of several observations at one step all count, in order of cycle; repeated
+    start rows are refused by the task that meets them.
+    """
     fields = [c for c in configs.columns if c != "config_id"]
-    cells = start.crossJoin(configs)
-    packed = obs.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("step", "cycle", "d", "cdd"))).alias("obs"))
-    met = cells.join(packed, "series_id")
+    washed = "wash" in start.columns
+    first = start.join(obs.select("series_id").distinct(), "series_id", "left_semi").crossJoin(F.broadcast(configs))
+    none = F.lit(None)
+    begin = first.select("series_id", "config_id", F.lit(0).alias("__o"), none.cast("long").alias("cycle"), F.col("step").cast("long").alias("step"), none.cast("array<double>").alias("d"), none.cast("array<double>").alias("cdd"), "psi", "params", (F.col("wash") if washed else none.cast("array<struct<step:bigint,d:array<double>>>")).alias("wash"), *fields)
+    many = obs.join(start.select("series_id").distinct(), "series_id", "left_semi").crossJoin(F.broadcast(configs.select("config_id")))
+    nulls = [none.cast(begin.schema[c].dataType).alias(c) for c in ("psi", "params", "wash", *fields)]
+    later = many.select("series_id", "config_id", F.lit(1).alias("__o"), F.col("cycle").cast("long").alias("cycle"), F.col("step").cast("long").alias("step"), F.col("d").cast("array<double>").alias("d"), F.col("cdd").cast("array<double>").alias("cdd"), *nulls)
+    rows = begin.unionByName(later).repartition("series_id", "config_id").sortWithinPartitions("series_id", "config_id", "__o", "step", "cycle")
+
+    def extra(c: Cycle, key: tuple[int, int]) -> list[tuple]:
+        out, empty = [], np.zeros(0)
+        for _ in range(c.cfg.extra_steps):
+            c.forecast(c.step + 1)
+            y = c.observe(c.psi)
+            out.append((*key, -1, c.step, y.mean(axis=1), y.std(axis=1), y.mean(axis=1), c.u.copy(), c.params.mean(axis=1), c.params.std(axis=1), False, empty, empty, c.b.copy()))
+        return out
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, key, names = None, None, [x.split(" ")[0] for x in RESULT.split(", ")]
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                cfg = Config(**{**base.__dict__, **{f: (row[f].item() if hasattr(row[f], "item") else row[f]) for f in fields}})
-                psi = _matrix(row["psi"])
-                c = Cycle(psi, _matrix(row["params"], psi.shape[1]), int(row["step"]), cfg, derivative, observe, q, bias)
-                for o in row["obs"]:
-                    c.forecast(int(o["step"]))
-                    res = c.analyse(int(row["series_id"]), np.asarray(o["d"], float), np.asarray(o["cdd"], float))
-                    out.append((int(row["series_id"]), int(row["config_id"]), int(o["cycle"]), int(o["step"]), *(res[k] for k in ("y_mean", "y_std", "forecast_mean", "innovation", "param_mean", "param_std")), bool(res["rejected"]), res["prior_params"], res["posterior_params"]))
-                for s in range(cfg.extra_steps):
-                    c.forecast(c.step + 1)
-                    y = c.observe(c.psi)
-                    empty = np.zeros(0)
-                    out.append((int(row["series_id"]), int(row["config_id"]), -1, c.step, y.mean(axis=1), y.std(axis=1), y.mean(axis=1), c.b.copy(), c.params.mean(axis=1), c.params.std(axis=1), False, empty, empty))
-            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in RESULT.split(", ")])
-
-    # A cell is one row by now: cells are dealt evenly over tasks, and rows of one task follow one another.
-    return met.repartition("series_id", "config_id").mapInPandas(work, RESULT)
+                if row["__o"] == 0:
+                    out += extra(c, key) if c is not None else []
+                    if key == (row["series_id"], row["config_id"]):
+                        raise ValueError(f"several start rows for series {row['series_id']}")
+                    key = (int(row["series_id"]), int(row["config_id"]))
+                    cfg = Config(**{**base.__dict__, **{f: (row[f].item() if hasattr(row[f], "item") else row[f]) for f in fields}})
+                    cfg = replace(cfg, **{f: int(getattr(cfg, f)) for f in ("n_blind", "n_hold_params", "extra_steps", "seed")})
+                    psi = _matrix(row["psi"])
+                    wash = {int(w["step"]): np.asarray(w["d"], float) for w in row["wash"]} if row["wash"] is not None else None
+                    c = Cycle(psi, _matrix(row["params"], psi.shape[1]), int(row["step"]), cfg, derivative, observe, q, bias, wash)
+                    continue
+                c.forecast(int(row["step"]))
+                res = c.analyse(key[0], np.asarray(row["d"], float), np.asarray(row["cdd"], float))
+                out.append((*key, int(row["cycle"]), int(row["step"]), *(res[k] for k in ("y_mean", "y_std", "forecast_mean", "innovation", "param_mean", "param_std")), bool(res["rejected"]), res["prior_params"], res["posterior_params"], res["bias"]))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if c is not None and (out := extra(c, key)):
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(work, RESULT)
 
 
 def rejected_analyses(result: DataFrame) -> DataFrame:

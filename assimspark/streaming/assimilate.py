@@ -1,13 +1,14 @@
 """Assimilation of an observation stream: one state for each series, carried by a stateful processor.
 
-Observations (series_id, step, ts, d array, cdd array) may come late or twice: within a micro-batch they are sorted by step, and those at or
-before the series' clock are dropped and counted. Where a step holds several observations, ``order`` names the columns that tell them apart: the
-clock is then (step, *order), so that all of a step are assimilated and only true duplicates and late rows go. Series without news for ``idle_ms`` of processing time are evicted. The state is one blob
-for each series (the ensemble, clock, counters, reservoir), 8 bytes a number, kept in the state store."""
+Observations (series_id, step, d array, cdd array) may come late or twice: within a micro-batch they are sorted by step, and those at or
+before the series' clock are dropped and counted. Where a step holds several observations, ``order`` names the columns that tell them apart:
+the clock is then (step, *order), so that all of a step are assimilated and only true duplicates and late rows go. Series without news for
+``idle_ms`` of processing time are evicted and start anew with their next observation. With a bias network the first state holds the
+observations of its washout. The state of a series has typed fields (ensemble, clock, counters, network), 8 bytes a number.
+"""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,57 +16,62 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from assimspark.plans.cycle import Config, Cycle, Reservoir
 
-OUTPUT = "series_id long, step long, cycle long, y_mean array<double>, y_std array<double>, innovation array<double>, rejected boolean, n_dropped long"
-BLOB = StructType([StructField("blob", BinaryType())])
+OUTPUT = "series_id long, step long, cycle long, y_mean array<double>, y_std array<double>, innovation array<double>, rejected boolean, n_dropped long, bias array<double>"
+#: A matrix is kept as its values by rows, with the number of members. The washout is kept only until it is over.
+STATE = (
+    "psi array<double>, params array<double>, m int, step long, n_seen long, n_rejected long, dropped long, clock array<long>, b array<double>, u array<double>, "
+    "r array<double>, ready boolean, wash_step array<long>, wash_d array<double>, washed array<double>"
+)
+
+
+def _flat(x) -> list[float]:
+    return [float(v) for v in np.asarray(x, float).ravel()]
 
 
 class Assimilator(StatefulProcessor):
-    def __init__(self, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config, observe: Callable | None, bias: Reservoir | None, n_wash: int, idle_ms: int | None, order: tuple[str, ...] = ()):
-        self.order = order
-        self.first, self.derivative, self.q, self.cfg, self.observe, self.bias, self.n_wash, self.idle_ms = first, derivative, q, cfg, observe, bias, n_wash, idle_ms
+    def __init__(self, first: Callable, derivative: Callable, q: int, cfg: Config, observe: Callable | None, bias: Reservoir | None, idle_ms: int | None, order: tuple[str, ...] = ()):
+        self.first, self.derivative, self.q, self.cfg, self.observe, self.bias, self.idle_ms, self.order = first, derivative, q, cfg, observe, bias, idle_ms, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("cycle", BLOB)
-
-    def _load(self, series: int) -> tuple[Cycle, dict]:
-        if self.state.exists():
-            held = pickle.loads(self.state.get()[0])
-        else:
-            psi, params, step = self.first(series)
-            held = {"psi": psi, "params": params, "step": step, "n_seen": 0, "n_rejected": 0, "b": np.zeros(self.q), "r": None, "ready": False, "dropped": 0, "wash": [], "clock": None}
-        c = Cycle(held["psi"], held["params"], held["step"], self.cfg, self.derivative, self.observe, self.q, self.bias)
-        c.n_seen, c.n_rejected, c.b = held["n_seen"], held["n_rejected"], held["b"]
-        if held["r"] is not None:
-            c.r, c.bias_ready = held["r"], held["ready"]
-        return c, held
+        self.state = handle.getValueState("cycle", STATE)
+
+    def _load(self, series: int) -> tuple[Cycle, int, tuple | None]:
+        """The cycle, the number of dropped rows and the clock of a series."""
+        make = lambda psi, params, step, wash=None: Cycle(psi, params, step, self.cfg, self.derivative, self.observe, self.q, self.bias, wash)
+        if not self.state.exists():
+            return make(*self.first(series)), 0, None
+        psi, params, m, step, n_seen, n_rejected, dropped, clock, b, u, r, ready, wash_step, wash_d, washed = self.state.get()
+        table = lambda x, columns: np.asarray(x, float).reshape(-1, columns)
+        c = make(table(psi, m), table(params, m), step)
+        c.n_seen, c.n_rejected, c.b, c.u, c.bias_ready = n_seen, n_rejected, np.asarray(b, float), np.asarray(u, float), ready
+        c.r = table(r, 1) if self.bias is not None else None
+        c.wash, c.washed = dict(zip(wash_step, table(wash_d, self.q))), list(table(washed, self.q))
+        return c, dropped, tuple(clock)
+
+    def _save(self, c: Cycle, dropped: int, clock: tuple) -> None:
+        wash = {} if c.bias_ready else c.wash
+        network = ([] if c.r is None else _flat(c.r), bool(c.bias_ready), [int(k) for k in wash], _flat(list(wash.values())), _flat(c.washed))
+        self.state.update((_flat(c.psi), _flat(c.params), int(c.psi.shape[1]), int(c.step), int(c.n_seen), int(c.n_rejected), dropped, list(clock), _flat(c.b), _flat(c.u), *network))
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
         series = int(key[0])
         pdf = pd.concat(list(rows)).sort_values(["step", *self.order], kind="stable")
-        c, held = self._load(series)
+        c, dropped, clock = self._load(series)
         out = []
         for o in pdf.itertuples():
-            now = (int(o.step), *(getattr(o, k) for k in self.order))
-            if held["clock"] is not None and now <= held["clock"]:
-                held["dropped"] += 1
+            now = (int(o.step), *(int(getattr(o, k)) for k in self.order))
+            if clock is not None and now <= clock:
+                dropped += 1
                 continue
             c.forecast(int(o.step))
             res = c.analyse(series, np.asarray(o.d, float), np.asarray(o.cdd, float))
-            if self.bias is not None and not c.bias_ready:  # the bias starts once its washout is full
-                held["wash"].append(res["innovation"])
-                if len(held["wash"]) >= self.n_wash:
-                    b = c.b
-                    c.wash(np.stack(held["wash"]))
-                    c.b = b
-            held["clock"] = now
-            out.append((series, int(o.step), c.n_seen - 1, res["y_mean"], res["y_std"], res["innovation"], bool(res["rejected"]), held["dropped"]))
-        held |= {"psi": c.psi, "params": c.params, "step": c.step, "n_seen": c.n_seen, "n_rejected": c.n_rejected, "b": c.b, "r": c.r, "ready": c.bias_ready}
-        self.state.update((pickle.dumps(held),))
+            clock = now
+            out.append((series, int(o.step), c.n_seen - 1, res["y_mean"], res["y_std"], res["innovation"], bool(res["rejected"]), dropped, res["bias"]))
+        self._save(c, dropped, clock)
         if self.idle_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
@@ -80,10 +86,12 @@ class Assimilator(StatefulProcessor):
         pass
 
 
-def stream_assimilate(obs: DataFrame, first: Callable[[int], tuple[np.ndarray, np.ndarray, int]], derivative: Callable, q: int, cfg: Config = Config(), observe: Callable | None = None, bias: Reservoir | None = None, n_wash: int = 10, idle_ms: int | None = 3_600_000, order: tuple[str, ...] = ()) -> DataFrame:
-    """The stream (or batch) of posteriors: ``first`` gives psi, params and step of a new series. Without
-    ``idle_ms`` states stay (for runs over what there is now, which end). Needs the RocksDB state store."""
-    return obs.select("series_id", "step", *order, "d", "cdd").groupBy("series_id").transformWithStateInPandas(Assimilator(first, derivative, q, cfg, observe, bias, n_wash, idle_ms, order), outputStructType=OUTPUT, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
+def stream_assimilate(obs: DataFrame, first: Callable, derivative: Callable, q: int, cfg: Config = Config(), observe: Callable | None = None, bias: Reservoir | None = None, idle_ms: int | None = 3_600_000, order: tuple[str, ...] = ()) -> DataFrame:
+    """The stream (or batch) of posteriors. ``first`` gives (psi, params, step) of a new series, and (wash,) a dict from step to d, where a
+    bias network is used; ``order`` are whole-number columns. Without ``idle_ms`` states stay (for runs over what there is now, which end).
+    Needs the RocksDB state store."""
+    obs.sparkSession.streams.active  # noqa: B018  starts the coordinator of state stores, which a batch run needs as well
+    return obs.select("series_id", "step", *order, "d", "cdd").groupBy("series_id").transformWithStateInPandas(Assimilator(first, derivative, q, cfg, observe, bias, idle_ms, order), outputStructType=OUTPUT, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
 
 
 class GridBayes(StatefulProcessor):
@@ -91,10 +99,11 @@ class GridBayes(StatefulProcessor):
         self.grid, self.log_prior, self.ll = grid, log_prior, log_likelihood
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("log_posterior", BLOB)
+        self.state = handle.getValueState("log_posterior", "log_p array<double>, clock long")
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        held, clock = pickle.loads(self.state.get()[0]) if self.state.exists() else (self.log_prior, None)
+        held, clock = self.state.get() if self.state.exists() else (self.log_prior, None)
+        held = np.asarray(held, float)
         out = []
         for o in pd.concat(list(rows)).sort_values("step", kind="stable").itertuples():
             if clock is not None and o.step <= clock:
@@ -105,7 +114,7 @@ class GridBayes(StatefulProcessor):
             p /= p.sum() * (self.grid[1] - self.grid[0])
             clock = int(o.step)
             out.append((int(key[0]), clock, float(self.grid[p.argmax()]), float((self.grid * p).sum() / p.sum())))
-        self.state.update((pickle.dumps((held, clock)),))
+        self.state.update((_flat(held), clock))
         yield pd.DataFrame(out, columns=["series_id", "step", "x_map", "x_mean"])
 
     def close(self) -> None:
@@ -114,6 +123,7 @@ class GridBayes(StatefulProcessor):
 
 def stream_grid_bayes(obs: DataFrame, grid: np.ndarray, log_prior: np.ndarray, log_likelihood: Callable) -> DataFrame:
     """The posterior of one observation is the prior of the next; the most likely and the mean value after each."""
+    obs.sparkSession.streams.active  # noqa: B018  as above
     return obs.select("series_id", "step", "d").groupBy("series_id").transformWithStateInPandas(GridBayes(grid, log_prior, log_likelihood), outputStructType="series_id long, step long, x_map double, x_mean double", outputMode="Append", timeMode="None")
 
 
