@@ -9,50 +9,58 @@ from collections.abc import Callable
 import numpy as np
 
 
+def _t(x: np.ndarray) -> np.ndarray:
+    return np.swapaxes(x, -1, -2)
+
+
+def _noise(cdd: np.ndarray, m: int) -> np.ndarray:
+    return (m - 1) * cdd[..., None] * np.eye(cdd.shape[-1])
+
+
 def enkf_weights(y: np.ndarray, d: np.ndarray, cdd: np.ndarray) -> np.ndarray:
-    """X with Aa = Af + (Af - mean) X; y: q x m forecast observables, d: q x m perturbed observations, cdd: q."""
-    s = y - y.mean(axis=1, keepdims=True)
-    c = (y.shape[1] - 1) * np.diag(cdd) + s @ s.T
-    return s.T @ np.linalg.solve(c, d - y)
+    """X with Aa = Af + (Af - mean) X; y: q x m forecast observables, d: q x m perturbed observations, cdd: q. Leading axes: many at once."""
+    s = y - y.mean(axis=-1, keepdims=True)
+    return _t(s) @ np.linalg.solve(_noise(cdd, y.shape[-1]) + s @ _t(s), d - y)
 
 
 def ensrkf_weights(y: np.ndarray, d: np.ndarray, cdd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(w, T): Aa = mean + (Af - mean) w + (Af - mean) T, w for the mean (m), T the symmetric square root (m x m); d: q."""
-    m = y.shape[1]
-    s = y - y.mean(axis=1, keepdims=True)
-    lam, z = np.linalg.eigh((m - 1) * np.diag(cdd) + s @ s.T)
-    half = (z / np.sqrt(np.maximum(lam, 1e-300))).T @ s
-    w = half.T @ ((z / np.sqrt(np.maximum(lam, 1e-300))).T @ (d - y.mean(axis=1)))
+    """(w, T): Aa = mean + (Af - mean) w + (Af - mean) T, w for the mean (m), T the symmetric square root (m x m); d: q. Leading axes: many."""
+    m = y.shape[-1]
+    mean = y.mean(axis=-1, keepdims=True)
+    s = y - mean
+    lam, z = np.linalg.eigh(_noise(cdd, m) + s @ _t(s))
+    root = _t(z / np.sqrt(np.maximum(lam, 1e-300))[..., None, :])
+    half = root @ s
+    w = _t(half) @ (root @ (d[..., None] - mean))
     _, e, vt = np.linalg.svd(half, full_matrices=False)
     shrink = np.sqrt(np.clip(1 - e * e, 0, None)) - 1
-    return w, np.eye(m) + (vt.T * shrink) @ vt
+    return w[..., 0], np.eye(m) + (_t(vt) * shrink[..., None, :]) @ vt
 
 
 def rba_weights(y: np.ndarray, d: np.ndarray, cdd: np.ndarray, b: np.ndarray, jac: np.ndarray, k: float, cbb: np.ndarray | None = None, transposed: bool = True) -> np.ndarray:
     """Bias-regularised weights X; b: q bias, jac: q x q bias sensitivity. transposed=False is the variant with J in place of J^T in the residual."""
-    q, m = y.shape
-    s = y - y.mean(axis=1, keepdims=True)
-    ss, one = s @ s.T, np.eye(q)
-    ratio = one if cbb is None else np.diag(cdd / cbb)
-    j = jac
+    q, m = y.shape[-2:]
+    s = y - y.mean(axis=-1, keepdims=True)
+    ss, one = s @ _t(s), np.eye(q)
+    ratio = one if cbb is None else (cdd / cbb)[..., None] * one
     if transposed:
-        c = (m - 1) * np.diag(cdd) + (one + j.T) @ (one + j) @ ss + k * ratio @ j.T @ j @ ss
-        jr = j.T
+        jr = _t(jac)
+        c = _noise(cdd, m) + (one + jr) @ (one + jac) @ ss + k * ratio @ jr @ jac @ ss
     else:
-        c = (m - 1) * np.diag(cdd) + (one + j) @ ss @ (one + j).T + k * ratio @ j @ ss @ j.T
-        jr = j
-    biased = b[:, None]
+        jr = jac
+        c = _noise(cdd, m) + (one + jac) @ ss @ _t(one + jac) + k * ratio @ jac @ ss @ _t(jac)
+    biased = b[..., None]
     residual = (one + jr) @ (d - y - biased) - k * ratio @ jr @ np.broadcast_to(biased, y.shape)
-    return s.T @ np.linalg.solve(c, residual)
+    return _t(s) @ np.linalg.solve(c, residual)
 
 
 def apply_weights(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return rows + (rows - rows.mean(axis=1, keepdims=True)) @ x
+    return rows + (rows - rows.mean(axis=-1, keepdims=True)) @ x
 
 
 def apply_square_root(rows: np.ndarray, w: np.ndarray, t: np.ndarray) -> np.ndarray:
-    mean = rows.mean(axis=1, keepdims=True)
-    return mean + ((rows - mean) @ w)[:, None] + (rows - mean) @ t
+    mean = rows.mean(axis=-1, keepdims=True)
+    return mean + (rows - mean) @ w[..., None] + (rows - mean) @ t
 
 
 def inflated(rows: np.ndarray, rho: float) -> np.ndarray:

@@ -1,8 +1,9 @@
 """Ensemble Kalman analyses in two stages: weights from the observable rows of each (series, cycle), then a row-wise update.
 
 For the stochastic and the bias-regularised filters any row a becomes a + (a - mean) X with one m x m matrix X for a cycle; the square-root
-filter has a vector w and a matrix T. The first stage sees q x m numbers in each group, the second is a join on (series, cycle) and an
-array expression on each row, so the number of state rows has no bound. Scalar observations have closed forms in plain columns.
+filter has a vector w and a matrix T. The first stage sees q x m numbers in each group; the second joins weights to blocks of state rows, so
+the number of state rows has no bound. Scalar observations have closed forms in plain columns. Empty tables give empty results; rows of one
+(series, cycle) have equally many members; repeated rows are rows of their own.
 
 Packed rows: ``rows`` (series_id, cycle, row_id, kind, vals array<double>); ``obs`` (series_id, cycle, dim, d, cdd) where dim numbers the
 observable rows in order of row_id.
@@ -13,13 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from assimspark.functions import kernels
 
 WEIGHTS = "series_id long, cycle long, m int, x array<double>, w array<double>"
+#: State rows of one (series, cycle) that share a copy of its weights.
+BLOCK_ROWS = 256
 
 
 def pack(ens: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,43 +31,85 @@ def pack(ens: DataFrame, keys: list[str]) -> DataFrame:
     return ens.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "value"))), lambda s: s["value"]).alias("vals"))
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each list starts in them (one more number at the end)."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _as_lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([p.size for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *(p.ravel() for p in parts)])))
+
+
 def weights(rows: DataFrame, obs: DataFrame, method: str = "enkf", k: float = 1.0, perturb: bool = True, seed: int = 0) -> DataFrame:
-    """One row of weights for each (series, cycle). For rba methods obs also has b and jac (array: the row of the sensitivity), optionally cbb."""
+    """One row of weights for each (series, cycle). For rba methods obs also has b and jac (array: the row of the sensitivity), optionally cbb.
+
+    The q observable rows of a (series, cycle) are packed; cycles of equal shape in an Arrow batch are solved side by side. A cycle without
+    observations, or an observation without rows, gives no weights.
+    """
+    aware = method.startswith("rba")
+    extra = [c for c in ("b", "cbb", "jac") if aware and c in obs.columns]
     seen = rows.where("kind = 'obs'").select("series_id", "cycle", (F.row_number().over(Window.partitionBy("series_id", "cycle").orderBy("row_id")) - 1).alias("dim"), "vals")
-    met = seen.join(obs, ["series_id", "cycle", "dim"])
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dim")
-        y, d, cdd = np.stack(pdf["vals"].to_list()), pdf["d"].to_numpy(float), pdf["cdd"].to_numpy(float)
-        series, cycle, m = int(pdf["series_id"].iloc[0]), int(pdf["cycle"].iloc[0]), y.shape[1]
-        many = d[:, None] + (np.sqrt(cdd)[:, None] * kernels.perturbations(series, cycle, y.shape, seed) if perturb else 0)
-        w = np.zeros(0)
+    met = seen.join(obs.select("series_id", "cycle", "dim", "d", "cdd", *extra), ["series_id", "cycle", "dim"])
+    packed = met.groupBy("series_id", "cycle").agg(F.array_sort(F.collect_list(F.struct("dim", "vals", "d", "cdd", *extra))).alias("p"))
+    flat = lambda c: F.flatten(F.transform("p", lambda s: s[c])).cast("array<double>").alias(c)
+    plain = lambda c: F.transform("p", lambda s: s[c].cast("double")).alias(c)
+    columns = [flat("vals"), *(flat(c) if c == "jac" else plain(c) for c in ("d", "cdd", *extra))]
+
+    def solve(y: np.ndarray, d: np.ndarray, cdd: np.ndarray, more: dict[str, np.ndarray], noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        many = d[..., None] + np.sqrt(cdd)[..., None] * noise
+        none = np.zeros((len(y), 0))
         if method == "enkf":
-            x = kernels.enkf_weights(y, np.broadcast_to(many, y.shape), cdd)
-        elif method == "ensrkf":
+            return kernels.enkf_weights(y, many, cdd), none
+        if method == "ensrkf":
             w, x = kernels.ensrkf_weights(y, d, cdd)
-        else:
-            x = kernels.rba_weights(y, np.broadcast_to(many, y.shape), cdd, pdf["b"].to_numpy(float), np.stack(pdf["jac"].to_list()), k, pdf["cbb"].to_numpy(float) if "cbb" in pdf else None, method == "rba_enkf")
-        return pd.DataFrame({"series_id": [series], "cycle": [cycle], "m": [m], "x": [x.ravel()], "w": [w]})
-
-    return met.groupBy("series_id", "cycle").applyInPandas(work, WEIGHTS)
+            return x, w
+        return kernels.rba_weights(y, many, cdd, more["b"], more["jac"].reshape(*d.shape, d.shape[-1]), k, more.get("cbb"), method == "rba_enkf"), none
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {c: _lists(batch.column(c)) for c in ("vals", "d", "cdd", *extra)}
+            series, cycles = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("series_id", "cycle"))
+            q = np.diff(lists["d"][1])
+            m = np.diff(lists["vals"][1]) // np.maximum(q, 1)
+            x, w = [None] * len(q), [None] * len(q)
+            for shape in set(zip(q.tolist(), m.tolist())):
+                own = np.flatnonzero((q == shape[0]) & (m == shape[1]))
+                part = {c: np.stack([values[starts[i]:starts[i + 1]] for i in own]) for c, (values, starts) in lists.items()}
+                noise = np.stack([kernels.perturbations(int(series[i]), int(cycles[i]), shape, seed) for i in own]) if perturb and method != "ensrkf" else np.zeros((len(own), *shape))
+                xs, ws = solve(part["vals"].reshape(len(own), *shape), part["d"], part["cdd"], part, noise)
+                for i, a, b in zip(own, xs, ws):
+                    x[i], w[i] = a, b
+            yield pa.RecordBatch.from_arrays([batch.column("series_id"), batch.column("cycle"), pa.array(m.astype(np.int32)), _as_lists(x), _as_lists(w)], names=["series_id", "cycle", "m", "x", "w"])
+
+    return packed.select(F.col("series_id").cast("long"), F.col("cycle").cast("long"), *columns).mapInArrow(work, WEIGHTS)
 
 
 def apply(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """All rows updated by their cycle's weights; row by row, batched in Arrow."""
-    schema = rows.schema
-    names = rows.columns
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    """All rows updated by their cycle's weights: blocks of at most BLOCK_ROWS rows of a (series, cycle), one matrix product each.
+
+    Rows of a (series, cycle) without weights go, as in an inner join.
+    """
+    keys, rest = ["series_id", "cycle"], [c for c in rows.columns if c not in ("series_id", "cycle", "vals")]
+    number = F.row_number().over(Window.partitionBy(*keys, F.pmod(F.hash("row_id"), F.lit(64))).orderBy("row_id"))
+    block = F.struct(F.pmod(F.hash("row_id"), F.lit(64)), F.floor((number - 1) / BLOCK_ROWS)) if "row_id" in rest else F.lit(0)
+    packed = rows.withColumn("__block", block).groupBy(*keys, "__block").agg(F.collect_list(F.struct(*rest, "vals")).alias("__rows"))
+    met = packed.join(found.select(*keys, "m", "x", "w"), keys).select(*keys, "__rows", F.flatten(F.transform("__rows", lambda r: r["vals"])).alias("__v"), "m", "x", "w")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (v, v_at), (x, x_at), (w, w_at) = (_lists(batch.column(c)) for c in ("__v", "x", "w"))
             out = []
-            for vals, m, x, w in zip(pdf["vals"], pdf["m"], pdf["x"], pdf["w"]):
-                a = np.asarray(vals)[None]
-                t = np.asarray(x).reshape(m, m)
-                out.append((kernels.apply_square_root(a, np.asarray(w), t) if len(w) else kernels.apply_weights(a, t))[0])
-            yield pdf.assign(vals=out)[names]
-
-    return rows.join(found, ["series_id", "cycle"]).select(*names, "m", "x", "w").mapInPandas(work, schema)
+            for i, m in enumerate(batch.column("m").to_pylist()):
+                a, t, mean = v[v_at[i]:v_at[i + 1]].reshape(-1, m), x[x_at[i]:x_at[i + 1]].reshape(m, m), w[w_at[i]:w_at[i + 1]]
+                out.append(kernels.apply_square_root(a, mean, t) if len(mean) else kernels.apply_weights(a, t))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (*keys, "__rows", "m")] + [_as_lists(out)], names=[*keys, "__rows", "m", "__v"])
+
+    schema = StructType([*(met.schema[c] for c in (*keys, "__rows")), StructField("m", IntegerType()), StructField("__v", ArrayType(DoubleType()))])
+    done = met.mapInArrow(work, schema).select(*keys, "m", "__v", F.posexplode("__rows").alias("__i", "__r"))
+    after = F.slice("__v", F.col("__i") * F.col("m") + 1, F.col("m")).alias("vals")
+    return done.select(*keys, *(F.col(f"__r.`{c}`").alias(c) for c in rest), after).select(*rows.columns)
 
 
 def analyse(rows: DataFrame, obs: DataFrame, method: str = "enkf", **how) -> DataFrame:
