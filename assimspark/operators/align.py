@@ -7,21 +7,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assimspark.operators.timegrid import neighbours
+
 
 def interpolate_to(times: DataFrame, series: DataFrame, key: list[str], value: str = "y", fill: float | None = None) -> DataFrame:
     """Linear interpolation of a series (key, t, value) at times (key, t). Outside the series its first or last value holds, or ``fill``.
 
-    Union of both axes and one sort by (key, t); last and next samples come from window functions, so no range join is made."""
-    sample = "struct<t:double,y:double>"
-    left = times.select(*key, F.col("t").cast("double").alias("t"), F.lit(None).cast(sample).alias("__s"), F.lit(1).alias("__q"))
-    right = series.select(*key, F.col("t").cast("double").alias("t"), F.struct(F.col("t").cast("double").alias("t"), F.col(value).cast("double").alias("y")).alias("__s"), F.lit(0).alias("__q"))
-    w = Window.partitionBy(*key).orderBy("t", "__q")
-    both = left.unionByName(right)
-    both = both.withColumn("b", F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first("__s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    inner = F.when(F.col("b.t") == F.col("t"), F.col("b.y")).otherwise(F.col("b.y") + (F.col("a.y") - F.col("b.y")) * (F.col("t") - F.col("b.t")) / (F.col("a.t") - F.col("b.t")))
+    Both axes are stacked and sorted by (key, t), so no range join is made. Samples with a null value don't count; of samples at one time the
+    one with the largest value holds at and after it, the smallest before it. A series without samples gives null (or ``fill``), as does a
+    null t; repeated times give a row each; other columns are ignored.
+    """
+    y = F.col(f"`{value}`").cast("double")
+    left = times.select(*key, F.col("t").cast("double").alias("__t"), F.lit(1).alias("__q"), F.lit(None).cast("double").alias("__y"), F.lit(None).cast("struct<t:double,y:double>").alias("__s"))
+    right = series.where(F.col("t").isNotNull() & y.isNotNull()).select(*key, F.col("t").cast("double").alias("__t"), F.lit(0).alias("__q"), y.alias("__y"), F.struct(F.col("t").cast("double").alias("t"), y.alias("y")).alias("__s"))
+    both = neighbours(left.unionByName(right), key, ["__t", "__q", "__y"], "__t", "__s").where("__q = 1")
+    t, before, after = F.col("__t"), F.col("__b"), F.col("__a")
+    inner = F.when(before["t"] == t, before["y"]).otherwise(before["y"] + (after["y"] - before["y"]) * (t - before["t"]) / (after["t"] - before["t"]))
     edge = lambda c: c if fill is None else F.lit(float(fill))
-    out = F.when(F.col("b").isNull(), edge(F.col("a.y"))).when(F.col("a").isNull(), F.when(F.col("b.t") == F.col("t"), F.col("b.y")).otherwise(edge(F.col("b.y")))).otherwise(inner)
-    return both.where("__q = 1").select(*key, "t", out.alias(value))
+    out = F.when(before.isNull(), edge(after["y"])).when(after.isNull(), F.when(before["t"] == t, before["y"]).otherwise(edge(before["y"]))).otherwise(inner)
+    return both.select(*key, t.alias("t"), F.when(t.isNotNull(), out).alias(value))
 
 
 def pair_forecast_with_obs(forecast: DataFrame, obs: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,16 +12,41 @@ def nearest_step(df: DataFrame, t0: float | Column, name: str = "i", key: str =
     return df.groupBy(key).agg(F.min(F.struct(F.abs(F.col("t") - t0), F.col("step")))["step"].alias(name))
 
 
+#: Rows of a series that are sorted in one task; longer series are cut into blocks of about so many.
+BLOCK_ROWS = 1_000_000
+
+
+def neighbours(both: DataFrame, key: list[str], order: list[str], t: str, sample: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds __b, the last non-null ``sample`` of a row's series at or before the row, and __a, the first one after it, by ``order`` (t first).
+
+    Each block of a series is sorted forwards and backwards, with running windows only, so the work is linear in a series' length; what lies
+    beyond a block is carried over from the blocks' ends, one row for each block. A null t sorts first and is in the first block.
+    """
+    spans = both.groupBy(*key).agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"), F.ceil(F.count("*") / block_rows).alias("__n"))
+    place = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col(t) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col("__n")), F.col("__n") - 1))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
+    cut = both.alias("x").join(spans.alias("y"), same("x", "y")).select("x.*", F.coalesce(place, F.lit(0)).cast("long").alias("__k"))
+    ahead, back = ([F.col(c) for c in order], [F.col(c).desc() for c in order])
+    running = lambda by, how, end: Window.partitionBy(*by).orderBy(*how).rowsBetween(Window.unboundedPreceding, end)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    inside = cut.withColumn("__b", last(sample, running([*key, "__k"], ahead, 0))).withColumn("__a", last(sample, running([*key, "__k"], back, 0)))
+    at = F.when(F.col(sample).isNotNull(), F.struct(*order, sample))
+    ends = cut.groupBy(*key, "__k").agg(F.min(at)[sample].alias("__first"), F.max(at)[sample].alias("__last"))
+    ends = ends.select(*key, "__k", last("__last", running(key, [F.col("__k")], -1)).alias("__before"), last("__first", running(key, [F.col("__k").desc()], -1)).alias("__after"))
+    met = inside.alias("x").join(ends.alias("y"), [*same("x", "y"), F.col("x.__k") == F.col("y.__k")])
+    return met.select(*(F.col(f"x.`{c}`") for c in both.columns), F.coalesce("x.__b", "y.__before").alias("__b"), F.coalesce("x.__a", "y.__after").alias("__a"))
+
+
 def nearest_samples(df: DataFrame, times: DataFrame, key: str = "series_id") -> DataFrame:
     """The sample nearest to each of many times (series_id, tx): the last one at or before it and the first one after it are compared.
 
-    One sort of both tables by (series, time); nothing is joined by range."""
-    left = times.select(key, F.col("tx").alias("__t"), F.lit(1).alias("__q"), F.lit(None).cast("struct<t:double,step:bigint>").alias("__s"))
-    right = df.select(key, F.col("t").alias("__t"), F.lit(0).alias("__q"), F.struct(F.col("t").cast("double").alias("t"), F.col("step").cast("long").alias("step")).alias("__s"))
-    w = Window.partitionBy(key).orderBy("__t", "__q", F.col("__s.step"))
-    back = F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = left.unionByName(right).withColumn("__b", back).withColumn("__a", ahead).where("__q = 1")
+    The earlier of two at the same distance counts, and of samples at one time the one with the highest step before it, the lowest after it.
+    A series without samples gives null step and t; repeated times give a row each; other columns are ignored. Nothing is joined by range.
+    """
+    sample = F.struct(F.col("t").cast("double").alias("t"), F.col("step").cast("long").alias("step"))
+    left = times.select(key, F.col("tx").cast("double").alias("__t"), F.lit(1).alias("__q"), F.lit(None).cast("long").alias("__o"), F.lit(None).cast("struct<t:double,step:bigint>").alias("__s"))
+    right = df.select(key, F.col("t").cast("double").alias("__t"), F.lit(0).alias("__q"), F.col("step").cast("long").alias("__o"), sample.alias("__s"))
+    both = neighbours(left.unionByName(right), [key], ["__t", "__q", "__o"], "__t", "__s").where("__q = 1")
     pick = F.when(F.col("__a").isNull() | (F.col("__t") - F.col("__b.t") <= F.col("__a.t") - F.col("__t")), F.col("__b")).otherwise(F.col("__a"))
     return both.select(key, F.col("__t").alias("tx"), F.coalesce(pick, F.col("__a")).alias("s")).select(key, "tx", "s.step", "s.t")
 
