@@ -45,38 +45,57 @@ def reservoir_states(series: DataFrame, model: Reservoir, n_wash: int = 0) -> Da
     return series.select("series_id", "u").mapInPandas(work, "series_id long, step long, r array<double>, u_next array<double>")
 
 
-def partial_grams(series: DataFrame, models: list[Reservoir], n_wash: int, n_train: int) -> DataFrame:
-    """(model, i, j, v): sums over all series of R'R and R'Y (columns after the units + 1 states), added up within a task first."""
+def partial_grams(series: DataFrame, models: list[Reservoir], n_wash: int, n_train: int, tasks: int = 16) -> dict[int, np.ndarray]:
+    """For each model the sum over all series of R'R and R'Y (columns after the units + 1 states).
+
+    A task adds up its series and gives one matrix for each model, as bytes; a few tasks add those, and the driver adds the ``tasks`` sums of
+    each model. Series shorter than the washout add nothing; without series there are no sums.
+    """
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for k, raw, width in zip(pdf["model"], pdf["g"], pdf["width"]):
+                g = np.frombuffer(raw).reshape(-1, width)
+                sums[k] = sums[k] + g if k in sums else g
+        if sums:
+            yield pd.DataFrame({"model": list(sums), "width": [g.shape[1] for g in sums.values()], "g": [g.tobytes() for g in sums.values()]})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for u in pdf["u"]:
                 u = np.stack(u)[:n_train]
+                if len(u) < n_wash + 2:
+                    continue
                 for k, model in enumerate(models):
                     r = states_of(u[:-1], model)[n_wash:]
                     r = np.hstack((r, np.full((len(r), 1), kernels.OUTPUT_BIAS)))
                     g = r.T @ np.hstack((r, u[n_wash + 1:]))
-                    totals[k] = totals[k] + g if k in totals else g
-        for k, g in totals.items():
-            i, j = np.indices(g.shape)
-            yield pd.DataFrame({"model": k, "i": i.ravel(), "j": j.ravel(), "v": g.ravel()})
+                    sums[k] = sums[k] + g if k in sums else g
+        if sums:
+            yield pd.DataFrame({"model": list(sums), "width": [g.shape[1] for g in sums.values()], "g": [g.tobytes() for g in sums.values()]})
 
-    return series.select("u").mapInPandas(work, "model int, i int, j int, v double").groupBy("model", "i", "j").agg(F.sum("v").alias("v"))
+    kind = "model int, width int, g binary"
+    rows = series.select("u").mapInPandas(work, kind).repartition(tasks).mapInPandas(total, kind).collect()  # at most tasks x models rows
+    found: dict[int, np.ndarray] = {}
+    for r in rows:
+        g = np.frombuffer(r["g"]).reshape(-1, r["width"])
+        found[r["model"]] = found[r["model"]] + g if r["model"] in found else g
+    return found
 
 
-def solve_readout(rows: list, units: int, tikh: float) -> np.ndarray:
-    n = units + 1
-    g = np.zeros((n, 1 + max(r["j"] for r in rows)))
-    for r in rows:
-        g[r["i"], r["j"]] = r["v"]
-    return np.linalg.solve(g[:, :n] + tikh * np.eye(n), g[:, n:])
+def solve_readout(gram: np.ndarray, tikh: float) -> np.ndarray:
+    n = len(gram)
+    return np.linalg.solve(gram[:, :n] + tikh * np.eye(n), gram[:, n:])
 
 
 def fit_readout(series: DataFrame, model: Reservoir, n_wash: int, n_train: int, tikh: float) -> Reservoir:
     """Ridge regression of the next sample on [r; 1]. The driver sees (units + 1) x (units + 1 + dims) sums, whatever the number of series."""
-    rows = partial_grams(series, [model], n_wash, n_train).collect()
-    return replace(model, wout=solve_readout(rows, len(model.w), tikh))
+    grams = partial_grams(series, [model], n_wash, n_train)
+    if not grams:
+        raise ValueError(f"no series has the {n_wash + 2} samples that a fit needs")
+    return replace(model, wout=solve_readout(grams[0], tikh))
 
 
 def closed_loop(model: Reservoir, r: np.ndarray, n: int) -> np.ndarray:
@@ -106,10 +125,8 @@ def search_hyperparameters(series: DataFrame, model: Reservoir, grid: list[tuple
     Grams are summed once for each grid point and serve all tikh values. Validation folds shift by (n_train - n_val - n_wash) // (n_folds - 1);
     a fold that isn't finite costs 10 n_folds."""
     models = [replace(model, rho=a, sigma=b) for a, b in grid]
-    rows: dict[int, list] = {}
-    for r in partial_grams(series, models, n_wash, n_train).collect():  # (units + 1)(units + 1 + dims) numbers for each grid point
-        rows.setdefault(r["model"], []).append(r)
-    fitted = [(k, t, replace(models[k], wout=solve_readout(rows[k], len(model.w), t))) for k in rows for t in tikhs]
+    grams = partial_grams(series, models, n_wash, n_train)
+    fitted = [(k, t, replace(models[k], wout=solve_readout(grams[k], t))) for k in sorted(grams) for t in tikhs]
     shift = max((n_train - n_val - n_wash) // max(n_folds - 1, 1), 1)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +150,8 @@ def search_hyperparameters(series: DataFrame, model: Reservoir, grid: list[tuple
 
 
 def best_hyperparameters(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.min(F.struct("score", "rho", "sigma", "tikh")).alias("x")).select("x.*")
+    """The row of smallest score; of equals that of the smallest rho, sigma, tikh. No scores, no row."""
+    return scores.agg(F.min(F.struct("score", "rho", "sigma", "tikh")).alias("x")).where("x is not null").select("x.*")
 
 
 def jacobians(states: DataFrame, model: Reservoir) -> DataFrame:

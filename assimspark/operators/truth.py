@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import math
 
@@ -86,36 +86,84 @@ def smooth(grid: np.ndarray, sigma: float) -> np.ndarray:
     return grid
 
 
+def _powers(colour: str, f2: np.ndarray) -> np.ndarray:
+    """The squared filter at squared frequencies; the constant part (0) is left out."""
+    exponent = {"white": 0.0, "pink": -0.5, "brown": -1.0, "blue": 0.5, "violet": 1.0}[colour]
+    return np.where(f2 > 0, np.where(f2 > 0, f2, 1.0) ** exponent, 0.0)
+
+
+def _frequencies(n: int) -> np.ndarray:
+    return np.fft.fftfreq(n) ** 2
+
+
+def colour_field(noise: DataFrame, colour: str, value: str = "__n") -> DataFrame:
+    """White noise (step, comp, ix, iy, value) filtered over all three axes of each component, to unit RMS of all but the constant part.
+
+    The transform goes axis by axis: the grid of one snapshot, then one grid frequency over all steps, filtered and taken back, then
+    snapshots again. So a task holds one snapshot or one time series, never a whole component. Missing points count as zero.
+    """
+    spark, kinds = noise.sparkSession, dict(noise.dtypes)
+    sizes = noise.groupBy("comp").agg(F.countDistinct("step").alias("nt"), *(f(c).alias(f"{n}_{c}") for c in ("ix", "iy") for n, f in (("lo", F.min), ("hi", F.max)))).collect()  # one row for each component
+    shape = {r["comp"]: (r["nt"], r["hi_ix"] - r["lo_ix"] + 1, r["hi_iy"] - r["lo_iy"] + 1) for r in sizes}
+    low = {r["comp"]: (r["lo_ix"], r["lo_iy"]) for r in sizes}
+
+    def energy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            nt, nx, ny = shape_now
+            each = [_powers(colour, _frequencies(nt) + _frequencies(nx)[k // ny] + _frequencies(ny)[k % ny]).sum() for k in pdf["id"]]
+            yield pd.DataFrame({"e": each})
+
+    scale = {}
+    for comp, shape_now in shape.items():
+        n = int(np.prod(shape_now))
+        total = spark.range(shape_now[1] * shape_now[2]).mapInPandas(energy, "e double").agg(F.sum("e")).first()[0]
+        scale[comp] = np.sqrt(total / (n - 1)) if n > 1 and total else 1.0
+
+    def ahead(pdf: pd.DataFrame) -> pd.DataFrame:
+        comp = pdf["comp"].iloc[0]
+        _, nx, ny = shape[comp]
+        g = np.zeros((nx, ny))
+        g[pdf["ix"].to_numpy() - low[comp][0], pdf["iy"].to_numpy() - low[comp][1]] = pdf[value].to_numpy()
+        z = np.fft.fft2(g).ravel()
+        return pd.DataFrame({"step": pdf["step"].iloc[0], "comp": comp, "k": np.arange(nx * ny), "re": z.real, "im": z.imag})
+
+    def in_time(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step", kind="stable")
+        comp, k = pdf["comp"].iloc[0], int(pdf["k"].iloc[0])
+        nt, nx, ny = shape[comp]
+        f2 = _frequencies(nt) + _frequencies(nx)[k // ny] + _frequencies(ny)[k % ny]
+        z = np.fft.ifft(np.fft.fft(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()) * np.sqrt(_powers(colour, f2)) / scale[comp])
+        return pdf.assign(re=z.real, im=z.imag)
+
+    def back(key: tuple, points: pd.DataFrame, waves: pd.DataFrame) -> pd.DataFrame:
+        if not len(points):
+            return points
+        comp = key[1]
+        _, nx, ny = shape[comp]
+        waves = waves.sort_values("k")
+        g = np.fft.ifft2((waves["re"].to_numpy() + 1j * waves["im"].to_numpy()).reshape(nx, ny)).real
+        return points.assign(**{value: g[points["ix"].to_numpy() - low[comp][0], points["iy"].to_numpy() - low[comp][1]]})
+
+    wave = f"step {kinds['step']}, comp {kinds['comp']}, k long, re double, im double"
+    waves = noise.groupBy("step", "comp").applyInPandas(ahead, wave).groupBy("comp", "k").applyInPandas(in_time, wave)
+    return noise.groupBy("step", "comp").cogroup(waves.groupBy("step", "comp")).applyInPandas(back, noise.schema)
+
+
 def add_field_noise(field: DataFrame, level: float, colour: str = "white", smoothing: float = 0.0, seed: int = 0) -> DataFrame:
     """Noise for (step, comp, ix, iy, value): level times the largest magnitude of all components. White noise is a column expression;
-    smoothing runs on one snapshot at a time, a colour on one component at a time (it needs all axes)."""
+    smoothing runs on one snapshot at a time, a colour axis by axis. Null values stay null; an empty field gives no rows."""
     scale = field.agg(F.max(F.abs("value")).alias("__max"))
     point = F.col("comp") * 1_000_003 + F.col("ix") * 1009 + F.col("iy")
     noise = field.withColumn("__n", keyed_normal(point, F.col("step"), seed))
 
-    def grid_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def blur(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["ix"].to_numpy() - pdf["ix"].min(), pdf["iy"].to_numpy() - pdf["iy"].min()
         g = np.zeros((i.max() + 1, j.max() + 1))
         g[i, j] = pdf["__n"].to_numpy()
-        return g, i, j
-
-    def paint(pdf: pd.DataFrame) -> pd.DataFrame:
-        axes = [np.unique(pdf[c], return_inverse=True)[1] for c in ("step", "ix", "iy")]
-        g = np.zeros([a.max() + 1 for a in axes])
-        g[tuple(axes)] = pdf["__n"].to_numpy()
-        f = np.sqrt(sum(np.meshgrid(*(np.fft.fftfreq(n) ** 2 for n in g.shape), indexing="ij")))
-        with np.errstate(divide="ignore"):
-            s = {"white": np.ones_like(f), "pink": f ** (-0.5), "brown": 1 / f, "blue": np.sqrt(f), "violet": f}[colour]
-        s.flat[0] = 0
-        s /= np.sqrt(np.mean(s.ravel()[1:] ** 2)) if s.size > 1 else 1
-        return pdf.assign(__n=np.fft.ifftn(np.fft.fftn(g) * s).real[tuple(axes)])
-
-    def blur(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, i, j = grid_of(pdf)
         return pdf.assign(__n=smooth(g, smoothing)[i, j])
 
     if colour != "white":
-        noise = noise.groupBy("comp").applyInPandas(paint, noise.schema)
+        noise = colour_field(noise, colour)
     if smoothing:
         noise = noise.groupBy("step", "comp").applyInPandas(blur, noise.schema)
     return noise.crossJoin(F.broadcast(scale)).withColumn("value", F.col("value") + F.lit(level) * F.col("__max") * F.col("__n")).drop("__n", "__max")  # one row

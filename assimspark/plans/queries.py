@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assimspark.functions import maps, noise
+from assimspark.functions.kernels import random_reservoir
 from assimspark.functions.storage import new_folder
 from assimspark.operators import align, ensemble, fields, filters, metrics, reservoir, timegrid, truth
 from assimspark.plans import cycle, inputs
@@ -144,6 +146,11 @@ def b6_field_noise_smooth(spark, sf):
     return truth.add_field_noise(inputs.field(spark, sf), 0.1, smoothing=1.0, seed=1).select("step", "point_id", R("value", 5).alias("value"))
 
 
+@query()
+def b6_field_noise_coloured(spark, sf):
+    return truth.add_field_noise(inputs.field(spark, sf), 0.1, "pink", seed=1).select("step", "point_id", R("value", 5).alias("value"))
+
+
 @query(f"with {SIG} select series_id, step, round(y + 0.05::double * stddev_pop(y) over (partition by series_id, dim) * {noise.normal_sql('series_id * 64 + dim', 'step', 5)}, 5) as y from sig")
 def b7_std_noise(spark, sf):
     return truth.add_std_noise(inputs.signals(spark, sf), 0.05, seed=5).select("series_id", "step", R("y", 5).alias("y"))
@@ -377,7 +384,6 @@ def s1_best_run(spark, sf):
 @query()
 def s2_rank_sensors(spark, sf):
     modes, _, _ = fields.pod_by_points(inputs.field(spark, sf), 4)
-    modes = modes.cache()
     return spark.createDataFrame(list(enumerate(fields.rank_sensors(modes, 4))), "rank long, point_id long")
 
 
@@ -669,6 +675,72 @@ def h8_h11_bias_blind_and_post_forecast(spark, sf):
     return out.where("cycle = -1").select("series_id", "step", R(F.col("y_mean")[0], 4).alias("y_mean"))
 
 
+def _bias_aware(spark, sf):
+    """Users as series whose observations are their event values, all after the washout; and a bias network trained on their anomalies."""
+    s = inputs.signals(spark, sf)
+    start, obs = _twin(spark, sf)
+    anomalies = s.select("series_id", "step", "dim", (F.col("y") - 50).alias("y"))
+    net = reservoir.fit_readout(reservoir.pack_series(anomalies), _net(), 5, 40, 1e-1)
+    early = s.where("step between 1 and 9 and step % 2 = 1").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("step", F.array("y").alias("d")))).alias("wash"))
+    return start.join(early, "series_id"), obs.where("step >= 10"), replace(net, upsample=2)
+
+
+@query()
+def h6_h7_bias_aware(spark, sf):
+    start, obs, net = _bias_aware(spark, sf)
+    configs = spark.createDataFrame([(0, "rba_enkf", 1, 2), (1, "rba_enkf_cmame", 0, 0)], "config_id long, method string, n_blind int, extra_steps int")
+    out = cycle.assimilate(start, obs, configs, decay, 1, cycle.Config(dt=0.1, k=2.0), bias=net)
+    return out.select("series_id", "config_id", "cycle", "step", *(R(F.col(c)[0], 4).alias(c) for c in ("y_mean", "innovation", "bias", "param_mean")))
+
+
+@query()
+def w_bias_aware_sweep(spark, sf):
+    """The sweep as a whole: every filter and regularisation factor on every series, errors of the biased and the unbiased estimate, the best cell of each series."""
+    start, obs, net = _bias_aware(spark, sf)
+    cells = [(i, m, k) for i, (m, k) in enumerate([("enkf", 0.0), ("ensrkf", 0.0), ("rba_enkf", 0.5), ("rba_enkf", 2.0), ("rba_enkf", 8.0)])]
+    out = cycle.assimilate(start, obs, spark.createDataFrame(cells, "config_id long, method string, k double"), decay, 1, cycle.Config(dt=0.1), bias=net)
+    runs = out.join(obs.select("series_id", "cycle", F.col("d")[0].alias("y")), ["series_id", "cycle"]).select("series_id", "config_id", "y", F.lit(0).alias("dim"), F.col("forecast_mean")[0].alias("biased"), (F.col("forecast_mean")[0] + F.col("bias")[0]).alias("unbiased"))
+    errors = metrics.rms_per_step(runs, ["series_id", "config_id"], estimates=("biased", "unbiased"))
+    best = errors.groupBy("series_id").agg(F.min(F.struct((F.col("rms_biased") + F.col("rms_unbiased")).alias("score"), "config_id"))["config_id"].alias("best"))
+    return errors.join(best, "series_id").select("series_id", "config_id", R("rms_biased", 4).alias("rms_biased"), R("rms_unbiased", 4).alias("rms_unbiased"), (F.col("config_id") == F.col("best")).alias("is_best"))
+
+
+@query()
+def w_field_assimilation(spark, sf):
+    """A field as a whole: modes of all snapshots, a network on their coefficients (one series for each label), sensors by rank, forecasts of an
+    ensemble from each series' washout, the analysis of the coefficients by the sensors' values, and the field's error before and after it."""
+    n_modes, n_wash, n_ahead, m = 4, 8, 3, 12
+    field = inputs.field(spark, sf).select("step", "point_id", "value")
+    modes, sigma, _ = fields.pod_by_points(field, n_modes)
+    steps = inputs.table(spark, sf, "embeddings").select(F.col("vec_id").alias("step"), F.col("label").cast("long").alias("series_id"))
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy("step")) - 1
+    phi = fields.project(field, modes, sigma.tolist()).join(steps.withColumn("place", place), "step")
+    scaled = phi.select("series_id", F.col("place").cast("long").alias("step"), F.col("mode").alias("dim"), (F.col("phi") * math.sqrt(max(field.select("step").distinct().count(), 1))).alias("y"))
+    series = reservoir.pack_series(scaled)
+    w, win = random_reservoir(40, n_modes, 3, 2)
+    net = reservoir.fit_readout(series, cycle.Reservoir(w, win, None, np.ones(n_modes), 0.7, 0.4), n_wash, 10_000, 1e-1)
+    members = series.where(F.size("u") > n_wash + n_ahead).withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    jitter = lambda x, i, j: x + 0.3 * noise.keyed_normal(F.col("series_id") * 1009 + F.col("window"), i * 64 + j, 4)
+    starts = members.select("series_id", "window", F.transform(F.slice("u", 1, n_wash + 1), lambda v, i: F.transform(v, lambda x, j: jitter(x, i, j))).alias("u"))
+    ahead = reservoir.closed_loop_forecast(starts, net, n_ahead).where(F.col("step") == n_ahead - 1)
+    state = ahead.select("series_id", F.col("window").alias("member"), F.posexplode("y").alias("row_id", "value"))
+    sensors = fields.rank_sensors(modes, 6)
+    seen = modes.where(F.col("point_id").isin([int(p) for p in sensors]))
+    scale = F.array(*(F.lit(float(x) / math.sqrt(max(field.select("step").distinct().count(), 1))) for x in sigma))
+    dot = lambda coeffs: F.col("q_mean") + F.aggregate(F.zip_with("psi", F.zip_with(coeffs, scale, lambda c, x: c * x), lambda p, c: p * c), F.lit(0.0), lambda a, x: a + x)
+    at_sensors = ahead.crossJoin(F.broadcast(seen)).select("series_id", F.col("window").alias("member"), (F.col("point_id") + n_modes).cast("int").alias("row_id"), dot("y").alias("value"))  # 6 sensors
+    rows = filters.pack(state.withColumn("kind", F.lit("state")).unionByName(at_sensors.withColumn("kind", F.lit("obs"))).withColumn("cycle", F.lit(0).cast("long")), ["series_id", "cycle", "row_id", "kind"])
+    when = steps.withColumn("place", place).where(F.col("place") == n_wash + n_ahead).select("step", "series_id")
+    truth_ = field.join(when, "step").select("series_id", "point_id", "value")
+    dims = Window.partitionBy("series_id").orderBy("point_id")
+    obs = truth_.where(F.col("point_id").isin([int(p) for p in sensors])).select("series_id", F.lit(0).cast("long").alias("cycle"), (F.row_number().over(dims) - 1).alias("dim"), F.col("value").alias("d"), F.lit(1e-4).alias("cdd"))
+    after = filters.analyse(rows, obs, "ensrkf")
+    coeffs = lambda df, name: df.where("kind = 'state'").select("series_id", "row_id", (F.aggregate("vals", F.lit(0.0), lambda a, x: a + x) / F.size("vals")).alias("v")).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "v"))), lambda x: x["v"]).alias(name))
+    both = coeffs(rows, "before").join(coeffs(after, "after"), "series_id")
+    values = truth_.join(modes, "point_id").join(both, "series_id").select("series_id", F.col("value").alias("y"), dot("before").alias("before"), dot("after").alias("after"), F.col("point_id").isin([int(p) for p in sensors]).alias("seen"))
+    return metrics.rms_per_step(values, ["series_id", "seen"], estimates=("before", "after")).select("series_id", "seen", R("rms_before", 3).alias("rms_before"), R("rms_after", 3).alias("rms_after"))
+
+
 @query()
 def h12_rejected_analyses(spark, sf):
     start, obs = _twin(spark, sf)
@@ -695,8 +767,6 @@ def h10_forecast_mean(spark, sf):
 
 
 def _net(units: int = 30) -> cycle.Reservoir:
-    from assimspark.functions.kernels import random_reservoir
-
     w, win = random_reservoir(units, 1, 3, 5)
     return cycle.Reservoir(w, win, None, np.array([100.0]), 0.8, 0.5)
 
@@ -825,14 +895,17 @@ def k1_k2_k5_stream_assimilate(spark, sf):
     return _run_stream(out, "stream-cycles").select("series_id", "step", "cycle", R(F.col("y_mean")[0], 4).alias("y_mean"), "n_dropped")
 
 
-@query()
+_K3 = "r as (select user_id as series_id, event_id as step, x, -0.5::double * power((x - 40) / 30, 2) + sum(-0.5::double * power((x - value) / 20, 2)) over (partition by user_id, x order by event_id) as lw from events, g), w as (select *, exp(lw - max(lw) over (partition by series_id, step)) as w from r)"
+
+
+@query(f"with g as (select unnest(range(41)) * 2.5::double as x), {_K3} select series_id, step, arg_max(x, w) as x_map, round(sum(x * w) / sum(w) + {OFF_TIES}::double, 4) as x_mean from w group by series_id, step")
 def k3_stream_grid_bayes(spark, sf):
     from assimspark.streaming.assimilate import stream_grid_bayes
 
     grid = np.linspace(0, 100, 41)
     obs = _event_stream(spark, sf).select(F.col("user_id").alias("series_id"), F.col("event_id").alias("step"), F.col("value").alias("d"))
     out = stream_grid_bayes(obs, grid, -0.5 * ((grid - 40) / 30) ** 2, log_likelihood)
-    return _run_stream(out, "stream-bayes").select("series_id", "step", "x_map", R("x_mean", 4).alias("x_mean"))
+    return _run_stream(out, "stream-bayes").select("series_id", "step", "x_map", R(F.col("x_mean") + OFF_TIES, 4).alias("x_mean"))
 
 
 def log_likelihood(x, d):
