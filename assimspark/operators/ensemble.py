@@ -1,4 +1,8 @@
-"""Ensembles in long form (series_id, step, row_id, kind, name, member, value): creation, inflation, bounds, stuck members."""
+"""Ensembles in long form (series_id, step, row_id, kind, name, member, value): creation, inflation, bounds, stuck members.
+
+Null values don't count in means, deviations and ranges and are outside no bound; repeated rows count each time; empty tables give no rows;
+other columns pass through inflate and are ignored elsewhere.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assimspark.functions.names import own_names
 from assimspark.functions.noise import keyed_normal, keyed_uniform
 
 
@@ -28,13 +33,15 @@ def inflate(ens: DataFrame, rho: float, guarded_rows: str | None = None) -> Data
     """mean + rho (x - mean) for each (series, step, row). With ``guarded_rows`` (a condition, such as "kind = 'param'") a whole state stays
     as it is when any of those rows has deviation / mean above 1 (a negative mean never trips it)."""
     w = Window.partitionBy("series_id", "step", "row_id")
-    out = ens.withColumn("__m", F.avg("value").over(w))
+    mean, mine = F.avg("value").over(w), own_names(ens, "mean", "wide", "skip")
+    out = ens.withColumn(mine["mean"], mean)
+    rho_col = F.lit(rho)
     if guarded_rows is not None:
-        wide = F.expr(guarded_rows) & (F.coalesce(F.stddev_pop("value").over(w) / F.nullif(F.col("__m"), F.lit(0.0)), F.lit(0.0)) > 1)
-        out = out.withColumn("__wide", wide)
-        out = out.withColumn("__skip", F.max(F.col("__wide").cast("int")).over(Window.partitionBy("series_id", "step")))
-    rho_col = F.lit(rho) if guarded_rows is None else F.when(F.col("__skip") == 1, F.lit(1.0)).otherwise(F.lit(rho))
-    return out.withColumn("value", F.col("__m") + rho_col * (F.col("value") - F.col("__m"))).drop("__m", "__wide", "__skip")
+        wide = F.expr(guarded_rows) & (F.coalesce(F.stddev_pop("value").over(w) / F.nullif(F.col(mine["mean"]), F.lit(0.0)), F.lit(0.0)) > 1)
+        out = out.withColumn(mine["wide"], wide)
+        out = out.withColumn(mine["skip"], F.max(F.col(mine["wide"]).cast("int")).over(Window.partitionBy("series_id", "step")))
+        rho_col = F.when(F.col(mine["skip"]) == 1, F.lit(1.0)).otherwise(F.lit(rho))
+    return out.withColumn("value", F.col(mine["mean"]) + rho_col * (F.col("value") - F.col(mine["mean"]))).drop(*mine.values())
 
 
 def out_of_bounds(ens: DataFrame, limits: DataFrame) -> DataFrame:
@@ -45,16 +52,20 @@ def out_of_bounds(ens: DataFrame, limits: DataFrame) -> DataFrame:
 
 def fixed_points(ens: DataFrame, n_cr: int, tol: float = 0.1) -> DataFrame:
     """(series_id, member, fixed): members whose range over the last n_cr steps is below tol in every row."""
-    last = F.max("step").over(Window.partitionBy("series_id"))
-    spans = ens.withColumn("__l", last).where(F.col("step") > F.col("__l") - n_cr).groupBy("series_id", "member", "row_id").agg((F.max("value") - F.min("value")).alias("span"))
+    last = ens.groupBy("series_id").agg(F.max("step").alias("__last"))
+    spans = ens.select("series_id", "member", "row_id", "step", "value").join(last, "series_id").where(F.col("step") > F.col("__last") - n_cr).groupBy("series_id", "member", "row_id").agg((F.max("value") - F.min("value")).alias("span"))
     return spans.groupBy("series_id", "member").agg((F.max("span") < tol).alias("fixed"))
 
 
-def drop_fixed(members: DataFrame, m: int) -> DataFrame:
-    """Members to keep: with 20 % or more fixed, int(0.2 m) + 1 of those (lowest numbers) and all others; else only the others."""
+def drop_fixed(members: DataFrame, m: int | None = None) -> DataFrame:
+    """Members to keep: with 20 % or more of m fixed, int(0.2 m) + 1 of those (lowest numbers) and all others; else only the others.
+
+    Without ``m`` it is each series' own number of members.
+    """
+    of_all = F.count("*").over(Window.partitionBy("series_id")) if m is None else F.lit(m)
     n_fixed = F.sum(F.col("fixed").cast("long")).over(Window.partitionBy("series_id"))
     rank = F.row_number().over(Window.partitionBy("series_id", "fixed").orderBy("member"))
-    keep = ~F.col("fixed") | ((n_fixed >= 0.2 * m) & (rank <= int(0.2 * m) + 1))
+    keep = ~F.col("fixed") | ((n_fixed >= 0.2 * of_all) & (rank <= F.floor(0.2 * of_all) + 1))
     return members.withColumn("keep", keep)
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assimspark.functions.sums import sum_matrices
+
 
 def cut_domain(field: DataFrame, box: tuple[float, float, float, float], origin: tuple[float, float], spacing: tuple[float, float], stride: tuple[int, int] = (1, 1)) -> DataFrame:
     """Points of a physical box [x0, x1, y0, y1], every stride-th along each axis of the cut, with new indices jx, jy. Arithmetic on the
@@ -29,30 +31,31 @@ def remove_mean(rows: DataFrame) -> DataFrame:
     return rows.withColumn("q_mean", mean).withColumn("snaps", F.transform("snaps", lambda x: x - F.col("q_mean")))
 
 
-def gram(rows: DataFrame) -> DataFrame:
-    """(i, j, v): the snapshot Gram matrix Q'Q, upper triangle; one matrix product a batch, summed within a task and then by key."""
+#: The longest side of a matrix whose eigenvectors the driver finds.
+MOST_SIDE = 8192
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for pdf in batches:
-            if len(pdf):
-                q = np.stack(pdf["snaps"].to_list())
-                total = q.T @ q if total is None else total + q.T @ q
-        if total is not None:
-            i, j = np.triu_indices(len(total))
-            yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
 
-    return rows.select("snaps").mapInPandas(work, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+def gram(rows: DataFrame) -> np.ndarray:
+    """The snapshot Gram matrix Q'Q: one matrix product a batch, summed within tasks first (0 x 0 without points)."""
+
+    def each(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
+        q = np.stack(pdf["snaps"].to_list())
+        return {0: q.T @ q}
+
+    return sum_matrices(rows.select("snaps"), each).get(0, np.zeros((0, 0)))
 
 
 def pod(rows: DataFrame, n_modes: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(modes: point_id, q_mean, psi; phi: steps x modes; sigma). The driver sees snapshots^2 numbers, never points."""
+    """(modes: point_id, q_mean, psi; phi: steps x modes; sigma), for few snapshots of many points (else pod_by_points).
+
+    Tasks and the driver see snapshots^2 numbers, never points; more than MOST_SIDE snapshots, or rows of different lengths, are refused.
+    Repeated points count each time; without points there are no modes.
+    """
     fluctuation = remove_mean(rows)
-    found = gram(fluctuation).collect()
-    n = 1 + max(r["j"] for r in found)
-    k = np.zeros((n, n))
-    for r in found:
-        k[r["i"], r["j"]] = k[r["j"], r["i"]] = r["v"]
+    sizes = rows.agg(F.min(F.size("snaps")), F.max(F.size("snaps"))).first()
+    if sizes[0] != sizes[1] or (sizes[1] or 0) > MOST_SIDE:
+        raise ValueError(f"points have {sizes[0]} to {sizes[1]} snapshots; all need the same number, {MOST_SIDE} at most")
+    k = gram(fluctuation)
     lam, vec = np.linalg.eigh(k)
     pick = np.argsort(-lam)[:n_modes]
     sigma, phi = np.sqrt(np.maximum(lam[pick], 0)), vec[:, pick]
@@ -69,31 +72,27 @@ def pod(rows: DataFrame, n_modes: int) -> tuple[DataFrame, np.ndarray, np.ndarra
 def pod_by_points(field: DataFrame, n_modes: int) -> tuple[DataFrame, np.ndarray, int]:
     """(modes: point_id, q_mean, psi; sigma; number of snapshots), for fields of fewer points than snapshots. field: step, point_id, value.
 
-    The points' covariance is summed over packed snapshots within a task and then by key, so the driver and each task see points^2 numbers
-    however many snapshots there are. Coefficients come from project(). Every snapshot needs all points."""
+    The points' covariance is summed over packed snapshots within tasks first, so the driver and each task see points^2 numbers however many
+    snapshots there are; more than MOST_SIDE points are refused. Coefficients come from project(). Every snapshot needs all points, once
+    each; an empty field has no modes."""
     spark = field.sparkSession
     points = [r["point_id"] for r in field.select("point_id").distinct().orderBy("point_id").collect()]
     packed = field.groupBy("step").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", "value"))), lambda x: x["value"]).alias("q"))
     shift = np.array([r["m"] for r in field.groupBy("point_id").agg(F.avg("value").alias("m")).orderBy("point_id").collect()])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((len(shift), len(shift))), 0
-        for pdf in batches:
-            if len(pdf):
-                q = np.stack(pdf["q"].to_list()) - shift
-                total, n = total + q.T @ q, n + len(q)
-        if n:
-            i, j = np.triu_indices(len(total))
-            yield pd.DataFrame({"i": i, "j": j, "v": total[i, j], "n": n})
-
-    found = packed.select("q").mapInPandas(work, "i int, j int, v double, n long").groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
-    c = np.zeros((len(points), len(points)))
-    for r in found:
-        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["v"]
+    if len(points) > MOST_SIDE:
+        raise ValueError(f"{len(points)} points; {MOST_SIDE} at most, else see pod")
+
+    def each(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
+        q = np.stack(pdf["q"].to_list()) - shift
+        return {0: q.T @ q, 1: np.array([[float(len(q))]])}
+
+    found = sum_matrices(packed.select("q"), each)
+    c, n = found.get(0, np.zeros((0, 0))), int(found[1][0, 0]) if found else 0
     lam, vec = np.linalg.eigh(c)
     pick = np.argsort(-lam)[:n_modes]
     rows = [(int(p), float(m), [float(x) for x in v]) for p, m, v in zip(points, shift, vec[:, pick])]
-    return spark.createDataFrame(rows, "point_id long, q_mean double, psi array<double>"), np.sqrt(np.maximum(lam[pick], 0)), found[0]["n"] if found else 0
+    return spark.createDataFrame(rows, "point_id long, q_mean double, psi array<double>"), np.sqrt(np.maximum(lam[pick], 0)), n
 
 
 def project(field: DataFrame, modes: DataFrame, sigma: list[float]) -> DataFrame:
@@ -131,7 +130,7 @@ def error_field(a: DataFrame, b: DataFrame) -> DataFrame:
 def kinetic_energy(rows: DataFrame) -> DataFrame:
     """Half the sum over points of the temporal variance."""
     mean = F.aggregate("snaps", F.lit(0.0), lambda a, x: a + x) / F.size("snaps")
-    var = rows.withColumn("__m", mean).select((F.aggregate(F.transform("snaps", lambda x: (x - F.col("__m")) * (x - F.col("__m"))), F.lit(0.0), lambda a, x: a + x) / F.size("snaps")).alias("v"))
+    var = rows.select("snaps", mean.alias("m")).select((F.aggregate(F.transform("snaps", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda a, x: a + x) / F.size("snaps")).alias("v"))
     return var.agg((F.sum("v") / 2).alias("tke"))
 
 

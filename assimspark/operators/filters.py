@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from assimspark.functions import kernels
+from assimspark.functions.names import own_names
 
 WEIGHTS = "series_id long, cycle long, m int, x array<double>, w array<double>"
 #: State rows of one (series, cycle) that share a copy of its weights.
@@ -94,7 +95,8 @@ def apply(rows: DataFrame, found: DataFrame) -> DataFrame:
     keys, rest = ["series_id", "cycle"], [c for c in rows.columns if c not in ("series_id", "cycle", "vals")]
     number = F.row_number().over(Window.partitionBy(*keys, F.pmod(F.hash("row_id"), F.lit(64))).orderBy("row_id"))
     block = F.struct(F.pmod(F.hash("row_id"), F.lit(64)), F.floor((number - 1) / BLOCK_ROWS)) if "row_id" in rest else F.lit(0)
-    packed = rows.withColumn("__block", block).groupBy(*keys, "__block").agg(F.collect_list(F.struct(*rest, "vals")).alias("__rows"))
+    mine = own_names(rows, "block")["block"]
+    packed = rows.withColumn(mine, block).groupBy(*keys, mine).agg(F.collect_list(F.struct(*rest, "vals")).alias("__rows"))
     met = packed.join(found.select(*keys, "m", "x", "w"), keys).select(*keys, "__rows", F.flatten(F.transform("__rows", lambda r: r["vals"])).alias("__v"), "m", "x", "w")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,24 +123,26 @@ def scalar_analysis(ens: DataFrame, method: str = "enkf", key: str = "series_id"
     (perturbed) observation d and error variance r. With a zero spread nothing moves. rba also reads columns b and jac."""
     w = Window.partitionBy(key)
     mean_y, m = F.avg(y).over(w), F.count("*").over(w)
-    out = ens.withColumn("__dy", F.col(y) - mean_y).withColumn("__my", mean_y).withColumn("__m", m)
-    out = out.withColumn("__v", F.sum(F.col("__dy") * F.col("__dy")).over(w))
-    noise = (F.col("__m") - 1) * F.col(r)
+    dy, my, count, spread = own_names(ens, "dy", "my", "m", "v").values()
+    da = own_names(ens, *("da_" + s for s in states))
+    out = ens.withColumn(dy, F.col(y) - mean_y).withColumn(my, mean_y).withColumn(count, m)
+    out = out.withColumn(spread, F.sum(F.col(dy) * F.col(dy)).over(w))
+    noise = (F.col(count) - 1) * F.col(r)
 
     def update(s: str) -> Column:
-        c = F.sum(F.col("__da_" + s) * F.col("__dy")).over(w)
+        c = F.sum(F.col(da["da_" + s]) * F.col(dy)).over(w)
         if method == "enkf":
-            gain = F.when(noise + F.col("__v") > 0, c / (noise + F.col("__v"))).otherwise(F.lit(0.0))
+            gain = F.when(noise + F.col(spread) > 0, c / (noise + F.col(spread))).otherwise(F.lit(0.0))
             return F.col(s) + gain * (F.col(d) - F.col(y))
         if method == "ensrkf":
-            total = noise + F.col("__v")
-            to_mean = F.when(total > 0, c / total * (F.col(d) - F.col("__my"))).otherwise(F.lit(0.0))
-            shrink = F.when(F.col("__v") > 0, c / F.col("__v") * (1 - F.sqrt(F.greatest(1 - F.col("__v") / total, F.lit(0.0))))).otherwise(F.lit(0.0))
-            return F.col(s) + to_mean - shrink * F.col("__dy")
+            v, total = F.col(spread), noise + F.col(spread)
+            to_mean = F.when(total > 0, c / total * (F.col(d) - F.col(my))).otherwise(F.lit(0.0))
+            shrink = F.when(v > 0, c / v * (1 - F.sqrt(F.greatest(1 - v / total, F.lit(0.0))))).otherwise(F.lit(0.0))
+            return F.col(s) + to_mean - shrink * F.col(dy)
         j = F.col(jac)
-        total = noise + ((1 + j) * (1 + j) + k * j * j) * F.col("__v")
+        total = noise + ((1 + j) * (1 + j) + k * j * j) * F.col(spread)
         residual = (1 + j) * (F.col(d) - F.col(y) - F.col(b)) - k * j * F.col(b)
         return F.col(s) + F.when(total > 0, c / total).otherwise(F.lit(0.0)) * residual
 
-    out = out.withColumns({"__da_" + s: F.col(s) - F.avg(s).over(w) for s in states})
+    out = out.withColumns({da["da_" + s]: F.col(s) - F.avg(s).over(w) for s in states})
     return out.withColumns({s + "_a": update(s) for s in states}).select(*ens.columns, *(s + "_a" for s in states))

@@ -1,4 +1,8 @@
-"""Ensemble statistics, error metrics over sweeps, histograms and rankings: partial aggregation everywhere, no row leaves its key."""
+"""Ensemble statistics, error metrics over sweeps, histograms and rankings: partial aggregation everywhere, no row leaves its key.
+
+Null values don't count, and a key of nulls only has null results; a zero energy or spread gives null instead of a quotient; repeated rows
+count each time; empty tables give no rows; columns that aren't named are ignored. Of equal scores the smallest key is taken.
+"""
 
 from __future__ import annotations
 
@@ -77,6 +81,8 @@ def member_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int, lo: float, hi: float) -> DataFrame:
     """Counts and densities of equal bins on [lo, hi]; the right end belongs to the last bin, values outside are left out."""
+    if not hi > lo or bins < 1:
+        raise ValueError("a histogram needs lo < hi and at least one bin")
     width = (hi - lo) / bins
     b = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("long")
     counts = df.where(F.col(value).between(lo, hi)).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))

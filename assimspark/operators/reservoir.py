@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assimspark.functions import kernels
+from assimspark.functions.sums import sum_matrices
 from assimspark.plans.cycle import Reservoir
 
 
@@ -45,44 +46,21 @@ def reservoir_states(series: DataFrame, model: Reservoir, n_wash: int = 0) -> Da
     return series.select("series_id", "u").mapInPandas(work, "series_id long, step long, r array<double>, u_next array<double>")
 
 
-def partial_grams(series: DataFrame, models: list[Reservoir], n_wash: int, n_train: int, tasks: int = 16) -> dict[int, np.ndarray]:
-    """For each model the sum over all series of R'R and R'Y (columns after the units + 1 states).
+def partial_grams(series: DataFrame, models: list[Reservoir], n_wash: int, n_train: int) -> dict[int, np.ndarray]:
+    """For each model the sum over all series of R'R and R'Y (columns after the units + 1 states). Series shorter than the washout add nothing."""
 
-    A task adds up its series and gives one matrix for each model, as bytes; a few tasks add those, and the driver adds the ``tasks`` sums of
-    each model. Series shorter than the washout add nothing; without series there are no sums.
-    """
-
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for k, raw, width in zip(pdf["model"], pdf["g"], pdf["width"]):
-                g = np.frombuffer(raw).reshape(-1, width)
+        for u in pdf["u"]:
+            u = np.stack(u)[:n_train] if len(u) else np.zeros((0, 1))
+            for k, model in enumerate(models if len(u) >= n_wash + 2 else []):
+                r = states_of(u[:-1], model)[n_wash:]
+                r = np.hstack((r, np.full((len(r), 1), kernels.OUTPUT_BIAS)))
+                g = r.T @ np.hstack((r, u[n_wash + 1:]))
                 sums[k] = sums[k] + g if k in sums else g
-        if sums:
-            yield pd.DataFrame({"model": list(sums), "width": [g.shape[1] for g in sums.values()], "g": [g.tobytes() for g in sums.values()]})
+        return sums
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for u in pdf["u"]:
-                u = np.stack(u)[:n_train]
-                if len(u) < n_wash + 2:
-                    continue
-                for k, model in enumerate(models):
-                    r = states_of(u[:-1], model)[n_wash:]
-                    r = np.hstack((r, np.full((len(r), 1), kernels.OUTPUT_BIAS)))
-                    g = r.T @ np.hstack((r, u[n_wash + 1:]))
-                    sums[k] = sums[k] + g if k in sums else g
-        if sums:
-            yield pd.DataFrame({"model": list(sums), "width": [g.shape[1] for g in sums.values()], "g": [g.tobytes() for g in sums.values()]})
-
-    kind = "model int, width int, g binary"
-    rows = series.select("u").mapInPandas(work, kind).repartition(tasks).mapInPandas(total, kind).collect()  # at most tasks x models rows
-    found: dict[int, np.ndarray] = {}
-    for r in rows:
-        g = np.frombuffer(r["g"]).reshape(-1, r["width"])
-        found[r["model"]] = found[r["model"]] + g if r["model"] in found else g
-    return found
+    return sum_matrices(series.select("u"), each)
 
 
 def solve_readout(gram: np.ndarray, tikh: float) -> np.ndarray:
@@ -201,13 +179,23 @@ def sample_windows(series: DataFrame, n: int, length: int, seed: int = 0) -> Dat
     return starts.orderBy(F.xxhash64("series_id", "start", F.lit(seed)), "series_id", "start").limit(n)
 
 
-def bias_training_set(obs: DataFrame, ensemble: DataFrame, n_lags: int, augmented: bool = False) -> DataFrame:
+def bias_training_set(obs: DataFrame, ensemble: DataFrame, n_lags: int, augmented: bool = False, n_cr: int | None = None, tol: float = 0.1) -> DataFrame:
     """obs (series_id, step, y_raw, y_true), ensemble (series_id, member, step, y): the members' series moved by their best and middle lags,
-    and the innovations and biases of each copy, optionally with scaled copies."""
+    and the innovations and biases of each copy, optionally with scaled copies.
+
+    With ``n_cr`` members that stand still (range below ``tol`` over the last n_cr steps) go first, but for a few of them where they are many.
+    Members without an observation in reach of a lag, and observations without a member, give no rows.
+    """
     from assimspark.operators.align import augment, innovations, lag_search, shifted_copies
+    from assimspark.operators.ensemble import drop_fixed, fixed_points
 
+    if n_cr is not None:
+        rows = ensemble.select("series_id", "member", "step", F.lit(0).alias("row_id"), F.col("y").alias("value"))
+        keep = drop_fixed(fixed_points(rows, n_cr, tol)).where("keep")
+        ensemble = ensemble.join(keep, ["series_id", "member"], "left_semi")
     lags = lag_search(obs.select("series_id", "step", F.col("y_raw").alias("d")), ensemble, n_lags)
     out = innovations(obs, shifted_copies(ensemble, lags), ["series_id", "step"]).select("series_id", "member", "copy", "step", "model_bias", "innovation")
     if not augmented:
         return out
-    return augment(augment(out, "model_bias").withColumnRenamed("factor", "f").withColumn("innovation", F.col("innovation") * F.col("f")), "f", (1.0,)).drop("factor").withColumnRenamed("f", "factor")
+    scaled = augment(out, "model_bias")
+    return scaled.withColumn("innovation", F.col("innovation") * F.col("factor"))

@@ -1,10 +1,16 @@
-"""Selections on a time grid: nearest samples, cuts, thinning, washouts, trailing states."""
+"""Selections on a time grid: nearest samples, cuts, thinning, washouts, trailing states.
+
+A null key or series without a bound drops its rows where a bound is needed, as in an inner join; a null t or step is in no selection;
+repeated rows are all selected or all left out (last_n counts each); empty tables give no rows; other columns pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assimspark.functions.names import own_names
+
 
 def nearest_step(df: DataFrame, t0: float | Column, name: str = "i", key: str = "series_id") -> DataFrame:
     """For each series the step of the sample nearest to t0 (the first of two at the same distance)."""
@@ -53,8 +59,9 @@ def nearest_samples(df: DataFrame, times: DataFrame, key: str = "series_id") ->
 
 def cut_nearest(df: DataFrame, t0: float, t1: float, key: str = "series_id") -> DataFrame:
     """Samples from the one nearest to t0 up to, without, the one nearest to t1."""
-    bounds = df.groupBy(key).agg(*(F.min(F.struct(F.abs(F.col("t") - t), F.col("step")))["step"].alias(n) for n, t in (("__i0", t0), ("__i1", t1))))
-    return df.join(bounds, key).where((F.col("step") >= F.col("__i0")) & (F.col("step") < F.col("__i1"))).drop("__i0", "__i1")
+    lo, hi = own_names(df, "lo", "hi").values()
+    bounds = df.groupBy(key).agg(*(F.min(F.struct(F.abs(F.col("t") - t), F.col("step")))["step"].alias(n) for n, t in ((lo, t0), (hi, t1))))
+    return df.join(bounds, key).where((F.col("step") >= F.col(lo)) & (F.col("step") < F.col(hi))).drop(lo, hi)
 
 
 def thin_observations(df: DataFrame, t_start: float, t_stop: float, dt: float, nt_obs: int) -> DataFrame:
@@ -65,9 +72,9 @@ def thin_observations(df: DataFrame, t_start: float, t_stop: float, dt: float, n
 
 def washout_window(df: DataFrame, t_init: float, n_wash: int, upsample: int, key: str = "series_id") -> DataFrame:
     """n_wash + 1 strided samples that end at the sample nearest to t_init."""
-    at = nearest_step(df, t_init, "__i", key)
-    back = F.col("__i") - F.col("step")
-    return df.join(at, key).where(back.between(0, n_wash * upsample) & (back % upsample == 0)).drop("__i")
+    end = own_names(df, "end")["end"]
+    back = F.col(end) - F.col("step")
+    return df.join(nearest_step(df, t_init, end, key), key).where(back.between(0, n_wash * upsample) & (back % upsample == 0)).drop(end)
 
 
 def downsample(df: DataFrame, k: int, column: str = "step") -> DataFrame:
@@ -78,11 +85,12 @@ def last_n(df: DataFrame, n: int, key: list[str] | None = None, order: str = "st
     """The last n states of each series; all of them for n = 0."""
     if n == 0:
         return df
-    w = Window.partitionBy(*(key or ["series_id"])).orderBy(F.desc(order))
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+    w, rank = Window.partitionBy(*(key or ["series_id"])).orderBy(F.desc(order)), own_names(df, "rank")["rank"]
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n).drop(rank)
 
 
 def assimilation_interval(df: DataFrame, obs: DataFrame, n_cr: int, key: str = "series_id") -> DataFrame:
     """Steps from n_cr before the first observation up to, without, n_cr after the last."""
-    bounds = obs.groupBy(key).agg((F.min("step") - n_cr).alias("__lo"), (F.max("step") + n_cr).alias("__hi"))
-    return df.join(bounds, key).where((F.col("step") >= F.col("__lo")) & (F.col("step") < F.col("__hi"))).drop("__lo", "__hi")
+    lo, hi = own_names(df, "lo", "hi").values()
+    bounds = obs.groupBy(key).agg((F.min("step") - n_cr).alias(lo), (F.max("step") + n_cr).alias(hi))
+    return df.join(bounds, key).where((F.col("step") >= F.col(lo)) & (F.col("step") < F.col(hi))).drop(lo, hi)

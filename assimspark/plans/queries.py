@@ -808,7 +808,7 @@ def i6_bias_training_set(spark, sf):
     s = inputs.signals(spark, sf)
     obs = s.select("series_id", "step", F.col("y").alias("y_true"), (1.1 * F.col("y")).alias("y_raw"))
     ens = s.select("series_id", "step", "y", F.explode(F.array(F.lit(0), F.lit(1))).alias("member")).withColumn("y", F.col("y") * (1 + 0.1 * F.col("member")))
-    out = reservoir.bias_training_set(obs, ens, 6, augmented=True)
+    out = reservoir.bias_training_set(obs, ens, 6, augmented=True, n_cr=20)
     return out.select("series_id", "member", "copy", "step", "factor", R("model_bias", 5).alias("model_bias"), R("innovation", 5).alias("innovation"))
 
 
