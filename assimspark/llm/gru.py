@@ -1,9 +1,10 @@
 """A small gated recurrent language model in numpy.
 
 Words are numbered: 0 .. n_head-1 are words with embeddings and an output weight of their own, n_head .. n_head+n_tail-1 stand for the
-classes of all other words. The output is factored: P(class | state), and for head words P(word | class, state); what a tail word has
-within its class is not the model's matter. Documents run side by side in lanes, a lane takes up its next document when one ends, and the
-state goes on from window to window, so a document of any length is read whole; gradients are cut at window borders.
+classes of all other words. The output is factored into classes of ``CLASS_SIZE`` numbers: P(class | state) P(number | class, state), so a
+token costs two short softmaxes; the tail's numbers are the last class or classes. What a tail word has within its number is not the
+model's matter. Documents run side by side in lanes, a lane takes up its next document when one ends, and the state goes on from window to
+window, so a document of any length is read whole; gradients are cut at window borders.
 """
 
 from __future__ import annotations
@@ -18,18 +19,25 @@ CLASS_SIZE = 64
 
 @dataclass
 class Shape:
+    """n_head and n_tail are multiples of CLASS_SIZE."""
+
     n_head: int = 2048
     n_tail: int = 64
     embed: int = 12
     hidden: int = 16
 
     @property
-    def head_classes(self) -> int:
-        return self.n_head // CLASS_SIZE
+    def n_words(self) -> int:
+        return self.n_head + self.n_tail
+
+    @property
+    def n_classes(self) -> int:
+        return self.n_words // CLASS_SIZE
 
     def sizes(self) -> dict[str, tuple[int, ...]]:
+        """Biases of the output are the last column or row: states have a one there."""
         h = self.hidden
-        return {"emb": (self.n_head + self.n_tail, self.embed), "wx": (self.embed, 3 * h), "wh": (h, 3 * h), "b": (3 * h,), "wc": (h, self.head_classes + self.n_tail), "bc": (self.head_classes + self.n_tail,), "ww": (self.n_head, h), "bw": (self.n_head,)}
+        return {"emb": (self.n_words, self.embed), "wx": (self.embed, 3 * h), "wh": (h, 3 * h), "b": (3 * h,), "wc": (h + 1, self.n_classes), "ww": (self.n_words, h + 1)}
 
     def split(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -39,14 +47,14 @@ class Shape:
             at += n
         return out
 
-    def start(self, head_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 1) -> np.ndarray:
-        """Small random weights; the biases give word frequencies, so an untrained model is the unigram."""
+    def start(self, counts: np.ndarray, seed: int = 1) -> np.ndarray:
+        """Small random weights; the biases give the frequencies of the numbers, so an untrained model is the unigram."""
         rng = np.random.default_rng(seed)
         p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in self.sizes().items()}
-        by_class = np.concatenate((head_counts.reshape(-1, CLASS_SIZE).sum(axis=1), tail_counts))
-        p["bc"], p["bw"], p["b"] = np.log(by_class + 1e-3).astype(np.float32), np.log(head_counts + 1e-3).astype(np.float32), np.zeros(3 * self.hidden, np.float32)
         p["wc"] *= 0.1
         p["ww"] *= 0.1
+        p["b"][:] = 0
+        p["wc"][-1], p["ww"][:, -1] = np.log(counts.reshape(-1, CLASS_SIZE).sum(axis=1) + 1e-3), np.log(counts + 1e-3)
         return np.concatenate([p[k].ravel() for k in self.sizes()]).astype(np.float32)
 
 
@@ -62,46 +70,72 @@ def lanes_of(lengths: np.ndarray, n_lanes: int) -> list[list[int]]:
 
 
 def windows(ids: np.ndarray, starts: np.ndarray, end_id: int, n_lanes: int, steps: int):
-    """(inputs, targets, keep, owner), each steps x lanes; documents end with end_id and follow it; owner is -1 where a lane is over."""
+    """(inputs, targets, keep, owner), each steps x lanes; documents end with end_id and follow it; owner is -1 where a lane is over.
+
+    Where only the lanes of very long documents go on, windows have more steps, so that they hold about as many tokens as others.
+    """
     lengths = np.diff(starts) + 1
     if not len(lengths):
         return
     lanes = lanes_of(lengths, n_lanes)
-    totals = [int(sum(lengths[d] for d in lane)) for lane in lanes]
-    at = [(0, 0)] * len(lanes)  # document in lane, place in document
-    for t0 in range(0, totals[0], steps):
-        k = sum(t > t0 for t in totals)
-        x = np.full((k, steps), end_id, np.int32)
-        y, keep, owner = x.copy(), np.ones((k, steps), np.float32), np.full((k, steps), -1, np.int64)
-        for j in range(k):
-            (d, place), fill = at[j], 0
-            while fill < steps and d < len(lanes[j]):
-                doc = lanes[j][d]
-                n = int(lengths[doc])
-                take = min(steps - fill, n - place)
-                a, b = int(starts[doc]) + place, int(starts[doc + 1])
-                words = ids[a:min(a + take, b)]
-                y[j, fill:fill + len(words)] = words
-                owner[j, fill:fill + take] = doc
-                if place == 0:
-                    keep[j, fill] = 0
-                    x[j, fill + 1:fill + take] = words[:take - 1]
-                else:
-                    x[j, fill:fill + take] = ids[a - 1:a - 1 + take]
-                fill, place = fill + take, place + take
-                if place == n:
-                    d, place = d + 1, 0
-            at[j] = (d, place)
-        yield x.T, y.T, keep.T, owner.T
+    order = np.array([d for lane in lanes for d in lane])
+    n = lengths[order]
+    ends = np.cumsum(n)
+    place = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    # All lanes one after the other, and one more place for what lies beyond a lane.
+    source = np.append(ids, end_id)[np.minimum(np.repeat(starts[order], n) + place, len(ids))]
+    targets = np.append(np.where(place == np.repeat(n, n) - 1, end_id, source), end_id).astype(np.int32)
+    inputs = np.concatenate(([end_id], targets[:-1])).astype(np.int32)  # before a document stands the end of another
+    keep = np.append(place > 0, True).astype(np.float32)
+    owner = np.append(np.repeat(order, n), -1)
+    totals = np.array([int(lengths[lane].sum()) for lane in lanes])
+    begin = np.cumsum(totals) - totals
+    t0 = 0
+    while t0 < totals[0]:
+        k = int(np.searchsorted(-totals, -t0, side="left"))  # lanes that are longer than t0
+        span = max(steps, n_lanes * steps // (4 * k))
+        t = np.arange(t0, t0 + span)[:, None]
+        at = np.where(t < totals[:k], begin[:k] + t, len(targets) - 1)
+        yield inputs[at], targets[at], keep[at], owner[at]
+        t0 += span
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
+
 
+def _exps(states: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(logits) of each row up to a factor, and the rows' sums. Logits are shifted by the largest bias (the last row of the weights), which
+    keeps exp in range for all but huge weights; if a sum does leave it, each row is shifted by its own maximum."""
+    top = float(weights[-1].max())
+    shifted = weights.copy()
+    shifted[-1] -= top
+    x = states @ shifted
+    np.exp(x, out=x)
+    total = np.einsum("ij->i", x)
+    if len(x) and not (total.min() > 1e-30 and total.max() < 1e30):
+        x = states @ weights
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        total = np.einsum("ij->i", x)
+    return x, total
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+
+def _softmax(states: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    x, total = _exps(states, weights)
+    x *= (1 / total)[:, None]
+    return x
+
+
+def _log_softmax_at(states: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of each row at one column."""
+    x, total = _exps(states, weights)
+    return np.log(np.maximum(x[np.arange(len(x)), at], 1e-37) / total)
 
 
 class Model:
@@ -110,99 +144,109 @@ class Model:
         self.p = shape.split(self.flat)
 
     def _run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, store: bool):
-        hid, p = self.shape.hidden, self.p
+        """States (with a last column of ones) of all steps, the last state, and with ``store`` what the gradient needs: before, gates, n, g_n."""
+        hid, p, (steps, lanes) = self.shape.hidden, self.p, x.shape
         a = (p["emb"] @ p["wx"] + p["b"])[x]
-        out = np.empty((*x.shape, hid), np.float32)
-        saved = []
+        out = np.ones((steps, lanes, hid + 1), np.float32)
+        saved = [np.empty((steps if store else 1, lanes, n * hid), np.float32) for n in (1, 2, 1, 1)]
         resets = (keep == 0).any(axis=1)
-        for t in range(len(x)):
-            before = h * keep[t][:, None] if resets[t] else h
+        for t in range(steps):
+            before, gates, n, gn = (v[t if store else 0] for v in saved)
+            np.multiply(h, keep[t][:, None], out=before) if resets[t] else np.copyto(before, h)
             g = before @ p["wh"]
-            gates = _sigmoid(a[t, :, :2 * hid] + g[:, :2 * hid])
-            z, r = gates[:, :hid], gates[:, hid:]
-            n = np.tanh(a[t, :, 2 * hid:] + r * g[:, 2 * hid:])
-            h = n + z * (before - n)
-            out[t] = h
-            if store:
-                saved.append((before, z, r, n, g[:, 2 * hid:]))
+            np.add(a[t, :, :2 * hid], g[:, :2 * hid], out=gates)
+            _sigmoid(gates)
+            gn[:] = g[:, 2 * hid:]
+            np.multiply(gates[:, hid:], gn, out=n)
+            n += a[t, :, 2 * hid:]
+            np.tanh(n, out=n)
+            h = before - n
+            h *= gates[:, :hid]
+            h += n
+            out[t, :, :hid] = h
         return out, h, saved
 
-    def _classes(self, y: np.ndarray) -> np.ndarray:
-        return np.where(y < self.shape.n_head, y // CLASS_SIZE, self.shape.head_classes + y - self.shape.n_head)
+    def _by_class(self, states: np.ndarray, y: np.ndarray):
+        """The order that puts targets of a class together; states and targets in that order, their classes, and where each class that occurs lies."""
+        cls = y // CLASS_SIZE
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        ends = np.cumsum(np.bincount(cls, minlength=self.shape.n_classes))
+        parts = [(slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE), slice(i, j)) for c, (i, j) in enumerate(zip((0, *ends), ends)) if j > i]
+        return order, states[order], y[order], cls[order], parts
 
     def log10_of(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log10 P(class) of each target, and of the word in its class for head words."""
-        p, cls = self.p, self._classes(y)
-        logits = states @ p["wc"] + p["bc"]
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(y)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.shape.head_classes + 1))
-        for c, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            if b > a:
-                at = order[a:b]
-                part = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-                inner = states[at] @ p["ww"][part].T + p["bw"][part]
-                top = inner.max(axis=1)
-                out[at] += inner[np.arange(len(at)), y[at] - c * CLASS_SIZE] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+        """log10 P(class) P(number | class) of each target."""
+        p, (order, states, y, cls, parts) = self.p, self._by_class(states, y)
+        found = _log_softmax_at(states, p["wc"], cls)
+        for words, at in parts:
+            found[at] += _log_softmax_at(states[at], p["ww"][words].T, y[at] - words.start)
+        out = np.empty_like(found)
+        out[order] = found
         return out / np.log(10)
 
-    def score(self, ids: np.ndarray, starts: np.ndarray, end_id: int, n_lanes: int = 256, steps: int = 64) -> np.ndarray:
+    def score(self, ids: np.ndarray, starts: np.ndarray, end_id: int, n_lanes: int = 512, steps: int = 32) -> np.ndarray:
         """For each document the sum of log10_of over its words and its end."""
         total = np.zeros(len(starts) - 1)
         h = None
         for x, y, keep, owner in windows(ids, starts, end_id, n_lanes, steps):
             h = np.zeros((x.shape[1], self.shape.hidden), np.float32) if h is None else h[:x.shape[1]]
             out, h, _ = self._run(x, keep, h, False)
-            real = owner >= 0
-            total += np.bincount(owner[real], weights=self.log10_of(out[real], y[real]), minlength=len(total))
+            if (over := owner < 0).any():
+                real = ~over
+                out, y, owner = out[real], y[real], owner[real]
+            found = self.log10_of(out.reshape(-1, out.shape[-1]), y.ravel())
+            total += np.bincount(owner.ravel(), weights=found, minlength=len(total))
         return total
 
     def _gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, real: np.ndarray, h: np.ndarray, grad: dict[str, np.ndarray]) -> np.ndarray:
         p, hid = self.p, self.shape.hidden
-        out, h, saved = self._run(x, keep, h, True)
-        states, targets = out[real], y[real]
-        cls = self._classes(targets)
-        d = _softmax(states @ p["wc"] + p["bc"])
+        out, h, (before, gates, n, gn) = self._run(x, keep, h, True)
+        whole = real.all()
+        order, states, targets, cls, parts = self._by_class(*((out.reshape(-1, hid + 1), y.ravel()) if whole else (out[real], y[real])))
+        d = _softmax(states, p["wc"])
         d[np.arange(len(d)), cls] -= 1
         grad["wc"] += states.T @ d
-        grad["bc"] += d.sum(axis=0)
         dstates = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.shape.head_classes + 1))
-        for c, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            if b > a:
-                at = order[a:b]
-                part = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-                e = _softmax(states[at] @ p["ww"][part].T + p["bw"][part])
-                e[np.arange(len(at)), targets[at] - c * CLASS_SIZE] -= 1
-                grad["ww"][part] += e.T @ states[at]
-                grad["bw"][part] += e.sum(axis=0)
-                dstates[at] += e @ p["ww"][part]
-        dout = np.zeros_like(out)
-        dout[real] = dstates
+        for words, at in parts:
+            e = _softmax(states[at], p["ww"][words].T)
+            e[np.arange(len(e)), targets[at] - words.start] -= 1
+            grad["ww"][words] += e.T @ states[at]
+            dstates[at] += e @ p["ww"][words]
+        dout = np.zeros((x.size, hid), np.float32)
+        dout[order if whole else np.flatnonzero(real.ravel())[order]] = dstates[:, :hid]
+        dout = dout.reshape(*x.shape, hid)
+        z, r = gates[..., :hid], gates[..., hid:]
+        # What the gradient of a state is multiplied by for n, z and r, for all steps at once.
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = gn * r * (1 - r)
         da = np.empty((*x.shape, 3 * hid), np.float32)
         carry = np.zeros((x.shape[1], hid), np.float32)
+        wh_t = np.ascontiguousarray(p["wh"].T)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, n, gn = saved[t]
-            dh = dout[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            da[t, :, :hid] = dh * (before - n) * z * (1 - z)
-            da[t, :, hid:2 * hid] = dn * gn * r * (1 - r)
-            da[t, :, 2 * hid:] = dn * r
-            carry = (dh * z + da[t] @ p["wh"].T) * keep[t][:, None]
-            grad["wh"] += before.T @ da[t]
-            da[t, :, 2 * hid:] = dn
+            dh = dout[t]
+            dh += carry
+            now = da[t]
+            dn = dh * to_n[t]
+            np.multiply(dh, to_z[t], out=now[:, :hid])
+            np.multiply(dn, to_r[t], out=now[:, hid:2 * hid])
+            np.multiply(dn, r[t], out=now[:, 2 * hid:])
+            carry = now @ wh_t
+            carry += dh * z[t]
+            carry *= keep[t][:, None]
+        grad["wh"] += before.reshape(-1, hid).T @ da.reshape(-1, 3 * hid)
+        da[..., 2 * hid:] = dout * to_n  # the input's share of n isn't weighted by r
         flat_x, flat_a = x.ravel(), da.reshape(-1, 3 * hid)
-        by_id = np.argsort(flat_x, kind="stable")
-        used, first = np.unique(flat_x[by_id], return_index=True)
-        sums = np.add.reduceat(flat_a[by_id], first, axis=0)
+        by_id = np.argsort(flat_x.astype(np.int16) if self.shape.n_words < 2**15 else flat_x, kind="stable")
+        sorted_x = flat_x[by_id]
+        first = np.flatnonzero(np.diff(sorted_x, prepend=-1))
+        used, sums = sorted_x[first], np.add.reduceat(flat_a[by_id], first, axis=0)
         grad["emb"][used] += sums @ p["wx"].T
         grad["wx"] += p["emb"][used].T @ sums
         grad["b"] += sums.sum(axis=0)
         return h
 
-    def train(self, ids: np.ndarray, starts: np.ndarray, end_id: int, n_lanes: int = 128, steps: int = 32, rate: float = 0.01) -> int:
+    def train(self, ids: np.ndarray, starts: np.ndarray, end_id: int, n_lanes: int = 256, steps: int = 32, rate: float = 0.02) -> int:
         """One pass of truncated backpropagation (Adam, clipped); returns the number of targets, all of which have moved the weights."""
         grad_flat = np.zeros_like(self.flat)
         grad = self.shape.split(grad_flat)

@@ -5,9 +5,10 @@ Tokens are lower-case (A-Z) words and one end for each document; training docume
 
     base_score = sum over tokens of log10((c + 1) / (N + V + 1))
 
-The model (gru.py) is trained on all training documents in each of ``rounds`` passes: every task starts from the shared weights, reads the
-whole of its documents, and the weights that come back are averaged, weighted by tokens, in two steps. Head words are the most frequent
-ones; the others fall into classes by their last bytes and have (c + 1) / Z of their class, where Z also holds one unseen word.
+Once the counts are known, each document's tokens are numbered and written to the shared folder, two bytes each; training and scoring read
+those. The model (gru.py) is trained on all training documents in each of ``rounds`` passes: every task starts from the shared weights,
+reads the whole of its documents, and the weights that come back are averaged, weighted by tokens, in two steps. Head words are the most
+frequent ones; the others fall into classes by their last bytes and have (c + 1) / Z of their class, where Z also holds one unseen word.
 
 Sizes: the head (2048 words), the table of frequent counts that is broadcast (``most_known`` words, 16 bytes each) and the weights are
 bounded by parameters. Counts of all other words are joined by key, on rows that are aggregated by document first.
@@ -23,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assimspark.llm.common import materialise, small_batches
@@ -46,8 +48,8 @@ def _tokens(texts: list[str | None], n_tail: int) -> tuple[np.ndarray, np.ndarra
     return hashes, starts, tail_class(last, n_tail)
 
 
-def training(docs: DataFrame) -> DataFrame:
-    return docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True)))
+def is_training() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
 
 
 def word_counts(docs: DataFrame, n_tail: int, flush: int = 2_000_000) -> DataFrame:
@@ -95,21 +97,67 @@ class Lookup:
         return np.where(rank >= 0, rank, self.shape.n_head + cls).astype(np.int32), np.where(known, self.log_c[at], 0.0), known
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int, n_tail: int):
-    """Batches joined until they hold ``most`` words: (rows, hashes, starts, classes)."""
-    rows, hashes, starts, classes, size = [], [], [0], [], 0
+def number(docs: DataFrame, learn: DataFrame, lookup: Broadcast, log_z: np.ndarray, n_docs: int) -> DataFrame:
+    """One row for each document: its numbers for the model, the sums that need no model, and its words that the broadcast table lacks.
+
+    row, doc_id, learn, n_tokens, n_known, base, in_class, ids, words, times. ``ids`` are 16-bit numbers (32-bit for a larger vocabulary).
+    """
+    end_log, end_known = float(np.log10(n_docs + 1)), int(n_docs > 0)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row, table = TaskContext.get().partitionId() << 33, lookup.value
+        shape = table.shape
+        for batch in batches:
+            hashes, starts, cls = _tokens(batch.column("text").to_pylist(), shape.n_tail)
+            ids, log_c, known = table(hashes, cls)
+            count = np.diff(starts)
+            k, owner = len(count), np.repeat(np.arange(len(count)), count)
+            tail, rest = ids >= shape.n_head, ~known
+            in_class = np.bincount(owner[tail], weights=log_c[tail] - log_z[ids[tail] - shape.n_head], minlength=k).astype(float)
+            base = np.bincount(owner, weights=log_c, minlength=k) + end_log
+            n_known = np.bincount(owner, weights=known, minlength=k).astype(np.int64) + end_known
+            order = np.lexsort((hashes[rest], owner[rest]))
+            o, w = owner[rest][order], hashes[rest][order]
+            fresh = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])))) if len(o) else np.zeros(0, int)
+            times = np.diff(np.append(fresh, len(o))).astype(np.int32)
+            ends = pa.array(np.searchsorted(o[fresh], np.arange(k + 1)).astype(np.int32))
+            raw = ids.astype(_width(shape))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row + np.arange(k)), batch.column("doc_id"), batch.column("learn"), pa.array(count + 1), pa.array(n_known), pa.array(base, pa.float64()), pa.array(in_class, pa.float64()),
+                    pa.array([raw[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(w[fresh].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times)),
+                ],
+                names=["row", "doc_id", "learn", "n_tokens", "n_known", "base", "in_class", "ids", "words", "times"],
+            )
+            row += k
+
+    return docs.select("doc_id", "text", learn.alias("learn")).mapInArrow(work, "row long, doc_id long, learn boolean, n_tokens long, n_known long, base double, in_class double, ids binary, words array<long>, times array<int>")
+
+
+def _width(shape: Shape) -> str:
+    return "<u2" if shape.n_words < 2**16 else "<u4"
+
+
+def _groups(batches: Iterator[pa.RecordBatch], shape: Shape, most: int = 3_000_000):
+    """Batches of numbered documents joined until they hold ``most`` words: (rows without ids, ids, starts)."""
+
+    def joined(held: list) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]:
+        raw = [x for b in held for x in b.column("ids").to_pylist()]
+        ids = np.frombuffer(b"".join(raw), _width(shape))
+        return [b.drop_columns(["ids"]) for b in held], ids.astype(np.int32), np.cumsum([0, *map(len, raw)]) // ids.itemsize
+
+    held, size = [], 0
     for batch in batches:
-        h, s, c = _tokens(batch.column("text").to_pylist(), n_tail)
-        rows.append(batch.drop_columns(["text"]))
-        hashes.append(h)
-        classes.append(c)
-        starts.extend((s[1:] + size).tolist())
-        size += len(h)
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column("ids").nbytes // np.dtype(_width(shape)).itemsize
         if size >= most:
-            yield rows, np.concatenate(hashes), np.array(starts), np.concatenate(classes)
-            rows, hashes, starts, classes, size = [], [], [0], [], 0
-    if rows:
-        yield rows, np.concatenate(hashes), np.array(starts), np.concatenate(classes)
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
 
 
 def _average(weights: DataFrame, tasks: int = 8) -> np.ndarray | None:
@@ -128,35 +176,38 @@ def _average(weights: DataFrame, tasks: int = 8) -> np.ndarray | None:
     return np.sum([np.frombuffer(r["flat"], float) for r in rows], axis=0) / sum(r["n"] for r in rows) if rows else None
 
 
-def fit(docs: DataFrame, counts: DataFrame, n_docs: int, shape: Shape, most_known: int, rounds: int) -> tuple[Lookup, np.ndarray, dict[int, float]]:
-    """The lookup, the weights and Z of each tail class. ``docs`` are training documents."""
-    spark = docs.sparkSession
+def prepare(counts: DataFrame, n_docs: int, shape: Shape, most_known: int) -> tuple[Lookup, np.ndarray, np.ndarray]:
+    """The lookup, the counts of the model's numbers, and log10 Z of each tail class."""
     top = counts.orderBy(F.desc("c"), "word").limit(most_known).toArrow()
     words, c = top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(float)
     n_words = min(len(words), shape.n_head - 1)
     end_rank = int(np.searchsorted(-c[:n_words], -float(n_docs)))
-    lookup = Lookup(shape, words, c, end_rank)
-    head_counts = np.zeros(shape.n_head)
-    head_counts[:n_words + 1] = np.insert(c[:n_words], end_rank, n_docs)
+    head = np.zeros(shape.n_head)
+    head[:n_words + 1] = np.insert(c[:n_words], end_rank, n_docs)
     # The words of the head are the first of the same order, so they end at a known (count, word).
-    tail = counts if not n_words else counts.where((F.col("c") < int(c[n_words - 1])) | ((F.col("c") == int(c[n_words - 1])) & (F.col("word") > int(words[n_words - 1].astype(np.int64)))))
+    last = (int(c[n_words - 1]), int(words[n_words - 1].astype(np.int64))) if n_words else None
+    tail = counts.where((F.col("c") < last[0]) | ((F.col("c") == last[0]) & (F.col("word") > last[1]))) if last else counts
     sums = {r["cls"]: (r["c"], r["z"]) for r in tail.groupBy("cls").agg(F.sum("c").alias("c"), F.sum(F.col("c") + 1).alias("z")).collect()}  # n_tail rows
-    z = {k: 1.0 + sums.get(k, (0, 0))[1] for k in range(shape.n_tail)}
-    flat = shape.start(head_counts, np.array([1.0 + sums.get(k, (0, 0))[0] for k in range(shape.n_tail)]))
-    shared = spark.sparkContext.broadcast(lookup)
+    of_tail = np.array([sums.get(k, (0, 0)) for k in range(shape.n_tail)], float).reshape(-1, 2)
+    return Lookup(shape, words, c, end_rank), np.concatenate((head, 1 + of_tail[:, 0])), np.log10(1 + of_tail[:, 1])
+
+
+def train(numbered: DataFrame, shape: Shape, flat: np.ndarray, end_id: int, rounds: int) -> np.ndarray:
+    """The weights after ``rounds`` passes over the numbered training documents."""
+    spark = numbered.sparkSession
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(flat)
 
         def work(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            table, model, seen = shared.value, Model(shape, now.value.copy()), 0
-            for _, hashes, starts, cls in _groups(batches, 4_000_000, shape.n_tail):
-                seen += model.train(table(hashes, cls)[0], starts, table.end)
+            model, seen = Model(shape, now.value.copy()), 0
+            for _, ids, starts in _groups(batches, shape):
+                seen += model.train(ids, starts, end_id)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([model.flat.tobytes()]), pa.array([seen], pa.int64())], names=["flat", "n"])
 
-        mean = _average(docs.select("doc_id", "text").mapInArrow(work, "flat binary, n long"))
+        mean = _average(numbered.select("ids").mapInArrow(work, "flat binary, n long"))
         flat = flat if mean is None else mean.astype(np.float32)
-    return lookup, flat, z
+    return flat
 
 
 def score(docs: DataFrame, shape: Shape | None = None, most_known: int = 200_000, rounds: int = 2) -> DataFrame:
@@ -164,50 +215,30 @@ def score(docs: DataFrame, shape: Shape | None = None, most_known: int = 200_000
     shape, spark = shape or Shape(), docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    learn = training(docs)
+    learn = docs.where(is_training())
     counts = materialise(word_counts(learn, shape.n_tail), "word-counts")
     n_docs = learn.count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + n_docs, v + (n_docs > 0)
-    lookup, flat, z = fit(learn, counts, n_docs, shape, most_known, rounds)
-    shared = spark.sparkContext.broadcast((lookup, flat, np.log10([z[k] for k in range(shape.n_tail)])))
-    end_log, end_known = float(np.log10(n_docs + 1)), int(n_docs > 0)
+    lookup, number_counts, log_z = prepare(counts, n_docs, shape, most_known)
+    end_id = lookup.end
+    numbered = materialise(number(docs, is_training(), spark.sparkContext.broadcast(lookup), log_z, n_docs), "lm-numbered")
+    flat = train(numbered.where("learn"), shape, shape.start(number_counts), end_id, rounds)
+    weights = spark.sparkContext.broadcast(flat)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, place = TaskContext.get().partitionId() << 33, 0
-        table, weights, log_z = shared.value
-        model = Model(shape, weights)
-        for rows, hashes, starts, cls in _groups(batches, 4_000_000, shape.n_tail):
-            ids, log_c, known = table(hashes, cls)
-            count = np.diff(starts)
-            owner = np.repeat(np.arange(len(count)), count)
-            tail = ids >= shape.n_head
-            model_sum = model.score(ids, starts, table.end)
-            in_class = np.bincount(owner[tail], weights=log_c[tail] - log_z[ids[tail] - shape.n_head], minlength=len(count))
-            base_sum = np.bincount(owner, weights=log_c, minlength=len(count)) + end_log
-            rest = ~known
-            order = np.lexsort((hashes[rest], owner[rest]))
-            o, w = owner[rest][order], hashes[rest][order]
-            fresh = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])))) if len(o) else np.zeros(0, int)
-            times = np.diff(np.append(fresh, len(o))).astype(np.int32)
-            ends = np.searchsorted(o[fresh], np.arange(len(count) + 1)).astype(np.int32)
-            ids_of = pa.concat_arrays([b.column("doc_id") for b in rows])
-            k = len(count)
-            n_known = np.bincount(owner, weights=known, minlength=k).astype(np.int64) + end_known
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part + place + np.arange(k)), ids_of, pa.array(count + 1), pa.array(n_known), pa.array(base_sum), pa.array(model_sum + in_class), pa.ListArray.from_arrays(pa.array(ends), pa.array(w[fresh].view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(times))],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "model", "words", "times"],
-            )
-            place += k
-
-    scored = materialise(docs.mapInArrow(work, "row long, doc_id long, n_tokens long, n_known long, base double, model double, words array<long>, times array<int>"), "lm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+        model = Model(shape, weights.value)
+        for rows, ids, starts in _groups(batches, shape):
+            found = pa.Table.from_batches(rows).combine_chunks()
+            yield from found.append_column("model", pa.array(model.score(ids, starts, end_id))).to_batches()
+
+    kept = "row long, doc_id long, learn boolean, n_tokens long, n_known long, base double, in_class double"
+    scored = numbered.select(*(c.split()[0] for c in kept.split(", ")), "ids").mapInArrow(work, kept + ", model double")
+    rare = numbered.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
-    joined = scored.drop("words", "times").join(found, "row", "left")
+    joined = scored.join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return joined.select(
-        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), (F.col("model") + more).alias("score"),
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + more - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), (F.col("model") + F.col("in_class") + more).alias("score"),
     )

@@ -9,7 +9,7 @@ from assimspark.llm import lm_score
 from assimspark.llm.gru import CLASS_SIZE, Model, Shape, windows
 from assimspark.llm.lm_score import score
 
-SMALL = Shape(n_head=128, n_tail=4, embed=6, hidden=8)
+SMALL = Shape(n_head=128, n_tail=64, embed=6, hidden=8)
 
 
 def tokens(text):
@@ -65,10 +65,10 @@ def test_windows_cover_each_token_once():
 
 
 def test_gradient_and_normalisation():
-    shape = Shape(n_head=64, n_tail=3, embed=3, hidden=4)
+    shape = Shape(n_head=64, n_tail=64, embed=3, hidden=4)
     rng = np.random.default_rng(0)
-    model = Model(shape, shape.start(np.ones(64), np.ones(3)) + rng.normal(0, 0.2, sum(int(np.prod(s)) for s in shape.sizes().values())))
-    ids, starts = rng.integers(0, 67, 9), np.array([0, 4, 9])
+    model = Model(shape, shape.start(np.ones(128)) + rng.normal(0, 0.2, sum(int(np.prod(s)) for s in shape.sizes().values())))
+    ids, starts = rng.integers(0, 128, 9), np.array([0, 4, 9])
     (x, y, keep, owner), = windows(ids, starts, 0, 2, 8)
     grad_flat = np.zeros_like(model.flat)
     model._gradient(x, y, keep, owner >= 0, np.zeros((2, 4), np.float32), shape.split(grad_flat))
@@ -78,15 +78,15 @@ def test_gradient_and_normalisation():
         down[k] -= 1e-2
         slope = -(Model(shape, up).score(ids, starts, 0).sum() - Model(shape, down).score(ids, starts, 0).sum()) * math.log(10) / (up[k] - down[k])
         assert abs(slope - grad_flat[k]) < 2e-2 * max(1, abs(slope))
-    state = rng.normal(size=(1, 4)).astype(np.float32)
-    assert math.isclose(sum(10 ** model.log10_of(state, np.array([w]))[0] for w in range(67)), 1.0, rel_tol=1e-4) and CLASS_SIZE == 64
+    state = np.append(rng.normal(size=(1, 4)), [[1.0]], axis=1).astype(np.float32)
+    assert math.isclose(sum(10 ** model.log10_of(state, np.array([w]))[0] for w in range(shape.n_words)), 1.0, rel_tol=1e-4) and CLASS_SIZE == 64
 
 
 def test_one_window_or_many_give_the_same_score():
-    shape = Shape(n_head=64, n_tail=3)
-    model = Model(shape, shape.start(np.ones(64), np.ones(3)) * 3)
+    shape = Shape(n_head=64, n_tail=64)
+    model = Model(shape, shape.start(np.ones(128)) * 3)
     rng = np.random.default_rng(1)
-    ids, starts = rng.integers(0, 67, 50), np.array([0, 20, 21, 50])
+    ids, starts = rng.integers(0, 128, 50), np.array([0, 20, 21, 50])
     assert np.allclose(model.score(ids, starts, 0, 1, 100), model.score(ids, starts, 0, 3, 7), rtol=1e-4)
 
 
@@ -94,12 +94,21 @@ def test_empty_table(spark):
     assert score(spark.createDataFrame([], "doc_id long, text string"), SMALL).count() == 0
 
 
+def test_repeated_and_null_ids_and_all_held_out(spark):
+    out = next(d for d in range(100) if held(d))
+    rows = [(5, "a b a"), (5, "a b a"), (None, "b"), (5, "c"), (out, "a zz")]
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], r["held_out"]) for r in score(spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect())
+    assert got == sorted([(5, 4, 4, False), (5, 4, 4, False), (-1, 2, 2, False), (5, 2, 2, False), (out, 3, 2, True)])
+    only = score(spark.createDataFrame([(out, "a b")], "doc_id long, text string"), SMALL).first()
+    assert only["train_tokens"] == 0 and only["n_known"] == 0 and only["base_score"] == 0.0 and np.isfinite(only["score"])
+
+
 def test_training_learns_what_follows():
     rng = np.random.default_rng(2)
-    shape = Shape(n_head=64, n_tail=3)
+    shape = Shape(n_head=64, n_tail=64)
     docs = [(np.arange(30) * 7 + rng.integers(60)) % 60 + 1 for _ in range(400)]
     ids, starts = np.concatenate(docs), np.arange(401) * 30
-    model = Model(shape, shape.start(np.bincount(ids, minlength=64), np.ones(3)))
+    model = Model(shape, shape.start(np.bincount(ids, minlength=128)))
     before = model.score(ids[:3000], starts[:101], 0).sum()
     for _ in range(6):
         model.train(ids[3000:], starts[100:] - 3000, 0, n_lanes=32, steps=15, rate=0.03)
@@ -120,8 +129,8 @@ def test_each_round_reads_all_training_documents(spark, monkeypatch):
 
 
 def test_few_targets_train_too():
-    shape = Shape(n_head=64, n_tail=3)
+    shape = Shape(n_head=64, n_tail=64)
     ids, starts = np.arange(60) % 5 + 1, np.array([0, 60])
-    model = Model(shape, shape.start(np.ones(64), np.ones(3)))
+    model = Model(shape, shape.start(np.ones(128)))
     before = model.score(ids, starts, 0).sum()
     assert model.train(ids, starts, 0) == 61 and model.score(ids, starts, 0).sum() > before
