@@ -1,7 +1,7 @@
 """Hashes of the words and word shingles of many texts at once, in numpy.
 
 Texts are taken as UTF-8 with A-Z lowered; words are runs of bytes other than space and tab to carriage return. A word's hash is a
-polynomial over its bytes modulo 2^64, mixed; a shingle's hash combines the mixed hashes of its words by position and is mixed again.
+polynomial over its bytes and its length modulo 2^64, mixed; a shingle's hash combines the mixed hashes of its words by position and is mixed again.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import numpy as np
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _M = (1 << 64) - 1
+#: Bytes between words: space, and tab to carriage return.
+GAP = np.isin(np.arange(256), [32, *range(9, 14)])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -43,12 +45,16 @@ def words_with_ends(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8) if raw else np.zeros(0, np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    gap = np.ones(len(data) + 2, bool)
+    np.take(GAP, data, out=gap[1:-1])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    begin, end = edge[::2], edge[1::2]
     up, down = _power(len(data))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])))
-    hashes = mix((total[end] - total[begin]) * down[begin])
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.multiply(data, up[:len(data)], out=total[1:])
+    np.cumsum(total, out=total)
+    hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(STEP))
     ends = np.cumsum([len(r) + 1 for r in raw])
     starts = np.searchsorted(begin, np.concatenate(([0], ends)), side="left")
     last = data[end - 1].astype(np.int64) * 256 + np.where(end - begin > 1, data[np.maximum(end - 2, 0)], 0)
