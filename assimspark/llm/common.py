@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -71,6 +72,11 @@ class Scratch:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def settle(self) -> None:
+        """Let the driver collect its garbage now: Spark deletes shuffle files once nothing in the driver refers to their shuffle any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand texts to Python in batches of so many rows at most, for jobs whose rows are whole documents: a worker holds one batch at a time.

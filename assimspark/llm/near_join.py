@@ -250,6 +250,7 @@ def near_groups(docs: DataFrame, most_rounds: int = 10) -> DataFrame:
     kept = scratch.write(lists(heads, boundary), "lists")
     narrow = scratch.write(sets.select("doc_id", "n", "h1", "h2"), "set-sizes")
     scratch.drop(sets)
+    scratch.settle()
     n_rows = kept.count()
     members = kept.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("token")
     wanted = kept.join(members, "token", "left_semi").select("doc_id").distinct()
@@ -273,6 +274,7 @@ def near_groups(docs: DataFrame, most_rounds: int = 10) -> DataFrame:
         one = met.groupBy(F.col("doc_id").alias("u"), F.col("c.v").alias("v")).agg(F.count("*").alias("times")).groupBy("u").agg(F.max(F.struct("times", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
         links = links.unionByName(confirm(one, whole, scratch, sketch_first=False))
         labels = components(links, scratch, labels)
+        scratch.settle()
     scratch.drop(kept)
     rest = remaining_pairs(now, sizes.select("token", "main"), whole, scratch)
     links = links.unionByName(confirm(rest, whole, scratch, sketch_first=True))
