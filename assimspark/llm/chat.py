@@ -68,8 +68,8 @@ def reply_chains(turns: DataFrame) -> DataFrame:
     now = scratch.write(keys.join(before, ["conv_id", "turn"], "left").select("*", F.col("reply_to").alias("up"), F.col("reply_to").isNotNull().cast("long").alias("chain")), "chat-chains")
     while now.where("up is not null").limit(1).count():
         above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("above"), F.col("chain").alias("more"))
-        further = now.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", "reply_to", F.col("above").alias("up"), (F.col("chain") + F.coalesce("more", F.lit(0))).alias("chain"))
-        after = scratch.write(further, "chat-chains")
+        further = now.where("up is not null").join(above, ["conv_id", "up"]).select("conv_id", "turn", "reply_to", F.col("above").alias("up"), (F.col("chain") + F.col("more")).alias("chain"))
+        after = scratch.write(now.where("up is null").select(*further.columns).unionByName(further), "chat-chains")
         scratch.drop(now)
         now = after
     return now.drop("up")
