@@ -1,7 +1,10 @@
 import random
+import re
 import textwrap
 
-from assimspark.llm.licences import FAMILIES, NEAR_MISSES, NOTICES, sample_paragraphs, scan, train
+import numpy as np
+
+from assimspark.llm.licences import FAMILIES, NEAR_MISSES, NOTICES, _grams, sample_paragraphs, scan, train
 
 OTHER = ["the road to the river was long and the people of the town were out", "in version two of the story, she is free to go", "under the terms of their treaty the land was shared", "a copy of the letter was found"] * 30
 
@@ -60,3 +63,49 @@ def test_every_notice_of_a_line_and_of_a_text_without_breaks(spark):
     place = lambda n: (texts[2].index(n), texts[2].index(n) + len(n))
     assert sorted((d, f) for d, *_, f in got if d < 2) == [(0, "Apache-2.0"), (0, "MIT"), (1, "Apache-2.0"), (1, "MIT")]
     assert [(a, b, f) for d, a, b, f in got if d >= 2] == [(*place("Released under the MIT License."), "MIT"), (*place("Licensed under CC BY-SA 4.0."), "CC-BY-SA"), (*place("All rights reserved."), "Proprietary")]
+
+
+def plain_grams(words, most=3):
+    return {" ".join(words[i:i + k]) for k in range(1, most + 1) for i in range(len(words) - k + 1)}
+
+
+def plain_words(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())
+
+
+def test_scores_equal_brute_force():
+    model = train(OTHER, copies=4, rounds=20)
+    notices = [(k, n) for k, f in enumerate(FAMILIES) for n in NOTICES.get(f, [])]
+    row_of = {}
+    for g in {g for _, n in notices for g in plain_grams(plain_words(n))}:
+        row_of[g] = int(np.searchsorted(model.vocabulary, _grams([g])[0][-1]))  # the last of its n-grams is the whole
+    assert sorted(row_of.values()) == list(range(len(model.vocabulary)))
+    rng = random.Random(3)
+    texts = OTHER[:4] + NEAR_MISSES + ["", "é & x"]
+    texts += [" ".join(w for w in n.split() if rng.random() > 0.2) + rng.choice([" Die Köpfe.", "", " and\nmore"]) for _, n in notices]
+    family, chance, share = model.predict(texts)
+    for t, f, c, s in zip(texts, family, chance, share):
+        grams = plain_grams(plain_words(t))
+        z = model.bias + sum((model.weights[row_of[g]] for g in grams if g in row_of), np.zeros(len(FAMILIES)))
+        p = np.exp((z - z.max()) / model.temperature)
+        p /= p.sum()
+        assert f == p.argmax() and np.isclose(c, p.max())
+        assert not f or np.isclose(s, max(len(grams & own) / len(own) for k, n in notices if k == f for own in [plain_grams(plain_words(n))]))
+
+
+def test_candidates_are_found_where_a_window_holds_enough():
+    model = train(OTHER, copies=2, rounds=2)
+    templates, rng = model.templates(0.7), random.Random(8)
+    notices = [n for f in FAMILIES for n in NOTICES.get(f, [])]
+    texts = [" ".join([rng.choice(OTHER), *(w for w in rng.choice(notices).split() if rng.random() > rng.choice([0.02, 0.1, 0.2])), rng.choice(OTHER)]) for _ in range(150)]
+    found = {i: {f for _, f, *_ in out} for i, out, _ in model.candidates(texts, templates, 0.7)}
+    n_both = 0
+    for i, t in enumerate(texts):
+        words, want = plain_words(t), set()
+        for (family, _, _, width, _), n in zip(templates, notices):
+            own = plain_grams(plain_words(n))
+            if any(len(plain_grams(words[a:a + width]) & own) >= 0.7 * len(own) - 1e-9 for a in range(len(words))):
+                want.add(family)
+        assert found.get(i, set()) == want, t
+        n_both += bool(want)
+    assert 20 < n_both < 150
