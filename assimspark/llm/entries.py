@@ -75,6 +75,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_lines(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.hard_negatives import hard_negatives, quantised
+
+    label = F.expr("case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end")
+    return hard_negatives(quantised(read_table(spark, sf_dir, "embeddings"), label), F.expr("vec_id % 100 = 0"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -110,5 +117,22 @@ from conversations x join c on c.conv_id = x.conv_id and c.turn = x.turn
 """
 
 
+OP12_SQL = r"""
+with e as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as bigint) as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as a, a.label as al, b.vec_id as b, b.label as bl, cast(list_inner_product(a.q, b.q) as bigint) as s
+  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), p as (select a, al, b, s from s where al = bl qualify row_number() over (partition by a order by s desc, b) <= 5
+), n as (
+  select p.a, p.b, p.s, x.b as nb, x.s as ns, row_number() over (partition by p.a, p.b order by x.s desc, x.b) as k
+  from p join s x on x.a = p.a and x.bl <> p.al and 80 * p.s <= 100 * x.s and 100 * x.s <= 100 * p.s
+)
+select a as anchor_id, b as positive_id, cast(k as int) as rank, nb as negative_id, s as positive_score, ns as negative_score from n where k <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_join": OP7_SQL, "op10_chat": OP10_SQL}
+    return {"op7_near_join": OP7_SQL, "op10_chat": OP10_SQL, "op12_hard_negatives": OP12_SQL}
