@@ -82,6 +82,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(quantised(read_table(spark, sf_dir, "embeddings"), label), F.expr("vec_id % 100 = 0"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.collocations import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -134,5 +140,27 @@ select a as anchor_id, b as positive_id, cast(k as int) as rank, nb as negative_
 """
 
 
+OP13_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p
+), g as (select w.lang, s.k, unnest(list_transform(range(1, len(ws) - s.k + 2), lambda i: array_to_string(ws[i:i + s.k - 1], ' '))) as phrase from w, (select unnest([1, 2, 3, 4]) as k) s
+), f as materialized (select lang, k, phrase, count(*) as a from g group by lang, k, phrase
+), n as (select lang, cast(sum(a) as bigint) as n from f where k = 1 group by lang
+), c as materialized (select lang, k, phrase, a, string_split(phrase, ' ') as ws from f where k >= 2 and a >= 30
+), j as materialized (
+  select c.lang, c.k, c.phrase, c.a, s.j, array_to_string(c.ws[1:s.j], ' ') as head, array_to_string(c.ws[s.j + 1:], ' ') as tail from c join (select unnest([1, 2, 3]) as j) s on s.j < c.k
+), x as materialized (
+  select j.lang, j.phrase, j.k, j.a, l.a as l, r.a as r, cast(cast(2000000 as hugeint) * j.a // (l.a + r.a) as bigint) as score
+  from j join f l on l.lang = j.lang and l.phrase = j.head and l.k = j.j join f r on r.lang = j.lang and r.phrase = j.tail and r.k = j.k - j.j
+  qualify row_number() over (partition by j.lang, j.phrase order by score, j.j) = 1
+), y as (
+  select * from x where not exists (select 1 from c d where d.lang = x.lang and d.k > x.k and 100 * d.a >= 80 * x.a and contains(' ' || d.phrase || ' ', ' ' || x.phrase || ' '))
+), z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from y)
+select z.lang, z.rank, z.phrase, z.a, z.l, z.r, n.n, z.score from z join n on n.lang = z.lang where z.rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_join": OP7_SQL, "op10_chat": OP10_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op7_near_join": OP7_SQL, "op10_chat": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_collocations": OP13_SQL}
