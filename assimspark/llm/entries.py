@@ -75,6 +75,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_lines(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assimspark.llm.best_fit import pack_best_fit
+
+    return pack_best_fit(read_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assimspark.llm.hard_negatives import hard_negatives, quantised
 
