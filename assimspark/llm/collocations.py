@@ -32,7 +32,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes.maketrans(bytes(range(65, 91)) + ENDS, bytes(range(97, 123)) + b"." * len(ENDS))
 OCCURRENCES = 2000
 #: Pairs that a task counts at once, and words that it holds at most.
-HELD_PAIRS, HELD_WORDS = 4_000_000, 500_000
+HELD_PAIRS, HELD_WORDS = 2_000_000, 300_000
 RELATION = "uid long, slots binary, ids binary"
 UND = "und"
 
