@@ -117,9 +117,8 @@ class Cycle:
         n, n_par = len(self.psi), len(self.params)
         aware = cfg.method.startswith("rba") and self.n_seen >= cfg.n_blind
         ready = self.bias is not None and self.bias_ready
-        seen = d  # as observed; where observations are biased, the filter sees them shifted
         if cfg.method.startswith("rba") and ready and self.bias.wout.shape[1] == 2 * self.q:
-            d = d + self.b - self.u
+            d = d + self.b - self.u  # biased observations are shifted, for the filter and for the innovation after it
         many = d[:, None] + np.sqrt(cdd)[:, None] * kernels.perturbations(series, self.n_seen, y.shape, cfg.seed)
         if cfg.method == "ensrkf":
             done = kernels.apply_square_root(rows, *kernels.ensrkf_weights(y, d, cdd))
@@ -144,9 +143,9 @@ class Cycle:
         self.psi, self.params = kept[:n], kept[n:n + n_par]
         after = kept[n + n_par:].mean(axis=1)
         before = self.b
-        self.b = self.u = seen - after
+        self.b = self.u = d - after
         self.n_seen += 1
-        return {"y_mean": after, "y_std": kept[n + n_par:].std(axis=1), "innovation": seen - after, "bias": before, "rejected": bad, "prior_params": prior, "posterior_params": post, "param_mean": self.params.mean(axis=1), "param_std": self.params.std(axis=1), "forecast_mean": y.mean(axis=1)}
+        return {"y_mean": after, "y_std": kept[n + n_par:].std(axis=1), "innovation": d - after, "bias": before, "rejected": bad, "prior_params": prior, "posterior_params": post, "param_mean": self.params.mean(axis=1), "param_std": self.params.std(axis=1), "forecast_mean": y.mean(axis=1)}
 
 
 RESULT = "series_id long, config_id long, cycle long, step long, y_mean array<double>, y_std array<double>, forecast_mean array<double>, innovation array<double>, param_mean array<double>, param_std array<double>, rejected boolean, prior_params array<double>, posterior_params array<double>, bias array<double>"

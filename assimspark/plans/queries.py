@@ -349,7 +349,20 @@ def w1_find_peaks(spark, sf):
     return align.find_peaks(s, ["series_id"]).select("series_id", "step", "y")
 
 
-@query()
+def _rounds(n: int, reach: int) -> str:
+    """Rounds over peaks p0 (series_id, step, y): 0 open, 1 stays, 2 goes."""
+    out = "s0 as materialized (select *, 0 as s from p0)"
+    for k in range(n):
+        around = f"over (partition by series_id order by step range between {reach} preceding and {reach} following)"
+        out += f", t{k} as materialized (select series_id, step, y, case when s = 0 and max(case when s = 0 then struct_pack(h := y, s := -step) end) {around} = struct_pack(h := y, s := -step) then 1 else s end as s from s{k})"
+        out += f", s{k + 1} as materialized (select series_id, step, y, case when s = 0 and max(case when s = 1 then 1 else 0 end) {around} = 1 then 2 else s end as s from t{k})"
+    return out
+
+
+_RAW_PEAKS = _PEAKS.replace("round(y, 0)", "y")
+
+
+@query(f"with {SIG}, {_RAW_PEAKS}, p0 as (select series_id, (a + b) // 2 as step, h as y from p where h > hl and h > hr), {_rounds(12, 4)} select series_id, step, round(y, 6) as y from s12 where s < 2")
 def w1_separate_peaks(spark, sf):
     peaks = align.find_peaks(inputs.signals(spark, sf), ["series_id"]).select("series_id", "step", "t", "y")
     return align.separate_peaks(peaks, ["series_id"], 5).select("series_id", "step", R("y").alias("y"))
@@ -693,6 +706,16 @@ def h6_h7_bias_aware(spark, sf):
     return out.select("series_id", "config_id", "cycle", "step", *(R(F.col(c)[0], 4).alias(c) for c in ("y_mean", "innovation", "bias", "param_mean")))
 
 
+@query()
+def h6_biased_observations(spark, sf):
+    """A network of bias and innovation (2 q outputs): observations are shifted by their difference before each analysis."""
+    start, obs, net = _bias_aware(spark, sf)
+    both = replace(net, wout=np.hstack((net.wout, 0.5 * net.wout)))
+    configs = spark.createDataFrame([(0, "rba_enkf", 2.0), (1, "rba_enkf", 8.0)], "config_id long, method string, k double")
+    out = cycle.assimilate(start, obs, configs, decay, 1, cycle.Config(dt=0.1, n_blind=1), bias=both)
+    return out.select("series_id", "config_id", "cycle", "step", *(R(F.col(c)[0], 4).alias(c) for c in ("y_mean", "innovation", "bias", "param_mean")))
+
+
 @query()
 def w_bias_aware_sweep(spark, sf):
     """The sweep as a whole: every filter and regularisation factor on every series, errors of the biased and the unbiased estimate, the best cell of each series."""
@@ -892,7 +915,7 @@ def k1_k2_k5_stream_assimilate(spark, sf):
     seconds = F.unix_timestamp("ts") - 1_704_000_000
     obs = _event_stream(spark, sf).select(F.col("user_id").alias("series_id"), F.floor(seconds / 86_400).cast("long").alias("step"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.array("value").alias("d"), F.array(F.lit(9.0)).alias("cdd"))
     out = stream_assimilate(obs, first_state, decay, 1, cycle.Config(method="ensrkf", dt=1.0), idle_ms=None, order=("at", "event_id"))
-    return _run_stream(out, "stream-cycles").select("series_id", "step", "cycle", R(F.col("y_mean")[0], 4).alias("y_mean"), "n_dropped")
+    return _run_stream(out, "stream-cycles").where("status = 'posterior'").select("series_id", "step", "cycle", R(F.col("y_mean")[0], 4).alias("y_mean"), "n_dropped")
 
 
 _K3 = "r as (select user_id as series_id, event_id as step, x, -0.5::double * power((x - 40) / 30, 2) + sum(-0.5::double * power((x - value) / 20, 2)) over (partition by user_id, x order by event_id) as lw from events, g), w as (select *, exp(lw - max(lw) over (partition by series_id, step)) as w from r)"
@@ -912,12 +935,12 @@ def log_likelihood(x, d):
     return -0.5 * ((x - d) / 20) ** 2
 
 
-@query("with w as (select time_bucket(interval '1 day', ts) as w, user_id as series_id, event_type as dim, value as y from events), m as (select max(ts) - interval '1 hour' as mark from events) select w as start, series_id, dim, round(avg(abs(y - 40)), 6) as err, count(*) as n from w, m where w + interval '1 day' <= mark group by w, series_id, dim")
+@query("with w as (select time_bucket(interval '1 day', ts) as w, user_id as series_id, event_type as dim, value as y from events), m as (select max(ts) - interval '1 hour' as mark from events) select w as start, series_id, dim, round(avg(abs(y - 40)) / max(max(y)) over (partition by series_id, dim order by w), 6) as err, round(max(max(y)) over (partition by series_id, dim order by w), 6) as scale, count(*) as n from w, m where w + interval '1 day' <= mark group by w, series_id, dim")
 def k4_stream_interval_error(spark, sf):
     from assimspark.streaming.assimilate import stream_interval_error
 
     rows = _event_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("series_id"), F.col("event_type").alias("dim"), F.col("value").alias("y"), F.lit(40.0).alias("e"))
-    out = stream_interval_error(rows, "1 day", "1 hour").select(F.col("window.start").alias("start"), "series_id", "dim", "err", "n")
-    return _run_stream(out, "stream-errors").select(F.col("start").cast("timestamp_ntz").alias("start"), "series_id", "dim", R("err").alias("err"), "n")
+    out = stream_interval_error(rows, "1 day", "1 hour")
+    return _run_stream(out, "stream-errors").select(F.col("start").cast("timestamp_ntz").alias("start"), "series_id", "dim", R("err").alias("err"), R("scale").alias("scale"), "n")
 
 

@@ -75,7 +75,7 @@ def by_hand(series, net, cfg):
         rows = mean + cfg.inflation * (rows - mean)
         psi, params = rows[:2], rows[2:3]
         out.append((k, rows[3:].mean(axis=1), b))
-        b = u = d - rows[3:].mean(axis=1)
+        b = u = shifted - rows[3:].mean(axis=1)
     return out
 
 
