@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assimspark.functions.names import own_names
 from assimspark.operators.timegrid import neighbours
 
 
@@ -105,20 +106,60 @@ def find_peaks(df: DataFrame, key: list[str], value: str = "y", absolute: bool =
     return runs.join(middle, [*key, "__i"]).drop("__y", "__new", "__run", "__i")
 
 
-def separate_peaks(peaks: DataFrame, key: list[str], distance: int, value: str = "y") -> DataFrame:
-    """Of peaks closer than ``distance`` steps the higher stays (higher peaks choose first), one series in a task at a time."""
+def _greedy(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the peaks, in order of their steps, stay: higher ones choose first, and strike out neighbours that nobody has yet."""
+    left, right = np.arange(-1, len(at) - 1), np.arange(1, len(at) + 1)
+    keep, gone = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    for i in np.lexsort((at, -height)):
+        if gone[i]:
+            continue
+        keep[i], j = True, left[i]
+        while j >= 0 and at[i] - at[j] < distance:
+            gone[j], j = True, left[j]
+        k = right[i]
+        while k < len(at) and at[k] - at[i] < distance:
+            gone[k], k = True, right[k]
+        left[i], right[i] = j, k  # those struck out are skipped from now on
+        if j >= 0:
+            right[j] = i
+        if k < len(at):
+            left[k] = i
+    return keep
+
+
+def separate_peaks(peaks: DataFrame, key: list[str], distance: int, value: str = "y", rounds: int = 3, block: int = 100_000) -> DataFrame:
+    """Of peaks closer than ``distance`` steps the higher stays (higher peaks choose first, of equals the earlier).
+
+    Rounds of windows decide nearly all: a peak that is the highest within reach of those left stays, and its neighbours go. A series is cut
+    into blocks of steps with as much of their neighbours as the rounds can look at, so it spreads over tasks. What rounds leave are stairs of ever
+    higher peaks; each stretch of them without a gap of ``distance`` is decided in order of height. Of several rows of a step the highest
+    stays; a null height or step is no peak.
+    """
+    names = own_names(peaks, "h", "block", "in", "state", "top", "near", "run", "copy")
+    h, in_, state, top, near, run, copy = (F.col(names[n]) for n in ("h", "in", "state", "top", "near", "run", "copy"))
+    whole = peaks.where(F.col("step").isNotNull() & F.col(value).isNotNull()).withColumn(names["h"], F.col(value).cast("double"))
+    single = whole.withColumn(names["copy"], F.row_number().over(Window.partitionBy(*key, "step").orderBy(h.desc()))).where(copy == 1).drop(names["copy"])
+    reach = 2 * rounds * max(distance - 1, 0)
+    size = max(block, 8 * reach, 1)
+    own = F.floor(F.col("step") / size)
+    spread = F.explode(F.sequence(F.floor((F.col("step") - reach) / size), F.floor((F.col("step") + reach) / size))).alias(names["block"])
+    rows = single.select("*", own.alias(names["in"]), spread).withColumn(names["state"], F.lit(0))  # 0 open, 1 stays, 2 goes
+    around = Window.partitionBy(*key, names["block"]).orderBy("step").rangeBetween(-max(distance - 1, 0), max(distance - 1, 0))
+    rank = F.struct(h, (-F.col("step")).alias("s"))
+    for _ in range(rounds):
+        rows = rows.withColumn(names["top"], F.max(F.when(state == 0, rank)).over(around)).withColumn(names["state"], F.when((state == 0) & (top == rank), 1).otherwise(state))
+        rows = rows.withColumn(names["near"], F.max((state == 1).cast("int")).over(around)).withColumn(names["state"], F.when((state == 0) & (near == 1), 2).otherwise(state))
+    decided = rows.where(F.col(names["block"]) == in_).drop(*(names[n] for n in ("block", "in", "top", "near")))
+    order = Window.partitionBy(*key).orderBy("step")
+    gap = F.coalesce((F.col("step") - F.lag("step").over(order) >= distance).cast("int"), F.lit(1))
+    stairs = decided.where(state == 0).withColumn(names["run"], gap).withColumn(names["run"], F.sum(run).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", kind="stable").reset_index(drop=True)
-        at, height, keep = pdf["step"].to_numpy(), pdf[value].to_numpy(), np.ones(len(pdf), bool)
-        for i in np.argsort(-height, kind="stable"):
-            if keep[i]:
-                near = np.abs(at - at[i]) < distance
-                near[i] = False
-                keep &= ~near
-        return pdf[keep]
-
-    return peaks.groupBy(*key).applyInPandas(prune, peaks.schema)
+        pdf = pdf.sort_values("step")
+        return pdf[_greedy(pdf["step"].to_numpy(), pdf[names["h"]].to_numpy(), distance)]
+
+    rest = stairs.groupBy(*key, names["run"]).applyInPandas(prune, stairs.schema)
+    return decided.where(state == 1).select(*peaks.columns).unionAll(rest.select(*peaks.columns))
 
 
 def envelope(df: DataFrame, key: list[str], value: str = "y", distance: int | None = None) -> DataFrame:

@@ -76,12 +76,13 @@ def pod_by_points(field: DataFrame, n_modes: int) -> tuple[DataFrame, np.ndarray
     snapshots there are; more than MOST_SIDE points are refused. Coefficients come from project(). Every snapshot needs all points, once
     each; an empty field has no modes."""
     spark = field.sparkSession
-    points = [r["point_id"] for r in field.select("point_id").distinct().orderBy("point_id").collect()]
+    means = field.groupBy("point_id").agg(F.avg("value").alias("m"))
+    n_points = means.count()
+    if n_points > MOST_SIDE:
+        raise ValueError(f"{n_points} points; {MOST_SIDE} at most, else see pod, and low_rank where both sides are long")
+    found = means.orderBy("point_id").collect()  # at most MOST_SIDE rows
+    points, shift = [r["point_id"] for r in found], np.array([r["m"] for r in found])
     packed = field.groupBy("step").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", "value"))), lambda x: x["value"]).alias("q"))
-    shift = np.array([r["m"] for r in field.groupBy("point_id").agg(F.avg("value").alias("m")).orderBy("point_id").collect()])
-
-    if len(points) > MOST_SIDE:
-        raise ValueError(f"{len(points)} points; {MOST_SIDE} at most, else see pod")
 
     def each(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
         q = np.stack(pdf["q"].to_list()) - shift
@@ -169,11 +170,67 @@ def random_sensors(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return points.select("point_id").distinct().orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id").limit(n).orderBy("point_id")
 
 
+#: Steps of a mode, after thinning, whose distances are ranked in one task; the pairs of more would be beyond any use.
+MOST_STEPS = 1 << 24
+#: Buckets to a limit's width, in the join of pairs.
+FINE = 16
+
+
+def _count_within(x: np.ndarray, t: float) -> int:
+    """Ordered pairs of the sorted values at most t apart, each with itself included."""
+    at = np.searchsorted(x, x + t, side="right")
+    with np.errstate(invalid="ignore"):
+        while True:  # rounding of x + t can be off by neighbours
+            up = at < len(x)
+            up[up] = x[at[up]] - x[up] <= t
+            if not up.any():
+                break
+            at[up] = np.searchsorted(x, x[at[up]], side="right")
+        while (down := x[at - 1] - x > t).any():
+            at[down] = np.searchsorted(x, x[at[down] - 1], side="left")
+    after = at - np.arange(1, len(x) + 1)  # later ones in order; equal values count from both sides
+    return int(len(x) + 2 * after.sum())
+
+
+def distance_percentile(x: np.ndarray, share: float) -> float:
+    """The interpolated percentile of the distances of all ordered pairs, found by bisection on the bits of the distance."""
+    x = np.sort(x)
+
+    def ranked(k: int) -> float:
+        low, high = 0, int(np.array(x[-1] - x[0]).view(np.int64))  # bits of positive numbers are in their order
+        while low < high:
+            middle = (low + high) // 2
+            if _count_within(x, float(np.array(middle).view(np.float64))) > k:
+                high = middle
+            else:
+                low = middle + 1
+        return float(np.array(low).view(np.float64))
+
+    place = share * (len(x) * len(x) - 1)
+    k = int(place)
+    first = ranked(k)
+    return first if k == place or _count_within(x, first) > k + 1 else first + (place - k) * (ranked(k + 1) - first)
+
+
 def recurrence_pairs(coeffs: DataFrame, percent: float = 0.2, stride: int = 1) -> DataFrame:
     """(mode, i, j) with |x_i - x_j| below the given percentile of that mode's distances; all ordered pairs, the diagonal included.
 
-    Steps are thinned by ``stride`` first: the pairs of a mode grow with the square of its steps by definition."""
-    x = coeffs.where(F.col("step") % stride == 0).select("mode", "step", "x")
-    met = x.select("mode", F.col("step").alias("i"), F.col("x").alias("xi")).join(x.select("mode", F.col("step").alias("j"), F.col("x").alias("xj")), "mode").withColumn("gap", F.abs(F.col("xi") - F.col("xj")))
-    limit = met.groupBy("mode").agg(F.percentile("gap", F.lit(percent)).alias("limit"))
-    return met.join(limit, "mode").where("gap < limit").select("mode", "i", "j")
+    Steps are thinned by ``stride`` first. A mode's limit is found without making its pairs, by counting within sorted values; then values meet
+    in buckets of a sixteenth of the limit, so few pairs beyond it are looked at. The result grows with the square of a mode's steps by
+    definition. Null and NaN values take no part; repeated steps are steps of their own; a mode whose limit is 0 has no pairs.
+    """
+    x = coeffs.where((F.col("step") % stride == 0) & F.col("x").isNotNull() & ~F.isnan("x")).select("mode", "step", F.col("x").cast("double").alias("x"))
+    most = x.groupBy("mode").count().agg(F.max("count")).first()[0] or 0
+    if most > MOST_STEPS:
+        raise ValueError(f"{most} steps of a mode; thin them to {MOST_STEPS}")
+    kind = x.schema["mode"].dataType.simpleString()
+
+    def limits(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"mode": pdf["mode"].iloc[:1], "limit": [distance_percentile(pdf["x"].to_numpy(), percent)]})
+
+    limit = x.select("mode", "x").groupBy("mode").applyInPandas(limits, f"mode {kind}, limit double").where("limit > 0")
+    placed = x.join(limit, "mode").withColumn("bucket", F.floor(F.col("x") / F.col("limit") * FINE))
+    near = F.explode(F.sequence(F.col("bucket") - FINE - 1, F.col("bucket") + FINE + 1)).alias("bucket")
+    left = placed.select("mode", F.col("step").alias("i"), F.col("x").alias("xi"), "limit", near)
+    right = placed.select("mode", F.col("step").alias("j"), F.col("x").alias("xj"), "bucket")
+    return left.join(right, ["mode", "bucket"]).where(F.abs(F.col("xi") - F.col("xj")) < F.col("limit")).select("mode", "i", "j")

@@ -1,8 +1,8 @@
 """Ensemble Kalman analyses in two stages: weights from the observable rows of each (series, cycle), then a row-wise update.
 
 For the stochastic and the bias-regularised filters any row a becomes a + (a - mean) X with one m x m matrix X for a cycle; the square-root
-filter has a vector w and a matrix T. The first stage sees q x m numbers in each group; the second joins weights to blocks of state rows, so
-the number of state rows has no bound. Scalar observations have closed forms in plain columns. Empty tables give empty results; rows of one
+filter has a vector w and a matrix T. The first stage sees q x m numbers in each group; the second streams state rows past their weights, so the
+number of state rows has no bound. Scalar observations have closed forms in plain columns. Empty tables give empty results; rows of one
 (series, cycle) have equally many members; repeated rows are rows of their own.
 
 Packed rows: ``rows`` (series_id, cycle, row_id, kind, vals array<double>); ``obs`` (series_id, cycle, dim, d, cdd) where dim numbers the
@@ -17,14 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from assimspark.functions import kernels
 from assimspark.functions.names import own_names
 
 WEIGHTS = "series_id long, cycle long, m int, x array<double>, w array<double>"
-#: State rows of one (series, cycle) that share a copy of its weights.
-BLOCK_ROWS = 256
 
 
 def pack(ens: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,35 +85,56 @@ def weights(rows: DataFrame, obs: DataFrame, method: str = "enkf", k: float = 1.
     return packed.select(F.col("series_id").cast("long"), F.col("cycle").cast("long"), *columns).mapInArrow(work, WEIGHTS)
 
 
-def apply(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """All rows updated by their cycle's weights: blocks of at most BLOCK_ROWS rows of a (series, cycle), one matrix product each.
+def apply(rows: DataFrame, found: DataFrame, spread: int = 1) -> DataFrame:
+    """All rows updated by their cycle's weights; rows of a (series, cycle) without weights go, as in an inner join.
 
-    Rows of a (series, cycle) without weights go, as in an inner join.
+    Weights and rows are stacked, dealt by (series, cycle) once and sorted so that a cycle's weights come first; a task then streams its rows past
+    them, with one matrix product for each cycle and Arrow batch, so a cycle may have any number of rows. With ``spread`` over 1 a cycle's
+    rows go to so many tasks, each with a copy of the weights: for tables with few cycles of very many rows.
     """
     keys, rest = ["series_id", "cycle"], [c for c in rows.columns if c not in ("series_id", "cycle", "vals")]
-    number = F.row_number().over(Window.partitionBy(*keys, F.pmod(F.hash("row_id"), F.lit(64))).orderBy("row_id"))
-    block = F.struct(F.pmod(F.hash("row_id"), F.lit(64)), F.floor((number - 1) / BLOCK_ROWS)) if "row_id" in rest else F.lit(0)
-    mine = own_names(rows, "block")["block"]
-    packed = rows.withColumn(mine, block).groupBy(*keys, mine).agg(F.collect_list(F.struct(*rest, "vals")).alias("__rows"))
-    met = packed.join(found.select(*keys, "m", "x", "w"), keys).select(*keys, "__rows", F.flatten(F.transform("__rows", lambda r: r["vals"])).alias("__v"), "m", "x", "w")
+    row = StructType([rows.schema[c] for c in rest])
+    salt = F.pmod(F.xxhash64("vals", *(["row_id"] if "row_id" in rest else [])), F.lit(spread)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__s")
+    none = F.lit(None)
+    first = found.select(*(F.col(k).cast(rows.schema[k].dataType) for k in keys), copies, F.lit(0).alias("__o"), none.cast(row).alias("__r"), F.col("x").alias("__v"), F.col("w").alias("__w"), F.col("m").alias("__m"))
+    later = rows.select(*keys, salt.alias("__s"), F.lit(1).alias("__o"), F.struct(*rest).cast(row).alias("__r"), F.col("vals").cast("array<double>").alias("__v"), none.cast("array<double>").alias("__w"), none.cast("int").alias("__m"))
+    met = first.unionAll(later).repartition(*keys, "__s").sortWithinPartitions(*keys, "__s", "__o")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last weights: keys, x, w, m
         for batch in batches:
-            (v, v_at), (x, x_at), (w, w_at) = (_lists(batch.column(c)) for c in ("__v", "x", "w"))
-            out = []
-            for i, m in enumerate(batch.column("m").to_pylist()):
-                a, t, mean = v[v_at[i]:v_at[i + 1]].reshape(-1, m), x[x_at[i]:x_at[i + 1]].reshape(m, m), w[w_at[i]:w_at[i + 1]]
-                out.append(kernels.apply_square_root(a, mean, t) if len(mean) else kernels.apply_weights(a, t))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (*keys, "__rows", "m")] + [_as_lists(out)], names=[*keys, "__rows", "m", "__v"])
-
-    schema = StructType([*(met.schema[c] for c in (*keys, "__rows")), StructField("m", IntegerType()), StructField("__v", ArrayType(DoubleType()))])
-    done = met.mapInArrow(work, schema).select(*keys, "m", "__v", F.posexplode("__rows").alias("__i", "__r"))
-    after = F.slice("__v", F.col("__i") * F.col("m") + 1, F.col("m")).alias("vals")
-    return done.select(*keys, *(F.col(f"__r.`{c}`").alias(c) for c in rest), after).select(*rows.columns)
-
-
-def analyse(rows: DataFrame, obs: DataFrame, method: str = "enkf", **how) -> DataFrame:
-    return apply(rows, weights(rows, obs, method, **how))
+            (v, v_at), (w, w_at) = (_lists(batch.column(c)) for c in ("__v", "__w"))
+            names, order = [batch.column(c).to_pylist() for c in keys], batch.column("__o").to_numpy(zero_copy_only=False)
+            members = batch.column("__m").to_pylist()
+            key = list(zip(*names))
+            starts = np.flatnonzero(order == 0).tolist()
+            taken, out = np.zeros(len(order), bool), []
+            for a, b in zip([-1, *starts], [*starts, len(order)]):
+                if a >= 0:
+                    m = members[a]
+                    held = (key[a], v[v_at[a]:v_at[a + 1]].reshape(m, m), w[w_at[a]:w_at[a + 1]], m)
+                if held is None or a + 1 >= b or key[a + 1] != held[0]:
+                    continue
+                end = a + 1
+                while end < b and key[end] == held[0]:
+                    end += 1
+                values = v[v_at[a + 1]:v_at[end]].reshape(-1, held[3])
+                out.append(kernels.apply_square_root(values, held[2], held[1]) if len(held[2]) else kernels.apply_weights(values, held[1]))
+                taken[a + 1:end] = True
+            if out:
+                kept = batch.filter(pa.array(taken))
+                sizes = np.concatenate([np.full(len(o), o.shape[1]) for o in out])
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in (*keys, "__r")), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([o.ravel() for o in out])))], names=[*keys, "__r", "__v"])
+
+    schema = StructType([*(rows.schema[c] for c in keys), StructField("__r", row), StructField("__v", ArrayType(DoubleType()))])
+    done = met.mapInArrow(work, schema)
+    return done.select(*keys, *(F.col(f"__r.`{c}`").alias(c) for c in rest), F.col("__v").alias("vals")).select(*rows.columns)
+
+
+def analyse(rows: DataFrame, obs: DataFrame, method: str = "enkf", spread: int = 1, **how) -> DataFrame:
+    return apply(rows, weights(rows, obs, method, **how), spread)
 
 
 def scalar_analysis(ens: DataFrame, method: str = "enkf", key: str = "series_id", y: str = "y", states: tuple[str, ...] = ("a",), d: str = "d", r: str = "r", b: str = "b", jac: str = "jac", k: float = 1.0) -> DataFrame:

@@ -34,8 +34,8 @@ def field_to_rows(field: DataFrame, point: list[str], value: str = "value") -> D
 
 
 def write_runs(runs: DataFrame, path: str, keys: list[str]) -> None:
-    """One folder for each sweep cell."""
-    runs.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    """One folder for each sweep cell. Cells that ``runs`` holds take the place of their former rows; all others stay as they are."""
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
