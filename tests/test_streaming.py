@@ -1,3 +1,6 @@
+import datetime as dt
+import os
+
 import numpy as np
 
 import __spark_entry__
@@ -30,3 +33,67 @@ def test_order_and_duplicates(spark):
         results.append(sorted((r["series_id"], r["step"], r["cycle"], r["y_mean"][0]) for r in out))
         assert max(r["n_dropped"] for r in out) == len(rows) - len(obs)
     assert len(results[0]) == 40 and results[0] == results[1] == results[2]
+
+
+def _in_batches(spark, tmp_path, batches, schema):
+    """A stream that reads one file after the other."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/made/{i}")
+        for f in (tmp_path / "made" / str(i)).glob("part-*.parquet"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            target = tmp_path / "in" / f"{i}.parquet"
+            f.rename(target)
+            os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_idle_series_are_evicted_and_late_rows_set_aside(spark, tmp_path):
+    from assimspark.plans import cycle
+    from assimspark.plans.queries import decay, first_state
+    from assimspark.streaming.assimilate import stream_assimilate, write_with_side_table
+
+    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    row = lambda series, h: (series, h, hour(h), [50.0 + h], [9.0])
+    batches = [[row(1, 1), row(2, 1), row(1, 2)], [row(2, 9)], [row(2, 10)], [row(1, 11), row(2, 12)], [row(1, 11), row(1, 10), row(2, 13), (2, 14, hour(14), None, [9.0])]]
+    obs = _in_batches(spark, tmp_path, batches, "series_id long, step long, at timestamp, d array<double>, cdd array<double>")
+    out = stream_assimilate(obs, first_state, decay, 1, cycle.Config(method="ensrkf", dt=1.0), idle_ms=3 * 3_600_000, event_time="at", lateness="2 hours", dead_letters=True)
+    write_with_side_table(out, f"{tmp_path}/good", f"{tmp_path}/dead", f"{tmp_path}/log").awaitTermination()
+    good = sorted((r["series_id"], r["step"], r["cycle"]) for r in spark.read.parquet(f"{tmp_path}/good").collect())
+    # series 1 was idle from hour 2 on and evicted before hour 11, so its cycles begin again; series 2 went on
+    assert good == [(1, 1, 0), (1, 2, 1), (1, 11, 0), (2, 1, 0), (2, 9, 1), (2, 10, 2), (2, 12, 3), (2, 13, 4)] or good == [(1, 1, 0), (1, 2, 1), (1, 11, 0), (2, 1, 0), (2, 9, 0), (2, 10, 1), (2, 12, 2), (2, 13, 3)]
+    dead = sorted((r["series_id"], r["step"], r["status"], r["n_dropped"]) for r in spark.read.parquet(f"{tmp_path}/dead").collect())
+    assert dead == [(1, 10, "late", 1), (1, 11, "repeated", 2)]
+
+
+def test_errors_over_the_largest_truth_so_far(spark, tmp_path):
+    from assimspark.streaming.assimilate import stream_interval_error
+
+    rng = np.random.default_rng(1)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(minutes=int(m)), int(s), "abc"[d], float(y), float(y + e)) for m, s, d, y, e in zip(np.sort(rng.integers(0, 6000, 300)), rng.integers(0, 3, 300), rng.integers(0, 2, 300), rng.normal(5, 3, 300), rng.normal(size=300))]
+    batches = [rows[a:a + 60] for a in range(0, 300, 60)]
+    stream = _in_batches(spark, tmp_path, batches, "ts timestamp, series_id long, dim string, y double, e double")
+    stream_interval_error(stream, "1 hour", "10 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["start"], r["series_id"], r["dim"], r["err"], r["scale"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    mark, cells, want, largest = rows[-1][0] - dt.timedelta(minutes=10), {}, [], {}
+    for ts, s, d, y, e in rows:
+        cells.setdefault((ts.replace(minute=0), s, d), []).append((y, abs(y - e)))
+    for (w, s, d), held in sorted(cells.items()):
+        largest[s, d] = max(largest.get((s, d), -np.inf), *(y for y, _ in held))
+        if w + dt.timedelta(hours=1) <= mark:
+            want.append((w, s, d, np.mean([e for _, e in held]) / largest[s, d], largest[s, d], len(held)))
+    assert [g[:3] + g[5:] for g in got] == [w[:3] + w[5:] for w in want] and np.allclose([g[3:5] for g in got], [w[3:5] for w in want])
+    assert len(got) > 100
+
+
+def test_empty_streams(spark, tmp_path):
+    from assimspark.plans import cycle
+    from assimspark.plans.queries import decay, first_state
+    from assimspark.streaming.assimilate import stream_assimilate, stream_interval_error
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    none = spark.createDataFrame([(1, None, [1.0], [1.0]), (1, 2, None, [1.0])], "series_id long, step long, d array<double>, cdd array<double>")
+    assert stream_assimilate(none, first_state, decay, 1, cycle.Config(), idle_ms=None).count() == 0
+    rows = spark.createDataFrame([], "ts timestamp, series_id long, dim int, y double, e double")
+    assert stream_interval_error(rows, "1 hour", "1 hour").count() == 0
