@@ -9,8 +9,9 @@ Every turn has the identifier "t" + turn, and answers the turn before it (reply_
 the length of the chain of turns it ends; it is found by pointer doubling, in as many joins as the longest chain's length has binary
 digits, so a very long conversation isn't brought together either. Its status is "valid" or "unknown_role".
 
-Order of calls: a call follows the calls named in its "after" (level = longest chain of such calls; calls on a cycle have level null and status
-"cyclic"), and a result follows its call. Arguments are checked against the schema of the tool: status "valid", or "unknown_tool",
+Order of calls: a call follows the calls named in its "after" (level = longest chain of such calls; calls on a cycle, or that follow one on a cycle,
+have level null and status "cyclic"), and a result follows its call. Chains of calls that each follow one other are run through by pointer
+doubling too; only calls that follow several are settled level by level. Arguments are checked against the schema of the tool: status "valid", or "unknown_tool",
 "bad_arguments". An id that several calls of a conversation share belongs to the first (turn, place), the others are "repeated_id"; of
 several results the first after the call counts, then the first of all, the others are "repeated_id"; a result without a call is
 "orphan"; a call without a result is valid all the same, with linked false.
@@ -75,22 +76,57 @@ def reply_chains(turns: DataFrame) -> DataFrame:
     return now.drop("up")
 
 
+def _doubled(single: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, id, up, dist, late): for calls that need one other (conv_id, id, turn, needs) the first call up the chain that doesn't, how far it is and the latest turn
+    before it. Each round doubles how far all have come; those that never arrive are on cycles, or hang on them, and have no row."""
+    chained = single.select("conv_id", F.col("id").alias("up"), F.lit(True).alias("open"))
+    start = single.select("conv_id", "id", F.col("needs").alias("up"), F.lit(1).cast("long").alias("dist"), F.col("turn").alias("late")).join(chained, ["conv_id", "up"], "left")
+    now = scratch.write(start.withColumn("open", F.coalesce("open", F.lit(False))), "chat-chains")
+    most = now.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(most).bit_length()):
+        if not now.where("open").limit(1).count():
+            break
+        above = now.select("conv_id", F.col("id").alias("up"), F.col("up").alias("above"), F.col("dist").alias("more"), F.col("late").alias("later"), F.col("open").alias("on"))
+        moved = now.where("open").join(above, ["conv_id", "up"]).select("conv_id", "id", F.col("above").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), F.greatest("late", "later").alias("late"), F.col("on").alias("open"))
+        after = scratch.write(now.where("not open").select(*moved.columns).unionByName(moved), "chat-chains")
+        scratch.drop(now)
+        now = after
+    return now.where("not open").drop("open")
+
+
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level, floor_turn) of the calls that hang on others, by rounds of settled calls; the rest of them are on cycles."""
+    """(conv_id, id, level, floor_turn) of the calls that hang on others; those without are on cycles or hang on them.
+
+    Chains of calls that need one other each are run through by pointer doubling. What is left are calls that need several: these are settled in
+    rounds, each of which writes and appends the calls that it settles.
+    """
+    scratch = Scratch(calls.sparkSession)
     waits = calls.select("conv_id", "id", "turn", F.explode("after").alias("needs")).join(calls.select("conv_id", F.col("id").alias("needs")), ["conv_id", "needs"], "left_semi").distinct()
-    waits = materialise(waits, "chat-waits")
-    settled = calls.join(waits, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("floor_turn"))
+    waits = scratch.write(waits, "chat-waits")
+    roots = calls.join(waits, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).cast("long").alias("level"), F.col("turn").alias("floor_turn"))
     if not waits.limit(1).count():
-        return settled
-    settled = materialise(settled, "chat-settled")
+        return roots.withColumn("level", F.col("level").cast("int"))
+    single = scratch.write(waits.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.max("turn").alias("turn"), F.min("needs").alias("needs")), "chat-single")
+    several = waits.join(single.where("n > 1").select("conv_id", "id"), ["conv_id", "id"], "left_semi")
+    chains = _doubled(single.where("n = 1").select("conv_id", "id", "turn", "needs"), scratch)
+    ends = single.where("n = 1").select("conv_id", F.col("id").alias("needs"))
+    far = chains.select("conv_id", F.col("id").alias("needs"), "up", "dist", "late")
+    # A need in the middle of a chain is one of the chain's end, from further away; one on a cycle is never settled (up is null).
+    edges = several.join(far, ["conv_id", "needs"], "left").join(ends.withColumn("chained", F.lit(True)), ["conv_id", "needs"], "left")
+    edges = edges.select("conv_id", "id", F.when(F.col("chained"), F.col("up")).otherwise(F.col("needs")).alias("up"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"), F.greatest("turn", "late").alias("late"))
+    edges, settled = scratch.write(edges, "chat-edges"), scratch.write(roots, "chat-settled")
     while True:
-        met = waits.join(settled.withColumnRenamed("id", "needs"), ["conv_id", "needs"], "left")
-        ready = met.groupBy("conv_id", "id", "turn").agg(F.max("level").alias("top"), F.max("floor_turn").alias("late"), F.count("*").alias("n"), F.count("level").alias("k")).where("n = k")
-        new = ready.join(settled, ["conv_id", "id"], "left_anti").select("conv_id", "id", (F.col("top") + 1).alias("level"), F.greatest("turn", "late").alias("floor_turn"))
-        new = materialise(new, "chat-settled")
+        met = edges.join(settled.select("conv_id", F.col("id").alias("up"), "level", "floor_turn"), ["conv_id", "up"], "left")
+        ready = met.groupBy("conv_id", "id").agg(F.max(F.col("level") + F.col("dist")).alias("level"), F.max(F.greatest("floor_turn", "late")).alias("floor_turn"), F.count("*").alias("n"), F.count("level").alias("k")).where("n = k")
+        new = scratch.write(ready.select("conv_id", "id", "level", "floor_turn"), "chat-settled")
         if not new.limit(1).count():
-            return settled
-        settled = materialise(settled.unionByName(new), "chat-settled")
+            break
+        rest = scratch.write(edges.join(new, ["conv_id", "id"], "left_anti"), "chat-edges")
+        scratch.drop(edges)
+        edges, settled = rest, settled.unionByName(new)
+    on = settled.select("conv_id", F.col("id").alias("up"), "level", "floor_turn")
+    chained = chains.join(on, ["conv_id", "up"]).select("conv_id", "id", (F.col("level") + F.col("dist")).alias("level"), F.greatest("floor_turn", "late").alias("floor_turn"))
+    return scratch.write(settled.unionByName(chained).withColumn("level", F.col("level").cast("int")), "chat-levels")
 
 
 def chat_lines(conversations: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:

@@ -66,3 +66,89 @@ def test_messages_and_chains_equal_brute_force(spark):
         body = {"content": text or "", "id": f"t{t}"} | ({"reply_to": f"t{t - 1}"} if (c, t - 1) in there else {}) | {"role": role or ""}
         want.append((c, t, chain(c, t), "valid" if role in ("system", "user", "assistant") else "unknown_role", (c, t - 1) in there, json.dumps(body, ensure_ascii=False, separators=(",", ":"))))
     assert sorted((r["conv_id"], r["turn"], r["level"], r["status"], r["linked"], r["json"]) for r in lines(spark, rows)) == sorted(want)
+
+
+def by_hand(rows, schemas):
+    """(conv, turn, kind, id, status, linked, level, ord_turn) of all calls and results, by plain loops."""
+    kinds = {"string": str, "integer": int, "boolean": bool, "array": list, "object": dict}
+
+    def fits(value, kind):
+        if kind == "number":
+            return isinstance(value, (int, float)) and not isinstance(value, bool)
+        return isinstance(value, kinds[kind]) and not (kind == "integer" and isinstance(value, bool))
+
+    def status(name, args):
+        if name not in schemas:
+            return "unknown_tool"
+        known = schemas[name]
+        good = isinstance(args, dict) and args.keys() <= known.keys() and all((p in args and fits(args[p], k)) or (p not in args and not need) for p, (k, need) in known.items())
+        return "valid" if good else "bad_arguments"
+
+    out = []
+    for conv in {c for c, *_ in rows}:
+        calls, results, owner = [], [], {}
+        for _, t, role, text in sorted(r for r in rows if r[0] == conv):
+            body = json.loads(text)
+            for place, c in enumerate(body.get("tool_calls", [])):
+                calls.append((t, place, c))
+                owner.setdefault(c["id"], (t, place, c))
+            if "tool_call_id" in body:
+                results.append((t, body["tool_call_id"]))
+        level, floor = {}, {}
+        while True:
+            new = {}
+            for i, (t, _, c) in owner.items():
+                needs = {n for n in c.get("after", []) if n in owner}
+                if i not in level and needs <= level.keys():
+                    new[i] = (1 + max((level[n] for n in needs), default=-1), max([t, *(floor[n] for n in needs)]))
+            if not new:
+                break
+            level |= {i: a for i, (a, _) in new.items()}
+            floor |= {i: b for i, (_, b) in new.items()}
+        answers = {i: min(((t <= owner[i][0], t) for t, j in results if j == i), default=None) for i in owner}
+        for t, place, c in calls:
+            i, own = c["id"], owner[c["id"]][:2] == (t, place)
+            s = "repeated_id" if not own else "cyclic" if i not in level else status(c["name"], c["arguments"])
+            out.append((conv, t, "call", i, s, own and answers[i] is not None, level.get(i) if own else 0, floor.get(i, t) if own else t))
+        for t, i in results:
+            first = i in owner and answers[i][1] == t
+            out.append((conv, t, "result", i, "orphan" if i not in owner else "valid" if first else "repeated_id", first, level.get(i, 0), max(t, floor.get(i, owner[i][0])) if i in owner else t))
+    return sorted(out, key=str)
+
+
+def test_calls_and_results_equal_brute_force(spark):
+    schemas = {"find": {"query": ("string", True), "limit": ("integer", False), "deep": ("boolean", False)}, "sum": {"values": ("array", True), "scale": ("number", False), "options": ("object", False)}, "none": {}}
+    values = ["x", 3, 2.5, True, [1, "a"], {"k": 1}, None]
+    rng, rows = random.Random(11), []
+    for conv in range(14):
+        ids = [f"i{k}" for k in range(rng.choice([3, 8, 25]))]
+        made, turns = [], 0
+        for i in ids:
+            name = rng.choice(["find", "sum", "none", "other"])
+            args = {p: rng.choice(values[:-1] if rng.random() < 0.5 else {"string": ["q"], "integer": [4], "boolean": [False], "array": [[1]], "number": [1.5, 2], "object": [{"a": {}}]}[k]) for p, (k, need) in schemas.get(name, {}).items() if need and rng.random() < 0.95 or rng.random() < 0.4}
+            args |= {"odd": 1} if rng.random() < 0.1 else {}
+            pool = ids[:ids.index(i)][-4:] if conv % 3 else ids
+            after = rng.sample(pool, min(len(pool), rng.choice([0, 1, 1, 1, 2, 3]))) + (["gone"] if rng.random() < 0.1 else [])
+            made.append({"id": rng.choice(ids) if rng.random() < 0.05 else i, "name": name, "arguments": args, "after": after})
+        rng.shuffle(made)
+        while made:
+            part, made = made[:rng.choice([1, 2, 4])], made[4:] if len(made) > 4 and rng.random() < 0.1 else made[1:] if len(made) < 2 else made[2:]
+            rows.append((conv, turns, "assistant", json.dumps({"tool_calls": part})))
+            turns += 1
+            for c in part:
+                for _ in range(rng.choice([0, 1, 1, 1, 2])):
+                    rows.append((conv, turns, "tool", result(rng.choice([c["id"]] * 8 + ["stray"]))))
+                    turns += 1
+    want = by_hand(rows, schemas)
+    got = chat_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), schemas).where("kind <> 'message'").collect()
+    assert sorted(((r["conv_id"], r["turn"], r["kind"], json.loads(r["json"])["id"], r["status"], r["linked"], r["level"], r["ord_turn"]) for r in got), key=str) == want
+    statuses = {(w[2], w[4]) for w in want}
+    assert statuses >= {("call", "valid"), ("call", "cyclic"), ("call", "bad_arguments"), ("call", "unknown_tool"), ("call", "repeated_id"), ("result", "valid"), ("result", "orphan"), ("result", "repeated_id")} and max(w[6] or 0 for w in want) > 4
+
+
+def test_long_chains_take_few_rounds(spark):
+    n = 3000
+    rows = [(1, t, "assistant", turn(CALL(f"k{t}", after=[f"k{t - 1}"] if t else []))) for t in range(n)] + [(2, 0, "assistant", turn(*(CALL(f"c{t}", after=[f"c{(t + 1) % 5}"]) for t in range(5)), CALL("on", after=["c0"])))]
+    got = chat_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    assert sorted((json.loads(r["json"])["id"], r["level"], r["status"]) for r in got if r["conv_id"] == 1) == sorted((f"k{t}", t, "valid") for t in range(n))
+    assert {r["status"] for r in got if r["conv_id"] == 2} == {"cyclic"}
