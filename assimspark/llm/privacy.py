@@ -6,11 +6,12 @@ co-occurs with it when it stands within ``window`` words of the value. From docu
 
     PMI(term; entity) = log( n(term, entity) * N / (n(term) * n(entity)) )
 
-says how much a term reveals, up to IC(entity) = log(N / n(entity)) for a term that stands nowhere else. PMI = log(P(entity | term) N /
-n(entity)), and P(entity | term) is taken at its lower confidence bound (Wilson, ``z`` deviations), where documents that repeat a context
-count as one; so a value found in one context is scored too, and little evidence only weighs less. A term whose bounded PMI reaches
-``disclosure`` * IC(entity) is a span of kind ``term`` in the documents where it stands near that entity. ``sanitise`` replaces values by the
-name of their kind; a term is generalised to its shape (Xx9), from ``removal`` * IC(entity) on it is removed and [TERM] left in its place.
+says how much a term reveals of the IC(entity) = log(N / n(entity)) that there is to know. What the term leaves hidden is the difference,
+IC - PMI = -log P(entity | term), which doesn't depend on the size of the corpus. P(entity | term) is taken at its lower confidence bound (Wilson,
+``z`` deviations), where documents that repeat a context count as one, so evidence is what counts: one sighting alone leaves 1 bit hidden, two
+leave 0.58, four 0.32. A term that leaves at most ``disclosure`` bits hidden, and reveals something at all (PMI > 0), is a span of kind ``term`` in
+the documents where it stands near that entity. ``sanitise`` replaces values by the name of their kind; a term is generalised to its shape
+(Xx9), and one that leaves at most ``removal`` bits hidden is removed and [TERM] left in its place.
 
 All work is DataFrame expressions. Null text counts as empty; repeated rows are handled row by row; an empty table gives no rows; other
 columns pass through ``with_spans`` and ``sanitise``. Positions are code points, ends exclusive.
@@ -125,8 +126,8 @@ def contexts(spanned: DataFrame, key: Column, text_col: str = "text", prefix: st
     return out.where((F.length("bare") > 0) & ~F.col("bare").rlike(r"[@]|^[0-9.+() -]*$")).drop("bare")
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", disclosure: float = 0.85, removal: float = 0.9, z: float = 1.0) -> DataFrame:
-    """(entity, term) pairs over the threshold, from document counts of the whole corpus; removed tells those over the higher one.
+def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", disclosure: float = 0.75, removal: float = 0.35, z: float = 1.0) -> DataFrame:
+    """(entity, term) pairs that leave few bits hidden, from document counts of the whole corpus; removed tells those that leave fewest.
 
     All terms are hashed and counted within their partition first, so what is shuffled is at most one row for each term and task. Terms of
     more than a hundredth of the documents (at most a hundred times the distinct words of a document) are joined by broadcast, since pairs
@@ -143,12 +144,12 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", d
     scored = met.join(entities, "entity")
     share, n = F.col("n_both") / F.col("n_term"), F.col("n_term") * F.least(F.col("n_contexts"), F.col("n_both")) / F.col("n_both")
     bound = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    ic = F.log(F.lit(float(n_all)) / F.col("n_entity"))
-    pmi = F.log(F.greatest(bound, F.lit(1e-300)) * n_all / F.col("n_entity"))
-    return scored.select("entity", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("pmi") >= disclosure * F.col("ic")) & (F.col("ic") > 0)).withColumn("removed", F.col("pmi") >= removal * F.col("ic"))
+    hidden = -F.log2(F.greatest(bound, F.lit(1e-300)))
+    pmi = F.log2(F.lit(float(n_all)) / F.col("n_entity")) - hidden
+    return scored.select("entity", "term", pmi.alias("pmi"), hidden.alias("hidden")).where((F.col("hidden") <= disclosure) & (F.col("pmi") > 0)).withColumn("removed", F.col("hidden") <= removal)
 
 
-def with_spans(docs: DataFrame, key: str = "doc_id", text_col: str = "text", prefix: str = "__p_", window: int = 5, disclosure: float = 0.85, removal: float = 0.9, z: float = 1.0) -> DataFrame:
+def with_spans(docs: DataFrame, key: str = "doc_id", text_col: str = "text", prefix: str = "__p_", window: int = 5, disclosure: float = 0.75, removal: float = 0.35, z: float = 1.0) -> DataFrame:
     """The documents with prefix + "base" (pattern spans) and prefix + "terms" (spans the method adds, none inside a pattern span)."""
     based = with_base_spans(docs, text_col, prefix)
     row_id = F.xxhash64(F.col(key), F.col(text_col))  # rows that share a key are told apart by their text

@@ -55,13 +55,37 @@ def test_empty_table(spark):
     assert with_spans(docs).count() == 0 and sanitise(docs).count() == 0
 
 
-def test_rare_values_have_terms_in_two_tiers(spark):
+def test_evidence_counts_and_not_the_size_of_the_corpus(spark):
+    """The same sightings give the same verdict at N and 100 N: one is no evidence, two contexts generalise, four remove, copies of a context add nothing."""
     common = "some other text the writes from to office end"
-    for n, want in ((300, "Xx9x"), (3000, "[TERM]")):
-        rows = [(0, f"the Qu7x writes from only@one.org to Once the office {common}", None), (1, f"{common} Once {common}", None)] + [(i, common, None) for i in range(2, n)]
-        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-        got = {r["doc_id"]: r for r in sanitise(docs, window=3).where("doc_id < 2").collect()}
-        assert got[0]["text"] == f"the {want} writes from [EMAIL] to Once the office {common}" and got[1]["text"] == rows[1][1]
+    sightings = {"Once1": (1, 1), "Qu7x": (2, 1), "Zeb9": (4, 1), "Copy5": (1, 6)}
+    for n in (100, 10_000):
+        rows = []
+        for k, (word, (contexts_, copies)) in enumerate(sightings.items()):
+            for c in range(contexts_):
+                rows += [(len(rows), f"the{k}{c} {word} from v{k}@one.org end", "s")] * copies
+        rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
+        many = spark.range(len(rows), n).select(F.col("id").alias("doc_id"), F.lit(common).alias("text"), F.lit(None).cast("string").alias("source"))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionAll(many)
+        got = {r["doc_id"]: r["text"] for r in sanitise(docs, window=3).where(f"doc_id < {len(rows)}").collect()}
+        for i, t, _ in rows:
+            word = t.split()[1]
+            assert got[i].split()[1] == {"Once1": "Once1", "Qu7x": "Xx9x", "Zeb9": "[TERM]", "Copy5": "Copy5"}[word], (n, t, got[i])
+            assert "[EMAIL]" in got[i] and got[i].split()[0] == t.split()[0]
+
+
+def test_planted_names_are_found_and_little_else(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
+    rows, names = [], {f"name{k}q" for k in range(60)}
+    for i in range(1500):
+        words = rng.choices(vocabulary, k=40)
+        if i < 300:
+            words[20:20] = [f"name{i % 60}q", rng.choice(vocabulary), f"u{i % 60}@mail.org"]
+        rows.append((i, " ".join(words)))
+    found = [t[s["start"]:s["end"]] for (i, t), r in zip(rows, sorted(with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())) for s in r["__p_terms"]]
+    right = sum(f in names for f in found)
+    assert right == 300 and right / len(found) >= 0.95
 
 
 def test_five_whole_words_of_any_length(spark):
@@ -76,7 +100,7 @@ def brute_spans(text):
     return [(k, a, b, text[a:b]) for k, a, b in brute(text)]
 
 
-def plain_terms(rows, window=5, disclosure=0.85, removal=0.9, z=1.0):
+def plain_terms(rows, window=5, disclosure=0.75, removal=0.35, z=1.0):
     """The added spans of each document (doc_id, text), by plain loops over the formulas of the module's docstring."""
     bare = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w.lower())
     near, n_term = [], Counter()
@@ -100,9 +124,9 @@ def plain_terms(rows, window=5, disclosure=0.85, removal=0.9, z=1.0):
         n_both, n, n_entity = len(keys), n_term[term], len(docs_with[entity])
         share, size = n_both / n, n * min(len(contexts_of[entity, term]), n_both) / n_both
         bound = (share + z * z / (2 * size) - z * math.sqrt(share * (1 - share) / size + z * z / (4 * size * size))) / (1 + z * z / size)
-        ic, pmi = math.log(len(rows) / n_entity), math.log(max(bound, 1e-300) * len(rows) / n_entity)
-        if ic > 0 and pmi >= disclosure * ic:
-            found[entity, term] = pmi >= removal * ic
+        hidden = -math.log2(max(bound, 1e-300))
+        if hidden <= disclosure and math.log2(len(rows) / n_entity) > hidden:
+            found[entity, term] = hidden <= removal
     spans = defaultdict(dict)
     for (d, text), entity, term, _, i, j in near:
         if (entity, term) in found and not any(i < b and a < j for _, a, b, _ in brute_spans(text)):
