@@ -6,7 +6,8 @@ text are found with exact places. Candidates are scored by a multinomial logisti
 notices, broken and embedded at random, against paragraphs of the corpus and near misses; "unknown" is a class of its own, and all scores
 are calibrated by a temperature fitted on examples held out from training.
 
-Candidates are taken by falling share. Of those of one family that overlap one is kept. One that overlaps no other family counts when its
+A candidate must hold the words of its notice that a much alike notice of another family lacks (``Lesser``, or the version), else it is none.
+Candidates are taken by falling share, of equal shares the longer notice first. Of those of one family that overlap one is kept. One that overlaps no other family counts when its
 probability reaches ``least``. One that overlaps another family (a dual licence) counts when it holds at least ``confirm`` of the n-grams that
 set it apart from all notices of each family it overlaps; its probability is that of any family, since the words speak for both.
 
@@ -32,13 +33,14 @@ from assimspark.llm.shingles import STEP, mix, word_hashes
 
 #: Fixed texts: customary notices of each family.
 NOTICES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPL v3."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GPL v2."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "This project is MIT licensed.", "License: MIT"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license.", "Apache License 2.0", "License: Apache 2.0", "Apache License, Version 2.0"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPL v3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "GPLv3", "License: GPLv3", "Licensed under the GPLv3."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GPL v2.", "GPLv2", "License: GPLv2", "Licensed under the GPLv2."],
+    "GPL": ["under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU General Public License."],
     "LGPL": ["Licensed under the GNU Lesser General Public License, version 3.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "SPDX-License-Identifier: LGPL-2.1-only"],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "BSD": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause", "License: BSD", "This project is BSD licensed."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
@@ -58,6 +60,12 @@ NEAR_MISSES = [
     "The software is released in version 3.", "Please use this file in compliance with the rules of the house.", "Copy of the documents was obtained free of charge.", "The creative work is published in the public library.",
 ]
 FAMILIES = ["unknown", *NOTICES]
+
+
+def _all_notices() -> list[str]:
+    return [n for f in FAMILIES for n in NOTICES.get(f, [])]
+
+
 _PLAIN = bytes(c if chr(c).isalnum() or c in (9, 10, 11, 12, 13, 32) or c > 127 else 32 for c in range(256))
 
 
@@ -138,31 +146,42 @@ class Model:
         return at[known], of[known], first[known], size[known]
 
     def templates(self, confirm: float) -> list[tuple[int, np.ndarray, np.ndarray, int, int]]:
-        """For each notice its family, n-grams, those as a mask, the widest window and the 2- and 3-grams it needs besides all its words."""
+        """For each notice its family, n-grams, those as a mask, the widest window and the 2- and 3-grams it needs besides all its words (0 if it is one word)."""
         out = []
-        for (family, grams), text in zip(self.notices, (n for f in FAMILIES for n in NOTICES.get(f, []))):
+        for (family, grams), text in zip(self.notices, _all_notices()):
             mask, words = np.zeros(len(self.vocabulary), bool), _placed_grams([text])
             mask[grams] = True
             n = int((words[3] == 1).sum())
             singles = len(np.unique(words[0][words[3] == 1]))
-            out.append((family, grams, mask, n + n // 2 + 8, max(1, int(np.ceil(confirm * len(grams) - 1e-9)) - singles)))
+            out.append((family, grams, mask, n + n // 2 + 8, max(1, int(np.ceil(confirm * len(grams) - 1e-9)) - singles) if n > 1 else 0))
+        return out
+
+    def telling(self, alike: float = 0.6) -> list[list[np.ndarray]]:
+        """For each notice, its words that a notice of another family lacks, for each of those that holds at least ``alike`` of its n-grams."""
+        words = [np.searchsorted(self.vocabulary, np.unique(g[0][g[3] == 1])) for g in (_placed_grams([text]) for text in _all_notices())]
+        out = []
+        for (family, grams), own in zip(self.notices, words):
+            rivals = [np.setdiff1d(own, theirs) for (f, n), theirs in zip(self.notices, words) if f != family and np.isin(grams, n).mean() >= alike]
+            out.append([r for r in rivals if len(r)])
         return out
 
     def may_hold(self, texts: list[str], templates: list) -> np.ndarray:
         """The texts in which a window has enough 2- and 3-grams of some notice."""
         at, of, first, size = self._known(texts)
-        longer = size > 1
+        found, longer = np.zeros(len(texts), bool), size > 1
+        for _, _, mask, _, need in templates:
+            if not need:
+                found[of[mask[at]]] = True
         at, of, first = at[longer], of[longer], first[longer]
-        found = np.zeros(len(texts), bool)
-        for _, _, mask, width, need in templates:
+        for _, _, mask, width, need in (t for t in templates if t[-1]):
             mine = np.flatnonzero(mask[at])
             if len(mine) >= need:
                 a, b = mine[:len(mine) - need + 1], mine[need - 1:]
                 found[of[a[(of[a] == of[b]) & (first[b] - first[a] < width)]]] = True
         return np.flatnonzero(found)
 
-    def candidates(self, texts: list[str], templates: list, confirm: float) -> Iterator[tuple[int, list[tuple[float, int, int, int, int]], list[tuple[int, int, int]]]]:
-        """For each text with any: its number, the candidates (share, family, first word, word after the last, n-grams of the notice) and its known n-grams (position, first word, word after)."""
+    def candidates(self, texts: list[str], templates: list, confirm: float) -> Iterator[tuple[int, list[tuple[float, int, int, int, int, int]], list[tuple[int, int, int]]]]:
+        """For each text with any: its number, the candidates (share, family, first word, word after the last, n-grams of the notice, its number) and its known n-grams (position, first word, word after)."""
         at, of, first, size = self._known(texts)
         bounds = np.searchsorted(of, np.arange(len(texts) + 1))
         for i in range(len(texts)):
@@ -170,10 +189,10 @@ class Model:
             if bounds[i] == bounds[i + 1]:
                 continue
             g, a, e, out = at[mine], first[mine], first[mine] + size[mine], []
-            for family, grams, mask, width, _ in templates:
+            for t, (family, grams, mask, width, _) in enumerate(templates):
                 has = mask[g]
                 if len(np.unique(g[has])) >= confirm * len(grams) - 1e-9:
-                    out += [(share, family, x, y, len(grams)) for share, x, y in _windows(g[has].tolist(), a[has].tolist(), e[has].tolist(), len(grams), width, confirm)]
+                    out += [(share, family, x, y, len(grams), t) for share, x, y in _windows(g[has].tolist(), a[has].tolist(), e[has].tolist(), len(grams), width, confirm)]
             if out:
                 yield i, out, list(zip(g.tolist(), a.tolist(), e.tolist()))
 
@@ -224,16 +243,26 @@ def notices_in(model: Model, texts: list[str | None], templates: list, least: fl
     whole = [t or "" for t in texts]
     parts = [(int(i), m.start(), m[0]) for i in model.may_hold(whole, templates) for m in _PARAGRAPH.finditer(whole[i])]
     paragraphs = [p for *_, p in parts]
+    telling = model.telling()
     sets = {f: np.unique(np.concatenate([grams for k, grams in model.notices if k == f])) for f, *_ in templates}
     for at, found, held in model.candidates(paragraphs, templates, confirm):
         text, shift, paragraph = parts[at]
         places = _places(paragraph)
-        chances = model.probabilities([paragraph[places[x][0]:places[y - 1][1]] for _, _, x, y, _ in found])
+
+        def inside(x: int, y: int, held: list = held) -> list[int]:
+            begin = bisect.bisect_left(held, x, key=lambda h: h[1])
+            return [g for g, _, e in held[begin:bisect.bisect_left(held, y, key=lambda h: h[1])] if e <= y]
+
+        # What another family's notice lacks must be there, or the notice may be the other's.
+        found = [c for c in found if not telling[c[5]] or all(np.isin(words, inside(c[2], c[3])).mean() >= confirm for words in telling[c[5]])]
+        if not found:
+            continue
+        chances = model.probabilities([paragraph[places[x][0]:places[y - 1][1]] for _, _, x, y, *_ in found])
         lines, counted = 0, 0
         for group in _overlapping(found):
             taken: list[list] = []
-            for k in sorted(group, key=lambda k: (-found[k][0], -chances[k][found[k][1]], found[k][2] - found[k][3])):
-                share, family, x, y, size = found[k]
+            for k in sorted(group, key=lambda k: (-found[k][0], -found[k][4], -chances[k][found[k][1]], found[k][2] - found[k][3])):
+                share, family, x, y, size, _ = found[k]
                 over = [t for t in taken if t[1] < y and x < t[2]]
                 same = [t for t in over if t[0] == family]
                 if same:  # one place of the family: that of the longer notice if it holds the other
@@ -242,12 +271,11 @@ def notices_in(model: Model, texts: list[str | None], templates: list, least: fl
                     continue
                 chance = float(chances[k][family])
                 if over:
-                    begin = bisect.bisect_left(held, x, key=lambda h: h[1])
-                    inside = [g for g, _, e in held[begin:bisect.bisect_left(held, y, key=lambda h: h[1])] if e <= y]
-                    mine = max((grams for f, grams, *_ in templates if f == family), key=lambda n: np.isin(n, inside).mean())
+                    held_here = inside(x, y)
+                    mine = max((grams for f, grams, *_ in templates if f == family), key=lambda n: np.isin(n, held_here).mean())
                     apart = [np.setdiff1d(mine, sets[f]) for f in {t[0] for t in over}]
                     chance = float(1 - chances[k][0])
-                    if not all(len(n) and np.isin(n, inside).mean() >= confirm for n in apart):
+                    if not all(len(n) and np.isin(n, held_here).mean() >= confirm for n in apart):
                         continue
                 if chance >= least:
                     taken.append([family, x, y, chance, share, share * size])
@@ -257,7 +285,7 @@ def notices_in(model: Model, texts: list[str | None], templates: list, least: fl
                 yield text, lines, start, end, family, chance, share
 
 
-def _overlapping(found: list[tuple[float, int, int, int, int]]) -> Iterator[list[int]]:
+def _overlapping(found: list[tuple[float, int, int, int, int, int]]) -> Iterator[list[int]]:
     """The numbers of the candidates, those that hang together by overlaps in one list, by place."""
     group, reach = [], 0
     for k in sorted(range(len(found)), key=lambda k: found[k][2]):

@@ -109,3 +109,16 @@ def test_candidates_are_found_where_a_window_holds_enough():
         assert found.get(i, set()) == want, t
         n_both += bool(want)
     assert 20 < n_both < 150
+
+
+def test_a_family_needs_its_own_words(spark):
+    shared = "under the terms of the GNU General Public License as published by the Free Software Foundation"
+    want = {
+        shared: "GPL", shared + "; either version 2 of the License": "GPL-2.0", shared + ", either version 3 of the License, or later": "GPL-3.0", shared.replace("General", "Lesser General"): "LGPL", shared.replace("General", "Affero General"): "AGPL-3.0",
+        "This project is MIT licensed": "MIT", "License: MIT": "MIT", "Apache License 2.0": "Apache-2.0", "GPLv3": "GPL-3.0", "License: GPLv2": "GPL-2.0", "the code is GPLv3 and nothing else": "GPL-3.0",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "doc_id long, text string")
+    found = {}
+    for r in scan(docs, train(OTHER)).collect():
+        found.setdefault(r["doc_id"], []).append(r["family"])
+    assert [found.get(i) for i in range(len(want))] == [[f] for f in want.values()]
