@@ -165,6 +165,44 @@ def rank_sensors(modes: DataFrame, n: int, allowed: DataFrame | None = None) ->
     return chosen
 
 
+def _pivots(psi: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n rows that column-pivoted QR chooses, in order; of equal norms the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    left, out = psi[order].astype(float), []
+    for _ in range(min(n, len(left))):
+        norms = (left * left).sum(axis=1)
+        k = int(norms.argmax())
+        if norms[k] <= 1e-12:
+            break
+        out.append(k)
+        q = left[k] / np.sqrt(norms[k])
+        left -= np.outer(left @ q, q)
+    return order[out]
+
+
+def rank_sensors_once(modes: DataFrame, n: int, allowed: DataFrame | None = None, tasks: int = 16) -> list[int]:
+    """Sensors by tournament pivoting: one pass over the points. Each task chooses n of its points by column-pivoted QR, ``tasks`` of them choose among the
+    winners, and the driver among at most ``tasks`` x n.
+
+    With one task it is the greedy choice of rank_sensors; with more the sensors can differ, but a point that stands out in all is never lost:
+    each round keeps rows that span all of its input up to the pivots' factor. Points of no size are never chosen; null modes take no part.
+    """
+    rows = (modes if allowed is None else modes.join(allowed, "point_id", "left_semi")).select("point_id", "psi").where("psi is not null")
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat((held, pdf))
+            if len(held):
+                held = held.iloc[_pivots(np.stack(held["psi"].to_list()), held["point_id"].to_numpy(), n)]
+        if held is not None and len(held):
+            yield held
+
+    schema = "point_id long, psi array<double>"
+    last = rows.mapInPandas(choose, schema).repartition(tasks).mapInPandas(choose, schema).toPandas()  # at most tasks x n rows
+    return [int(p) for p in last["point_id"].to_numpy()[_pivots(np.stack(last["psi"].to_list()), last["point_id"].to_numpy(), n)]] if len(last) else []
+
+
 def random_sensors(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n points without replacement, in order; all of them if there are no more."""
     return points.select("point_id").distinct().orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id").limit(n).orderBy("point_id")

@@ -26,8 +26,12 @@ def neighbours(both: DataFrame, key: list[str], order: list[str], t: str, sample
     """Adds __b, the last non-null ``sample`` of a row's series at or before the row, and __a, the first one after it, by ``order`` (t first).
 
     Each block of a series is sorted forwards and backwards, with running windows only, so the work is linear in a series' length; what lies
-    beyond a block is carried over from the blocks' ends, one row for each block. A null t sorts first and is in the first block.
+    beyond a block is carried over from the blocks' ends, one row for each block. A null t sorts first and is in the first block. Where no series
+    is that long, which is counted first, there are no blocks and nothing is joined.
     """
+    if (both.groupBy(*key).count().agg(F.max("count")).first()[0] or 0) <= block_rows:
+        running = lambda how: F.last(sample, ignorenulls=True).over(Window.partitionBy(*key).orderBy(*how).rowsBetween(Window.unboundedPreceding, 0))
+        return both.withColumn("__b", running([F.col(c) for c in order])).withColumn("__a", running([F.col(c).desc() for c in order]))
     spans = both.groupBy(*key).agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"), F.ceil(F.count("*") / block_rows).alias("__n"))
     place = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col(t) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col("__n")), F.col("__n") - 1))
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]

@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assimspark.functions.names import own_names
 from assimspark.functions.noise import keyed_normal
+from assimspark.operators import spectra
 from assimspark.operators.timegrid import thin_observations
 
 CHANNEL = ("series_id", "dim")
@@ -62,8 +64,9 @@ def coloured(white: np.ndarray, colour: str, beta: float = 2.0) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(padded) * colour_filter(n, colour, beta), n)[:len(white)]
 
 
-def add_coloured_noise(df: DataFrame, level: float, colour: str, beta: float = 2.0, additive: bool = True, seed: int = 0, key: tuple[str, ...] = CHANNEL) -> DataFrame:
-    """As add_noise with noise of a colour: keyed white noise is filtered series by series (a Fourier transform needs a whole channel)."""
+def add_coloured_noise(df: DataFrame, level: float, colour: str, beta: float = 2.0, additive: bool = True, seed: int = 0, key: tuple[str, ...] = CHANNEL, most: int = spectra.MOST_CHANNEL) -> DataFrame:
+    """As add_noise with noise of a colour: keyed white noise is filtered channel by channel, in a task up to ``most`` samples, else by transforms over
+    shuffles, for which a channel's steps must differ."""
     white = df.withColumn("y_raw", keyed_normal(channel_key(), F.col("step"), seed))
 
     def paint(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -72,7 +75,17 @@ def add_coloured_noise(df: DataFrame, level: float, colour: str, beta: float = 2
         size = np.abs(y).max() if additive else y
         return pdf.assign(y_raw=y + level * size * coloured(pdf["y_raw"].to_numpy(), colour, beta))
 
-    return white.groupBy(*key).applyInPandas(paint, white.schema)
+    short, longer = spectra.split_long(white, list(key), most)
+    painted = short.groupBy(*key).applyInPandas(paint, white.schema)
+    if longer is None:
+        return painted
+    names = own_names(white, "j", "noise", "size")
+    at = (F.row_number().over(Window.partitionBy(*key).orderBy("step")) - 1).cast("long")
+    noise = spectra.long_coloured(longer, list(key), "y_raw", colour, beta, most).select(*key, F.col("j").alias(names["j"]), F.col("coloured").alias(names["noise"]))
+    largest = longer.groupBy(*key).agg(F.max(F.abs("y_true")).alias(names["size"]))
+    met = longer.withColumn(names["j"], at).join(noise, [*key, names["j"]]).join(largest, list(key))
+    size = F.col(names["size"]) if additive else F.col("y_true")
+    return painted.unionByName(met.withColumn("y_raw", F.col("y_true") + level * size * F.col(names["noise"])).select(*white.columns))
 
 
 def smooth(grid: np.ndarray, sigma: float) -> np.ndarray:
@@ -182,8 +195,9 @@ def sensor_observations(field: DataFrame, sensors: DataFrame, t_start: float, t_
     return thin_observations(field.join(sensors, "point_id"), t_start, t_stop, dt, nt_obs)
 
 
-def amplitude_spectrum(df: DataFrame, dt: float, key: tuple[str, ...] = CHANNEL, value: str = "y") -> DataFrame:
-    """One-sided amplitude 2/N |FFT| of the first N // 2 bins on an axis from 0 to 1/(2 dt), both ends included."""
+def amplitude_spectrum(df: DataFrame, dt: float, key: tuple[str, ...] = CHANNEL, value: str = "y", most: int = spectra.MOST_CHANNEL) -> DataFrame:
+    """One-sided amplitude 2/N |FFT| of the first N // 2 bins on an axis from 0 to 1/(2 dt), both ends included. Channels of over ``most`` samples are
+    transformed over shuffles instead of in a task."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("step", kind="stable")[value].to_numpy()
@@ -193,7 +207,9 @@ def amplitude_spectrum(df: DataFrame, dt: float, key: tuple[str, ...] = CHANNEL,
         return out.assign(bin=np.arange(half), frequency=np.linspace(0, 1 / (2 * dt), half), amplitude=2 / n * np.abs(np.fft.fft(y))[:half])
 
     kinds = dict(df.dtypes)
-    return df.groupBy(*key).applyInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in key) + ", bin long, frequency double, amplitude double")
+    short, longer = spectra.split_long(df, list(key), most)
+    found = short.groupBy(*key).applyInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in key) + ", bin long, frequency double, amplitude double")
+    return found if longer is None else found.unionByName(spectra.long_amplitudes(longer, dt, list(key), value, most))
 
 
 def grid_bayes(grid: DataFrame, obs: DataFrame, log_likelihood: Callable[[Column, Column], Column], dx: float) -> DataFrame:

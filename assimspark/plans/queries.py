@@ -14,7 +14,7 @@ from assimspark.functions import maps, noise
 from assimspark.functions.kernels import random_reservoir
 from assimspark.functions.storage import new_folder
 from assimspark.operators import align, ensemble, fields, filters, metrics, reservoir, timegrid, truth
-from assimspark.plans import cycle, inputs
+from assimspark.plans import cycle, field_cycle, inputs
 from assimspark.plans.inputs import CHN, DT, ENS, FLD, LNG, RUN, SIG, rounded
 from assimspark.sources import tables
 
@@ -163,6 +163,15 @@ def b8_create_truth(spark, sf):
     return obs.select("series_id", "cycle", "step", R("d", 5).alias("d"))
 
 
+@query(f"with {FLD} select point_id, step // 128 as chunk, count(*) as n, round(sum(value * (step % 128 + 1)), 6) as checksum from fld where step % 3 <> 1 group by point_id, step // 128")
+def a4_field_chunks(spark, sf):
+    """Every third snapshot missing: blocks of 128 steps, back to rows, and a sum that a shift would change."""
+    chunks = tables.field_to_chunks(inputs.field(spark, sf).where("step % 3 <> 1").select("step", "point_id", "value"), ["point_id"], chunk=128)
+    rows = tables.chunks_to_field(chunks, ["point_id"], chunk=128)
+    weighed = F.sum(F.col("value") * (F.col("step") % 128 + 1))
+    return rows.groupBy("point_id", F.floor(F.col("step") / 128).alias("chunk")).agg(F.count("value").alias("n"), R(weighed).alias("checksum"))
+
+
 @query(f"with {FLD} select step, point_id, step // 4 as cycle, round(value, 6) + 0 as value from fld where point_id in (3, 17, 40) and step between 0 and 1000000000 and step % 4 = 0")
 def b9_sensor_observations(spark, sf):
     sensors = spark.createDataFrame([(3,), (17,), (40,)], "point_id long")
@@ -172,17 +181,10 @@ def b9_sensor_observations(spark, sf):
 # --- maps, filters, scalar functions
 
 
-@query("select c_custkey as series_id, s_suppkey as sensor, round(c_acctbal / 1000 * cos(s_acctbal / 1000) + c_nationkey * sin(s_acctbal / 1000), 6) + 0 as value from customer, (select * from supplier where s_suppkey <= 5)")
+@query("select c_custkey as series_id, n_nationkey as sensor, round(c_acctbal / 1000 * cos(0.25::double * n_nationkey) + c_nationkey_ * sin(0.25::double * n_nationkey), 6) + 0 as value from (select c_custkey, c_acctbal, c_nationkey as c_nationkey_ from customer), nation")
 def g1_virtual_sensors(spark, sf):
     modes = inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("series_id"), (F.col("c_acctbal") / 1000).alias("eta1"), F.col("c_nationkey").cast("double").alias("eta2"))
-    mics = inputs.table(spark, sf, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("sensor"), (F.col("s_acctbal") / 1000).alias("pos"))
-    return maps.virtual_sensors(modes, mics).select("series_id", "sensor", R("value").alias("value"))
-
-
-@query("select c_custkey as series_id, s_suppkey as sensor, round(c_acctbal / 1000 * cos(s_acctbal / 1000) + c_nationkey * sin(s_acctbal / 1000), 6) + 0 as value from customer, supplier")
-def g1_virtual_sensors_all(spark, sf):
-    modes = inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("series_id"), (F.col("c_acctbal") / 1000).alias("eta1"), F.col("c_nationkey").cast("double").alias("eta2"))
-    mics = inputs.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sensor"), (F.col("s_acctbal") / 1000).alias("pos"))
+    mics = inputs.table(spark, sf, "nation").select(F.col("n_nationkey").alias("sensor"), (0.25 * F.col("n_nationkey")).alias("pos"))  # 25 sensors on a ring, however many series
     return maps.virtual_sensors(modes, mics).select("series_id", "sensor", R("value").alias("value"))
 
 
@@ -304,15 +306,8 @@ def c7_sweep(spark, sf):
     return align.sweep(inputs.table(spark, sf, "region").select("r_regionkey", "r_name"), inputs.table(spark, sf, "nation").select("n_nationkey", "n_name")).select("r_regionkey", "n_nationkey", F.concat("r_name", F.lit("/"), "n_name").alias("cell"))
 
 
-@query(f"with {SIG}, o as (select series_id, step, y as d from sig where step < 20), g as (select o.series_id, l.lag, sum(o.d * o.d) as dd, sum(o.d * m.y) as dy, sum(m.y * m.y) as yy, max(abs(m.y)) as mx from o, (select unnest(range(8))::int as lag) l, sig m where m.series_id = o.series_id and m.step = o.step + l.lag group by o.series_id, l.lag), e as (select series_id, lag, sqrt(greatest(dd - 2 * dy / mx + yy / (mx * mx), 0) / dd) as r from g where mx > 0 and dd > 0) select series_id, arg_min(lag, r) as best, arg_max(lag, r) as worst, floor((arg_min(lag, r) + arg_max(lag, r)) / 2)::int as mid, round(min(r), 6) as r_best from e group by series_id")
-def c8_lag_search(spark, sf):
-    s = inputs.signals(spark, sf)
-    found = align.lag_search(s.where("step < 20").select("series_id", "step", F.col("y").alias("d")), s.withColumn("member", F.lit(0)), 8)
-    return found.select("series_id", "best", "worst", "mid", R("r_best").alias("r_best"))
-
-
 @query(f"with {SIG}, o as (select series_id, step, y as d from sig), g as (select o.series_id, l.lag, sum(o.d * o.d) as dd, sum(o.d * m.y) as dy, sum(m.y * m.y) as yy, max(abs(m.y)) as mx from o, (select unnest(range(8))::int as lag) l, sig m where m.series_id = o.series_id and m.step = o.step + l.lag group by o.series_id, l.lag), e as (select series_id, lag, sqrt(greatest(dd - 2 * dy / mx + yy / (mx * mx), 0) / dd) as r from g where mx > 0 and dd > 0) select series_id, arg_min(lag, r) as best, arg_max(lag, r) as worst, floor((arg_min(lag, r) + arg_max(lag, r)) / 2)::int as mid, round(min(r), 6) as r_best from e group by series_id")
-def c8_lag_search_all(spark, sf):
+def c8_lag_search(spark, sf):
     s = inputs.signals(spark, sf)
     found = align.lag_search(s.select("series_id", "step", F.col("y").alias("d")), s.withColumn("member", F.lit(0)), 8)
     return found.select("series_id", "best", "worst", "mid", R("r_best").alias("r_best"))
@@ -534,14 +529,8 @@ def d15_obs_error_cov(spark, sf):
     return metrics.obs_error_cov(c, 0.01).join(b, ["series_id", "dim"]).select("series_id", "dim", R("cdd").alias("cdd"), R("cdd2", 8).alias("cdd2"))
 
 
-@query(f"with {SIG}, n as (select series_id, count(*) as n from sig group by series_id) select s.series_id, b.bin, round(b.bin * 5.0::double / (n // 2 - 1), 6) as frequency, round(2.0::double / n * sqrt(power(sum(y * cos(2 * pi() * b.bin * step / n)), 2) + power(sum(y * sin(2 * pi() * b.bin * step / n)), 2)), 8) as amplitude from sig s join n using (series_id), (select unnest(range(5))::bigint as bin) b group by s.series_id, b.bin, n")
-def d16_amplitude_spectrum(spark, sf):
-    out = truth.amplitude_spectrum(inputs.signals(spark, sf), DT)
-    return out.where("bin < 5").select("series_id", "bin", R("frequency").alias("frequency"), R("amplitude", 8).alias("amplitude"))
-
-
 @query(f"with {SIG}, n as (select series_id, count(*) as n from sig group by series_id) select s.series_id, b.bin, round(b.bin * 5.0::double / (n // 2 - 1), 6) as frequency, round(2.0::double / n * sqrt(power(sum(y * cos(2 * pi() * b.bin * step / n)), 2) + power(sum(y * sin(2 * pi() * b.bin * step / n)), 2)), 8) as amplitude from sig s join n using (series_id), lateral (select unnest(range(n.n // 2))::bigint as bin) b group by s.series_id, b.bin, n")
-def d16_amplitude_spectrum_all(spark, sf):
+def d16_amplitude_spectrum(spark, sf):
     out = truth.amplitude_spectrum(inputs.signals(spark, sf), DT)
     return out.select("series_id", "bin", R("frequency").alias("frequency"), R("amplitude", 8).alias("amplitude"))
 
@@ -566,23 +555,11 @@ def d18_forecast_test_errors(spark, sf):
     return metrics.forecast_test_errors(scored, ["dim"]).select("dim", *(R(c).alias(c) for c in ("e_min", "e_max", "e_mean")))
 
 
-_GB = "g as (select i::double * 2.5::double as x, exp(-0.5::double * power((i::double * 2.5::double - 40) / 30, 2)) as prior from (select unnest(range(41)) as i)), o as (select series_id, step // 10 as cycle, y as d from sig where step % 10 = 0 and step < 60), m as (select o.series_id, o.cycle, g.x, g.prior, sum(-0.5::double * power((g.x - o.d) / 20, 2)) over (partition by o.series_id, g.x order by o.cycle) as ll from o, g), w as (select *, prior * exp(ll - max(ll) over (partition by series_id, cycle)) as w from m)"
-
-
-_GB_ALL = _GB.replace(" and step < 60", "")
+_GB = "g as (select i::double * 2.5::double as x, exp(-0.5::double * power((i::double * 2.5::double - 40) / 30, 2)) as prior from (select unnest(range(41)) as i)), o as (select series_id, step // 10 as cycle, y as d from sig where step % 10 = 0), m as (select o.series_id, o.cycle, g.x, g.prior, sum(-0.5::double * power((g.x - o.d) / 20, 2)) over (partition by o.series_id, g.x order by o.cycle) as ll from o, g), w as (select *, prior * exp(ll - max(ll) over (partition by series_id, cycle)) as w from m)"
 
 
 @query(f"with {SIG}, {_GB} select series_id, cycle, arg_max(x, w) as x_map, round(max(w) / (sum(w) * 2.5), 6) as p_map from w group by series_id, cycle")
 def d19_grid_bayes(spark, sf):
-    x = F.col("id") * 2.5
-    grid = spark.range(41).select(x.alias("x"), F.exp(-0.5 * F.pow((x - 40) / 30, F.lit(2.0))).alias("prior"))
-    obs = inputs.signals(spark, sf).where("step % 10 = 0 and step < 60").select("series_id", F.floor(F.col("step") / 10).alias("cycle"), F.col("y").alias("d"))
-    post = truth.grid_bayes(grid, obs, lambda x, d: -0.5 * F.pow((x - d) / 20, F.lit(2.0)), 2.5)
-    return truth.most_likely(post).select("series_id", "cycle", "x_map", R("p_map").alias("p_map"))
-
-
-@query(f"with {SIG}, {_GB_ALL} select series_id, cycle, arg_max(x, w) as x_map, round(max(w) / (sum(w) * 2.5), 6) as p_map from w group by series_id, cycle")
-def d19_grid_bayes_all(spark, sf):
     x = F.col("id") * 2.5
     grid = spark.range(41).select(x.alias("x"), F.exp(-0.5 * F.pow((x - 40) / 30, F.lit(2.0))).alias("prior"))
     obs = inputs.signals(spark, sf).where("step % 10 = 0").select("series_id", F.floor(F.col("step") / 10).alias("cycle"), F.col("y").alias("d"))
@@ -730,38 +707,32 @@ def w_bias_aware_sweep(spark, sf):
 
 @query()
 def w_field_assimilation(spark, sf):
-    """A field as a whole: modes of all snapshots, a network on their coefficients (one series for each label), sensors by rank, forecasts of an
-    ensemble from each series' washout, the analysis of the coefficients by the sensors' values, and the field's error before and after it."""
-    n_modes, n_wash, n_ahead, m = 4, 8, 3, 12
+    """A field as a whole: modes of all snapshots; a network trained on all of their coefficients, one series for each label; sensors by rank; noisy
+    observations of every third snapshot after the washout; an ensemble that forecasts in closed loop between them and is corrected by each; and
+    the whole field's error before and after each analysis, for three filters."""
+    n_modes, n_wash, every = 4, 8, 3
     field = inputs.field(spark, sf).select("step", "point_id", "value")
-    modes, sigma, _ = fields.pod_by_points(field, n_modes)
-    steps = inputs.table(spark, sf, "embeddings").select(F.col("vec_id").alias("step"), F.col("label").cast("long").alias("series_id"))
-    place = F.row_number().over(Window.partitionBy("series_id").orderBy("step")) - 1
-    phi = fields.project(field, modes, sigma.tolist()).join(steps.withColumn("place", place), "step")
-    scaled = phi.select("series_id", F.col("place").cast("long").alias("step"), F.col("mode").alias("dim"), (F.col("phi") * math.sqrt(max(field.select("step").distinct().count(), 1))).alias("y"))
-    series = reservoir.pack_series(scaled)
+    modes, sigma, n_steps = fields.pod_by_points(field, n_modes)
+    scale = [float(x) / math.sqrt(max(n_steps, 1)) for x in sigma]
+    labels = inputs.table(spark, sf, "embeddings").select(F.col("vec_id").alias("vec"), F.col("label").cast("long").alias("series_id"))
+    labels = labels.withColumn("step", (F.row_number().over(Window.partitionBy("series_id").orderBy("vec")) - 1).cast("long"))
+    phi = fields.project(field, modes, sigma.tolist()).withColumnRenamed("step", "vec").join(labels, "vec").select("series_id", "step", F.col("mode").alias("dim"), (F.col("phi") * math.sqrt(max(n_steps, 1))).alias("y"))
     w, win = random_reservoir(40, n_modes, 3, 2)
-    net = reservoir.fit_readout(series, cycle.Reservoir(w, win, None, np.ones(n_modes), 0.7, 0.4), n_wash, 10_000, 1e-1)
-    members = series.where(F.size("u") > n_wash + n_ahead).withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    jitter = lambda x, i, j: x + 0.3 * noise.keyed_normal(F.col("series_id") * 1009 + F.col("window"), i * 64 + j, 4)
-    starts = members.select("series_id", "window", F.transform(F.slice("u", 1, n_wash + 1), lambda v, i: F.transform(v, lambda x, j: jitter(x, i, j))).alias("u"))
-    ahead = reservoir.closed_loop_forecast(starts, net, n_ahead).where(F.col("step") == n_ahead - 1)
-    state = ahead.select("series_id", F.col("window").alias("member"), F.posexplode("y").alias("row_id", "value"))
-    sensors = fields.rank_sensors(modes, 6)
-    seen = modes.where(F.col("point_id").isin([int(p) for p in sensors]))
-    scale = F.array(*(F.lit(float(x) / math.sqrt(max(field.select("step").distinct().count(), 1))) for x in sigma))
-    dot = lambda coeffs: F.col("q_mean") + F.aggregate(F.zip_with("psi", F.zip_with(coeffs, scale, lambda c, x: c * x), lambda p, c: p * c), F.lit(0.0), lambda a, x: a + x)
-    at_sensors = ahead.crossJoin(F.broadcast(seen)).select("series_id", F.col("window").alias("member"), (F.col("point_id") + n_modes).cast("int").alias("row_id"), dot("y").alias("value"))  # 6 sensors
-    rows = filters.pack(state.withColumn("kind", F.lit("state")).unionByName(at_sensors.withColumn("kind", F.lit("obs"))).withColumn("cycle", F.lit(0).cast("long")), ["series_id", "cycle", "row_id", "kind"])
-    when = steps.withColumn("place", place).where(F.col("place") == n_wash + n_ahead).select("step", "series_id")
-    truth_ = field.join(when, "step").select("series_id", "point_id", "value")
-    dims = Window.partitionBy("series_id").orderBy("point_id")
-    obs = truth_.where(F.col("point_id").isin([int(p) for p in sensors])).select("series_id", F.lit(0).cast("long").alias("cycle"), (F.row_number().over(dims) - 1).alias("dim"), F.col("value").alias("d"), F.lit(1e-4).alias("cdd"))
-    after = filters.analyse(rows, obs, "ensrkf")
-    coeffs = lambda df, name: df.where("kind = 'state'").select("series_id", "row_id", (F.aggregate("vals", F.lit(0.0), lambda a, x: a + x) / F.size("vals")).alias("v")).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "v"))), lambda x: x["v"]).alias(name))
-    both = coeffs(rows, "before").join(coeffs(after, "after"), "series_id")
-    values = truth_.join(modes, "point_id").join(both, "series_id").select("series_id", F.col("value").alias("y"), dot("before").alias("before"), dot("after").alias("after"), F.col("point_id").isin([int(p) for p in sensors]).alias("seen"))
-    return metrics.rms_per_step(values, ["series_id", "seen"], estimates=("before", "after")).select("series_id", "seen", R("rms_before", 3).alias("rms_before"), R("rms_after", 3).alias("rms_after"))
+    net = reservoir.fit_long(phi, cycle.Reservoir(w, win, None, np.ones(n_modes), 0.7, 0.4), n_wash, 1e-1)
+    sensors = fields.rank_sensors_once(modes, 6)
+    own = {r["point_id"]: r for r in modes.where(F.col("point_id").isin(sensors)).collect()}  # as many rows as sensors
+    look, offset = np.array([own[p]["psi"] for p in sensors]) * scale, np.array([own[p]["q_mean"] for p in sensors])
+    steps = phi.where(F.col("step") <= n_wash).groupBy("series_id", "step").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "y"))), lambda x: x["y"]).alias("u"))
+    start = steps.groupBy("series_id").agg(F.max("step").alias("step"), F.transform(F.array_sort(F.collect_list(F.struct("step", "u"))), lambda x: x["u"]).alias("u")).where(F.size("u") == n_wash + 1)
+    seen = labels.where((F.col("step") > n_wash) & (F.col("step") % every == 0))
+    truth_ = field.withColumnRenamed("step", "vec").join(seen, "vec").select("series_id", "step", "point_id", "value")
+    place = F.array_position(F.array(*map(F.lit, sensors)), F.col("point_id"))
+    noisy = F.col("value") + 0.02 * noise.keyed_normal(F.col("series_id") * 1_000_003 + F.col("step"), F.col("point_id"), 5)
+    at = truth_.where(place > 0).groupBy("series_id", "step").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), noisy.alias("d")))), lambda x: x["d"]).alias("d"))
+    obs = at.where(F.size("d") == len(sensors)).select("series_id", F.floor(F.col("step") / every).alias("cycle"), "step", "d", F.array_repeat(F.lit(4e-4), len(sensors)).alias("cdd"))
+    configs = spark.createDataFrame([(0, "ensrkf", 10), (1, "ensrkf", 40), (2, "enkf", 40)], "config_id long, method string, m int")
+    found = field_cycle.assimilate_fields(start, obs, configs, net, look, offset, field_cycle.FieldConfig(jitter=0.3, inflation=1.01))
+    return field_cycle.field_errors(found, truth_, modes, scale).select("series_id", "config_id", "cycle", R("rms_before", 3).alias("rms_before"), R("rms_after", 3).alias("rms_after"))
 
 
 @query()

@@ -33,6 +33,31 @@ def field_to_rows(field: DataFrame, point: list[str], value: str = "value") -> D
     return field.groupBy(*point).agg(F.transform(packed, lambda x: x[value]).alias("snaps"))
 
 
+def field_to_chunks(field: DataFrame, point: list[str], value: str = "value", chunk: int = 1024) -> DataFrame:
+    """(point, chunk, present, snaps): the values of each point in blocks of ``chunk`` steps, so a row is bounded however long the field is.
+
+    Bit b of word w of ``present`` says whether step 64 w + b of the block is there; ``snaps`` has the values of those that are, in order. A missing
+    step thus shifts nothing. Of repeated cells the largest counts; a null value is a missing step, and a null step no cell. ``chunk`` is a
+    multiple of 64.
+    """
+    if chunk < 64 or chunk % 64:
+        raise ValueError("chunk must be a multiple of 64")
+    cells = field.where(F.col("step").isNotNull() & F.col(value).isNotNull()).groupBy(*point, "step").agg(F.max(value).alias("v"))
+    own = F.floor(F.col("step") / chunk).cast("long")
+    packed = cells.groupBy(*point, own.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(F.pmod("step", F.lit(chunk)).cast("int").alias("at"), "v"))).alias("p"))
+    bit = lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x["at"], F.lit(64))))
+    words = F.transform(F.sequence(F.lit(0), F.lit(chunk // 64 - 1)), lambda w: F.aggregate(F.filter("p", lambda x: F.floor(x["at"] / 64) == w), F.lit(0).cast("long"), bit))
+    return packed.select(*point, "chunk", words.alias("present"), F.transform("p", lambda x: x["v"]).alias("snaps"))
+
+
+def chunks_to_field(chunks: DataFrame, point: list[str], chunk: int = 1024) -> DataFrame:
+    """(point, step, value) of blocks as field_to_chunks makes them; steps that aren't there have a null value."""
+    at = F.posexplode(F.flatten(F.transform("present", lambda w: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", w, b).bitwiseAND(F.lit(1).cast("long")))))).alias("at", "there")
+    before = F.expr("aggregate(slice(present, 1, at div 64), 0, (a, w) -> a + bit_count(w)) + bit_count(present[at div 64] & ~shiftleft(-1L, at % 64))")
+    rows = chunks.select(*point, "chunk", "present", "snaps", at)
+    return rows.select(*point, (F.col("chunk") * chunk + F.col("at")).alias("step"), F.when(F.col("there") == 1, F.get("snaps", before)).alias("value"))
+
+
 def write_runs(runs: DataFrame, path: str, keys: list[str]) -> None:
     """One folder for each sweep cell. Cells that ``runs`` holds take the place of their former rows; all others stay as they are."""
     runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

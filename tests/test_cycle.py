@@ -1,5 +1,7 @@
 """Bias-aware cycles against a plain loop over one series, and the stream against the batch."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +135,33 @@ def test_without_observations_there_are_no_rows(spark):
     twice = cycle.assimilate(start, obs.unionByName(obs.where("cycle = 0")), configs, turn, Q, cycle.Config(dt=DT))
     assert twice.count() == 5 and twice.where("cycle = 0").count() == 2
     assert cycle.assimilate(start.withColumn("extra", F.lit(1)), obs, configs, turn, Q, cycle.Config(dt=DT)).count() == 4
+
+
+def test_rejected_analyses_pointwise(spark):
+    """Each cycle by hand: an analysis with a parameter outside its limits is set aside, and the forecast goes on inflated instead."""
+    cfg, limits = cycle.Config(method="enkf", dt=DT, inflation=1.01, reject_inflation=1.2, guard=False), (0.6, 1.4)
+    cfg = replace(cfg, limits=(limits,))
+    start, obs = tables(spark, (3, 5, 8))
+    out = cycle.assimilate(start.drop("wash"), obs, spark.createDataFrame([(0,)], "config_id long"), turn, Q, cfg)
+    audit = {(r["series_id"], r["cycle"]): r for r in cycle.rejected_analyses(out).collect()}
+    flags = {(r["series_id"], r["cycle"]): r["rejected"] for r in out.collect()}
+    want, seen = {}, set()
+    for s in (3, 5, 8):
+        psi, params, at, _ = first(s)
+        for k, step, d, cdd in observations(s):
+            for t in range(at, step):
+                psi = kernels.rk4(turn, psi, params, t * DT, DT)
+            at, rows = step, np.vstack((psi, params, psi))
+            dy, da = psi - psi.mean(axis=1, keepdims=True), rows - rows.mean(axis=1, keepdims=True)
+            many = d[:, None] + np.sqrt(cdd)[:, None] * kernels.perturbations(s, k, (Q, M), 0)
+            after = rows + da @ dy.T @ np.linalg.inv(dy @ dy.T + (M - 1) * np.diag(cdd)) @ (many - psi)
+            bad = bool((after[2] < limits[0]).any() or (after[2] > limits[1]).any())
+            seen.add(bad)
+            if bad:
+                want[s, k] = (params.mean(), after[2].mean())
+            kept, rho = (rows, 1.2) if bad else (after, 1.01)
+            kept = kept.mean(axis=1, keepdims=True) + rho * (kept - kept.mean(axis=1, keepdims=True))
+            psi, params = kept[:2], kept[2:3]
+            assert flags[s, k] == bad
+    assert seen == {True, False} and audit.keys() == want.keys()
+    assert all(np.isclose(audit[x]["prior"], p) and np.isclose(audit[x]["posterior"], q) and audit[x]["param"] == 0 for x, (p, q) in want.items())

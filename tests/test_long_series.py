@@ -94,3 +94,37 @@ def test_rows_stream_past_their_weights(spark, spread):
         assert filters.apply(df.where("cycle = 9"), weights).count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_chunks_keep_missing_steps_apart(spark):
+    rows = [(p, s, float(p * 1000 + s)) for p in (1, 2) for s in range(-70, 200) if (s + p) % 5 and not 20 < s < 100] + [(1, None, 1.0), (1, 3, None), (2, 0, -5.0)]
+    field = spark.createDataFrame(rows, "point_id long, step long, value double")
+    chunks = tables.field_to_chunks(field, ["point_id"], chunk=64)
+    assert max(len(r["snaps"]) for r in chunks.collect()) <= 64
+    back = {(r["point_id"], r["step"]): r["value"] for r in tables.chunks_to_field(chunks, ["point_id"], chunk=64).collect()}
+    want = {}
+    for p, s, v in rows:
+        if s is not None and v is not None:
+            want[p, s] = max(v, want.get((p, s), v))
+    assert {k: v for k, v in back.items() if v is not None} == want and len(back) % 64 == 0 and back[1, 50] is None
+    assert tables.field_to_chunks(field.where("step > 999"), ["point_id"], chunk=64).count() == 0
+
+
+def test_tournament_of_sensors(spark):
+    rng = np.random.default_rng(7)
+    psi = np.linalg.qr(rng.normal(size=(300, 6)))[0]
+    psi[[17, 90, 211]] *= 9  # stand out
+    modes = spark.createDataFrame([(i, 0.0, row.tolist()) for i, row in enumerate(psi)], "point_id long, q_mean double, psi array<double>")
+    greedy = fields.rank_sensors(modes, 6)
+    assert fields.rank_sensors_once(modes.coalesce(1), 6, tasks=1) == greedy
+    volume = lambda chosen: abs(np.linalg.det(psi[chosen]))
+    many = fields.rank_sensors_once(modes.repartition(8), 6, tasks=3)
+    assert set(many[:3]) == {17, 90, 211} == set(greedy[:3]) and len(set(many)) == 6 and volume(many) >= 0.5 * volume(greedy)
+    assert fields.rank_sensors_once(modes.where("point_id < 0"), 3) == [] and fields.rank_sensors_once(modes, 6, modes.where("point_id in (4, 5)").select("point_id")) in ([4, 5], [5, 4])
+
+
+def test_random_sensors(spark):
+    points = spark.createDataFrame([(i % 40,) for i in range(90)], "point_id long")
+    chosen = [[r["point_id"] for r in fields.random_sensors(points.repartition(k), 7, 3).collect()] for k in (1, 4)]
+    assert chosen[0] == chosen[1] == sorted(set(chosen[0])) and len(chosen[0]) == 7 and set(chosen[0]) <= set(range(40))
+    assert chosen[0] != [r["point_id"] for r in fields.random_sensors(points, 7, 4).collect()] and fields.random_sensors(points, 99).count() == 40

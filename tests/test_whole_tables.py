@@ -15,8 +15,8 @@ def test_bias_training_set_has_all_observations(spark):
 
 def test_whole_queries_have_all_rows(spark):
     get = __spark_entry__.queries()
-    n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("customer", "supplier")}
-    assert get["g1_virtual_sensors_all"](spark, SF).count() == n["customer"] * n["supplier"]
+    n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("customer", "nation")}
+    assert get["g1_virtual_sensors"](spark, SF).count() == n["customer"] * n["nation"]
     counts = [r["count"] for r in spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").count().collect()]
-    assert get["d16_amplitude_spectrum_all"](spark, SF).count() == sum(c // 2 for c in counts)
-    assert get["d19_grid_bayes_all"](spark, SF).count() == sum(-(-c // 10) for c in counts)
+    assert get["d16_amplitude_spectrum"](spark, SF).count() == sum(c // 2 for c in counts)
+    assert get["d19_grid_bayes"](spark, SF).count() == sum(-(-c // 10) for c in counts)
