@@ -107,6 +107,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     notices: list[tuple[int, np.ndarray]]  # family, positions of its n-grams in the vocabulary
+    told: list[list[np.ndarray]] | None = None  # what telling() has found
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, position) of the known n-grams, each once for a text."""
@@ -157,12 +158,15 @@ class Model:
         return out
 
     def telling(self, alike: float = 0.6) -> list[list[np.ndarray]]:
-        """For each notice, its words that a notice of another family lacks, for each of those that holds at least ``alike`` of its n-grams."""
+        """For each notice, its words that a notice of another family lacks, for each of those that holds at least ``alike`` of its n-grams. Found once."""
+        if self.told is not None:
+            return self.told
         words = [np.searchsorted(self.vocabulary, np.unique(g[0][g[3] == 1])) for g in (_placed_grams([text]) for text in _all_notices())]
         out = []
         for (family, grams), own in zip(self.notices, words):
             rivals = [np.setdiff1d(own, theirs) for (f, n), theirs in zip(self.notices, words) if f != family and np.isin(grams, n).mean() >= alike]
             out.append([r for r in rivals if len(r)])
+        self.told = out
         return out
 
     def may_hold(self, texts: list[str], templates: list) -> np.ndarray:
