@@ -5,7 +5,7 @@ than there are modes; the partial products are added up within tasks, then by bl
 triangular factors of its blocks that tasks stack and factor again (tall-skinny QR), so the driver sees matrices of the factor's width
 alone, and nobody a side of the field. A factor goes to the blocks by broadcast while it is small, else by a join on the block's number.
 
-A missing cell counts as its point's mean; repeated cells add up; an empty field has no modes; a null step, point or value takes no part;
+Where singular values fall off slowly, more columns (``oversample``) or ``passes`` are needed for the same digits. A missing cell counts as its point's mean; repeated cells add up; an empty field has no modes; a null step, point or value takes no part;
 modes of (nearly) zero size are left out, so fewer may come back. Identifiers should be dense: blocks that hold no cell aren't stored, but
 sparse numbers spread a field over many blocks. A mode's sign is free, as ever; here its entry of largest size among the first block's is positive.
 """

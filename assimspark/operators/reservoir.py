@@ -292,16 +292,6 @@ def jacobians(states: DataFrame, model: Reservoir) -> DataFrame:
     return states.select("series_id", "step", "r").mapInPandas(work, "series_id long, step long, jac array<double>")
 
 
-def forecast_bias(model: Reservoir, innovations: np.ndarray, n_before: int, n: int, upsample: int = 1) -> np.ndarray:
-    """Zeros for n_before steps, washout on the innovations, then n closed-loop steps; with upsample, values between network steps are
-    interpolated and the last one is reached even when n isn't a multiple."""
-    r = states_of(innovations, model)[-1][:, None]
-    coarse = np.vstack((kernels.readout(r, model.wout).T, closed_loop(model, r, -(-n // upsample))[1:] if n > upsample else np.zeros((0, model.wout.shape[1]))))
-    t, tc = np.arange(1, n + 1) / upsample, np.arange(1, len(coarse) + 1)
-    fine = np.stack([np.interp(t, tc, c) for c in coarse.T], axis=1)
-    return np.vstack((np.zeros((n_before, fine.shape[1])), fine))
-
-
 def member_readouts(wout: np.ndarray, sigmas: np.ndarray) -> np.ndarray:
     """Readouts (m x rows x dims) whose singular values are each member's parameters (k x m)."""
     u, _, vh = np.linalg.svd(wout, full_matrices=False)

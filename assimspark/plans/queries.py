@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from assimspark.functions import maps, noise
 from assimspark.functions.kernels import random_reservoir
 from assimspark.functions.storage import new_folder
-from assimspark.operators import align, ensemble, fields, filters, metrics, reservoir, timegrid, truth
+from assimspark.operators import align, ensemble, fields, filters, low_rank, metrics, reservoir, timegrid, truth
 from assimspark.plans import cycle, field_cycle, inputs
 from assimspark.plans.inputs import CHN, DT, ENS, FLD, LNG, RUN, SIG, rounded
 from assimspark.sources import tables
@@ -211,6 +211,12 @@ def g4_cut_domain(spark, sf):
     return fields.cut_domain(inputs.field(spark, sf), (1.0, 3.0, 0.5, 3.5), (0.0, 0.0), (0.5, 0.5), (2, 3)).select("step", "jx", "jy", R("value").alias("value"))
 
 
+@query("select s_suppkey % 64 + c * 64 as point_id, c as comp, count(*) as n from supplier, (select unnest(range(3))::int as c) group by all")
+def g5_sensors_per_component(spark, sf):
+    points = inputs.table(spark, sf, "supplier").select((F.col("s_suppkey") % 64).alias("point_id"))
+    return maps.repeat_per_component(points, 3, 64).groupBy("point_id", "comp").agg(F.count("*").alias("n"))
+
+
 @query(f"with {FLD} select step, point_id, comp::bigint * 64 + ix * 8 + iy as flat, point_id // 64 as comp2, (point_id % 64) // 8 as ix2, point_id % 8 as iy2 from fld")
 def g5_flat_indices(spark, sf):
     c, i, j = maps.unflatten_index(F.col("point_id"), 8, 8)
@@ -700,7 +706,10 @@ def w_bias_aware_sweep(spark, sf):
     cells = [(i, m, k) for i, (m, k) in enumerate([("enkf", 0.0), ("ensrkf", 0.0), ("rba_enkf", 0.5), ("rba_enkf", 2.0), ("rba_enkf", 8.0)])]
     out = cycle.assimilate(start, obs, spark.createDataFrame(cells, "config_id long, method string, k double"), decay, 1, cycle.Config(dt=0.1), bias=net)
     runs = out.join(obs.select("series_id", "cycle", F.col("d")[0].alias("y")), ["series_id", "cycle"]).select("series_id", "config_id", "y", F.lit(0).alias("dim"), F.col("forecast_mean")[0].alias("biased"), (F.col("forecast_mean")[0] + F.col("bias")[0]).alias("unbiased"))
-    errors = metrics.rms_per_step(runs, ["series_id", "config_id"], estimates=("biased", "unbiased"))
+    path = new_folder(spark, "runs")  # one folder for each cell, read again as a later job would
+    tables.write_runs(runs, path, ["config_id"])
+    stored = tables.read_runs(spark, path).withColumn("config_id", F.col("config_id").cast("long"))
+    errors = metrics.rms_per_step(stored, ["series_id", "config_id"], estimates=("biased", "unbiased"))
     best = errors.groupBy("series_id").agg(F.min(F.struct((F.col("rms_biased") + F.col("rms_unbiased")).alias("score"), "config_id"))["config_id"].alias("best"))
     return errors.join(best, "series_id").select("series_id", "config_id", R("rms_biased", 4).alias("rms_biased"), R("rms_unbiased", 4).alias("rms_unbiased"), (F.col("config_id") == F.col("best")).alias("is_best"))
 
@@ -790,6 +799,13 @@ def i4_search_hyperparameters(spark, sf):
     return found.select("rho", "sigma", "tikh", R("score", 4).alias("score"))
 
 
+@query()
+def i4_best_hyperparameters(spark, sf):
+    """The best cell of the search with sums over blocks of each series."""
+    found = reservoir.search_long(inputs.signals(spark, sf).select("series_id", "step", "dim", "y"), _net(), [(0.5, 0.3), (0.9, 0.3), (0.9, 1.0)], [1e-4, 1e-2], 5, 40, 6, 3)
+    return reservoir.best_hyperparameters(found).select("rho", "sigma", "tikh", R("score", 4).alias("score"))
+
+
 @query()
 def i5_readout_jacobian(spark, sf):
     series = _series(spark, sf)
@@ -832,12 +848,23 @@ def _modes(spark, sf):
     return means.join(basis, "point_id")
 
 
-@query(f"with {FLD}, v as (select round(sum(v) / 2, 6) as e from (select var_pop(value) as v from fld group by point_id)) select e as tke, e as modal from v")
+@query(f"with {FLD}, q as (select step, point_id, value - avg(value) over (partition by point_id) as q, count(*) over (partition by point_id) as n from fld), c as (select a.point_id as i, b.point_id as j, sum(a.q * b.q) / any_value(a.n) as c from q a join q b using (step) group by a.point_id, b.point_id) select round(sum(case when i = j then c else 0 end) / 2, 6) as tke, round(sum(case when i = j then c else 0 end) / 2, 6) as modal, round(sum(c * c), 8) as squares from c")
 def j1_pod_energy(spark, sf):
+    """Half the sum of the points' variances, the same from the modes, and the sum of the modes' squared eigenvalues, which SQL has from all covariances."""
     field = inputs.field(spark, sf)
     _, sigma, n = fields.pod_by_points(field, 64)
-    modal = float((sigma**2).sum() / (2 * n))
-    return field.groupBy("point_id").agg(F.var_pop("value").alias("v")).agg((F.sum("v") / 2).alias("tke")).select(R("tke").alias("tke"), F.round(F.lit(modal), 6).alias("modal"))
+    lam = sigma**2 / max(n, 1)
+    energy = field.groupBy("point_id").agg(F.var_pop("value").alias("v")).agg((F.sum("v") / 2).alias("tke"))
+    return energy.select(R("tke").alias("tke"), F.round(F.lit(float(lam.sum() / 2)), 6).alias("modal"), F.round(F.lit(float((lam**2).sum())), 8).alias("squares"))
+
+
+@query()
+def j1_randomised_modes(spark, sf):
+    """The first four modes by the method for fields whose sides are both long: what each takes of the field's variance, and its largest entry."""
+    modes, _, sigma = low_rank.pod_randomised(inputs.field(spark, sf).select("step", "point_id", "value"), 4, oversample=60, side=64)  # a flat spectrum needs many
+    size = F.transform(F.array(*(F.lit(float(x)) for x in sigma)), lambda x: x * x) if len(sigma) else F.array().cast("array<double>")
+    each = modes.select("point_id", F.posexplode("psi").alias("mode", "psi"))
+    return each.groupBy("mode").agg(F.max(F.abs("psi")).alias("top")).select("mode", R(F.get(size, F.col("mode")), 3).alias("variance"), R("top", 4).alias("top"))
 
 
 @query(f"with {FLD}, m as (select *, value - avg(value) over (partition by point_id) as dq from fld) select step, k as mode, round(sum(dq * {_COS}) / (k + 1), 6) + 0 as phi from m, (select unnest(range(4))::int as k) group by step, k")

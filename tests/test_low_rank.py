@@ -47,3 +47,14 @@ def test_missing_and_null_cells(spark):
     modes, _, sigma = low_rank.pod_randomised(spark.createDataFrame(rows, "step long, point_id long, value double"), 2, side=4)
     want = np.linalg.svd(np.array([[-1.0, 1, 0], [-2, 0, 2]]), compute_uv=False)
     assert np.allclose(sigma, want) and sorted((r["point_id"], r["q_mean"]) for r in modes.collect()) == [(0, 2.0), (1, 7.0)]
+
+
+def test_randomised_modes_of_the_given_field(spark):
+    """Variances of the query's modes against a dense decomposition; the spectrum is flat."""
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.001"
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()], float).T
+    want = np.linalg.svd(x - x.mean(axis=1, keepdims=True), compute_uv=False)[:4] ** 2
+    got = [r["variance"] for r in __spark_entry__.queries()["j1_randomised_modes"](spark, sf).orderBy("mode").collect()]
+    assert np.allclose(got, want, atol=1e-3)
