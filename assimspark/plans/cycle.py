@@ -1,7 +1,8 @@
-"""Sequential assimilation: one group for each (series, configuration), cycles in order inside it, members side by side.
+"""Sequential assimilation: cycles of each (series, configuration) in order, members - and without a bias network also series - side by side.
 
-A model is two numpy callables: ``derivative(t, psi, params)`` for psi (n x m) and params (n_params x m), integrated by fixed-step RK4, and
-``observe(psi) -> y`` (default: its first q rows). Groups are independent; sizes are those of one ensemble, whatever the number of series.
+A model is two numpy callables: ``derivative(t, psi, params)`` for psi (n x columns) and params (n_params x columns), integrated by fixed-step RK4,
+and ``observe(psi) -> y`` (default: its first q rows). A column is a member of an ensemble, of one series or of many; t is a number, or a row with
+the time of each column where series are at different steps. Series are independent.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assimspark.functions import kernels
+from assimspark.plans import lockstep
 
 
 @dataclass(frozen=True)
@@ -164,19 +166,52 @@ def assimilate(start: DataFrame, obs: DataFrame, configs: DataFrame, derivative:
     array<double>; ``configs``: config_id and any fields of Config. One row comes back for each cycle and one more for each of
     ``extra_steps`` after the last observation (cycle -1, on which the bias goes on). ``bias`` is the network's forecast of the bias.
 
-    A series is one stream of rows sorted by step within a task, its ensemble on the first of them; a task holds one Arrow batch, however
-    long a series is. A series without observations gives no rows; of several observations at one step all count, in order of cycle; repeated
-    start rows are refused by the task that meets them.
+    Without a bias network all series of a block advance side by side (``lockstep``), at most ``lockstep.BLOCK_SERIES`` to a block on average, so
+    that a task holds the ensembles of one block. With one, a series is one stream of rows sorted by step within a task, its ensemble on the
+    first of them; a task holds one Arrow batch, however long a series is. A series without observations gives no rows, nor does an observation
+    without a step, d or cdd; a start without a step or psi is none, null params are no parameters; of several observations at one step all
+    count, in order of cycle; repeated start rows are refused by the task that meets them; other columns are ignored.
     """
     fields = [c for c in configs.columns if c != "config_id"]
-    washed = "wash" in start.columns
+    obs = obs.where("step is not null and d is not null and cdd is not null")
+    start = start.where("step is not null and psi is not null").withColumn("params", F.coalesce("params", F.array().cast("array<array<double>>")))
     first = start.join(obs.select("series_id").distinct(), "series_id", "left_semi").crossJoin(F.broadcast(configs))
+    later = obs.join(start.select("series_id").distinct(), "series_id", "left_semi").select("series_id", *(F.col(c).cast("long").alias(c) for c in ("cycle", "step")), *(F.col(c).cast("array<double>").alias(c) for c in ("d", "cdd")))
+    if bias is None:
+        return _by_turns(start, first, later, configs, fields, derivative, q, base, observe)
+    return _by_series(first, later, configs, fields, derivative, q, base, observe, bias)
+
+
+def _config(base: Config, fields: list[str], row: dict) -> Config:
+    cfg = Config(**{**base.__dict__, **{f: (row[f].item() if hasattr(row[f], "item") else row[f]) for f in fields}})
+    return replace(cfg, **{f: int(getattr(cfg, f)) for f in ("n_blind", "n_hold_params", "extra_steps", "seed")})
+
+
+def _by_turns(start: DataFrame, first: DataFrame, later: DataFrame, configs: DataFrame, fields: list[str], derivative: Callable, q: int, base: Config, observe: Callable | None) -> DataFrame:
+    """Blocks of series in turns. Partitions are asked for by number: rows are few bytes for their work, so they mustn't be merged by size."""
+    context = start.sparkSession.sparkContext
+    n_series, n_configs = start.count(), max(1, configs.count())
+    tasks = max(4 * context.defaultParallelism, int(start.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, -(-n_series // lockstep.BLOCK_SERIES), min(-(-n_series // 8), -(-tasks // n_configs)))
+    block = F.pmod(F.xxhash64("series_id"), F.lit(n)).alias("__block")
+    none = F.lit(None)
+    begin = first.select("series_id", "config_id", block, F.lit(0).alias("__turn"), none.cast("long").alias("cycle"), F.col("step").cast("long").alias("step"), *(none.cast("array<double>").alias(c) for c in ("d", "cdd")), "psi", "params", *fields)
+    turns = later.withColumn("__turn", F.row_number().over(Window.partitionBy("series_id").orderBy("step", "cycle"))).crossJoin(F.broadcast(configs.select("config_id")))
+    then = turns.select("series_id", "config_id", block, "__turn", "cycle", "step", "d", "cdd", *(none.cast(begin.schema[c].dataType).alias(c) for c in ("psi", "params", *fields)))
+    rows = begin.unionByName(then).repartition(min(n * n_configs, tasks), "config_id", "__block").sortWithinPartitions("config_id", "__block", "__turn", "series_id")
+    return rows.mapInArrow(lambda batches: lockstep.run(batches, lambda row: _config(base, fields, row), derivative, observe, q), RESULT)
+
+
+def _by_series(first: DataFrame, later: DataFrame, configs: DataFrame, fields: list[str], derivative: Callable, q: int, base: Config, observe: Callable | None, bias: Reservoir) -> DataFrame:
+    """One series after the other in each task."""
     none = F.lit(None)
+    washed = "wash" in first.columns
     begin = first.select("series_id", "config_id", F.lit(0).alias("__o"), none.cast("long").alias("cycle"), F.col("step").cast("long").alias("step"), none.cast("array<double>").alias("d"), none.cast("array<double>").alias("cdd"), "psi", "params", (F.col("wash") if washed else none.cast("array<struct<step:bigint,d:array<double>>>")).alias("wash"), *fields)
-    many = obs.join(start.select("series_id").distinct(), "series_id", "left_semi").crossJoin(F.broadcast(configs.select("config_id")))
     nulls = [none.cast(begin.schema[c].dataType).alias(c) for c in ("psi", "params", "wash", *fields)]
-    later = many.select("series_id", "config_id", F.lit(1).alias("__o"), F.col("cycle").cast("long").alias("cycle"), F.col("step").cast("long").alias("step"), F.col("d").cast("array<double>").alias("d"), F.col("cdd").cast("array<double>").alias("cdd"), *nulls)
-    rows = begin.unionByName(later).repartition("series_id", "config_id").sortWithinPartitions("series_id", "config_id", "__o", "step", "cycle")
+    then = later.crossJoin(F.broadcast(configs.select("config_id"))).select("series_id", "config_id", F.lit(1).alias("__o"), "cycle", "step", "d", "cdd", *nulls)
+    session = first.sparkSession
+    tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    rows = begin.unionByName(then).repartition(tasks, "series_id", "config_id").sortWithinPartitions("series_id", "config_id", "__o", "step", "cycle")
 
     def extra(c: Cycle, key: tuple[int, int]) -> list[tuple]:
         out, empty = [], np.zeros(0)
@@ -196,8 +231,7 @@ def assimilate(start: DataFrame, obs: DataFrame, configs: DataFrame, derivative:
                     if key == (row["series_id"], row["config_id"]):
                         raise ValueError(f"several start rows for series {row['series_id']}")
                     key = (int(row["series_id"]), int(row["config_id"]))
-                    cfg = Config(**{**base.__dict__, **{f: (row[f].item() if hasattr(row[f], "item") else row[f]) for f in fields}})
-                    cfg = replace(cfg, **{f: int(getattr(cfg, f)) for f in ("n_blind", "n_hold_params", "extra_steps", "seed")})
+                    cfg = _config(base, fields, row)
                     psi = _matrix(row["psi"])
                     wash = {int(w["step"]): np.asarray(w["d"], float) for w in row["wash"]} if row["wash"] is not None else None
                     c = Cycle(psi, _matrix(row["params"], psi.shape[1]), int(row["step"]), cfg, derivative, observe, q, bias, wash)
