@@ -1,8 +1,8 @@
 """Ensemble Kalman analyses in two stages: weights from the observable rows of each (series, cycle), then a row-wise update.
 
 For the stochastic and the bias-regularised filters any row a becomes a + (a - mean) X with one m x m matrix X for a cycle; the square-root
-filter has a vector w and a matrix T. The first stage sees q x m numbers in each group; the second streams state rows past their weights, so the
-number of state rows has no bound. Scalar observations have closed forms in plain columns. Empty tables give empty results; rows of one
+filter has a vector w and a matrix T. The first stage sees q x m numbers in each group; the second takes small weights to the state rows, or streams
+state rows past their weights, so the number of state rows has no bound. Scalar observations have closed forms in plain columns. Empty tables give empty results; rows of one
 (series, cycle) have equally many members; repeated rows are rows of their own.
 
 Packed rows: ``rows`` (series_id, cycle, row_id, kind, vals array<double>); ``obs`` (series_id, cycle, dim, d, cdd) where dim numbers the
@@ -21,7 +21,10 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from assimspark.functions import kernels
 from assimspark.functions.names import own_names
+from assimspark.functions.storage import new_folder
 
+#: Up to so many cycles their weights are made first and measured; up to so many bytes they then go to the tasks, and state rows stay where they are.
+FEW_CYCLES, WEIGHT_BYTES = 10_000, 64 << 20
 WEIGHTS = "series_id long, cycle long, m int, x array<double>, w array<double>"
 
 
@@ -45,13 +48,14 @@ def weights(rows: DataFrame, obs: DataFrame, method: str = "enkf", k: float = 1.
     """One row of weights for each (series, cycle). For rba methods obs also has b and jac (array: the row of the sensitivity), optionally cbb.
 
     The q observable rows of a (series, cycle) are packed; cycles of equal shape in an Arrow batch are solved side by side. A cycle without
-    observations, or an observation without rows, gives no weights.
+    observations, an observation without rows and a cycle with a null observable, d or cdd give no weights.
     """
     aware = method.startswith("rba")
     extra = [c for c in ("b", "cbb", "jac") if aware and c in obs.columns]
     seen = rows.where("kind = 'obs'").select("series_id", "cycle", (F.row_number().over(Window.partitionBy("series_id", "cycle").orderBy("row_id")) - 1).alias("dim"), "vals")
     met = seen.join(obs.select("series_id", "cycle", "dim", "d", "cdd", *extra), ["series_id", "cycle", "dim"])
     packed = met.groupBy("series_id", "cycle").agg(F.array_sort(F.collect_list(F.struct("dim", "vals", "d", "cdd", *extra))).alias("p"))
+    packed = packed.where(F.forall("p", lambda s: s["vals"].isNotNull() & s["d"].isNotNull() & s["cdd"].isNotNull()))
     flat = lambda c: F.flatten(F.transform("p", lambda s: s[c])).cast("array<double>").alias(c)
     plain = lambda c: F.transform("p", lambda s: s[c].cast("double")).alias(c)
     columns = [flat("vals"), *(flat(c) if c == "jac" else plain(c) for c in ("d", "cdd", *extra))]
@@ -86,7 +90,7 @@ def weights(rows: DataFrame, obs: DataFrame, method: str = "enkf", k: float = 1.
 
 
 def apply(rows: DataFrame, found: DataFrame, spread: int = 1) -> DataFrame:
-    """All rows updated by their cycle's weights; rows of a (series, cycle) without weights go, as in an inner join.
+    """All rows updated by their cycle's weights; rows of a (series, cycle) without weights go, as in an inner join, and so do rows of null vals.
 
     Weights and rows are stacked, dealt by (series, cycle) once and sorted so that a cycle's weights come first; a task then streams its rows past
     them, with one matrix product for each cycle and Arrow batch, so a cycle may have any number of rows. With ``spread`` over 1 a cycle's
@@ -98,7 +102,7 @@ def apply(rows: DataFrame, found: DataFrame, spread: int = 1) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__s")
     none = F.lit(None)
     first = found.select(*(F.col(k).cast(rows.schema[k].dataType) for k in keys), copies, F.lit(0).alias("__o"), none.cast(row).alias("__r"), F.col("x").alias("__v"), F.col("w").alias("__w"), F.col("m").alias("__m"))
-    later = rows.select(*keys, salt.alias("__s"), F.lit(1).alias("__o"), F.struct(*rest).cast(row).alias("__r"), F.col("vals").cast("array<double>").alias("__v"), none.cast("array<double>").alias("__w"), none.cast("int").alias("__m"))
+    later = rows.where(F.col("vals").isNotNull()).select(*keys, salt.alias("__s"), F.lit(1).alias("__o"), F.struct(*rest).cast(row).alias("__r"), F.col("vals").cast("array<double>").alias("__v"), none.cast("array<double>").alias("__w"), none.cast("int").alias("__m"))
     met = first.unionAll(later).repartition(*keys, "__s").sortWithinPartitions(*keys, "__s", "__o")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +137,51 @@ def apply(rows: DataFrame, found: DataFrame, spread: int = 1) -> DataFrame:
     return done.select(*keys, *(F.col(f"__r.`{c}`").alias(c) for c in rest), F.col("__v").alias("vals")).select(*rows.columns)
 
 
+def apply_in_place(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The same without a shuffle of the rows: the weights are sent to each task whole, so they must be small (``analyse`` measures them)."""
+    keys, columns = ["series_id", "cycle"], rows.columns
+    table = found.select(*keys, "m", "x", "w").toArrow().combine_chunks()
+    names = list(zip(*(table.column(c).to_pylist() for c in keys)))
+    values = {c: _lists(table.column(c).combine_chunks()) if len(table) else (np.zeros(0), np.zeros(1, int)) for c in ("x", "w")}
+    sent = rows.sparkSession.sparkContext.broadcast((names, table.column("m").to_pylist(), values))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, members, lists = sent.value
+        place = {k: i for i, k in enumerate(held)}
+        (x, x_at), (w, w_at) = lists["x"], lists["w"]
+        for batch in batches:
+            at = np.array([place.get(k, -1) for k in zip(*(batch.column(c).to_pylist() for c in keys))], int)
+            order = np.flatnonzero(at >= 0)[np.argsort(at[at >= 0], kind="stable")]
+            if not len(order):
+                continue
+            kept, own = batch.take(pa.array(order)), at[order]
+            v, v_at = _lists(kept.column("vals"))
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                i = own[a]
+                m, wi = members[i], w[w_at[i]:w_at[i + 1]]
+                part, xi = v[v_at[a]:v_at[b]].reshape(-1, m), x[x_at[i]:x_at[i + 1]].reshape(m, m)
+                out.append(kernels.apply_square_root(part, wi, xi) if len(wi) else kernels.apply_weights(part, xi))
+            ends = np.concatenate(([0], np.cumsum(np.concatenate([np.full(len(o), o.shape[1]) for o in out])))).astype(np.int32)
+            moved = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([o.ravel() for o in out])))
+            yield pa.RecordBatch.from_arrays([moved if c == "vals" else kept.column(c) for c in columns], names=columns)
+
+    schema = StructType([StructField("vals", ArrayType(DoubleType())) if f.name == "vals" else f for f in rows.schema])
+    return rows.where(F.col("vals").isNotNull()).withColumn("vals", F.col("vals").cast("array<double>")).mapInArrow(work, schema)
+
+
 def analyse(rows: DataFrame, obs: DataFrame, method: str = "enkf", spread: int = 1, **how) -> DataFrame:
-    return apply(rows, weights(rows, obs, method, **how), spread)
+    """Both stages. Where cycles are few and their weights small (both are counted), as for long fields, only the weights move, and the table of rows
+    is read where it lies; where weights are many, and so no smaller than the rows, both are dealt by (series, cycle)."""
+    found = weights(rows, obs, method, **how)
+    if obs.select("series_id", "cycle").distinct().count() <= FEW_CYCLES:
+        path = new_folder(rows.sparkSession, "weights")
+        found.write.parquet(path)
+        found = rows.sparkSession.read.schema(WEIGHTS).parquet(path)
+        if 8 * (found.agg(F.sum(F.size("x") + F.size("w"))).first()[0] or 0) <= WEIGHT_BYTES:
+            return apply_in_place(rows, found)
+    return apply(rows, found, spread)
 
 
 def scalar_analysis(ens: DataFrame, method: str = "enkf", key: str = "series_id", y: str = "y", states: tuple[str, ...] = ("a",), d: str = "d", r: str = "r", b: str = "b", jac: str = "jac", k: float = 1.0) -> DataFrame:

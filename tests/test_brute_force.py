@@ -204,7 +204,10 @@ def test_interpolation_over_blocks_and_odd_rows(spark, monkeypatch):
     assert [r["y"] for r in align.interpolate_to(times.where("t < 0"), samples, ["series_id"], fill=7.0).collect()] == [7.0] * times.where("t < 0").count()
 
 
-def test_two_stage_analyses_with_mixed_shapes_and_odd_rows(spark):
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+@pytest.mark.parametrize("method", ["rba_enkf", "ensrkf"])
+def test_two_stage_analyses_with_mixed_shapes_and_odd_rows(spark, method, limit, monkeypatch):
+    monkeypatch.setattr(filters, "WEIGHT_BYTES", limit)
     rng = np.random.default_rng(5)
     rows, obs, want = [], [], {}
     for s, (n, q, m) in enumerate([(3, 2, 5), (3, 2, 5), (700, 1, 4), (2, 3, 9)]):
@@ -212,14 +215,24 @@ def test_two_stage_analyses_with_mixed_shapes_and_odd_rows(spark):
         rows += [(s, 7, i, "obs" if i >= n else "state", v[i].tolist(), f"x{i}") for i in range(n + q)]
         d, cdd, b, jac = rng.normal(size=q), rng.uniform(0.1, 1, q), rng.normal(size=q), rng.normal(size=(q, q))
         obs += [(s, 7, k, float(d[k]), float(cdd[k]), float(b[k]), jac[k].tolist()) for k in range(q)]
-        x = kernels.rba_weights(v[n:], np.broadcast_to(d[:, None], (q, m)), cdd, b, jac, 2.0)
-        want |= {(s, i): r for i, r in enumerate(v + (v - v.mean(axis=1, keepdims=True)) @ x)}
+        dev = v - v.mean(axis=1, keepdims=True)
+        if method == "ensrkf":
+            w, x = kernels.ensrkf_weights(v[n:], d, cdd)
+            after = v - dev + (dev @ w)[:, None] + dev @ x
+        else:
+            after = v + dev @ kernels.rba_weights(v[n:], np.broadcast_to(d[:, None], (q, m)), cdd, b, jac, 2.0)
+        want |= {(s, i): r for i, r in enumerate(after)}
     df = spark.createDataFrame(rows, "series_id long, cycle long, row_id int, kind string, vals array<double>, __block string").withColumnRenamed("__block", "m").repartition(3)
     table = spark.createDataFrame(obs, "series_id long, cycle long, dim int, d double, cdd double, b double, jac array<double>")
-    got = filters.analyse(df, table, "rba_enkf", k=2.0, perturb=False)
+    got = filters.analyse(df, table, method, k=2.0, perturb=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("RepartitionByExpression [series_id" in plan) == (limit == 0)  # small weights: the rows don't move
     assert got.columns == df.columns and got.count() == len(rows)
     for r in got.collect():
         assert np.allclose(r["vals"], want[r["series_id"], r["row_id"]]) and r["m"] == f"x{r['row_id']}"
     assert filters.analyse(df.where("series_id = 9"), table).count() == 0 and filters.analyse(df, table.where("series_id = 9")).count() == 0
     twice = df.unionByName(df.where("series_id = 0 and row_id = 0"))
     assert filters.analyse(twice, table).where("series_id = 0 and row_id = 0").count() == 2
+    lost = spark.createDataFrame([(0, 7, 50, "state", None, ""), (9, 7, 0, "state", [1.0, 2.0], ""), (9, 7, 1, "obs", None, "")], df.withColumnRenamed("m", "n").schema).withColumnRenamed("n", "m")
+    unseen = spark.createDataFrame([(9, 7, 0, 1.0, 0.5, 0.0, [0.0])], table.schema)
+    assert filters.analyse(df.unionByName(lost), table.unionByName(unseen), method, k=2.0, perturb=False).count() == len(rows)  # null rows, and a cycle of a null observable
