@@ -221,7 +221,7 @@ def pack_best_fit(docs: DataFrame, end_id: int = 2, seq_len: int = 1024, tokeniz
     spark = docs.sparkSession
     tokens = tokenise(docs, end_id, seq_len, tokenizer)
     base = tokens.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.expr(f"n_tokens div {seq_len}")).alias("full"))
-    histogram = base.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).collect()  # at most seq_len rows
+    histogram = base.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("full").alias("full"), F.count("*").alias("parts")).collect()  # at most seq_len rows
     counts = [0] * max(seq_len, 2)
     for r in histogram:
         counts[r["rest"]] = r["n"] if r["rest"] else 0
@@ -233,7 +233,7 @@ def pack_best_fit(docs: DataFrame, end_id: int = 2, seq_len: int = 1024, tokeniz
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that encoded
     fulls = base.groupBy("part").agg(F.sum("full").alias("full")).select("part", F.coalesce(F.sum("full").over(earlier), F.lit(0)).alias("full_base"))
     bases = ranks.join(fulls, "part")
-    bases = F.broadcast(bases) if base.count() <= MOST_BROADCAST_ROWS else bases
+    bases = F.broadcast(bases) if sum(r["parts"] for r in histogram) <= MOST_BROADCAST_ROWS else bases
     placed = tokens.join(bases, ["part", "rest"]).select("doc_id", "n_tokens", "rest", (F.col("rank_base") + F.col("rank_in_part")).alias("rank"), (F.col("full_base") + F.col("full_before")).alias("full"), "ids")
     slot_keys = slots[:, 0] << 48 | slots[:, 1]  # a few rows for each length under seq_len and bin, whatever the corpus holds
 

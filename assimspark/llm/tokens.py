@@ -32,11 +32,14 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """Ids of pieces as bytes; one that is not there is taken from the older generation or from the library."""
+    """Ids of pieces as bytes; one that is not there is taken from the older generation or from the library.
 
-    def __init__(self, model, dtype: np.dtype, most: int):
+    A generation holds at most ``most`` pieces of ``most_chars`` characters together; a piece longer than that is never kept.
+    """
+
+    def __init__(self, model, dtype: np.dtype, most: int, most_chars: int):
         super().__init__()
-        self.model, self.letter, self.most, self.before = model, "H" if dtype.itemsize == 2 else "I", most, {}
+        self.model, self.letter, self.most, self.most_chars, self.chars, self.before = model, "H" if dtype.itemsize == 2 else "I", most, most_chars, 0, {}
         self.alphabet = byte_alphabet()
 
     def __missing__(self, piece: str) -> bytes:
@@ -45,10 +48,13 @@ class Pieces(dict):
             as_bytes = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
             ids = [t.id for t in self.model.tokenize(as_bytes)]
             raw = struct.pack(f"<{len(ids)}{self.letter}", *ids)
-        if len(self) >= self.most:
-            self.before = dict(self)
+        if len(piece) > self.most_chars:
+            return raw
+        if len(self) >= self.most or self.chars + len(piece) > self.most_chars:
+            self.before, self.chars = dict(self), 0
             self.clear()
         self[piece] = raw
+        self.chars += len(piece)
         return raw
 
 
@@ -56,12 +62,12 @@ class Encoder:
     """Encodes texts as the tokenizers library does, and remembers the ids of the pieces that its pre-tokenizer cuts texts into.
 
     A byte-level tokenizer encodes each piece by itself, so a piece has the same ids in any text; the library is asked for pieces not met
-    yet. The memory is bounded (two generations of ``most`` pieces; the older one goes when the newer is full) and doesn't change results.
+    yet. The memory is bounded (two generations of ``most`` pieces and ``most_chars`` characters; the older one goes when the newer is full) and doesn't change results.
     Texts with a special token's string or with characters outside ``PLAIN``, and all texts where the tokenizer is of another kind, go to
     the library as they are.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, most_chars: int = 8_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,7 +78,7 @@ class Encoder:
         pre = kind.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
         self.added = [t["content"] for t in kind.get("added_tokens") or []]
-        self.known = Pieces(self.tokenizer.model, self.dtype, most)
+        self.known = Pieces(self.tokenizer.model, self.dtype, most, most_chars)
 
     def _is_plain(self, text: str) -> bool:
         return self.by_piece and PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)

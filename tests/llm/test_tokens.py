@@ -23,6 +23,15 @@ def test_encoder_equals_the_library():
     assert ids_of("x <|endoftext|> y") == np.frombuffer(e.encode("x <|endoftext|> y"), e.dtype).tolist() and 50256 in ids_of("x <|endoftext|> y")
 
 
+def test_encoder_keeps_a_bounded_number_of_characters():
+    e = Encoder(tokenizer_path(), most=1000, most_chars=200)
+    texts = ["".join(chr(97 + (i * k) % 26) for k in range(40 + i)) for i in range(60)] + ["y" * 500, "z" * 500 + " a"]
+    for _ in range(2):
+        assert [np.frombuffer(e.encode(t), e.dtype).tolist() for t in texts] == [ids_of(t) for t in texts]
+        for held in (e.known, e.known.before):
+            assert sum(map(len, held)) <= 200
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab'A\u00e91\u00bd \n\t\r.,!\u2019\u2014sdtmrevl\"\u00df\u00ad\u00a0\u3000\u65e5\x1c\u0301<|>", max_size=40))
 def test_encoder_on_odd_texts(text):
