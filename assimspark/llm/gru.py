@@ -10,6 +10,7 @@ window, so a document of any length is read whole; gradients are cut at window b
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,12 +82,14 @@ def windows(ids: np.ndarray, starts: np.ndarray, end_id: int, n_lanes: int, step
     order = np.array([d for lane in lanes for d in lane])
     n = lengths[order]
     ends = np.cumsum(n)
-    place = np.arange(ends[-1]) - np.repeat(ends - n, n)
     # All lanes one after the other, and one more place for what lies beyond a lane.
-    source = np.append(ids, end_id)[np.minimum(np.repeat(starts[order], n) + place, len(ids))]
-    targets = np.append(np.where(place == np.repeat(n, n) - 1, end_id, source), end_id).astype(np.int32)
+    source = np.repeat(starts[order] - (ends - n), n)
+    source += np.arange(ends[-1])
+    source[ends - 1] = len(ids)
+    targets = np.append(np.append(ids, end_id)[source], end_id).astype(np.int32)
     inputs = np.concatenate(([end_id], targets[:-1])).astype(np.int32)  # before a document stands the end of another
-    keep = np.append(place > 0, True).astype(np.float32)
+    keep = np.ones(ends[-1] + 1, np.float32)
+    keep[ends - n] = 0
     owner = np.append(np.repeat(order, n), -1)
     totals = np.array([int(lengths[lane].sum()) for lane in lanes])
     begin = np.cumsum(totals) - totals
@@ -100,71 +103,61 @@ def windows(ids: np.ndarray, starts: np.ndarray, end_id: int, n_lanes: int, step
         t0 += span
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
-
-
-def _exps(states: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(logits) of each row up to a factor, and the rows' sums. Logits are shifted by the largest bias (the last row of the weights), which
-    keeps exp in range for all but huge weights; if a sum does leave it, each row is shifted by its own maximum."""
-    top = float(weights[-1].max())
+def _exps(logits: Callable[[np.ndarray], np.ndarray], weights: np.ndarray, top: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """exp(logits(weights)) of each row up to a factor, and the rows' sums. Logits are shifted by the largest bias (``top``; biases are the last
+    column of the weights), which keeps exp in range for all but huge weights; if a sum does leave it, each row is shifted by its own maximum."""
     shifted = weights.copy()
-    shifted[-1] -= top
-    x = states @ shifted
+    shifted[:, -1] -= top
+    x = logits(shifted)
     np.exp(x, out=x)
-    total = np.einsum("ij->i", x)
+    total = x @ np.ones(x.shape[1], np.float32)
     if len(x) and not (total.min() > 1e-30 and total.max() < 1e30):
-        x = states @ weights
+        x = logits(weights)
         x -= x.max(axis=1, keepdims=True)
         np.exp(x, out=x)
         total = np.einsum("ij->i", x)
     return x, total
 
 
-def _softmax(states: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    x, total = _exps(states, weights)
-    x *= (1 / total)[:, None]
-    return x
-
-
-def _log_softmax_at(states: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax of each row at one column."""
-    x, total = _exps(states, weights)
-    return np.log(np.maximum(x[np.arange(len(x)), at], 1e-37) / total)
-
-
 class Model:
     def __init__(self, shape: Shape, flat: np.ndarray):
         self.shape, self.flat = shape, flat.astype(np.float32)
         self.p = shape.split(self.flat)
 
     def _run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, store: bool):
-        """States (with a last column of ones) of all steps, the last state, and with ``store`` what the gradient needs: before, gates, n, g_n."""
+        """States (with a last column of ones) of all steps, the last state, and with ``store`` what the gradient needs: before, gates with g_n, n.
+
+        Within, lanes are the last axis, so that a gate of all lanes lies in one piece. A sigmoid is (1 + tanh(v / 2)) / 2; the weights are halved
+        beforehand.
+        """
         hid, p, (steps, lanes) = self.shape.hidden, self.p, x.shape
-        a = (p["emb"] @ p["wx"] + p["b"])[x]
-        out = np.ones((steps, lanes, hid + 1), np.float32)
-        saved = [np.empty((steps if store else 1, lanes, n * hid), np.float32) for n in (1, 2, 1, 1)]
+        table, wh_t = p["emb"] @ p["wx"] + p["b"], np.ascontiguousarray(p["wh"].T)
+        table[:, :2 * hid] *= 0.5
+        wh_t[:2 * hid] *= 0.5
+        a = np.ascontiguousarray(table[x].transpose(0, 2, 1))
+        states = np.empty((steps, hid, lanes), np.float32)
+        saved = [np.empty((steps if store else 1, n * hid, lanes), np.float32) for n in (1, 3, 1)]
         resets = (keep == 0).any(axis=1)
+        h = np.ascontiguousarray(h.T)
         for t in range(steps):
-            before, gates, n, gn = (v[t if store else 0] for v in saved)
-            np.multiply(h, keep[t][:, None], out=before) if resets[t] else np.copyto(before, h)
-            g = before @ p["wh"]
-            np.add(a[t, :, :2 * hid], g[:, :2 * hid], out=gates)
-            _sigmoid(gates)
-            gn[:] = g[:, 2 * hid:]
-            np.multiply(gates[:, hid:], gn, out=n)
-            n += a[t, :, 2 * hid:]
+            before, g, n = (v[t if store else 0] for v in saved)
+            np.multiply(h, keep[t], out=before) if resets[t] else np.copyto(before, h)
+            np.matmul(wh_t, before, out=g)
+            gates = g[:2 * hid]
+            gates += a[t, :2 * hid]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(gates[hid:], g[2 * hid:], out=n)
+            n += a[t, 2 * hid:]
             np.tanh(n, out=n)
-            h = before - n
-            h *= gates[:, :hid]
+            h = states[t]
+            np.subtract(before, n, out=h)
+            h *= gates[:hid]
             h += n
-            out[t, :, :hid] = h
-        return out, h, saved
+        out = np.ones((steps, lanes, hid + 1), np.float32)
+        out[:, :, :hid] = states.transpose(0, 2, 1)
+        return out, out[-1, :, :hid], saved
 
     def _by_class(self, states: np.ndarray, y: np.ndarray):
         """The order that puts targets of a class together; states and targets in that order, their classes, and where each class that occurs lies."""
@@ -174,14 +167,28 @@ class Model:
         parts = [(slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE), slice(i, j)) for c, (i, j) in enumerate(zip((0, *ends), ends)) if j > i]
         return order, states[order], y[order], cls[order], parts
 
+    def _exps_of_classes(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wc = np.ascontiguousarray(self.p["wc"].T)
+        return _exps(lambda w: states @ w.T, wc, float(wc[:, -1].max()))
+
+    def _exps_in_class(self, states: np.ndarray, parts: list[tuple[slice, slice]]) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the numbers of each row's class; rows lie class by class."""
+
+        def logits(w: np.ndarray) -> np.ndarray:
+            x = np.empty((len(states), CLASS_SIZE), np.float32)
+            for words, at in parts:
+                np.matmul(states[at], w[words].T, out=x[at])
+            return x
+
+        ww = self.p["ww"]
+        return _exps(logits, ww, np.repeat(ww[:, -1].reshape(-1, CLASS_SIZE).max(axis=1), CLASS_SIZE))
+
     def log10_of(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log10 P(class) P(number | class) of each target."""
-        p, (order, states, y, cls, parts) = self.p, self._by_class(states, y)
-        found = _log_softmax_at(states, p["wc"], cls)
-        for words, at in parts:
-            found[at] += _log_softmax_at(states[at], p["ww"][words].T, y[at] - words.start)
-        out = np.empty_like(found)
-        out[order] = found
+        order, states, y, cls, parts = self._by_class(states, y)
+        rows, out = np.arange(len(y)), np.empty(len(y), np.float32)
+        found = [np.log(np.maximum(x[rows, at], 1e-37) / total) for (x, total), at in ((self._exps_of_classes(states), cls), (self._exps_in_class(states, parts), y % CLASS_SIZE))]
+        out[order] = found[0] + found[1]
         return out / np.log(10)
 
     def score(self, ids: np.ndarray, starts: np.ndarray, end_id: int, n_lanes: int = 512, steps: int = 32) -> np.ndarray:
@@ -200,47 +207,55 @@ class Model:
 
     def _gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, real: np.ndarray, h: np.ndarray, grad: dict[str, np.ndarray]) -> np.ndarray:
         p, hid = self.p, self.shape.hidden
-        out, h, (before, gates, n, gn) = self._run(x, keep, h, True)
+        out, h, (before, g, n) = self._run(x, keep, h, True)
         whole = real.all()
         order, states, targets, cls, parts = self._by_class(*((out.reshape(-1, hid + 1), y.ravel()) if whole else (out[real], y[real])))
-        d = _softmax(states, p["wc"])
-        d[np.arange(len(d)), cls] -= 1
-        grad["wc"] += states.T @ d
+        # A row's gradient of the logits is (exp - sum at its target) / sum; what is narrow is divided, not the logits.
+        rows = np.arange(len(states))
+        d, total = self._exps_of_classes(states)
+        d[rows, cls] -= total
+        share = (1 / total)[:, None]
+        grad["wc"] += (states * share).T @ d
         dstates = d @ p["wc"].T
+        dstates *= share
+        e, total = self._exps_in_class(states, parts)
+        e[rows, targets % CLASS_SIZE] -= total
+        share = (1 / total)[:, None]
+        scaled, more = states * share, np.empty_like(states)
         for words, at in parts:
-            e = _softmax(states[at], p["ww"][words].T)
-            e[np.arange(len(e)), targets[at] - words.start] -= 1
-            grad["ww"][words] += e.T @ states[at]
-            dstates[at] += e @ p["ww"][words]
+            grad["ww"][words] += e[at].T @ scaled[at]
+            np.matmul(e[at], p["ww"][words], out=more[at])
+        more *= share
+        dstates += more
         dout = np.zeros((x.size, hid), np.float32)
         dout[order if whole else np.flatnonzero(real.ravel())[order]] = dstates[:, :hid]
-        dout = dout.reshape(*x.shape, hid)
-        z, r = gates[..., :hid], gates[..., hid:]
-        # What the gradient of a state is multiplied by for n, z and r, for all steps at once.
+        dout = np.ascontiguousarray(dout.reshape(*x.shape, hid).transpose(0, 2, 1))
+        z, r, gn = g[:, :hid], g[:, hid:2 * hid], g[:, 2 * hid:]
+        # What the gradient of a state is multiplied by for z, r and n, for all steps at once; the products take their place.
         to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * z * (1 - z)
-        to_r = gn * r * (1 - r)
-        da = np.empty((*x.shape, 3 * hid), np.float32)
-        carry = np.zeros((x.shape[1], hid), np.float32)
-        wh_t = np.ascontiguousarray(p["wh"].T)
+        da = np.empty((len(x), 3, hid, x.shape[1]), np.float32)
+        np.multiply(to_n, r, out=da[:, 2])
+        np.multiply(da[:, 2], gn * (1 - r), out=da[:, 1])
+        np.multiply((before - n) * z, 1 - z, out=da[:, 0])
+        flat_da = da.reshape(len(x), 3 * hid, x.shape[1])
+        carry, kept = np.zeros((hid, x.shape[1]), np.float32), np.empty((hid, x.shape[1]), np.float32)
+        resets = (keep == 0).any(axis=1)
         for t in range(len(x) - 1, -1, -1):
             dh = dout[t]
             dh += carry
-            now = da[t]
-            dn = dh * to_n[t]
-            np.multiply(dh, to_z[t], out=now[:, :hid])
-            np.multiply(dn, to_r[t], out=now[:, hid:2 * hid])
-            np.multiply(dn, r[t], out=now[:, 2 * hid:])
-            carry = now @ wh_t
-            carry += dh * z[t]
-            carry *= keep[t][:, None]
-        grad["wh"] += before.reshape(-1, hid).T @ da.reshape(-1, 3 * hid)
-        da[..., 2 * hid:] = dout * to_n  # the input's share of n isn't weighted by r
-        flat_x, flat_a = x.ravel(), da.reshape(-1, 3 * hid)
+            da[t] *= dh
+            np.matmul(p["wh"], flat_da[t], out=carry)
+            np.multiply(dh, z[t], out=kept)
+            carry += kept
+            if resets[t]:
+                carry *= keep[t]
+        grad["wh"] += np.matmul(before, flat_da.transpose(0, 2, 1)).sum(axis=0)
+        np.multiply(dout, to_n, out=da[:, 2])  # the input's share of n isn't weighted by r
+        flat_x, flat_a = x.ravel(), flat_da.transpose(0, 2, 1).reshape(-1, 3 * hid)
         by_id = np.argsort(flat_x.astype(np.int16) if self.shape.n_words < 2**15 else flat_x, kind="stable")
         sorted_x = flat_x[by_id]
         first = np.flatnonzero(np.diff(sorted_x, prepend=-1))
-        used, sums = sorted_x[first], np.add.reduceat(flat_a[by_id], first, axis=0)
+        used, sums = sorted_x[first], np.add.reduceat(flat_a.take(by_id, axis=0), first, axis=0)
         grad["emb"][used] += sums @ p["wx"].T
         grad["wx"] += p["emb"][used].T @ sums
         grad["b"] += sums.sum(axis=0)
@@ -250,17 +265,28 @@ class Model:
         """One pass of truncated backpropagation (Adam, clipped); returns the number of targets, all of which have moved the weights."""
         grad_flat = np.zeros_like(self.flat)
         grad = self.shape.split(grad_flat)
-        m, v, seen, held, turn = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, 0, 0
+        m, v, step, seen, held, turn = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty_like(self.flat), 0, 0, 0
         h = None
 
         def update() -> None:
-            nonlocal seen, held, turn
+            nonlocal step, seen, held, turn
             turn += 1
-            g = grad_flat / held
+            g = grad_flat
+            g /= held
             g *= min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-12))
-            m[:] += 0.1 * (g - m)
-            v[:] += 0.01 * (g * g - v)
-            self.flat -= rate / (1 + turn / 400) * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)
+            np.subtract(g, m, out=step)
+            step *= 0.1
+            m[:] += step
+            np.multiply(g, g, out=step)
+            step -= v
+            step *= 0.01
+            v[:] += step
+            np.multiply(v, 1 / (1 - 0.99**turn), out=step)
+            np.sqrt(step, out=step)
+            step += 1e-6
+            np.divide(m, step, out=step)
+            step *= rate / (1 + turn / 400) / (1 - 0.9**turn)
+            self.flat -= step
             grad_flat[:] = 0
             seen, held = seen + held, 0
 

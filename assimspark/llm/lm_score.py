@@ -52,13 +52,36 @@ def is_training() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
 
 
+def _slot(words: np.ndarray) -> np.ndarray:
+    """A place for each word in tables of 2^20, in which it is looked for before it is searched."""
+    return (words >> np.uint64(44)).astype(np.int32)
+
+
+def count_words(words: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, the class of each (equal words have equal classes) and its count.
+
+    Words are sorted alone, which is faster than with their places. A place in which a word stands is found in a table; for words whose slot
+    went to another, among the places that lost theirs.
+    """
+    found = np.sort(words)
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    n, found = np.diff(first, append=len(words)), found[first]
+    slot, at = _slot(words), np.zeros(1 << 20, np.int32)
+    at[slot] = np.arange(len(words), dtype=np.int32)
+    place = at[_slot(found)]
+    of_found = cls[place]
+    if len(others := np.flatnonzero(words[place] != found)):
+        lost = np.flatnonzero(words[at[slot]] != words)
+        of_found[others[np.searchsorted(found[others], words[lost])]] = cls[lost]
+    return found, of_found, n
+
+
 def word_counts(docs: DataFrame, n_tail: int, flush: int = 2_000_000) -> DataFrame:
     """(word, cls, c) over the given documents, without their ends."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list) -> pa.RecordBatch:
-            words, first, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
-            cls = np.concatenate([p[1] for p in parts])[first]
+            words, cls, n = count_words(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(cls.astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "cls", "c"])
 
         held, size = [], 0
@@ -86,13 +109,36 @@ class Lookup:
         rank_of = np.full(len(words), -1)
         rank_of[:len(head)] = ranks
         self.rank, self.end, self.shape = rank_of[order], end_rank, shape
+        self.by_count = np.argsort(order).astype(np.int32)
+        self.slots = None
+
+    def __getstate__(self) -> dict:
+        """Tasks make their own slots."""
+        return self.__dict__ | {"slots": None}
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words stand or would stand, and whether they do. Most are found in their slot, which holds its most frequent word; others are searched."""
+        if self.slots is None:
+            slots, wanted = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int8)
+            places = self.by_count[::-1]
+            of_word = _slot(self.words[places])
+            slots[of_word] = places  # of equal slots the last one counts
+            wanted[of_word[slots[of_word] != places]] = 1
+            self.slots = slots, wanted
+        slots, wanted = self.slots
+        slot = _slot(hashes)
+        at = slots[slot]
+        known = self.words[at] == hashes
+        rest = np.flatnonzero(~known & (wanted[slot] != 0))
+        at[rest] = np.minimum(np.searchsorted(self.words, hashes[rest]), len(self.words) - 1)
+        known[rest] = self.words[at[rest]] == hashes[rest]
+        return at, known
 
     def __call__(self, hashes: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number for the model, log10(c + 1) where known (else 0), known."""
         if not len(self.words):
             return (self.shape.n_head + cls).astype(np.int32), np.zeros(len(hashes)), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        known = self.words[at] == hashes
+        at, known = self._find(hashes)
         rank = np.where(known, self.rank[at], -1)
         return np.where(rank >= 0, rank, self.shape.n_head + cls).astype(np.int32), np.where(known, self.log_c[at], 0.0), known
 

@@ -7,7 +7,7 @@ import numpy as np
 
 from assimspark.llm import lm_score
 from assimspark.llm.gru import CLASS_SIZE, Model, Shape, windows
-from assimspark.llm.lm_score import score
+from assimspark.llm.lm_score import Lookup, count_words, score
 
 SMALL = Shape(n_head=128, n_tail=64, embed=6, hidden=8)
 
@@ -134,3 +134,31 @@ def test_few_targets_train_too():
     model = Model(shape, shape.start(np.ones(128)))
     before = model.score(ids, starts, 0).sum()
     assert model.train(ids, starts, 0) == 61 and model.score(ids, starts, 0).sum() > before
+
+
+def test_words_that_share_a_slot_are_counted_and_found():
+    rng = np.random.default_rng(5)
+    some = (rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(44)) + rng.integers(0, 2**44, 300).astype(np.uint64)  # 300 words in 40 slots
+    words = some[np.minimum(rng.zipf(1.3, 5000) - 1, 299)]
+    cls = (words % np.uint64(64)).astype(np.int64)
+    want = Counter(words.tolist())
+    found, of_found, n = count_words(words, cls)
+    assert dict(zip(found.tolist(), n.tolist())) == want and (np.diff(found.astype(object)) > 0).all() and (of_found == (found % np.uint64(64)).astype(np.int64)).all()
+    top = sorted(want, key=lambda w: (-want[w], w))[:100]
+    lookup = Lookup(Shape(n_head=64, n_tail=64), np.array(top, np.uint64), np.array([want[w] for w in top], float), 3)
+    ids, log_c, known = lookup(words, cls)
+    for w, c, i, x, k in zip(words.tolist(), cls.tolist(), ids.tolist(), log_c.tolist(), known.tolist()):
+        at = top.index(w) if w in top else None
+        assert k == (at is not None) and math.isclose(x, math.log10(want[w] + 1) if k else 0.0)
+        assert i == (at + (at >= 3) if k and at < 63 else 64 + c)
+
+
+def test_huge_weights_leave_scores_finite():
+    shape = Shape(n_head=64, n_tail=64)
+    model = Model(shape, shape.start(np.ones(128)) * 400)
+    ids, starts = np.arange(40) * 3 % 128, np.array([0, 25, 40])
+    grad = np.zeros_like(model.flat)
+    x, y, keep, owner = next(windows(ids, starts, 0, 2, 32))
+    with np.errstate(over="ignore"):
+        model._gradient(x, y, keep, owner >= 0, np.zeros((2, 16), np.float32), shape.split(grad))
+        assert np.isfinite(model.score(ids, starts, 0)).all() and np.isfinite(grad).all()
