@@ -116,8 +116,11 @@ def obs_error_cov(obs: DataFrame, std_obs: float, mode: str = "reference") -> Da
 
 
 def forecast_test_errors(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """From (keys, series_id, window, error2, norm2): log10 of the mean squared error over the mean squared norm of each window, then min, max and mean."""
-    each = scored.groupBy(*keys, "series_id", "window").agg(F.log10(F.avg("error2") / F.avg("norm2")).alias("e"))
+    """From (keys, series_id, window, error2, norm2): log10 of the mean squared error over the mean squared norm of each window, then min, max and mean.
+    A window of norm 0 gives infinity, or NaN where its error is 0 too; one of error 0 gives minus infinity."""
+    error, norm = F.avg("error2"), F.avg("norm2")
+    ratio = F.when(norm != 0, error / norm).when(error > 0, F.lit(float("inf"))).when(error == 0, F.lit(float("nan")))
+    each = scored.groupBy(*keys, "series_id", "window").agg(F.when(ratio == 0, F.lit(float("-inf"))).otherwise(F.log10(ratio)).alias("e"))
     return each.groupBy(*keys).agg(F.min("e").alias("e_min"), F.max("e").alias("e_max"), F.avg("e").alias("e_mean")) if keys else each.agg(F.min("e").alias("e_min"), F.max("e").alias("e_max"), F.avg("e").alias("e_mean"))
 
 

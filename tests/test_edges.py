@@ -62,6 +62,13 @@ def test_metrics_of_nothing_and_of_zeros(spark):
     assert metrics.best_run(runs, ["run"])["run"] is not None and metrics.best_run(runs, ["run"]).first()["run"] == 1
 
 
+def test_windows_without_norm_have_infinite_errors(spark):
+    rows = [("a", 1, 0, 4.0, 0.0), ("a", 1, 1, 1.0, 100.0), ("a", 2, 0, 0.0, 1.0), ("b", 1, 0, 0.0, 0.0), ("c", 1, 0, 1.0, 100.0), ("c", 1, 0, 3.0, 300.0), ("d", 1, 0, None, None)]
+    scored = spark.createDataFrame(rows, "dim string, series_id long, window long, error2 double, norm2 double")
+    got = {r["dim"]: tuple(map(str, (r["e_min"], r["e_max"], r["e_mean"]))) for r in metrics.forecast_test_errors(scored, ["dim"]).collect()}
+    assert got == {"a": ("-inf", "inf", "nan"), "b": ("nan", "nan", "nan"), "c": ("-2.0", "-2.0", "-2.0"), "d": ("None", "None", "None")}
+
+
 def test_modes_of_nothing_and_of_ragged_points(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "point_id long, snaps array<double>")
     with pytest.raises(ValueError):
