@@ -97,3 +97,18 @@ def test_empty_streams(spark, tmp_path):
     assert stream_assimilate(none, first_state, decay, 1, cycle.Config(), idle_ms=None).count() == 0
     rows = spark.createDataFrame([], "ts timestamp, series_id long, dim int, y double, e double")
     assert stream_interval_error(rows, "1 hour", "1 hour").count() == 0
+
+
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    from assimspark.plans.queries import _event_stream, _run_stream
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1,)], "other long").write.parquet(f"{tmp_path}/events2.parquet")
+    for sf in (SF, str(tmp_path)):
+        got = _run_stream(_event_stream(spark, sf).select("event_id", "value"), "events")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, events.select("event_id", "value").collect()))
+    queries = __spark_entry__.queries()
+    for name in ("k1_k2_k5_stream_assimilate", "k3_stream_grid_bayes", "k4_stream_interval_error"):
+        file, folder = (sorted(map(str, queries[name](spark, sf).collect())) for sf in (SF, str(tmp_path)))
+        assert len(file) > 500 and folder == file
