@@ -126,18 +126,18 @@ class GridBayes(StatefulProcessor):
         self.grid, self.log_prior, self.ll = grid, log_prior, log_likelihood
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("log_posterior", "log_p array<double>, clock long")
+        self.state = handle.getValueState("log_likelihood", "held array<double>, clock long")
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        held, clock = self.state.get() if self.state.exists() else (self.log_prior, None)
+        held, clock = self.state.get() if self.state.exists() else (np.zeros(len(self.grid)), None)
         held = np.asarray(held, float)
         out = []
         for o in pd.concat(list(rows)).sort_values("step", kind="stable").itertuples():
             if clock is not None and o.step <= clock:
                 continue
-            held = held + self.ll(self.grid, o.d)
-            held = held - held.max()
-            p = np.exp(held)
+            held = held + self.ll(self.grid, o.d)  # the plain sum: a rounding in each step would break ties between values of the grid
+            log_p = self.log_prior + held
+            p = np.exp(log_p - log_p.max())
             p /= p.sum() * (self.grid[1] - self.grid[0])
             clock = int(o.step)
             out.append((int(key[0]), clock, float(self.grid[p.argmax()]), float((self.grid * p).sum() / p.sum())))
@@ -149,7 +149,7 @@ class GridBayes(StatefulProcessor):
 
 
 def stream_grid_bayes(obs: DataFrame, grid: np.ndarray, log_prior: np.ndarray, log_likelihood: Callable) -> DataFrame:
-    """The posterior of one observation is the prior of the next; the most likely and the mean value after each."""
+    """The posterior of one observation is the prior of the next; the most likely (the smallest of equals) and the mean value after each."""
     obs.sparkSession.streams.active  # noqa: B018  as above
     return obs.select("series_id", "step", "d").groupBy("series_id").transformWithStateInPandas(GridBayes(grid, log_prior, log_likelihood), outputStructType="series_id long, step long, x_map double, x_mean double", outputMode="Append", timeMode="None")
 

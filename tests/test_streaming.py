@@ -112,3 +112,16 @@ def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
     for name in ("k1_k2_k5_stream_assimilate", "k3_stream_grid_bayes", "k4_stream_interval_error"):
         file, folder = (sorted(map(str, queries[name](spark, sf).collect())) for sf in (SF, str(tmp_path)))
         assert len(file) > 500 and folder == file
+
+
+def test_ties_of_the_value_grid_are_not_broken_by_rounding(spark):
+    from assimspark.plans.queries import log_likelihood
+    from assimspark.streaming.assimilate import stream_grid_bayes
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    values = [63.83, 109.03, 32.31, 67.1, 65.32, 11.57, 55.38, 14.23, 53.98, 45.94, 0.78, 146.16, 3.72, 20.4, 84.0]
+    assert round(sum(values) - 51.25 * len(values), 9) == 5  # 50 and 52.5 are equally likely
+    grid = np.linspace(0, 100, 41)
+    obs = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], "series_id long, step long, d double")
+    out = stream_grid_bayes(obs, grid, -0.5 * ((grid - 40) / 30) ** 2, log_likelihood).orderBy("step").collect()
+    assert len(out) == len(values) and (out[-1]["x_map"], round(out[-1]["x_mean"], 6)) == (50.0, 51.25)
