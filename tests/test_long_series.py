@@ -56,6 +56,21 @@ def test_recurrences_equal_all_pairs(spark):
     assert fields.recurrence_pairs(df.where("step < 0")).count() == 0
 
 
+def test_recurrence_limits_round_as_sql_does(spark):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    values = [1.09, 24.04, 73.94, 64.84, 197.58, 158.44, 47.25, 22.75, 215.73, 109.02, 24.93, 61.56, 9.81, 28.23, 42.87, 56.51, 13.75, 111.65, 47.46, 2.47, 72.31, 21.01, 10.62, 154.0, 46.94, 33.29, 27.36, 127.93, 2.27, 110.73]
+    modes = {0: np.array(values)} | {m: np.round(rng.gamma(2, 20, int(rng.integers(5, 40))), 2) for m in range(1, 300)}
+    con = duckdb.connect()
+    con.execute("create table x (mode bigint, x double)")
+    con.executemany("insert into x values (?, ?)", [(m, float(v)) for m, xs in modes.items() for v in xs])
+    sql = dict(con.execute("select mode, quantile_cont(abs(a.x - b.x), 0.2) from x a join x b using (mode) group by mode").fetchall())
+    assert {m: fields.recurrence_limit(x, 0.2) for m, x in modes.items()} == sql
+    df = spark.createDataFrame([(0, s, v) for s, v in enumerate(values)], "mode long, step long, x double")
+    assert fields.recurrence_pairs(df, 0.2).count() == con.execute("select count(*) from x a, x b where a.mode = 0 and b.mode = 0 and abs(a.x - b.x) < ?", [sql[0]]).fetchall()[0][0]
+
+
 def test_a_long_mode_needs_no_pairs_for_its_limit():
     x = np.random.default_rng(5).normal(size=100_000)
     limit = fields.distance_percentile(x, 1e-5)
