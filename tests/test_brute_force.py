@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against plain numpy loops on small tables; and defined results for odd tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,40 @@ def test_stuck_members_are_dropped_and_refilled(spark):
     assert np.allclose([[have[r, j] for r in range(2)] for j in (5, 6, 7)], new)
 
 
+def test_many_series_are_refilled_side_by_side(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    given = {}
+    for s in range(400):
+        members = sorted(rng.choice(9, int(rng.integers(1, 9)), replace=False).tolist())
+        given[s] = {(r, j): float(rng.normal(r, 1)) for r in ((0, 1, 2) if s % 3 else (4, 7)) for j in members}
+    given[400] = {(0, j): float(j) for j in range(6)} | {(1, 2): 5.0}  # nothing is missing, though row 1 has one member
+    given[401] = {(0, 0): 1.0, (0, 8): 3.0}
+    rows = [(s, s % 5, r, j, v, j != 8) for s, cells in given.items() for (r, j), v in cells.items()]
+    ens = spark.createDataFrame(rows, "series_id long, step long, row_id int, member int, value double, keep boolean").repartition(3)
+    got = {}
+    for x in ensemble.refill(ens.drop("keep"), ens.select("series_id", "member", "keep").distinct(), 6, seed=3).collect():
+        assert x["step"] == x["series_id"] % 5 and (x["row_id"], x["member"]) not in got.setdefault(x["series_id"], {})
+        got[x["series_id"]][x["row_id"], x["member"]] = x["value"]
+    filled = 0
+    for s, cells in given.items():
+        want = {k: v for k, v in cells.items() if k[1] != 8}
+        at, members = sorted({r for r, _ in want}), sorted({j for _, j in want})
+        missing = [j for j in range(6) if j not in members]
+        if missing and len(members) > 1:
+            x = np.array([[want[r, j] for j in members] for r in at])
+            new = np.random.default_rng([3, s]).multivariate_normal(x.mean(axis=1), np.atleast_2d(np.cov(x)), size=len(missing), method="eigh")
+            want |= {(r, j): new[i, k] for i, j in enumerate(missing) for k, r in enumerate(at)}
+            filled += 1
+        assert got.get(s, {}).keys() == want.keys() and all(abs(got[s][k] - v) < 1e-6 for k, v in want.items())
+    assert filled > 200
+    calls, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: calls.append(1) or eigh(a))
+    n = 3000
+    values = rng.normal(size=n * 8)
+    table = pa.table({"series_id": np.arange(n).repeat(8), "step": np.zeros(n * 8, int), "row_id": np.tile(np.arange(2, dtype=np.int32).repeat(4), n), "member": np.tile([0, 1, 2, 4], 2 * n), "value": values})
+    assert sum(t.num_rows for t in ensemble._refill_series(table, 6, 0, table.schema)) == n * 12 and len(calls) == 1
+
+
 def net(units=9, dims=2):
     w, win = kernels.random_reservoir(units, dims, 3, 7)
     return cycle.Reservoir(w, win, None, np.array([2.0, 0.5])[:dims], 0.8, 0.6)
