@@ -35,6 +35,10 @@ OCCURRENCES = 2000
 HELD_PAIRS, HELD_WORDS = 2_000_000, 300_000
 RELATION = "uid long, slots binary, ids binary"
 UND = "und"
+#: Where groups go to the tasks by joins: characters of the texts whose words are joined at once, rows of the relation whose pairs are, and the least
+#: and the most numbers of buckets that pairs and groups meet in.
+TEXTS, HOME_ROWS, BUCKETS = 4_000_000, 100, (64, 512)
+PACKS = "bucket int, asked boolean, home long, keys binary, numbers binary, row binary"
 
 
 def tokens_of(texts: list[bytes]) -> list[bytes]:
@@ -92,18 +96,18 @@ def numbered(df: DataFrame, what: str) -> tuple[DataFrame, int]:
     return written.join(start, "part").withColumn("id", F.col("start") + F.col("place")).drop("part", "place", "start"), at
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(column: pa.Array, kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all rows of a binary column one after the other, and where rows start (rows + 1 numbers)."""
     wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     starts = np.frombuffer(offsets, wide)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     values = np.frombuffer(data, np.uint8)[starts[0]:starts[-1]] if data is not None else np.zeros(0, np.uint8)
-    return values.view(np.uint32).astype(np.int64), (starts - starts[0]) // 4
+    return values.view(kind).astype(np.int64), (starts - starts[0]) // np.dtype(kind).itemsize
 
 
-def as_column(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+def as_column(values: np.ndarray, starts: np.ndarray, kind: type = np.uint32) -> pa.Array:
     """The inverse of ``flat``."""
-    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * 4).astype(np.int32).tobytes()), pa.py_buffer(values.astype(np.uint32).tobytes())])
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * np.dtype(kind).itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.astype(kind).tobytes())])
 
 
 def merge_join(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,27 +182,116 @@ def relation_of_words(docs: DataFrame, words: DataFrame, n_words: int, most_broa
 
         return materialise(docs.mapInArrow(write, RELATION), "setm-words")
 
-    own = materialise(docs.withColumn("uid", F.monotonically_increasing_id()), "setm-documents")
+    def join_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid, held = _first_uid(), {}
+
+        def row(lang: str) -> pa.RecordBatch:
+            nonlocal uid
+            uid += 1
+            return pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([lang]), pa.array([b".".join(held.pop(lang))], pa.binary())], names=["uid", "lang", "texts"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                if text:
+                    held.setdefault(lang, []).append(text)
+                    if sum(map(len, held[lang])) > TEXTS:
+                        yield row(lang)
+        for lang in list(held):
+            yield row(lang)
+
+    own = materialise(docs.mapInArrow(join_texts, "uid long, lang string, texts binary"), "setm-documents")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, lang, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "lang", "text"))):
-                found = list({*tokens_of([(text or "").encode()])} - {b"."})
+            for i in range(batch.num_rows):
+                found = list({*tokens_of([batch.column("texts")[i].as_py()])} - {b"."})
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([uid] * len(found)), pa.array([lang] * len(found)), pa.array(found, pa.binary()).view(pa.string())], names=["uid", "lang", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("uid")[i].as_py()] * len(found)), pa.array([batch.column("lang")[i].as_py()] * len(found)), pa.array(found, pa.binary()).view(pa.string())], names=["uid", "lang", "word"])
 
     def write_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = _first_uid()
         for batch in batches:
-            for text, known in zip(batch.column("text").to_pylist(), batch.column("known").to_pylist()):
-                rows = word_rows(tokens_of([text.encode()]), {b".": -2} | {k["word"].encode(): k["id"] for k in known}, uid)
+            for i in range(batch.num_rows):
+                known = batch.column("known")[i].values
+                ids = dict(zip(known.field("word").cast(pa.binary()).to_pylist(), known.field("id").to_pylist()))
+                rows = word_rows(tokens_of([batch.column("texts")[i].as_py()]), {b".": -2} | ids, uid)
                 if rows is not None:
                     uid += rows.num_rows
                     yield rows
 
     met = own.mapInArrow(distinct, "uid long, lang string, word string").join(words.select("lang", "word", "id"), ["lang", "word"])
-    brought = met.groupBy("uid").agg(F.collect_list(F.struct("word", "id")).alias("known"))  # a document's own words
-    return materialise(own.join(brought, "uid").select("text", "known").mapInArrow(write_own, RELATION), "setm-words")
+    brought = met.groupBy("uid").agg(F.collect_list(F.struct("word", "id")).alias("known"))  # the own words of some texts
+    return materialise(own.join(brought, "uid").select("texts", "known").mapInArrow(write_own, RELATION), "setm-words")
+
+
+def _packs(keys: np.ndarray, numbers: np.ndarray, row: np.ndarray, buckets: int, asked: bool, home: int) -> pa.RecordBatch:
+    """A row for each bucket that has any of the keys, in the order given."""
+    bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    counts = np.bincount(bucket, minlength=buckets)
+    there = np.flatnonzero(counts)
+    starts = np.concatenate([[0], np.cumsum(counts[there])])
+    n = len(there)
+    fixed = [pa.array(there, pa.int32()), pa.array([asked] * n, pa.bool_()), pa.array([home] * n, pa.int64())]
+    return pa.RecordBatch.from_arrays([*fixed, as_column(keys[order], starts, np.int64), as_column(numbers[order], starts), as_column(row[order], starts, np.uint8)], names=["bucket", "asked", "home", "keys", "numbers", "row"])
+
+
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From where to where rows have equal values."""
+    n = len(columns[0])
+    cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1 if n else []
+    yield from zip([0, *cuts], [*cuts, n]) if n else ()
+
+
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packs sorted by bucket, groups first: the slots and groups' numbers of the pairs that are in a group."""
+    now, groups, known, ids = -1, [], None, None
+    for batch in batches:
+        bucket, asked, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "asked", "home"))
+        (keys, starts), (numbers, _), (row, _) = flat(batch.column("keys"), np.int64), flat(batch.column("numbers")), flat(batch.column("row"), np.uint8)
+        for a, b in _runs(bucket, asked):
+            if bucket[a] != now:
+                now, groups, known = bucket[a], [], None
+            part = slice(starts[a], starts[b])
+            if not asked[a]:
+                groups.append((keys[part], numbers[part]))
+                continue
+            if not groups:
+                continue
+            if known is None:
+                known, ids = (np.concatenate(x) for x in zip(*groups))
+                order = np.argsort(known)
+                known, ids = known[order], ids[order]
+            at = np.minimum(np.searchsorted(known, keys[part]), len(known) - 1)
+            hit = known[at] == keys[part]
+            new = np.concatenate([[0], np.cumsum(hit)])[starts[a:b + 1] - starts[a]]
+            yield pa.RecordBatch.from_arrays([pa.array(home[a:b]), as_column(numbers[part][hit], new), as_column(ids[at[hit]], new), as_column(row[part][hit], new, np.uint8)], names=["home", "slots", "ids", "row"])
+
+
+def _bring_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by home: the sorted relation."""
+    uid, now, held = _first_uid(), None, []
+
+    def rows() -> pa.RecordBatch:
+        slots, ids, row = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((slots, row))
+        starts = np.flatnonzero(np.diff(row[order], prepend=-1, append=HOME_ROWS))
+        return relation_rows(slots[order], ids[order], starts, uid)
+
+    for batch in batches:
+        home = batch.column("home").to_numpy()
+        (slots, starts), (ids, _), (row, _) = flat(batch.column("slots")), flat(batch.column("ids")), flat(batch.column("row"), np.uint8)
+        for a, b in _runs(home):
+            if home[a] != now:
+                if sum(len(x[0]) for x in held):
+                    found = rows()
+                    uid += found.num_rows
+                    yield found
+                now, held = home[a], []
+            part = slice(starts[a], starts[b])
+            held.append((slots[part], ids[part], row[part]))
+    if sum(len(x[0]) for x in held):
+        yield rows()
 
 
 def semi_join(relation: DataFrame, groups: DataFrame, n_groups: int, most_broadcast: int, what: str) -> DataFrame:
@@ -227,22 +320,31 @@ def semi_join(relation: DataFrame, groups: DataFrame, n_groups: int, most_broadc
 
         return materialise(relation.mapInArrow(keep, RELATION), what)
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, keys, row, _ = merge_join(batch)
-            pairs = np.unique(np.stack([row, keys]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("uid").to_numpy()[pairs[0]]), pa.array(pairs[1])], names=["uid", "key"])
+    buckets = min(max(n_groups // max(most_broadcast, 1) + 1, BUCKETS[0]), BUCKETS[1])
 
-    def keep_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                known = {k["key"]: k["id"] for k in one.column("known")[0].as_py()}
-                ids = np.array([known.get(k, -1) for k in merge_join(one)[1].tolist()], np.int64)
-                yield kept(one, ids >= 0, ids[ids >= 0])
-
-    brought = relation.mapInArrow(distinct, "uid long, key long").join(groups.select("key", "id"), "key").groupBy("uid").agg(F.collect_list(F.struct("key", "id")).alias("known"))
-    return materialise(relation.join(brought, "uid").mapInArrow(keep_own, RELATION), what)
+            held.append((batch.column("key").to_numpy(), batch.column("id").to_numpy()))
+            n += batch.num_rows
+            if n > 100_000:
+                yield _packs(*(np.concatenate(x) for x in zip(*held)), np.zeros(n), buckets, False, 0)
+                held, n = [], 0
+        if n:
+            yield _packs(*(np.concatenate(x) for x in zip(*held)), np.zeros(n), buckets, False, 0)
+
+    def pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = _first_uid()
+        for batch in batches:
+            for a in range(0, batch.num_rows, HOME_ROWS):
+                slots, keys, row, _ = merge_join(batch.slice(a, HOME_ROWS))
+                if len(keys):
+                    yield _packs(keys, slots, row, buckets, True, home)
+                    home += 1
+
+    both = groups.select("key", "id").mapInArrow(pack_groups, PACKS).unionAll(relation.mapInArrow(pack_pairs, PACKS))
+    hits = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "asked").mapInArrow(_look_up, "home long, slots binary, ids binary, row binary")
+    return materialise(hits.repartition(buckets, "home").sortWithinPartitions("home").mapInArrow(_bring_home, RELATION), what)
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, most_broadcast: int = 500_000) -> tuple[DataFrame, list[DataFrame]]:

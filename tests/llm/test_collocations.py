@@ -72,3 +72,35 @@ def test_counts_at_the_edges(spark):
 
 def test_no_rows_and_no_words(spark):
     assert run(spark, []) == [] and run(spark, [("en", "."), (None, None)]) == []
+
+
+def test_pairs_and_groups_meet_in_buckets(monkeypatch):
+    """Packs by bucket, as the shuffles sort them: an occurrence is looked up in one array of its bucket, and comes home in its place."""
+    import numpy as np
+    import pyarrow as pa
+
+    from assimspark.llm import collocations as c
+
+    monkeypatch.setattr(c, "_first_uid", lambda: 0)
+    rng = np.random.default_rng(8)
+    groups = rng.choice(1 << 40, 3000, replace=False)
+    packs = [c._packs(groups[a:a + 1000], np.arange(a, a + 1000), np.zeros(1000), 64, False, 0) for a in (0, 1000, 2000)]
+    want = {}
+    for home in range(5):
+        row, slots = np.sort(rng.integers(0, c.HOME_ROWS, 4000)), np.tile(np.arange(4000), 1)
+        keys = np.where(rng.random(4000) < 0.5, rng.choice(groups, 4000), rng.integers(0, 1 << 40, 4000))
+        packs.append(c._packs(keys, slots, row, 64, True, home))
+        number = {int(g): i for i, g in enumerate(groups)}
+        for r, s, k in zip(row, slots, keys):
+            if int(k) in number:
+                want.setdefault((home, int(r)), []).append((int(s), number[int(k)]))
+    both = pa.Table.from_batches(packs).sort_by([("bucket", "ascending"), ("asked", "ascending")]).combine_chunks()
+    assert both.num_rows == 8 * 64
+    hits = pa.Table.from_batches(list(c._look_up(both.to_batches(max_chunksize=7)))).sort_by("home").combine_chunks()
+    out = list(c._bring_home(hits.to_batches(max_chunksize=9)))
+    got, uids = [], []
+    for batch in out:
+        (slots, starts), (ids, _) = c.flat(batch.column("slots")), c.flat(batch.column("ids"))
+        uids += batch.column("uid").to_pylist()
+        got += [list(zip(slots[a:b].tolist(), ids[a:b].tolist())) for a, b in zip(starts[:-1], starts[1:])]
+    assert got == [want[k] for k in sorted(want)] and len(set(uids)) == len(got) > 400
